@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugewell.llm.fingerprints import fingerprints_under_edits
 from gaugewell.llm.substring_dedup import remove_repeats
 from gaugewell.plans.registry import Catalog
 
@@ -21,3 +22,10 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of what is left of every document once repeated 20-word windows are cut out."""
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@CATALOG.query("op2_fingerprints")
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text, and how alike they and the next document are."""
+    found = fingerprints_under_edits(table(spark, sf_dir, "documents"))
+    return found.withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
