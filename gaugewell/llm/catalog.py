@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugewell.llm.fingerprints import fingerprints_under_edits
+from gaugewell.llm.jaccard_join import jaccard_components
 from gaugewell.llm.substring_dedup import remove_repeats
 from gaugewell.plans.registry import Catalog
 
@@ -29,3 +30,9 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and of its edited text, and how alike they and the next document are."""
     found = fingerprints_under_edits(table(spark, sf_dir, "documents"))
     return found.withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
+
+
+@CATALOG.query("op4_jaccard_join")
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document at a shingle similarity of 0.8."""
+    return jaccard_components(table(spark, sf_dir, "documents"))
