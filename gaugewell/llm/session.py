@@ -51,7 +51,7 @@ def keyed(docs: DataFrame, *columns: str, id_col: str = "doc_id") -> tuple[DataF
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *columns)
     repeated = rows.groupBy("doc_id").count().where(F.col("doc_id").isNull() | (F.col("count") > 1))
     if repeated.isEmpty():
-        return rows, None
+        return rows.where(F.col("doc_id").isNotNull()), None
     numbered = rows.orderBy(F.col("doc_id").asc_nulls_first(), *columns).withColumnRenamed("doc_id", "given_id")
     numbered = written(numbered.withColumn("doc_id", F.monotonically_increasing_id()), "keyed")
     return numbered.select("doc_id", *columns), numbered.select("doc_id", "given_id")

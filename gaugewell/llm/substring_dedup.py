@@ -8,6 +8,8 @@ residue is a difference of two members of ``COVER``; so any two places i and j h
 that takes both to cover positions, and equal windows of ``PERIOD - 1 + ANCHOR`` words share an aligned anchor.
 Only the windows around anchors that occur more than once are then extended and compared whole.
 
+A text that stands whole in an earlier document is settled by its hash and takes no part in the search.
+
 Plan: texts -> anchors (Arrow) -> shuffle by anchor, neighbours compared in sorted order -> repeated anchors
 back to their texts -> windows around them -> shuffle by window, all but the earliest marked -> texts cut.
 Within a block of texts equal anchors and windows are settled at once, and only one of them travels; a key that
@@ -30,6 +32,8 @@ WINDOW = 20
 PERIOD = 13
 COVER = (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
+#: A run of windows that reaches the end of any text.
+WHOLE = 1 << 30
 
 _PLACE = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int32()), ("run", pa.int32())])
 _PLACE_DDL = "key long, doc_id long, place int, run int"
@@ -145,10 +149,11 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = W.find_words(block)
             owner = np.repeat(np.arange(block.last - block.first), np.diff(firsts[block.first : block.last + 1]))
             spot = spots[firsts[block.first] : firsts[block.last]].astype(np.int64) + words.firsts[:-1][owner]
-            run = runs[firsts[block.first] : firsts[block.last]]
+            run = runs[firsts[block.first] : firsts[block.last]].astype(np.int64)
+            long = np.diff(words.firsts)[owner] >= WINDOW
             edge = np.zeros(len(words.starts) + 1, np.int64)
-            np.add.at(edge, spot, 1)
-            np.add.at(edge, spot + run + WINDOW - 1, -1)
+            np.add.at(edge, spot[long], 1)
+            np.add.at(edge, np.minimum(spot + run + WINDOW - 1, words.firsts[1:][owner])[long], -1)
             gone = np.cumsum(edge[:-1]) > 0
             owner = words.text_of()
             stay = np.flatnonzero(~gone)
@@ -185,6 +190,13 @@ def _spans(gone: np.ndarray, words: W.Words, owner: np.ndarray) -> list[pa.Array
     return [W.lists(pa.array((x - base).astype(np.int32)), firsts) for x in (begins, ends)]
 
 
+def exact_copies(rows: DataFrame) -> DataFrame:
+    """``doc_id`` of every row whose whole text also stands in a row with a smaller id."""
+    texts = rows.select("doc_id", F.unhex(F.sha2("text", 256)).alias("content"))
+    firsts = texts.groupBy("content").agg(F.min("doc_id").alias("first"))
+    return texts.join(firsts, "content").where(F.col("doc_id") > F.col("first")).select("doc_id")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cut every repeated window of :data:`WINDOW` words out of the texts of ``docs``.
 
@@ -196,12 +208,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one lose their windows. Other columns are ignored, and an empty table gives an empty result.
     """
     rows, names = keyed(docs, F.col(text_col).alias("text"), id_col=id_col)
-    places = rows.mapInArrow(_anchors, _PLACE_DDL).repartition("key").sortWithinPartitions("key")
+    copies = exact_copies(rows)
+    places = rows.join(copies, "doc_id", "left_anti").mapInArrow(_anchors, _PLACE_DDL).repartition("key").sortWithinPartitions("key")
     anchors = places.mapInArrow(_repeated, "doc_id long, place int").groupBy("doc_id").agg(F.collect_list("place").alias("spots"))
     windows = rows.join(anchors, "doc_id").mapInArrow(_windows, _PLACE_DDL)
     windows = windows.repartition("key").sortWithinPartitions("key", "doc_id", "place")
-    later = windows.mapInArrow(_later, "doc_id long, place int, run int").groupBy("doc_id")
-    later = later.agg(F.collect_list(F.struct("place", "run")).alias("later"))
+    later = windows.mapInArrow(_later, "doc_id long, place int, run int")
+    whole = copies.select("doc_id", F.lit(0).alias("place"), F.lit(WHOLE).alias("run"))
+    later = later.unionByName(whole).groupBy("doc_id").agg(F.collect_list(F.struct("place", "run")).alias("later"))
     joined = rows.join(later, "doc_id", "left").select("doc_id", "text", F.col("later.place").alias("spots"), F.col("later.run").alias("runs"))
     schema = "doc_id long, n_words long, n_removed long, kept_text string, removed_from array<int>, removed_to array<int>"
     return named(joined.mapInArrow(_kept, schema), names, "doc_id")
