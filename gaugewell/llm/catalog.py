@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugewell.llm import secrets
 from gaugewell.llm.fingerprints import fingerprints_under_edits
 from gaugewell.llm.jaccard_join import jaccard_components
 from gaugewell.llm.substring_dedup import remove_repeats
@@ -36,3 +37,12 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document at a shingle similarity of 0.8."""
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@CATALOG.query("op5_secret_scans", secrets.oracle())
+def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, counted and listed by kind and span."""
+    found = secrets.scan_documents(table(spark, sf_dir, "documents"), "doc_id")
+    counts = [F.size(F.expr(f"filter(spans, s -> s.kind = '{kind}')")).cast("long").alias(f"n_{kind}") for kind in secrets.BASE]
+    base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE))
+    return found.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
