@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from gaugewell.llm import secrets
 from gaugewell.llm.fingerprints import fingerprints_under_edits
 from gaugewell.llm.jaccard_join import jaccard_components
+from gaugewell.llm.packing import packed_pieces
 from gaugewell.llm.substring_dedup import remove_repeats
+from gaugewell.llm.token_files import token_files_round_trip
 from gaugewell.plans.registry import Catalog
 
 CATALOG = Catalog()
@@ -46,3 +48,15 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(F.expr(f"filter(spans, s -> s.kind = '{kind}')")).cast("long").alias(f"n_{kind}") for kind in secrets.BASE]
     base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE))
     return found.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
+@CATALOG.query("op6_token_files")
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum as read back from its token file."""
+    return token_files_round_trip(table(spark, sf_dir, "documents"))
+
+
+@CATALOG.query("op8_packing")
+def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of all documents with their sequences."""
+    return packed_pieces(table(spark, sf_dir, "documents"))
