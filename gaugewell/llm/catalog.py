@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugewell.llm import secrets
+from gaugewell.llm import licenses, secrets
 from gaugewell.llm.fingerprints import fingerprints_under_edits
 from gaugewell.llm.jaccard_join import jaccard_components
 from gaugewell.llm.packing import packed_pieces
@@ -60,3 +60,9 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pieces of all documents with their sequences."""
     return packed_pieces(table(spark, sf_dir, "documents"))
+
+
+@CATALOG.query("op9_license_scans", licenses.oracle())
+def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates found in every document."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
