@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugewell.llm import licenses, secrets
+from gaugewell.llm.decontamination import contaminated
 from gaugewell.llm.fingerprints import fingerprints_under_edits
 from gaugewell.llm.jaccard_join import jaccard_components
 from gaugewell.llm.packing import packed_pieces
@@ -66,3 +67,9 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and templates found in every document."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
+
+
+@CATALOG.query("op10_decontamination")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents, with the best window of each."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
