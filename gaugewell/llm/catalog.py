@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gaugewell.llm import licenses, secrets
 from gaugewell.llm.decontamination import contaminated
 from gaugewell.llm.fingerprints import fingerprints_under_edits
+from gaugewell.llm.html_extraction import extract_pages
 from gaugewell.llm.jaccard_join import jaccard_components
 from gaugewell.llm.packing import packed_pieces
 from gaugewell.llm.substring_dedup import remove_repeats
@@ -73,3 +74,10 @@ def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in documents, with the best window of each."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@CATALOG.query("op3_html_extraction")
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = extract_pages(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
