@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugewell.llm import licenses, secrets
+from gaugewell.llm import licenses, secrets, toxicity
 from gaugewell.llm.decontamination import contaminated
 from gaugewell.llm.fingerprints import fingerprints_under_edits
 from gaugewell.llm.html_extraction import extract_pages
@@ -81,3 +81,10 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     found = extract_pages(table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@CATALOG.query("op7_toxicity")
+def toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities and decisions of the chain for every document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit_chain(docs, table(spark, sf_dir, "labels")), "doc_id")
