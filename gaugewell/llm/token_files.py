@@ -28,6 +28,8 @@ from gaugewell.llm.ordered import range_bounds, range_of
 from gaugewell.llm.session import keyed, named, shared_dir, shuffle_width
 from gaugewell.llm.tokens import encoder
 
+#: Tasks that sum the counts of ids; each adds one array per task before it.
+SUMMING_TASKS = 8
 #: Lengths of the four ranks of each control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
@@ -78,6 +80,15 @@ def _encoded(vocabulary: str, end: int):
     return run
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: np.ndarray | int = 0
+    for batch in batches:
+        for row in range(batch.num_rows):
+            total = total + np.asarray(batch.column(0)[row].values)
+    if not isinstance(total, int):
+        yield pa.RecordBatch.from_arrays([W.lists(pa.array(total), np.array([0, len(total)]))], names=["totals"])
+
+
 def _packed(rank_of: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,7 +116,9 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49
     parts = f"{path}/encoded"
     dealt.sortWithinPartitions("id_range", "doc_id").mapInArrow(_encoded(vocabulary, end), schema).write.option("compression", "zstd").parquet(parts)
     blocks = spark.read.schema(schema).parquet(parts)
-    totals = blocks.where("totals is not null").select(F.posexplode("totals").alias("id", "n")).groupBy("id").agg(F.sum("n").alias("n"))
+    # Each task's counts are summed as arrays in a fixed number of tasks before they become rows.
+    totals = blocks.where("totals is not null").select("totals").repartition(SUMMING_TASKS).mapInArrow(_summed, "totals array<long>")
+    totals = totals.select(F.posexplode("totals").alias("id", "n")).groupBy("id").agg(F.sum("n").alias("n"))
     counted = sorted(((-n, i) for i, n in totals.collect()))
     order = np.array([i for _, i in counted], np.int64)
     rank_of = np.zeros(len(order), np.uint32)
