@@ -6,7 +6,7 @@ import importlib
 
 from gaugewell.plans.registry import Catalog
 
-MODULES = ()
+MODULES = ("q_rates", "q_tables")
 
 
 def catalogs() -> list[Catalog]:
