@@ -6,7 +6,7 @@ import importlib
 
 from gaugewell.plans.registry import Catalog
 
-MODULES = ("q_rates", "q_tables")
+MODULES = ("q_rates", "q_tables", "q_text")
 
 
 def catalogs() -> list[Catalog]:

@@ -13,7 +13,11 @@ from gaugewell.sources import views as V
 CATALOG = Catalog()
 query = CATALOG.query
 LEAST = 10
-N = F.count(F.lit(1))
+
+
+def count_rows() -> Column:
+    """Number of rows of a group."""
+    return F.count(F.lit(1))
 
 
 def r6(x: Column | str) -> Column:
@@ -29,7 +33,7 @@ RANK = "rank() OVER (PARTITION BY {c} ORDER BY {x}) + (count(*) OVER (PARTITION
 def held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error of test learners' first responses, smoothed: item, n, n_incorrect, smoothed."""
     first = rates.first_observed(V.ixs(spark, sf_dir).where("split = 'test'"), "ts", "event_id")
-    found = first.groupBy("item").agg(N.alias("n"), F.sum(1 - F.col("correct")).alias("n_incorrect"))
+    found = first.groupBy("item").agg(count_rows().alias("n"), F.sum(1 - F.col("correct")).alias("n_incorrect"))
     return found.withColumn("smoothed", rates.beta_smoothed("n_incorrect", "n"))
 
 
@@ -90,7 +94,7 @@ def a6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a7_split_counts", V.sql("SELECT split, count(*) AS interactions, count(DISTINCT learner) AS learners, count(DISTINCT item) AS items FROM ixs GROUP BY split", "ixs"))
 def a7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, learners and items of each split."""
-    return V.ixs(spark, sf_dir).groupBy("split").agg(N.alias("interactions"), F.countDistinct("learner").alias("learners"), F.countDistinct("item").alias("items"))
+    return V.ixs(spark, sf_dir).groupBy("split").agg(count_rows().alias("interactions"), F.countDistinct("learner").alias("learners"), F.countDistinct("item").alias("items"))
 
 
 FUNNEL = (("raw", "true"), ("has_time", "response_time IS NOT NULL"), ("timed", "response_time < 60"), ("no_hint", "response_time < 60 AND NOT hint_used"))
@@ -101,20 +105,20 @@ def a8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The funnel from raw to retained rows, in one pass over exploded stages."""
     stages = F.array_compact(F.array(*[F.when(F.expr(c), F.lit(s)) for s, c in FUNNEL]))
     rows = V.ix(spark, sf_dir).select("learner", F.explode(stages).alias("stage"))
-    return rows.groupBy("stage").agg(N.alias("n_rows"), F.countDistinct("learner").alias("learners"))
+    return rows.groupBy("stage").agg(count_rows().alias("n_rows"), F.countDistinct("learner").alias("learners"))
 
 
 @query("a9_sequence_length_summary", V.sql("SELECT min(n) AS least, quantile_cont(n, 0.5) AS median, round(avg(n), 6) AS mean, max(n) AS most, count(*) AS learners FROM (SELECT learner, count(*) AS n FROM ix_big GROUP BY learner)", "ix_big"))
 def a9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths of learners' sequences."""
-    n = V.ix_big(spark, sf_dir).groupBy("learner").agg(N.alias("n"))
-    return n.agg(F.min("n").alias("least"), F.percentile("n", F.lit(0.5)).alias("median"), r6(F.avg("n")).alias("mean"), F.max("n").alias("most"), N.alias("learners"))
+    n = V.ix_big(spark, sf_dir).groupBy("learner").agg(count_rows().alias("n"))
+    return n.agg(F.min("n").alias("least"), F.percentile("n", F.lit(0.5)).alias("median"), r6(F.avg("n")).alias("mean"), F.max("n").alias("most"), count_rows().alias("learners"))
 
 
 @query("a10_quantile_summary", V.sql("SELECT min(n) AS least, quantile_cont(n, 0.5) AS p50, round(quantile_cont(n, 0.9), 6) AS p90, round(quantile_cont(n, 0.95), 6) AS p95, max(n) AS most, round(avg(n), 6) AS mean FROM (SELECT item, count(*) AS n FROM ix_big GROUP BY item)", "ix_big"))
 def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles of responses per item."""
-    n = V.ix_big(spark, sf_dir).groupBy("item").agg(N.alias("n"))
+    n = V.ix_big(spark, sf_dir).groupBy("item").agg(count_rows().alias("n"))
     q = lambda p: F.percentile("n", F.lit(p))
     return n.agg(F.min("n").alias("least"), q(0.5).alias("p50"), r6(q(0.9)).alias("p90"), r6(q(0.95)).alias("p95"), F.max("n").alias("most"), r6(F.avg("n")).alias("mean"))
 
@@ -123,9 +127,9 @@ def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage of learners, items and domains, with exact distinct counts."""
     big = V.ix_big(spark, sf_dir)
-    learners = big.groupBy("learner").agg(N.alias("n")).agg(F.sum("n").alias("n_rows"), *[F.count_if(F.col("n") >= k).alias(f"learners_{k}") for k in (5, 10, 20, 50)])
-    items = big.groupBy("item").agg(N.alias("n")).agg(F.count_if(F.col("n") >= 20).alias("items_20"))
-    domains = big.join(V.items(spark, sf_dir), "item").groupBy("domain").agg(N.alias("c")).agg(r6(F.max("c") / F.sum("c")).alias("top_domain"))
+    learners = big.groupBy("learner").agg(count_rows().alias("n")).agg(F.sum("n").alias("n_rows"), *[F.count_if(F.col("n") >= k).alias(f"learners_{k}") for k in (5, 10, 20, 50)])
+    items = big.groupBy("item").agg(count_rows().alias("n")).agg(F.count_if(F.col("n") >= 20).alias("items_20"))
+    domains = big.join(V.items(spark, sf_dir), "item").groupBy("domain").agg(count_rows().alias("c")).agg(r6(F.max("c") / F.sum("c")).alias("top_domain"))
     return learners.crossJoin(items).crossJoin(domains)
 
 
@@ -135,7 +139,7 @@ REASON = "CASE WHEN length(trim(coalesce(text, ''))) < 8 THEN 'missing' WHEN len
 @query("a12_reason_counts", f"SELECT {REASON} AS reason, count(*) AS n FROM documents GROUP BY 1")
 def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by the first reason that excludes them."""
-    return V.table(spark, sf_dir, "documents").groupBy(F.expr(REASON).alias("reason")).agg(N.alias("n"))
+    return V.table(spark, sf_dir, "documents").groupBy(F.expr(REASON).alias("reason")).agg(count_rows().alias("n"))
 
 
 @query("a13_score_distribution", V.sql("SELECT model, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS sd, round(quantile_cont(score, 0.5), 6) AS median, round(quantile_cont(score, 0.75) - quantile_cont(score, 0.25), 6) AS iqr, min(score) AS least, max(score) AS most, count(DISTINCT score) AS values_seen, round(avg((score <= 0.05)::INT), 6) AS low_share, round(avg((score >= 0.95)::INT), 6) AS high_share, round(avg((score = 0)::INT), 6) AS zero_share, round(avg((score = 1)::INT), 6) AS one_share, (SELECT round(max(c) / sum(c), 6) FROM (SELECT count(*) AS c FROM scores t WHERE t.model = s.model GROUP BY score)) AS mode_share FROM scores s GROUP BY model", "scores"))
@@ -144,9 +148,9 @@ def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = V.scores(spark, sf_dir)
     share = lambda c: r6(F.avg(c.cast("int")))
     q = lambda p: F.percentile("score", F.lit(p))
-    mode = s.groupBy("model", "score").agg(N.alias("c")).groupBy("model").agg(r6(F.max("c") / F.sum("c")).alias("mode_share"))
+    mode = s.groupBy("model", "score").agg(count_rows().alias("c")).groupBy("model").agg(r6(F.max("c") / F.sum("c")).alias("mode_share"))
     x = F.col("score")
-    found = s.groupBy("model").agg(N.alias("n"), r6(F.avg(x)).alias("mean"), r6(F.stddev_samp(x)).alias("sd"), r6(q(0.5)).alias("median"), r6(q(0.75) - q(0.25)).alias("iqr"), F.min(x).alias("least"), F.max(x).alias("most"), F.countDistinct(x).alias("values_seen"), share(x <= 0.05).alias("low_share"), share(x >= 0.95).alias("high_share"), share(x == 0).alias("zero_share"), share(x == 1).alias("one_share"))
+    found = s.groupBy("model").agg(count_rows().alias("n"), r6(F.avg(x)).alias("mean"), r6(F.stddev_samp(x)).alias("sd"), r6(q(0.5)).alias("median"), r6(q(0.75) - q(0.25)).alias("iqr"), F.min(x).alias("least"), F.max(x).alias("most"), F.countDistinct(x).alias("values_seen"), share(x <= 0.05).alias("low_share"), share(x >= 0.95).alias("high_share"), share(x == 0).alias("zero_share"), share(x == 1).alias("one_share"))
     return found.join(mode, "model")
 
 
@@ -157,7 +161,7 @@ SCORE = r"(?:0?\.[0-9]+|1\.0*|0|1)"
 def a14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected, completed and parseable replies per role."""
     c = V.table(spark, sf_dir, "conversations")
-    return c.groupBy("role").agg(N.alias("expected"), F.count_if(F.col("text").isNotNull() & (F.col("text") != "")).alias("completed"), F.count_if(F.col("text").rlike(SCORE)).alias("valid"))
+    return c.groupBy("role").agg(count_rows().alias("expected"), F.count_if(F.col("text").isNotNull() & (F.col("text") != "")).alias("completed"), F.count_if(F.col("text").rlike(SCORE)).alias("valid"))
 
 
 @query("a15_replicate_stability", V.sql("SELECT condition, count(*) AS items, round(avg(hi - lo), 6) AS mean_range, round(avg(((hi - lo) > 0.1)::INT), 6) AS share_over_10, round(avg(mad), 6) AS mean_abs_dev FROM (SELECT condition, item, max(p) AS hi, min(p) AS lo, avg(abs(p - m)) AS mad FROM (SELECT condition, item, seed, p, avg(p) OVER (PARTITION BY condition, item) AS m FROM (SELECT condition, item, seed, avg(p) AS p FROM pred GROUP BY 1, 2, 3)) GROUP BY 1, 2) GROUP BY condition", "pred"))
@@ -167,22 +171,22 @@ def a15(spark: SparkSession, sf_dir: str) -> DataFrame:
     ps = each.groupBy("condition", "item").agg(F.max("p").alias("hi"), F.min("p").alias("lo"), F.avg("p").alias("m"), F.collect_list("p").alias("ps"))
     mad = F.aggregate(F.transform("ps", lambda p: F.abs(p - F.col("m"))), F.lit(0.0), lambda a, b: a + b) / F.size("ps")
     gap = F.col("hi") - F.col("lo")
-    return ps.withColumn("mad", mad).groupBy("condition").agg(N.alias("items"), r6(F.avg(gap)).alias("mean_range"), r6(F.avg((gap > 0.1).cast("int"))).alias("share_over_10"), r6(F.avg("mad")).alias("mean_abs_dev"))
+    return ps.withColumn("mad", mad).groupBy("condition").agg(count_rows().alias("items"), r6(F.avg(gap)).alias("mean_range"), r6(F.avg((gap > 0.1).cast("int"))).alias("share_over_10"), r6(F.avg("mad")).alias("mean_abs_dev"))
 
 
 @query("a16_cost_table", "SELECT role, count(*) AS requests, sum(greatest(1, length(text) // 4)) AS tokens, round(sum(greatest(1, length(text) // 4)) * 0.00015 / 1000, 6) AS cost FROM conversations GROUP BY role")
 def a16(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens and cost of replies, priced per thousand tokens."""
     tokens = F.greatest(F.lit(1), F.floor(F.length("text") / 4))
-    c = V.table(spark, sf_dir, "conversations").groupBy("role").agg(N.alias("requests"), F.sum(tokens).alias("tokens"))
+    c = V.table(spark, sf_dir, "conversations").groupBy("role").agg(count_rows().alias("requests"), F.sum(tokens).alias("tokens"))
     return c.withColumn("cost", r6(F.col("tokens") * 0.00015 / 1000))
 
 
 @query("a17_repeat_pair_rates", V.sql("SELECT count(*) AS pairs, round(avg((n > 1)::INT), 6) AS over_1, round(avg((n > 5)::INT), 6) AS over_5, round(avg((n > 10)::INT), 6) AS over_10 FROM (SELECT learner, item, count(*) AS n FROM ix GROUP BY 1, 2)", "ix"))
 def a17(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of repeated learner-item pairs."""
-    n = V.ix(spark, sf_dir).groupBy("learner", "item").agg(N.alias("n"))
-    return n.agg(N.alias("pairs"), *[r6(F.avg((F.col("n") > k).cast("int"))).alias(f"over_{k}") for k in (1, 5, 10)])
+    n = V.ix(spark, sf_dir).groupBy("learner", "item").agg(count_rows().alias("n"))
+    return n.agg(count_rows().alias("pairs"), *[r6(F.avg((F.col("n") > k).cast("int"))).alias(f"over_{k}") for k in (1, 5, 10)])
 
 
 @query("a18_retention_table", V.sql("SELECT split, count(*) AS n_rows, count(*) FILTER (WHERE NOT hint_used) AS unhinted, count(*) FILTER (WHERE place = 1) AS first_rows, round(count(*) FILTER (WHERE place = 1) / count(*), 6) AS first_rate FROM (SELECT *, row_number() OVER (PARTITION BY learner, item ORDER BY ts, event_id) AS place FROM ixs) GROUP BY split", "ixs"))
@@ -190,7 +194,7 @@ def a18(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that remain unhinted, and as first responses."""
     place = F.row_number().over(Window.partitionBy("learner", "item").orderBy("ts", "event_id"))
     first = F.count_if(F.col("place") == 1)
-    return V.ixs(spark, sf_dir).withColumn("place", place).groupBy("split").agg(N.alias("n_rows"), F.count_if(~F.col("hint_used")).alias("unhinted"), first.alias("first_rows"), r6(first / N).alias("first_rate"))
+    return V.ixs(spark, sf_dir).withColumn("place", place).groupBy("split").agg(count_rows().alias("n_rows"), F.count_if(~F.col("hint_used")).alias("unhinted"), first.alias("first_rows"), r6(first / count_rows()).alias("first_rate"))
 
 
 @query("a20_time_to_first_success", V.sql("SELECT learner, item, (epoch_us(min(ts) FILTER (WHERE correct = 1)) - epoch_us(min(ts))) // 1000000 AS seconds FROM ix GROUP BY 1, 2", "ix"))
@@ -203,7 +207,7 @@ def a20(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a21_eventual_success_view", V.sql("SELECT learner, item, bool_or(correct = 1) AS ever, count(*) AS attempts FROM ix GROUP BY 1, 2", "ix"))
 def a21(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a pair is ever correct, and its attempts."""
-    return V.ix(spark, sf_dir).groupBy("learner", "item").agg(F.bool_or(F.col("correct") == 1).alias("ever"), N.alias("attempts"))
+    return V.ix(spark, sf_dir).groupBy("learner", "item").agg(F.bool_or(F.col("correct") == 1).alias("ever"), count_rows().alias("attempts"))
 
 
 @query("a22_nonmonotonic_learners", V.sql("SELECT learner, bool_or(coalesce(ts < before, false)) AS back FROM (SELECT learner, ts, lag(ts) OVER (PARTITION BY learner ORDER BY event_id) AS before FROM ix) GROUP BY learner", "ix"))
@@ -217,7 +221,7 @@ def a22(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a23(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A label for documents whose content hash repeats; counts come from a partial aggregation, not a window."""
     d = V.table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    many = d.groupBy("h").agg(N.alias("n")).where("n > 1")
+    many = d.groupBy("h").agg(count_rows().alias("n")).where("n > 1")
     return d.join(many, "h", "left").select("doc_id", F.when(F.col("n") > 1, F.substring("h", 1, 12)).alias("label"))
 
 
@@ -225,7 +229,7 @@ def a23(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a24(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label rates per language, and per language and source."""
     d = V.table(spark, sf_dir, "documents").select("lang", "source", (F.length("text") > 1200).cast("int").alias("long"))
-    return d.groupingSets([["lang"], ["lang", "source"]], "lang", "source").agg(N.alias("n"), r6(F.avg("long")).alias("long_rate"))
+    return d.groupingSets([["lang"], ["lang", "source"]], "lang", "source").agg(count_rows().alias("n"), r6(F.avg("long")).alias("long_rate"))
 
 
 TWO = "SELECT learner, item, event_id, correct = 1 AS a, CASE WHEN event_id % 7 = 0 THEN NULL ELSE response_time < 60 END AS b FROM ix"
@@ -250,7 +254,7 @@ def a27(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges between consecutive concepts of train learners, counted at least five times."""
     rows = V.ixs(spark, sf_dir).where("split = 'train'").select("learner", "ts", "event_id", V.concept().alias("a")).where("a != ''")
     edges = rows.withColumn("b", F.lead("a").over(Window.partitionBy("learner").orderBy("ts", "event_id"))).where("a != b")
-    counted = edges.groupBy("a", "b").agg(N.alias("weight")).where("weight >= 5")
+    counted = edges.groupBy("a", "b").agg(count_rows().alias("weight")).where("weight >= 5")
     return counted.select(hashed(F.lit("concept"), "a").alias("source_id"), hashed(F.lit("concept"), "b").alias("target_id"), "weight")
 
 
@@ -271,20 +275,20 @@ def a29(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, zeros and nulls of each feature, in one pass."""
     f = V.items(spark, sf_dir).withColumn("chars", F.length("text"))
     long = f.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in FEATURES])))
-    return long.groupBy("feature").agg(N.alias("n_rows"), F.count_if(F.col("x") == 0).alias("zeros"), F.count_if(F.col("x").isNull()).alias("missing"))
+    return long.groupBy("feature").agg(count_rows().alias("n_rows"), F.count_if(F.col("x") == 0).alias("zeros"), F.count_if(F.col("x").isNull()).alias("missing"))
 
 
 @query("a30_prompt_export_audit", "SELECT lang, count(*) AS eligible, count(text) AS exported, count(*) FILTER (WHERE length(text) < 5) AS short_texts FROM documents GROUP BY lang")
 def a30(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eligible, exported and too short texts per language."""
-    return V.table(spark, sf_dir, "documents").groupBy("lang").agg(N.alias("eligible"), F.count("text").alias("exported"), F.count_if(F.length("text") < 5).alias("short_texts"))
+    return V.table(spark, sf_dir, "documents").groupBy("lang").agg(count_rows().alias("eligible"), F.count("text").alias("exported"), F.count_if(F.length("text") < 5).alias("short_texts"))
 
 
 @query("a31_cost_projection", "SELECT lang, count(*) * 2 * 4 AS calls, sum(greatest(1, length(text) // 4)) * 2 * 4 AS tokens, round(sum(greatest(1, length(text) // 4)) * 2 * 4 * 0.00015 / 1000, 6) AS cost, sum(greatest(1, length(text) // 4)) * 2 * 4 * 0.00015 / 1000 > 0.5 AS blocked FROM documents GROUP BY lang")
 def a31(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projected calls, tokens and cost for two models and three replicates, blocked over budget."""
     tokens = F.sum(F.greatest(F.lit(1), F.floor(F.length("text") / 4))) * 2 * 4
-    found = V.table(spark, sf_dir, "documents").groupBy("lang").agg((N * 2 * 4).alias("calls"), tokens.alias("tokens"))
+    found = V.table(spark, sf_dir, "documents").groupBy("lang").agg((count_rows() * 2 * 4).alias("calls"), tokens.alias("tokens"))
     cost = F.col("tokens") * 0.00015 / 1000
     return found.select("lang", "calls", "tokens", r6(cost).alias("cost"), (cost > 0.5).alias("blocked"))
 
@@ -343,10 +347,10 @@ def w7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("w8_stratified_round_robin_folds", V.sql("SELECT item, n, (row_number() OVER (ORDER BY bin, sha256('2024|' || item), item) - 1) % 5 AS fold FROM (SELECT item, n, len(list_filter(list_distinct(edges), lambda e: e < n)) AS bin FROM (SELECT item, count(*) AS n FROM ix_big GROUP BY item), (SELECT quantile_cont(n, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS edges FROM (SELECT count(*) AS n FROM ix_big GROUP BY item)))", "ix_big"))
 def w8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item folds dealt in hash order inside deciles of response counts, one counter over all."""
-    n = V.ix_big(spark, sf_dir).groupBy("item").agg(N.alias("n"))
+    n = V.ix_big(spark, sf_dir).groupBy("item").agg(count_rows().alias("n"))
     edges = n.agg(F.percentile("n", F.array(*[F.lit(i / 10) for i in range(10)])).alias("edges"))
     binned = n.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter(F.array_distinct("edges"), lambda e: e < F.col("n"))))  # one row
-    counts = binned.groupBy("bin").agg(N.alias("c"))
+    counts = binned.groupBy("bin").agg(count_rows().alias("c"))
     before = counts.select("bin", (F.sum("c").over(Window.orderBy("bin")) - F.col("c")).alias("before"))
     inside = F.row_number().over(Window.partitionBy("bin").orderBy(hashed(2024, "item"), "item")) - 1
     return binned.withColumn("inside", inside).join(F.broadcast(before), "bin").select("item", "n", F.pmod(F.col("before") + F.col("inside"), F.lit(5)).alias("fold"))  # at most eleven rows
@@ -368,7 +372,7 @@ def w10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def quartile(x: str) -> Column:
         place = F.row_number().over(Window.partitionBy("lang").orderBy(x, "doc_id")) - 1
-        return F.greatest(F.lit(0), F.ceil(place * 4.0 / F.greatest(N.over(Window.partitionBy("lang")) - 1, F.lit(1))) - 1).cast("long")
+        return F.greatest(F.lit(0), F.ceil(place * 4.0 / F.greatest(count_rows().over(Window.partitionBy("lang")) - 1, F.lit(1))) - 1).cast("long")
 
     return d.select("doc_id", F.concat_ws("|", "lang", quartile("chars").cast("string"), quartile("h").cast("string")).alias("stratum"))
 
@@ -380,7 +384,7 @@ def w11(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = s.groupBy("model").agg(F.percentile("score", F.array(*[F.lit(x) for x in (0.2, 0.4, 0.6, 0.8)])).alias("edges"))
     rows = s.join(e, "item").join(F.broadcast(edges), "model").withColumn("bucket", F.size(F.filter(F.array_distinct("edges"), lambda x: x < F.col("score"))))  # one row per model
     q = lambda p: r6(F.percentile("error", F.lit(p)))
-    return rows.groupBy("model", "bucket").agg(N.alias("n"), r6(F.avg("error")).alias("mean"), q(0.5).alias("median"), q(0.025).alias("low"), q(0.975).alias("high"))
+    return rows.groupBy("model", "bucket").agg(count_rows().alias("n"), r6(F.avg("error")).alias("mean"), q(0.5).alias("median"), q(0.025).alias("low"), q(0.975).alias("high"))
 
 
 @query("w13_keep_latest_or_earliest", V.sql("SELECT learner, max_by(event_id, epoch_us(ts) * 1000000::HUGEINT + event_id) AS latest, min_by(event_id, epoch_us(ts) * 1000000::HUGEINT + event_id) AS earliest FROM ix GROUP BY learner", "ix"))
@@ -414,7 +418,7 @@ def w16(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A score drawn with replacement for every item."""
     s = V.scores(spark, sf_dir).where("model = 'model_a'").select("item", "score")
     ranked = hash_rank(s, hashed("item"), "item").select(F.col("score").alias("resampled"), "rank")
-    n = s.agg(N.alias("n"))
+    n = s.agg(count_rows().alias("n"))
     drawn = s.crossJoin(F.broadcast(n)).select("item", F.pmod(hash_number(hashed(F.lit("draw"), "item")), F.col("n")).alias("rank"))  # one row
     return drawn.join(ranked, "rank").select("item", "resampled")
 

@@ -7,16 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gaugewell.functions.hashing import hash_number, hash_rank, hashed, table_fingerprint
-from gaugewell.operators import association, rates
-from gaugewell.plans.q_rates import FIRST, FIRST_ERROR, LEAST, REASON, SCORE, TWO, held_out, r6, two_sources
+from gaugewell.functions.hashing import hash_number, hashed, table_fingerprint
+from gaugewell.operators import rates
+from gaugewell.plans.q_rates import FIRST, FIRST_ERROR, LEAST, REASON, TWO, count_rows, held_out, r6, two_sources
 from gaugewell.plans.registry import Catalog
 from gaugewell.sources import files
 from gaugewell.sources import views as V
 
 CATALOG = Catalog()
 query = CATALOG.query
-N = F.count(F.lit(1))
 TIME = ("ts", "event_id")
 
 WIDE = "SELECT learner, string_agg(item, ',' ORDER BY ts, event_id) AS questions, string_agg(correct, ',' ORDER BY ts, event_id) AS responses FROM ix GROUP BY learner"
@@ -77,14 +76,14 @@ def s7(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = folds[0]
     for fold in folds[1:]:
         whole = whole.unionByName(fold)
-    return whole.groupBy("condition", "fold").agg(N.alias("n"), F.sum("y").alias("ones"))
+    return whole.groupBy("condition", "fold").agg(count_rows().alias("n"), F.sum("y").alias("ones"))
 
 
 @query("s8_parquet_sink", V.sql("SELECT split, count(*) AS n_rows, count(DISTINCT learner) AS learners FROM ixs GROUP BY split", "ixs"))
 def s8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interactions written as zstd Parquet by split and read back."""
     rows = files.round_trip(V.ixs(spark, sf_dir), "parquet", f"sink-{uuid.uuid4().hex}", "split", compression="zstd")
-    return rows.groupBy("split").agg(N.alias("n_rows"), F.countDistinct("learner").alias("learners"))
+    return rows.groupBy("split").agg(count_rows().alias("n_rows"), F.countDistinct("learner").alias("learners"))
 
 
 @query("s9_csv_json_sink", V.sql("SELECT item, model, round(score, 6) AS score FROM scores", "scores"))
@@ -130,14 +129,14 @@ def p3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by the first reason that drops them."""
     reason = F.when(F.col("response_time") >= 90, "masked").when(F.pmod("item", F.lit(10)) == 9, "no_content").otherwise("kept")
-    return V.ix(spark, sf_dir).groupBy(reason.alias("reason")).agg(N.alias("n"))
+    return V.ix(spark, sf_dir).groupBy(reason.alias("reason")).agg(count_rows().alias("n"))
 
 
 @query("p5_min_interactions_filter", V.sql("SELECT learner, item, correct FROM ix_big WHERE learner IN (SELECT learner FROM ix_big GROUP BY learner HAVING count(*) >= 10)", "ix_big"))
 def p5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of learners with at least ten."""
     big = V.ix_big(spark, sf_dir)
-    return big.join(big.groupBy("learner").agg(N.alias("n")).where("n >= 10").select("learner"), "learner", "left_semi").select("learner", "item", "correct")
+    return big.join(big.groupBy("learner").agg(count_rows().alias("n")).where("n >= 10").select("learner"), "learner", "left_semi").select("learner", "item", "correct")
 
 
 @query("p6_domain_exclusion_filter", V.sql("SELECT ix_big.item, domain FROM ix_big LEFT JOIN items USING (item) WHERE coalesce(domain, '') NOT LIKE '%STEEL%'", "ix_big", "items"))
@@ -227,7 +226,7 @@ def j1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rows lack a split."""
     rows = V.ix(spark, sf_dir).join(V.split(spark, sf_dir), "learner", "left")
-    return rows.agg(N.alias("n_rows"), F.count_if(F.col("split").isNull()).alias("unassigned"))
+    return rows.agg(count_rows().alias("n_rows"), F.count_if(F.col("split").isNull()).alias("unassigned"))
 
 
 @query("j3_semi_join_universe", V.sql("SELECT learner, item FROM ix_big WHERE item IN (SELECT item FROM items WHERE size >= 25)", "ix_big", "items"))
@@ -241,7 +240,7 @@ def j4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows left once held-out items are removed."""
     rows = V.ixs(spark, sf_dir)
     targets = rows.where(F.pmod("item", F.lit(5)) == 0).select("item").distinct()
-    return rows.join(targets, "item", "left_anti").groupBy("split").agg(N.alias("n"))
+    return rows.join(targets, "item", "left_anti").groupBy("split").agg(count_rows().alias("n"))
 
 
 def analysis_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,7 +280,7 @@ def j8(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = V.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a")).distinct()
     b = V.table(spark, sf_dir, "part").where("p_size >= 10").select(F.col("p_partkey").alias("b"))
     both = F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull())
-    return a.join(b, F.col("a") == F.col("b"), "full").agg(N.alias("ids"), F.count("a").alias("in_a"), F.count("b").alias("in_b"), both.alias("in_both"), r6(both / F.count("a")).alias("share_a"))
+    return a.join(b, F.col("a") == F.col("b"), "full").agg(count_rows().alias("ids"), F.count("a").alias("in_a"), F.count("b").alias("in_b"), both.alias("in_both"), r6(both / F.count("a")).alias("share_a"))
 
 
 @query("j9_event_metadata_left_join", "SELECT l_returnflag, count(*) AS n, round(avg((o_orderdate IS NOT NULL)::INT), 6) AS dated FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') ON l_orderkey = o_orderkey GROUP BY l_returnflag")
@@ -289,7 +288,7 @@ def j9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of rows that find their metadata."""
     meta = V.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
     rows = V.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag").join(meta, "l_orderkey", "left")
-    return rows.groupBy("l_returnflag").agg(N.alias("n"), r6(F.avg(F.col("o_orderdate").isNotNull().cast("int"))).alias("dated"))
+    return rows.groupBy("l_returnflag").agg(count_rows().alias("n"), r6(F.avg(F.col("o_orderdate").isNotNull().cast("int"))).alias("dated"))
 
 
 @query("j10_pair_semi_join", V.sql("SELECT event_id FROM ixs WHERE split = 'train' AND (learner, item) IN (SELECT (learner, item) FROM (SELECT learner, item, row_number() OVER (PARTITION BY item ORDER BY sha256(learner || '|' || event_id || '|2024'), event_id) AS r FROM ixs WHERE split = 'train') WHERE r <= 5)", "ixs"))
@@ -307,7 +306,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of every run: condition, seed, fold, n, log_loss, brier."""
     p = F.greatest(F.least("p", F.lit(1 - 1e-6)), F.lit(1e-6))
     loss = -(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p))
-    return V.pred(spark, sf_dir).groupBy("condition", "seed", "fold").agg(N.alias("n"), F.avg(loss).alias("log_loss"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"))
+    return V.pred(spark, sf_dir).groupBy("condition", "seed", "fold").agg(count_rows().alias("n"), F.avg(loss).alias("log_loss"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"))
 
 
 @query("j11_comparator_pair_join", V.sql("SELECT a.condition, a.seed, a.fold, a.n = b.n AS equal_n, round(a.log_loss - b.log_loss, 6) AS delta FROM runs a JOIN runs b ON a.seed = b.seed AND a.fold = b.fold AND b.condition = 'base' AND a.condition <> 'base'", "pred", runs=RUNS))
@@ -336,7 +335,7 @@ def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents joined by content hash; matches are counted before the join, so that copies do not multiply."""
     d = V.table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("h"))
-    n = d.where("lang = 'en'").groupBy("h").agg(N.alias("n"))
+    n = d.where("lang = 'en'").groupBy("h").agg(count_rows().alias("n"))
     return d.join(n, "h", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("matches"))
 
 
@@ -367,7 +366,7 @@ def t3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five evenly spaced items of each domain in name order."""
     by = Window.partitionBy("domain")
-    i = V.items(spark, sf_dir).withColumn("r", F.row_number().over(by.orderBy("text", "item")) - 1).withColumn("m", N.over(by))
+    i = V.items(spark, sf_dir).withColumn("r", F.row_number().over(by.orderBy("text", "item")) - 1).withColumn("m", count_rows().over(by))
     return i.where(F.array_contains(F.array(*[F.floor((F.col("m") - 1) * k / 4) for k in range(5)]), F.col("r").cast("long"))).select("domain", "item")
 
 
@@ -376,14 +375,14 @@ def t5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten documents of each language, as a hash."""
     d = V.table(spark, sf_dir, "documents").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))).where("r <= 10")
     ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")
-    return d.groupBy("lang").agg(N.alias("n"), F.sha2(ids, 256).alias("sample_hash"))
+    return d.groupBy("lang").agg(count_rows().alias("n"), F.sha2(ids, 256).alias("sample_hash"))
 
 
 @query("t6_review_budget_topk", V.sql("SELECT model, k, round(sum((rs <= k AND rt <= k)::INT) / k, 6) AS precision, round(sum(CASE WHEN rs <= k AND smoothed > edge THEN 1 / (ln(rs + 1) / ln(2)) ELSE 0 END), 6) AS dcg FROM (SELECT *, least(20, greatest(1, count(*) OVER w // 5)) AS k, quantile_cont(smoothed, 0.8) OVER w AS edge, row_number() OVER (PARTITION BY model ORDER BY score DESC, item) AS rs, row_number() OVER (PARTITION BY model ORDER BY smoothed DESC, item) AS rt FROM frame WINDOW w AS (PARTITION BY model)) GROUP BY model, k", "ixs", "scores", "items", **FRAME_PARTS))
 def t6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision and discounted gain of reviewing the hardest predicted items."""
     f = analysis_frame(spark, sf_dir)
-    cell = f.groupBy("model").agg(F.least(F.lit(20), F.greatest(F.lit(1), F.floor(N / 5))).alias("k"), F.percentile("smoothed", F.lit(0.8)).alias("edge"))
+    cell = f.groupBy("model").agg(F.least(F.lit(20), F.greatest(F.lit(1), F.floor(count_rows() / 5))).alias("k"), F.percentile("smoothed", F.lit(0.8)).alias("edge"))
     by = Window.partitionBy("model")
     ranked = f.join(cell, "model").withColumn("rs", F.row_number().over(by.orderBy(F.desc("score"), "item"))).withColumn("rt", F.row_number().over(by.orderBy(F.desc("smoothed"), "item")))
     top = F.col("rs") <= F.col("k")
@@ -420,7 +419,7 @@ def u1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("u2_coverage_intersection", V.sql("SELECT count(i.item) AS interacted, count(a.item) AS available, count(*) FILTER (WHERE i.item IS NOT NULL AND a.item IS NOT NULL) AS covered, round(count(*) FILTER (WHERE i.item IS NOT NULL AND a.item IS NOT NULL) / count(i.item), 6) AS item_coverage, round(sum(n) FILTER (WHERE a.item IS NOT NULL) / sum(n), 6) AS response_coverage FROM (SELECT item, count(*) AS n FROM ix_big GROUP BY item) i FULL JOIN (SELECT item FROM items WHERE size >= 10) a USING (item)", "ix_big", "items"))
 def u2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage of interacted items by available ones, by item and by response."""
-    i = V.ix_big(spark, sf_dir).groupBy(F.col("item").alias("i")).agg(N.alias("n"))
+    i = V.ix_big(spark, sf_dir).groupBy(F.col("item").alias("i")).agg(count_rows().alias("n"))
     a = V.items(spark, sf_dir).where("size >= 10").select(F.col("item").alias("a"))
     both = F.count_if(F.expr("i IS NOT NULL AND a IS NOT NULL"))
     return i.join(a, F.col("i") == F.col("a"), "full").agg(F.count("i").alias("interacted"), F.count("a").alias("available"), both.alias("covered"), r6(both / F.count("i")).alias("item_coverage"), r6(F.sum(F.when(F.col("a").isNotNull(), F.col("n"))) / F.sum("n")).alias("response_coverage"))
@@ -429,25 +428,25 @@ def u2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("u3_eligibility_flips", V.sql("SELECT count(*) FILTER (WHERE f AND NOT g) AS only_first, count(*) FILTER (WHERE g AND NOT f) AS only_all, count(*) FILTER (WHERE f AND g) AS common, round(count(*) FILTER (WHERE f <> g) / count(*), 6) AS flip_share FROM (SELECT coalesce(e.n, 0) >= 14 AS f, a.n >= 18 AS g FROM (SELECT item, count(*) AS n FROM ixs WHERE split = 'test' GROUP BY item) a LEFT JOIN errors e USING (item)) WHERE f OR g", "ixs", first_seen=FIRST, errors=FIRST_ERROR))
 def u3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items eligible under one response view only."""
-    every = V.ixs(spark, sf_dir).where("split = 'test'").groupBy("item").agg(N.alias("m"))
+    every = V.ixs(spark, sf_dir).where("split = 'test'").groupBy("item").agg(count_rows().alias("m"))
     both = every.join(held_out(spark, sf_dir).select("item", "n"), "item", "left").select((F.coalesce("n", F.lit(0)) >= 14).alias("f"), (F.col("m") >= 18).alias("g")).where("f OR g")
-    return both.agg(F.count_if(F.expr("f AND NOT g")).alias("only_first"), F.count_if(F.expr("g AND NOT f")).alias("only_all"), F.count_if(F.expr("f AND g")).alias("common"), r6(F.count_if(F.expr("f <> g")) / N).alias("flip_share"))
+    return both.agg(F.count_if(F.expr("f AND NOT g")).alias("only_first"), F.count_if(F.expr("g AND NOT f")).alias("only_all"), F.count_if(F.expr("f AND g")).alias("common"), r6(F.try_divide(F.count_if(F.expr("f <> g")), count_rows())).alias("flip_share"))
 
 
 @query("u4_split_disjointness", V.sql("SELECT count(*) AS learners, count(*) FILTER (WHERE k > 1) AS overlapping FROM (SELECT learner, count(DISTINCT split) AS k FROM ixs GROUP BY learner)", "ixs"))
 def u4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learners in more than one split."""
     k = V.ixs(spark, sf_dir).groupBy("learner").agg(F.countDistinct("split").alias("k"))
-    return k.agg(N.alias("learners"), F.count_if(F.col("k") > 1).alias("overlapping"))
+    return k.agg(count_rows().alias("learners"), F.count_if(F.col("k") > 1).alias("overlapping"))
 
 
 @query("u5_universe_reconciliation", V.sql("SELECT universe, count(DISTINCT item) AS items, count(DISTINCT learner) AS learners, count(*) AS n_rows FROM (SELECT 'all' AS universe, * FROM ix_big UNION ALL SELECT 'scoreable', * FROM ix_big WHERE item % 2 = 0 UNION ALL SELECT 'frequent', * FROM ix_big WHERE item IN (SELECT item FROM ix_big GROUP BY item HAVING count(*) >= 30)) GROUP BY universe", "ix_big"))
 def u5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items, learners and rows of nested universes."""
     big = V.ix_big(spark, sf_dir)
-    n = big.groupBy("item").agg(N.alias("n"))
+    n = big.groupBy("item").agg(count_rows().alias("n"))
     flags = F.array_compact(F.array(F.lit("all"), F.when(F.pmod("item", F.lit(2)) == 0, F.lit("scoreable")), F.when(F.col("n") >= 30, F.lit("frequent"))))
-    return big.join(n, "item").select("item", "learner", F.explode(flags).alias("universe")).groupBy("universe").agg(F.countDistinct("item").alias("items"), F.countDistinct("learner").alias("learners"), N.alias("n_rows"))
+    return big.join(n, "item").select("item", "learner", F.explode(flags).alias("universe")).groupBy("universe").agg(F.countDistinct("item").alias("items"), F.countDistinct("learner").alias("learners"), count_rows().alias("n_rows"))
 
 
 @query("u6_union_run_registries", V.sql("SELECT CASE condition WHEN 'base' THEN 'Standard' WHEN 'score' THEN 'Score' ELSE condition END AS protocol, kind, count(*) AS n, round(avg(log_loss), 6) AS log_loss FROM (SELECT condition, log_loss, 'odd' AS kind FROM runs WHERE seed % 2 = 1 UNION ALL SELECT condition, log_loss, NULL FROM runs WHERE seed % 2 = 0) GROUP BY 1, 2", "pred", runs=RUNS))
@@ -456,7 +455,7 @@ def u6(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = runs(spark, sf_dir)
     both = r.where("seed % 2 = 1").withColumn("kind", F.lit("odd")).unionByName(r.where("seed % 2 = 0"), allowMissingColumns=True)
     name = F.when(F.col("condition") == "base", "Standard").when(F.col("condition") == "score", "Score").otherwise(F.col("condition"))
-    return both.groupBy(name.alias("protocol"), "kind").agg(N.alias("n"), r6(F.avg("log_loss")).alias("log_loss"))
+    return both.groupBy(name.alias("protocol"), "kind").agg(count_rows().alias("n"), r6(F.avg("log_loss")).alias("log_loss"))
 
 
 @query("u7_union_dataset_tables", V.sql("SELECT 'small' AS dataset, learner, item, correct FROM ix UNION ALL SELECT 'large', learner, item, correct FROM ix_big", "ix", "ix_big"))
