@@ -21,9 +21,9 @@ def average_rank(rows: DataFrame, value: str, *cell: str, name: str) -> DataFram
 
 def pearson(rows: DataFrame, x: str, y: str, *cell: str, least: int = 5) -> DataFrame:
     """n and r per cell; r is null with fewer than ``least`` rows or a constant side."""
-    found = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("_r"), F.var_pop(x).alias("_x"), F.var_pop(y).alias("_y"))
+    found = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.covar_pop(x, y).alias("_c"), F.stddev_pop(x).alias("_x"), F.stddev_pop(y).alias("_y"))
     usable = (F.col("n") >= least) & (F.col("_x") > 0) & (F.col("_y") > 0)
-    return found.select(*cell, "n", F.when(usable, F.col("_r")).alias("r"))
+    return found.select(*cell, "n", F.when(usable, F.col("_c") / (F.col("_x") * F.col("_y"))).alias("r"))
 
 
 def spearman(rows: DataFrame, x: str, y: str, *cell: str, least: int = 5) -> DataFrame:
