@@ -25,6 +25,8 @@ FOLDS = 3
 VOCABULARY = 1000
 #: Documents of the sample that must hold a word of the vocabulary.
 SUPPORT = 5
+#: Least log-likelihood ratio (half of G squared) of a word of the vocabulary: about one chance word in ten thousand.
+LEAST_RATIO = 7.5
 THRESHOLD = 0.5
 
 
@@ -42,7 +44,7 @@ def letter_words(text: Column) -> Column:
 
 
 def _telling_words(rows: DataFrame, categories: tuple[str, ...], most: int) -> list[str]:
-    """The words with the largest log-likelihood ratio against any category."""
+    """The words with the largest log-likelihood ratio against any category, from :data:`LEAST_RATIO` on."""
     total = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
     held = rows.select(F.explode("words").alias("word"), *categories).where("word != ''").groupBy("word")
     counts = held.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories]).where(F.col("n") >= SUPPORT)
@@ -54,7 +56,8 @@ def _telling_words(rows: DataFrame, categories: tuple[str, ...], most: int) -> l
         return sum((F.when((seen > 0) & (due > 0), seen * F.log(seen / due)).otherwise(F.lit(0.0)) for seen, due in (*cells, *rest)), F.lit(0.0))
 
     best = F.greatest(*[ratio(c) for c in categories]) if len(categories) > 1 else ratio(categories[0])
-    return sorted(row.word for row in counts.orderBy(best.desc(), "word").limit(most).select("word").collect())
+    found = counts.select("word", best.alias("ratio")).where(F.col("ratio") >= LEAST_RATIO)
+    return sorted(row.word for row in found.orderBy(F.desc("ratio"), "word").limit(most).select("word").collect())
 
 
 def _vectors(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
