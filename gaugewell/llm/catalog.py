@@ -23,7 +23,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@CATALOG.query("op1_substring_dedup")
+WORDS = r"[^\x20\x09-\x0D]+"
+REMOVAL_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS ws FROM documents),
+k AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 18), lambda i: md5(array_to_string(ws[i:i + 19], ' ')))) AS key, unnest(range(1, len(ws) - 18)) AS st FROM d WHERE len(ws) >= 20),
+f AS (SELECT doc_id, st FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, st) AS r FROM k) WHERE r > 1),
+g AS (SELECT DISTINCT doc_id, st + j AS pos FROM f, (SELECT unnest(range(0, 20)) AS j)),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS t FROM w ANTI JOIN g USING (doc_id, pos) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+COMPONENTS_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS ws FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: md5_number(array_to_string(ws[i:i + 4], ' ')))) WHEN len(ws) > 0 THEN [md5_number(array_to_string(ws, ' '))] ELSE [] END AS sh FROM d),
+u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS h FROM s),
+e AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+t AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, t.b FROM r JOIN t ON r.b = t.a)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, c AS component_id FROM s JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) ON a = s.doc_id"""
+
+
+@CATALOG.query("op1_substring_dedup", REMOVAL_SQL)
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of what is left of every document once repeated 20-word windows are cut out."""
     found = remove_repeats(table(spark, sf_dir, "documents"))
@@ -37,7 +56,7 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
 
 
-@CATALOG.query("op4_jaccard_join")
+@CATALOG.query("op4_jaccard_join", COMPONENTS_SQL)
 def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document at a shingle similarity of 0.8."""
     return jaccard_components(table(spark, sf_dir, "documents"))
