@@ -1,20 +1,22 @@
 """Exact join of documents on the Jaccard similarity of their word shingles, by token-combination prefixes.
 
-A document's set holds its distinct five-word shingles. Sets are ordered rare tokens first. Two sets with a
-similarity of at least ``t`` have their first common token in both standard prefixes of
-``n - ceil(t * n) + 1`` tokens. If it is rare, the index on single rare tokens finds the pair. If it is frequent,
-no rare token is common; at most ``m = floor(n * (1 - t) / t)`` tokens of the union are not, and so its first
-``2 * m + 2`` tokens hold two common ones in a row, both frequent and neighbours in either set. Prefixes are
-extended to that length, and pairs of neighbouring frequent tokens are indexed.
-
-A token is frequent if the slot it hashes to (``SLOTS`` of them, counted over all documents) holds more than
-``FREQUENT`` times the mean; the class only steers the order, and links are the same for any classes.
-
-Plan: equal texts are settled by hash. Prefix tokens of the others are shuffled, and those of one document only
-dropped. First every document is verified against the smallest id under each of its tokens. Links make
-components; then the pairs under one token that lie in different components are verified too, which leaves out
-only pairs that are connected already. All links between components are found, and a group of near copies costs
-as many verifications as it has members.
+A document's set holds its distinct five-word shingles; ``t`` is the similarity. Two steps find all links.
+
+The sieve orders each set by (class of the token, hash) and shuffles its first ``n - ceil(t * n) + k`` tokens,
+``k = n // 5``. The first ``min(k)`` common tokens of a linked pair lie in both these prefixes, so a document that
+has fewer tokens there which any other document has too is linked with nothing. Most documents go.
+
+The join orders the tokens of the rest by their exact document frequency. Unique tokens come first and need no
+index. The first common token of a linked pair is in both standard prefixes of ``n - ceil(t * n) + 1`` tokens; if
+it is rare, the index on single rare tokens finds the pair. If it is frequent, no rare token is common; at most
+``m = floor(n * (1 - t) / t)`` tokens of the union are not, and so its first ``2 * m + 2`` tokens hold two common
+ones in a row, both frequent and neighbours in either set. Prefixes are extended to that length, and pairs of
+neighbouring frequent tokens are indexed.
+
+Equal texts are settled by hash. Every other document is verified against the one with the fewest unique tokens
+under each of its keys, if length and position allow a link; links make components, and then the pairs under one key that lie in different components are verified too,
+which leaves out only pairs that are connected already. A group of near copies costs about as many verifications
+as it has members, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -28,13 +30,21 @@ from pyspark.sql import functions as F
 
 from gaugewell.llm import words as W
 from gaugewell.llm.components import connected
+from gaugewell.llm.copies import whole_copies
 from gaugewell.llm.session import cut, keyed, named, written
 
 SHINGLE = 5
 PERCENT = 80
 SLOT_BITS = 16
 SLOTS = 1 << SLOT_BITS
+#: The sieve takes ``1 / SIEVE`` of a set beyond its standard prefix.
+SIEVE = 5
+#: Slots with more than so many times the mean are frequent; used by the sieve.
 FREQUENT = 2
+#: Tokens that more documents hold are frequent; used by the join.
+FREQUENT_DF = 256
+#: Ids of sieved documents up to which they are broadcast; past that Spark joins by shuffle.
+BROADCAST_IDS = 1_000_000
 _CLASS_SHIFT = np.uint64(61)
 HAS_WORDS = r"[^\x20\x09-\x0D]"
 
@@ -71,26 +81,20 @@ def _prefixes(classes: np.ndarray):
                 keep = np.ones(len(token), bool)
                 keep[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
                 token, owner = token[keep], owner[keep]
-                rows = block.last - block.first
-                sizes = np.bincount(owner, minlength=rows)
-                firsts = np.concatenate([[0], np.cumsum(sizes)])
-                rank = np.arange(len(token)) - firsts[owner]
-                plain = sizes - (PERCENT * sizes + 99) // 100 + 1
+                sizes = np.bincount(owner, minlength=block.last - block.first)
+                rank = np.arange(len(token)) - (np.cumsum(sizes) - sizes)[owner]
+                within = rank < (sizes - (PERCENT * sizes + 99) // 100 + np.maximum(sizes // SIEVE, 1))[owner]
                 frequent = (token >> _CLASS_SHIFT) > 0
-                single = np.flatnonzero((rank < plain[owner]) & (~frequent | (sizes[owner] == 1)))
-                # Texts whose plain prefix ends with a frequent token index neighbours in the extended one.
-                mixed = np.zeros(rows, bool)
-                mixed[sizes > 0] = frequent[(firsts[:-1] + plain - 1)[sizes > 0]]
-                extended = 2 * (sizes * (100 - PERCENT) // PERCENT) + 2
-                pair = np.flatnonzero(frequent & mixed[owner] & (rank + 1 < np.minimum(extended, sizes)[owner]))
-                keys = np.concatenate([W.mix(token[single]), W.mix(token[pair] * W.MIX_A + token[pair + 1])])
-                of = np.concatenate([owner[single], owner[pair]])
+                # Frequent tokens count as common without a shuffle.
+                hits = np.bincount(owner[within & frequent], minlength=len(sizes))
+                at = np.flatnonzero(within & ~frequent)
                 docs = ids[block.first : block.last]
-                # A row of its own, with the size negated less one, tells the size of each set.
-                keys = np.concatenate([keys, W.mix(docs.astype(np.uint64) + W.MIX_C)])
-                size = np.concatenate([sizes[of], -sizes - 1]).astype(np.int32)
-                of = np.concatenate([of, np.arange(rows)])
-                yield from W.pieces(pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(docs[of]), pa.array(size)], names=["token", "doc_id", "n"]))
+                keys = np.concatenate([token[at], W.mix(docs.astype(np.uint64) + W.MIX_C)])
+                # A row of its own tells the size of each set.
+                size = np.concatenate([np.full(len(at), -1), sizes]).astype(np.int32)
+                hits = np.concatenate([np.ones(len(at)), hits]).astype(np.int32)
+                docs = np.concatenate([docs[owner[at]], docs])
+                yield from W.pieces(pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(docs), pa.array(size), pa.array(hits)], names=["token", "doc_id", "n", "hits"]))
 
     return index
 
@@ -106,70 +110,107 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = np.asarray(batch.column(0))
         same = np.zeros(len(token) + 1, bool)
         same[0], same[1:-1] = before, token[1:] == token[:-1]
-        keep = same[:-1] | same[1:] | (np.asarray(batch.column(2)) < 0)
+        keep = same[:-1] | same[1:] | (np.asarray(batch.column(2)) >= 0)
         keep[-1] = False
         last, before = batch.slice(batch.num_rows - 1), bool(same[-2])
         yield batch.filter(pa.array(keep))
-    if last is not None and (before or last.column(2)[0].as_py() < 0):
+    if last is not None and (before or last.column(2)[0].as_py() >= 0):
         yield last
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in W.pieces(batch, 64):
-            both = pa.concat_arrays([part.column(2), part.column(3)])
-            turns = np.arange(2 * part.num_rows).reshape(2, -1).T.ravel()
-            block = next(W.blocks(both.take(pa.array(turns)), lower=True, limit=1 << 60))
+        for block in W.blocks(batch.column(1), lower=True):
             sets = W.shingle_sets(block, SHINGLE)
-            sizes = np.diff(sets.firsts).reshape(-1, 2)
-            pair = np.repeat(np.arange(part.num_rows), sizes.sum(axis=1))
-            order = np.lexsort((sets.hashes, pair))
-            found, pair = sets.hashes[order], pair[order]
-            equal = (found[1:] == found[:-1]) & (pair[1:] == pair[:-1])
-            shared = np.bincount(pair[1:][equal], minlength=part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(shared), pa.array(sizes.sum(axis=1) - shared)], names=["a", "b", "shared", "united"])
+            sizes = np.diff(sets.firsts)
+            docs = np.repeat(np.asarray(batch.column(0))[block.first : block.last], sizes)
+            rows = [pa.array(sets.hashes.view(np.int64)), pa.array(docs), pa.array(np.repeat(sizes, sizes).astype(np.int32))]
+            yield from W.pieces(pa.RecordBatch.from_arrays(rows, names=["token", "doc_id", "n"]))
 
 
-def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts reach the similarity: ``a``, ``b``, ``shared``, ``united``."""
-    texts = rows.select("doc_id", "text")
-    one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    found = both.mapInArrow(_overlaps, "a long, b long, shared long, united long")
-    return found.where((F.col("shared") * 100 >= F.col("united") * PERCENT) & (F.col("shared") > 0))
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ``sets`` (``doc_id``, ``n``, ``tokens``) reach the similarity."""
+    one = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("tokens_a"))
+    two = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b"))
+    both = pairs.join(one, "a").join(two, "b").withColumn("shared", F.size(F.array_intersect("tokens_a", "tokens_b")))
+    return both.where(F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * PERCENT).select("a", "b", "shared")
 
 
-def _alike(n: str, m: str):
-    """Whether sets of these sizes can reach the similarity."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+def _least_shared(n: str):
+    """The smallest common number of tokens that a set of ``n`` needs for a link."""
+    return F.floor((F.col(n) * PERCENT + 99) / 100)
 
 
-def equal_texts(rows: DataFrame) -> DataFrame:
-    """``doc_id`` and ``first`` of every row with words whose whole text also stands in a row with a smaller id."""
-    texts = rows.where(F.col("text").rlike(HAS_WORDS)).select("doc_id", F.unhex(F.sha2("text", 256)).alias("content"))
-    firsts = texts.groupBy("content").agg(F.min("doc_id").alias("first"))
-    return texts.join(firsts, "content").where(F.col("doc_id") > F.col("first")).select("doc_id", "first")
+def sieved(rows: DataFrame) -> DataFrame:
+    """``doc_id``, ``n`` (set size) and ``open`` (whether it may be linked) of every row."""
+    schema = "token long, doc_id long, n int, hits int"
+    tokens = rows.mapInArrow(_prefixes(token_classes(rows)), schema).repartition("token").sortWithinPartitions("token")
+    found = tokens.mapInArrow(_shared, schema).groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("hits").alias("hits"))
+    return found.select("doc_id", F.col("n").cast("long").alias("n"), (F.col("hits") >= F.greatest(F.floor(_least_shared("n") / SIEVE), F.lit(1))).alias("open"))
+
+
+def frequency_ordered(texts: DataFrame) -> DataFrame:
+    """Sets of the rows that share enough tokens for a link: ``doc_id``, ``n``, ``ranked`` (df, token) ascending."""
+    tokens = texts.mapInArrow(_tokens, "token long, doc_id long, n int")
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    sets = tokens.join(counts, "token").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
+    return sets.where(F.size("ranked") >= _least_shared("n"))
+
+
+def indexed(sets: DataFrame) -> DataFrame:
+    """The keys of every set: single rare tokens and pairs of neighbouring frequent ones.
+
+    Columns ``key``, ``doc_id``, ``n``, ``alone`` (the set's unique tokens), ``at`` (place past these), ``pair``.
+    """
+    alone, plain = F.col("n") - F.size("ranked"), F.col("n") - _least_shared("n") + 1
+    extended = F.least(F.col("n"), 2 * F.floor(F.col("n") * (100 - PERCENT) / PERCENT) + 2)
+    frame = sets.select("doc_id", "n", alone.cast("int").alias("alone"), "ranked", (plain - alone).cast("int").alias("plain"), (extended - alone).cast("int").alias("extended"))
+    frame = frame.withColumn("mixed", F.col("ranked")[F.col("plain") - 1]["df"] > FREQUENT_DF)
+    width = F.when(F.col("mixed"), F.greatest("plain", "extended")).otherwise(F.col("plain"))
+    near = frame.select("doc_id", "n", "alone", "plain", "extended", "mixed", "ranked", F.posexplode(F.slice("ranked", 1, width)).alias("at", "own"))
+    near = near.withColumn("following", F.get("ranked", F.col("at") + 1)).drop("ranked")
+    single = (F.col("at") < F.col("plain")) & ((F.col("own.df") <= FREQUENT_DF) | (F.col("n") == 1))
+    pair = F.col("mixed") & (F.col("own.df") > FREQUENT_DF) & (F.col("at") + 1 < F.col("extended"))
+    key = F.when(single, F.xxhash64("own.token")).when(pair, F.xxhash64("own.token", "following.token"))
+    return near.select(key.alias("key"), "doc_id", "n", "alone", "at", (~single).alias("pair")).where("key is not null")
+
+
+def _reachable(one: str, other: str):
+    """Whether two sets that meet at a key can reach the similarity, by length and position.
+
+    What precedes their first common key holds no common token if the key is single. If it is a pair, no two
+    common tokens in a row precede it past the unique tokens, so at most a third of the places there are common.
+    """
+    column = lambda side, name: F.col(f"{side}.{name}")
+    left = F.least(*[column(side, "n") - column(side, "alone") - column(side, "at") for side in (one, other)])
+    before = F.when(column(one, "pair"), F.floor((column(one, "at") + column(other, "at") + 1) / 3)).otherwise(F.lit(0))
+    return (left + before) * (100 + PERCENT) >= (column(one, "n") + column(other, "n")) * PERCENT
 
 
 def jaccard_links(rows: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sizes (``doc_id``, ``n``) and components of the rows that are no copies; see the module's text."""
-    tokens = rows.join(copies, "doc_id", "left_anti").mapInArrow(_prefixes(token_classes(rows)), "token long, doc_id long, n int")
-    tokens = written(tokens.repartition("token").sortWithinPartitions("token").mapInArrow(_shared, "token long, doc_id long, n int"), "prefixes")
-    sizes = tokens.where("n < 0").select("doc_id", (-F.col("n") - 1).cast("long").alias("n"))
-    groups = tokens.where("n >= 0")
-    heads = groups.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("head"))
-    stars = groups.join(heads, "token").where((F.col("doc_id") > F.col("head.doc_id")) & _alike("n", "head.n"))
-    stars = cut(stars.select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct())
-    links = cut(verified(stars, rows).select("a", "b"))
+    """Sizes (``doc_id``, ``n``) of all rows and components of the linked ones that are no copies."""
+    sizes = written(sieved(rows), "sizes")
+    wanted = cut(sizes.where("open").select("doc_id").join(copies, "doc_id", "left_anti"))
+    few = wanted.count() <= BROADCAST_IDS
+    sets = written(frequency_ordered(rows.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")), "sets")
+    groups = written(indexed(sets), "index")
+    sets = sets.select("doc_id", "n", F.col("ranked.token").alias("tokens"))
+    # The set with the fewest unique tokens is the likeliest centre of the copies under a key.
+    members = groups.select("key", F.struct("alone", "doc_id", "n", "at", "pair").alias("own"))
+    heads = members.groupBy("key").agg(F.min("own").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    stars = members.join(heads, "key").where((F.col("own.doc_id") != F.col("head.doc_id")) & _reachable("own", "head"))
+    stars = stars.select(F.least("own.doc_id", "head.doc_id").alias("a"), F.greatest("own.doc_id", "head.doc_id").alias("b"))
+    stars = cut(stars.distinct())
+    links = cut(verified(stars, sets).select("a", "b"))
     parts = connected(links)
-    labelled = groups.join(parts, "doc_id", "left").withColumn("part", F.coalesce("component_id", "doc_id")).select("token", "doc_id", "n", "part")
-    torn = labelled.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("token")
-    torn = labelled.join(torn, "token")
-    other = torn.select("token", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("part").alias("other"))
-    across = torn.join(other, "token").where((F.col("doc_id") < F.col("b")) & (F.col("part") != F.col("other")) & _alike("n", "m"))
-    across = across.select(F.col("doc_id").alias("a"), "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = cut(verified(across, rows).select("a", "b"))
-    return sizes, parts if more.isEmpty() else connected(links.unionByName(more))
+    labelled = members.join(parts, F.col("own.doc_id") == parts.doc_id, "left").select("key", "own", F.coalesce("component_id", "own.doc_id").alias("part"))
+    torn = labelled.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    torn = labelled.join(torn, "key")
+    across = torn.join(torn.select("key", F.col("own").alias("other"), F.col("part").alias("apart")), "key")
+    across = across.where((F.col("own.doc_id") < F.col("other.doc_id")) & (F.col("part") != F.col("apart")) & _reachable("own", "other"))
+    across = across.select(F.col("own.doc_id").alias("a"), F.col("other.doc_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    more = cut(verified(across, sets).select("a", "b"))
+    return sizes.select("doc_id", "n"), parts if more.isEmpty() else connected(links.unionByName(more))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,9 +224,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     and an empty table gives an empty result.
     """
     rows, given = keyed(docs, F.coalesce(F.col(text_col), F.lit("")).alias("text"), id_col=id_col)
-    copies = cut(equal_texts(rows))
+    copies = cut(whole_copies(rows.where(F.col("text").rlike(HAS_WORDS))))
     sizes, parts = jaccard_links(rows, copies)
-    heads = sizes.join(parts, "doc_id", "left").select(F.col("doc_id").alias("first"), "n", F.coalesce("component_id", "doc_id").alias("component_id"))
-    every = rows.select("doc_id").join(copies, "doc_id", "left").withColumn("first", F.coalesce("first", "doc_id"))
-    found = every.join(heads, "first").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    few = parts.count() <= BROADCAST_IDS
+    parts = parts.select(F.col("doc_id").alias("first"), "component_id")
+    every = sizes.join(copies, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("first"))
+    found = every.join(F.broadcast(parts) if few else parts, "first", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "first").alias("component_id"))
     return named(found, given, "doc_id", "component_id")
