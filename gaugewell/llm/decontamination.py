@@ -13,11 +13,13 @@ Spark SQL functions; the benchmark is broadcast only after a count of its shingl
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugewell.llm.licenses import lowered, words_of
-from gaugewell.llm.session import keyed, named
+from gaugewell.llm.session import cut, keyed, named
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -36,26 +38,18 @@ def shingle_hashes(words: Column, size: int) -> Column:
     return F.when(last >= 0, hashes).otherwise(F.array().cast("array<long>"))
 
 
-def simhash(hashes: Column) -> Column:
-    """64-bit SimHash of an array of hashes: a bit is set where more than half of them have it.
+def simhashes(rows: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` and ``print``, the 64-bit SimHash of the hashes in column ``h`` of each group.
 
-    Bit ``16 * f + j`` of a hash is counted in the field f, 16 bits wide, of the j-th of 16 long sums.
+    A bit is set where more than half of the hashes have it. Bit ``16 * f + j`` is counted in the field f, 16 bits
+    wide, of the j-th of 16 long sums, which are partial aggregates.
     """
-    zero = F.struct(*[F.lit(0).cast("long").alias(f"s{j}") for j in range(16)])
     ones = F.lit(_ONES)
-
-    def add(sums: Column, h: Column) -> Column:
-        return F.struct(*[(sums[f"s{j}"] + F.shiftrightunsigned(h, j).bitwiseAND(ones)).alias(f"s{j}") for j in range(16)])
-
-    def bits(sums: Column) -> Column:
-        short = ones * (F.lit(LONGEST_ITEM) - F.floor(F.size(hashes) / 2) - 1).cast("long")
-        found = [F.shiftleft(F.shiftrightunsigned(sums[f"s{j}"] + short, 14).bitwiseAND(ones), j) for j in range(16)]
-        whole = found[0]
-        for part in found[1:]:
-            whole = whole.bitwiseOR(part)
-        return whole
-
-    return F.aggregate(hashes, zero, add, bits)
+    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(ones)).alias(f"s{j}") for j in range(16)]
+    found = rows.groupBy(*keys).agg(F.count("h").alias("n"), *sums)
+    short = ones * (F.lit(LONGEST_ITEM) - F.floor(F.col("n") / 2) - 1).cast("long")
+    bits = [F.shiftleft(F.shiftrightunsigned(F.col(f"s{j}") + short, 14).bitwiseAND(ones), j) for j in range(16)]
+    return found.select(*keys, reduce(Column.bitwiseOR, bits).alias("print"))
 
 
 def hamming_blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
@@ -71,10 +65,16 @@ def weighted_similarity(one: Column, other: Column) -> Column:
     return both / (F.size(one) + F.size(other) - both)
 
 
+def _hashed(texts: DataFrame, by_doc: DataFrame, size: int, windows: str) -> DataFrame:
+    """The shingle hashes of the documents of ``by_doc`` beside each struct of its array ``windows``."""
+    joined = texts.select("doc_id", "text").join(by_doc, "doc_id").withColumn("words", words_of(F.col("text")))
+    return joined.select("doc_id", windows, shingle_hashes(F.col("words"), size).alias("hashes")).select("doc_id", "hashes", F.inline(windows))
+
+
 def _found(texts: DataFrame, items: DataFrame, size: int, similarity: float, radius: int) -> DataFrame:
     """Matches of the items whose shingles have ``size`` words."""
-    hashed = items.select("item_id", shingle_hashes(F.col("words"), size).alias("own")).withColumn("width", F.size("own"))
-    known = hashed.select(F.explode_outer("own").alias("shingle"), "width").distinct()
+    hashed = cut(items.select("item_id", shingle_hashes(F.col("words"), size).alias("own")).withColumn("width", F.size("own")))
+    known = hashed.select(F.explode("own").alias("shingle"), "width").distinct()
     few = known.count() <= BROADCAST_SHINGLES
     near = F.broadcast if few else lambda frame: frame
     shingled = texts.withColumn("words", words_of(F.col("text"))).select("doc_id", shingle_hashes(F.col("words"), size).alias("hashes"))
@@ -83,13 +83,16 @@ def _found(texts: DataFrame, items: DataFrame, size: int, similarity: float, rad
     windows = hits.select("doc_id", "width", F.explode(F.sequence(F.greatest(F.col("at") - F.col("width") + 1, F.lit(0)), latest)).alias("first")).distinct()
     windows = windows.groupBy("doc_id").agg(F.collect_list(F.struct("width", "first")).alias("windows"))
     # The arrays are hashed again for the few documents with windows, not carried along with every shingle.
-    formed = texts.select("doc_id", "text").join(windows, "doc_id").withColumn("words", words_of(F.col("text"))).select("doc_id", "windows", shingle_hashes(F.col("words"), size).alias("hashes"))
-    formed = formed.select("doc_id", "hashes", F.inline("windows"))
-    formed = formed.select("doc_id", "width", "first", F.slice("hashes", F.col("first") + 1, F.col("width")).alias("held")).withColumn("print", simhash(F.col("held")))
-    index = hashed.withColumn("item_print", simhash(F.col("own"))).select("item_id", "own", "width", "item_print", F.inline_outer(hamming_blocks(F.col("item_print"), radius)))
-    pairs = formed.select("doc_id", "first", "held", "width", "print", F.inline_outer(hamming_blocks(F.col("print"), radius))).join(near(index), ["width", "block", "bits"])
-    pairs = pairs.where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
-    scored = pairs.select("doc_id", "item_id", "first", (F.col("width") + size - 1).alias("n_words"), weighted_similarity(F.col("own"), F.col("held")).alias("similarity"))
+    formed = _hashed(texts, windows, size, "windows").select("doc_id", "width", "first", F.explode(F.slice("hashes", F.col("first") + 1, F.col("width"))).alias("h"))
+    prints = simhashes(formed, "doc_id", "width", "first")
+    own_prints = simhashes(hashed.select("item_id", "width", F.explode("own").alias("h")), "item_id", "width").withColumnRenamed("print", "own_print")
+    index = own_prints.select("item_id", "width", "own_print", F.inline_outer(hamming_blocks(F.col("own_print"), radius)))
+    pairs = prints.select("doc_id", "first", "width", "print", F.inline_outer(hamming_blocks(F.col("print"), radius))).join(near(index), ["width", "block", "bits"])
+    pairs = pairs.where(F.bit_count(F.col("print").bitwiseXOR(F.col("own_print"))) <= radius).select("doc_id", "first", "width", "item_id").distinct()
+    pairs = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("first", "width", "item_id")).alias("pairs"))
+    held = _hashed(texts, pairs, size, "pairs").select("doc_id", "item_id", "first", F.slice("hashes", F.col("first") + 1, F.col("width")).alias("held"))
+    scored = held.join(near(hashed), "item_id")
+    scored = scored.select("doc_id", "item_id", "first", (F.col("width") + size - 1).alias("n_words"), weighted_similarity(F.col("own"), F.col("held")).alias("similarity"))
     scored = scored.where(F.col("similarity") >= similarity)
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("first")).alias("back"), "n_words")).alias("best"))
     return best.select("doc_id", "item_id", "best.similarity", (-F.col("best.back")).cast("long").alias("first_word"), F.col("best.n_words").cast("long").alias("n_words"))
