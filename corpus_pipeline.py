@@ -18,6 +18,8 @@ from gaugewell.plans.registry import Catalog
 
 CATALOG = Catalog()
 ROW = "_row"
+#: What columns are called while an operator adds its own beside them.
+HELD = "_held_"
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -28,12 +30,22 @@ def _rows(docs: DataFrame) -> DataFrame:
     return written(docs.orderBy(F.col("doc_id").asc_nulls_first(), "text").withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
+def _held(docs: DataFrame) -> DataFrame:
+    """``docs`` with names that no operator uses."""
+    return docs.select(*[F.col(c).alias(f"{HELD}{c}") for c in docs.columns])
+
+
+def _given(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` out of ``rows``, under their own names."""
+    return rows.select(*[F.col(f"{HELD}{c}").alias(c) for c in docs.columns])
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain, fitted on the labelled ones among them, does not call toxic."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    names = docs.columns
-    scored = toxicity.score(docs, toxicity.fit_chain(docs, labels), *names)
-    return scored.where(F.col("toxic") == 0).select(*names)
+    chain = toxicity.fit_chain(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    held = _held(docs)
+    scored = toxicity.score(held, chain, *held.columns, text_col=f"{HELD}text")
+    return _given(scored.where(F.col("toxic") == 0), docs)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +65,14 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every secret in them replaced by a mark, with the length of the new text."""
-    found = secrets.scan_documents(docs, *docs.columns)
-    text = F.when(F.size("spans") > 0, secrets.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    changed = found.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], (F.size("spans") > 0).alias("_changed"))
-    length = F.when(F.col("_changed"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return changed.withColumn("n_chars", length).select(*docs.columns) if "n_chars" in docs.columns else changed.select(*docs.columns)
+    held = _held(docs)
+    found = secrets.scan_documents(held, *held.columns, text_col=f"{HELD}text").withColumn("_some", F.size("spans") > 0)
+    text = F.when(F.col("_some"), secrets.redacted(F.col(f"{HELD}text"), F.col("spans"))).otherwise(F.col(f"{HELD}text"))
+    found = found.withColumn(f"{HELD}text", text)
+    if "n_chars" in docs.columns:
+        length = F.when(F.col("_some"), F.length(f"{HELD}text").cast("long")).otherwise(F.col(f"{HELD}n_chars"))
+        found = found.withColumn(f"{HELD}n_chars", length)
+    return _given(found, docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

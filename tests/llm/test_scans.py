@@ -264,6 +264,7 @@ def test_pipeline_stages(spark):
     rows = [(9_001, base), (9_002, base + " end"), (9_003, prose(50) + " " + item), (9_004, "token = 0123456789abcdef0123 " + prose(20)), (None, prose(30)), (9_005, None), (9_005, "")]
     extra = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], source.schema)
     docs, kept = source.unionByName(extra), {}
+    docs = docs.withColumns({name: F.lit(1) for name in ("toxic", "p_toxic", "spans", "blob", "kinds", "n", "first", "component_id", "item_id", "words")})
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = docs.columns
         docs = stage(spark, docs, SF_DIR).cache()
