@@ -42,7 +42,12 @@ def held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     "ixs", "scores", first_seen=FIRST, errors=FIRST_ERROR))
 def slice_score_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank correlation of each score with held-out first-response error."""
-    frame = held_out(spark, sf_dir).where(F.col("n") >= LEAST).join(V.scores(spark, sf_dir), "item")
+    return score_agreement(spark, sf_dir)
+
+
+def score_agreement(spark: SparkSession, sf_dir: str, least: int = LEAST) -> DataFrame:
+    """The agreement over items with at least ``least`` first responses: model, n, rho."""
+    frame = held_out(spark, sf_dir).where(F.col("n") >= least).join(V.scores(spark, sf_dir), "item")
     return association.spearman(frame, "score", "smoothed", "model").withColumn("rho", r6("rho"))
 
 
