@@ -425,7 +425,7 @@ def u2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.join(a, F.col("i") == F.col("a"), "full").agg(F.count("i").alias("interacted"), F.count("a").alias("available"), both.alias("covered"), r6(both / F.count("i")).alias("item_coverage"), r6(F.sum(F.when(F.col("a").isNotNull(), F.col("n"))) / F.sum("n")).alias("response_coverage"))
 
 
-@query("u3_eligibility_flips", V.sql("SELECT count(*) FILTER (WHERE f AND NOT g) AS only_first, count(*) FILTER (WHERE g AND NOT f) AS only_all, count(*) FILTER (WHERE f AND g) AS common, round(count(*) FILTER (WHERE f <> g) / count(*), 6) AS flip_share FROM (SELECT coalesce(e.n, 0) >= 14 AS f, a.n >= 18 AS g FROM (SELECT item, count(*) AS n FROM ixs WHERE split = 'test' GROUP BY item) a LEFT JOIN errors e USING (item)) WHERE f OR g", "ixs", first_seen=FIRST, errors=FIRST_ERROR))
+@query("u3_eligibility_flips", V.sql("SELECT count(*) FILTER (WHERE f AND NOT g) AS only_first, count(*) FILTER (WHERE g AND NOT f) AS only_all, count(*) FILTER (WHERE f AND g) AS common, round(count(*) FILTER (WHERE f <> g) / nullif(count(*), 0), 6) AS flip_share FROM (SELECT coalesce(e.n, 0) >= 14 AS f, a.n >= 18 AS g FROM (SELECT item, count(*) AS n FROM ixs WHERE split = 'test' GROUP BY item) a LEFT JOIN errors e USING (item)) WHERE f OR g", "ixs", first_seen=FIRST, errors=FIRST_ERROR))
 def u3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items eligible under one response view only."""
     every = V.ixs(spark, sf_dir).where("split = 'test'").groupBy("item").agg(count_rows().alias("m"))
