@@ -18,7 +18,9 @@ from gaugewell.llm import words as W
 
 #: White space outside ASCII, in UTF-8 (fixed by Unicode).
 WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-CACHE_UNITS = 1_500_000
+CACHE_UNITS = 1_000_000
+#: Texts per call of the library, whose results take some hundred bytes a text beside the ids.
+CALL_TEXTS = 2048
 
 
 def vocabulary_path(name: str) -> str:
@@ -43,14 +45,17 @@ class Encoder:
 
     def forget(self) -> None:
         """Empty the cache."""
-        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.lengths, self.store = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.lengths, self.store = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
 
     def direct(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and their numbers, by the library alone."""
-        found = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum())), lengths
+        ids, lengths = [np.zeros(0, np.uint32)], []
+        for first in range(0, len(texts), CALL_TEXTS):
+            found = [x.ids for x in self.library.encode_batch_fast(texts[first : first + CALL_TEXTS], add_special_tokens=False)]
+            lengths += map(len, found)
+            ids.append(np.fromiter((i for own in found for i in own), np.uint32, sum(map(len, found))))
+        return np.concatenate(ids), np.array(lengths, np.int64)
 
     def units(self, block: W.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Byte starts and ends of the units of a block, and the first unit of each text."""
@@ -85,12 +90,12 @@ class Encoder:
             raw = block.data.tobytes()
             ids, lengths = self.direct([raw[s:e].decode() for s, e in zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist(), strict=True)])
             self.keys = np.insert(self.keys, spot[fresh], distinct[fresh])
-            self.at = np.insert(self.at, spot[fresh], len(self.store) + np.cumsum(lengths) - lengths)
-            self.lengths = np.insert(self.lengths, spot[fresh], lengths)
+            self.at = np.insert(self.at, spot[fresh], (len(self.store) + np.cumsum(lengths) - lengths).astype(np.uint32))
+            self.lengths = np.insert(self.lengths, spot[fresh], lengths.astype(np.uint32))
             self.store = np.concatenate([self.store, ids])
             spot = np.searchsorted(self.keys, distinct)
-        lengths = self.lengths[spot][which]
-        ids = self.store[W.ragged(self.at[spot][which], lengths)]
+        lengths = self.lengths[spot][which].astype(np.int64)
+        ids = self.store[W.ragged(self.at[spot][which].astype(np.int64), lengths)]
         ends_at = np.concatenate([[0], np.cumsum(lengths)])
         counts = np.diff(ends_at[firsts])
         if self.attached and WIDE_SPACE.search(block.data):
