@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewell.llm import words as W
+from gaugewell.llm.copies import whole_copies
 from gaugewell.llm.session import keyed, named
 
 WINDOW = 20
@@ -190,13 +191,6 @@ def _spans(gone: np.ndarray, words: W.Words, owner: np.ndarray) -> list[pa.Array
     return [W.lists(pa.array((x - base).astype(np.int32)), firsts) for x in (begins, ends)]
 
 
-def exact_copies(rows: DataFrame) -> DataFrame:
-    """``doc_id`` of every row whose whole text also stands in a row with a smaller id."""
-    texts = rows.select("doc_id", F.unhex(F.sha2("text", 256)).alias("content"))
-    firsts = texts.groupBy("content").agg(F.min("doc_id").alias("first"))
-    return texts.join(firsts, "content").where(F.col("doc_id") > F.col("first")).select("doc_id")
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cut every repeated window of :data:`WINDOW` words out of the texts of ``docs``.
 
@@ -208,7 +202,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one lose their windows. Other columns are ignored, and an empty table gives an empty result.
     """
     rows, names = keyed(docs, F.col(text_col).alias("text"), id_col=id_col)
-    copies = exact_copies(rows)
+    copies = whole_copies(rows).select("doc_id")
     places = rows.join(copies, "doc_id", "left_anti").mapInArrow(_anchors, _PLACE_DDL).repartition("key").sortWithinPartitions("key")
     anchors = places.mapInArrow(_repeated, "doc_id long, place int").groupBy("doc_id").agg(F.collect_list("place").alias("spots"))
     windows = rows.join(anchors, "doc_id").mapInArrow(_windows, _PLACE_DDL)
