@@ -6,8 +6,9 @@ template. Slots that vary are content. Elements that the page itself marks as me
 notices, adverts, forms, scripts or comments are left out whether they vary or not, since such parts often do; and
 where the page marks its article (article, main, or the matching role), that is the content, whatever repeats in it.
 
-Pages become skeletons (labels and text hashes) before they are shuffled by host and salt; statistics of chunks are
-summed by (host, slot), so that a host of any size is spread over tasks, and its template is a few rows.
+Pages become skeletons (labels and text hashes) before they are shuffled by host and salt; equal skeletons count once.
+Pages that have a slot are summed over all chunks by (host, slot), those that say a text there by (host, slot, text), so
+that a host of any size is spread over tasks, a text is held against all pages of the host, and its template is a few rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from gaugewell.llm.html_tree import BLOCK, RAW, Node, clean, matched, parse
 CHUNK = 24
 #: A host of a given size is spread over as many groups, whatever its share of all pages.
 SALTS = 64
-#: Pages of a host that must be aligned at a slot, and the share of them that must agree, for a template.
+#: Different pages of a host that must be aligned at a slot, and the share of them that must agree, for a template.
 LEAST_PAGES = 4
 CONSTANT = 0.8
 #: A block whose letters are mostly those of links is a menu.
@@ -96,7 +97,7 @@ def digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1
 
 
-def extract(source: str, template: frozenset[tuple[str, int]] = frozenset()) -> str:
+def extract(source: str, template: frozenset[tuple[int, int]] = frozenset()) -> str:
     """Main text of a page, given the (slot, text hash) pairs of its host's template."""
     found = [(block, clean("".join(block.parts))) for block in text_blocks(parse(source)) if block.parts]
     found = [(block, text) for block, text in found if text]
@@ -110,7 +111,7 @@ def extract(source: str, template: frozenset[tuple[str, int]] = frozenset()) ->
         chosen = {best} if 2 * most > sum(marked.values()) else set(marked)
         kept = [text for block, text in found if block.article is not None and id(block.article) in chosen]
     else:
-        kept = [text for block, text in found if block.linked <= LINK_SHARE * len(text) and (block.path, digest(text)) not in template]
+        kept = [text for block, text in found if block.linked <= LINK_SHARE * len(text) and (digest(block.path), digest(text)) not in template]
     return "\n\n".join(kept)
 
 
@@ -164,37 +165,42 @@ def _grown(lines: str) -> tuple[_Slot, int]:
 
 def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        flat = [_flat(parse(x)) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(x) % SALTS for x in flat], pa.int32()), pa.array(flat, pa.string())], names=["host", "salt", "tree"])
+        # Copies in one batch are dropped before the shuffle, the others where they meet.
+        found = dict.fromkeys((host, _flat(parse(x))) for host, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        hosts, flat = [host for host, _ in found], [tree for _, tree in found]
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([digest(x) % SALTS for x in flat], pa.int32()), pa.array(flat, pa.string())], names=["host", "salt", "tree"])
 
 
-def _chunk_slots(host: str, trees: list[str]) -> list[tuple[str, str, int, int, int]]:
-    """(host, slot, text, pages that say it there, pages aligned there) of one chunk."""
+def _chunk_slots(host: str, trees: list[str]) -> list[tuple[str, int, int, int]]:
+    """(host, slot, text, pages that say it there) of one chunk; with text 0, the pages aligned at the slot.
+
+    A slot is the digest of its path. A page counts once for a slot and once for a text in it.
+    """
     grown = sorted((_grown(tree) for tree in trees), key=lambda x: x[1])
     pages = [root for root, _ in grown]
     middle = pages.pop(len(pages) // 2)
-    aligned = Counter()
-    texts: dict[int, Counter] = {}
-    slots: dict[int, _Slot] = {}
+    counts: Counter = Counter()
     for page in [middle, *pages]:
-        for slot, node in matched(middle, page) if middle.label == page.label else ():
-            slots[id(slot)] = slot
-            aligned[id(slot)] += 1
-            if node.text:
-                texts.setdefault(id(slot), Counter())[node.text] += 1
-    return [(host, slots[key].path, text, n, aligned[key]) for key, counts in texts.items() for text, n in counts.most_common(1)]
+        pairs = matched(middle, page) if middle.label == page.label else ()
+        counts.update({(slot.path, text) for slot, node in pairs for text in (0, node.text)})
+    slots = {path: digest(path) for path, text in counts if not text}
+    return [(host, slots[path], text, n) for (path, text), n in counts.items()]
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("host", pa.string()), ("slot", pa.string()), ("text", pa.int64()), ("said", pa.int64()), ("aligned", pa.int64())])
+    schema = pa.schema([("host", pa.string()), ("slot", pa.int64()), ("text", pa.int64()), ("pages", pa.int64())])
     now, trees = None, []
 
     def out() -> pa.RecordBatch:
         rows = _chunk_slots(now, trees) if trees else []
-        return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, schema, strict=True)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, schema, strict=True)], schema=schema)
 
+    last = None
     for batch in batches:
         for host, tree in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if (host, tree) == last:
+                continue
+            last = host, tree
             if host != now or len(trees) == CHUNK:
                 yield out()
                 now, trees = host, []
@@ -205,13 +211,16 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def induced_templates(pages: DataFrame) -> DataFrame:
     """Template of every host: ``host`` and ``template``, an array of (slot, text) of its constant nodes.
 
-    ``pages`` has ``host`` and ``html``. Hosts of fewer than :data:`LEAST_PAGES` pages have none.
+    ``pages`` has ``host`` and ``html``. Pages of one skeleton count once; hosts of fewer than :data:`LEAST_PAGES`
+    different pages have no template.
     """
     trees = pages.mapInArrow(_skeletons, "host string, salt int, tree string")
     dealt = trees.repartition("host", "salt").sortWithinPartitions("host", "salt", "tree").select("host", "tree")
-    slots = dealt.mapInArrow(_slots, "host string, slot string, text long, said long, aligned long")
-    sums = slots.groupBy("host", "slot", "text").agg(F.sum("said").alias("said"), F.sum("aligned").alias("aligned"))
-    constant = sums.where((F.col("aligned") >= LEAST_PAGES) & (F.col("said") >= CONSTANT * F.col("aligned")))
+    slots = dealt.mapInArrow(_slots, "host string, slot long, text long, pages long")
+    sums = slots.groupBy("host", "slot", "text").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= CONSTANT * LEAST_PAGES)
+    # Of a slot with enough pages no text that fewer say can be constant.
+    aligned = sums.where((F.col("text") == 0) & (F.col("pages") >= LEAST_PAGES)).select("host", "slot", F.col("pages").alias("aligned"))
+    constant = sums.where(F.col("text") != 0).join(aligned, ["host", "slot"]).where(F.col("pages") >= CONSTANT * F.col("aligned"))
     return constant.groupBy("host").agg(F.collect_list(F.struct("slot", "text")).alias("template"))
 
 

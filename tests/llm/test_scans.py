@@ -171,6 +171,20 @@ def test_template_is_learned_where_no_article_is_marked(spark):
     assert html_extraction.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_template_is_held_against_all_pages_of_the_host(spark):
+    page = "<body><h2>Site of all</h2><div><p>{}</p><p>{}</p></div><div><b>Terms of use</b></div></body>"
+    bodies = [("Copied story", "Copied end")] * 300 + [(f"Own story {i}", f"Own end {i}" if i % 35 else "Shared passage") for i in range(700)]
+    pages = [(i, f"http://big.example/{i}", page.format(*body)) for i, body in enumerate(bodies)]
+    # Almost copies: they differ outside the story, so that each is a page of its own.
+    pages += [(2000 + i, f"http://near.example/{i}", page.format(*body) + f"<section>visit {i}</section>") for i, body in enumerate(bodies)]
+    pages += [(4000 + i, "http://alone.example/x", page.format("One", "page")) for i in range(50)]
+    found = {r.page_id: r.text for r in html_extraction.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i, body in enumerate(bodies):
+        assert found[i] == "\n\n".join(body)
+        assert found[2000 + i] == "\n\n".join([*body, f"visit {i}"])
+    assert {found[4000 + i] for i in range(50)} == {"Site of all\n\nOne\n\npage\n\nTerms of use"}
+
+
 def test_article_is_kept_whole(spark):
     page = "<body><nav>n</nav><article><header><h1>T</h1></header><p>same</p><aside>no</aside><p>x&nbsp;&lt;&#65;</p><div class='ad'>buy</div></article><p>after</p></body>"
     pages = spark.createDataFrame([(i, "http://a.example", page) for i in range(8)], "page_id long, url string, html string")
