@@ -3,8 +3,10 @@
 Pages of one host are dealt into chunks; within a chunk the trees are aligned with one of them by simple tree
 matching. A slot, the path of a node's labels, is constant where nearly all aligned pages of the host say the same:
 template. Slots that vary are content. Elements that the page itself marks as menus, headers, footers, sidebars,
-notices, adverts, forms, scripts or comments are left out whether they vary or not, since such parts often do; and
-where the page marks its article (article, main, or the matching role), that is the content, whatever repeats in it.
+notices, adverts, forms, scripts or comments are left out whether they vary or not, since such parts often do. What the
+page marks as an article is content, whatever repeats in it, and varying text beside it is not, unless there is more of
+it than of marked text: then the marks do not hold the article, and it is content too. Text that is only in a marked
+main part has to vary, and cards, articles with a block of links that stand beside other text, are left out.
 
 Pages become skeletons (labels and text hashes) before they are shuffled by host and salt; equal skeletons count once.
 Pages that have a slot are summed over all chunks by (host, slot), those that say a text there by (host, slot, text), so
@@ -49,32 +51,37 @@ def is_chrome(node: Node, in_article: bool) -> bool:
 
 def is_main(node: Node) -> bool:
     """Whether the page marks ``node`` as its article."""
-    return node.tag in ("article", "main") or node.role in ("main", "article", "articlebody")
+    return node.tag == "main" or node.role == "main" or is_exact(node)
+
+
+def is_exact(node: Node) -> bool:
+    """Whether all of ``node`` is marked as article, and not only as the part of the page that holds it."""
+    return node.tag == "article" or node.role in ("article", "articlebody")
 
 
 class Text:
-    """A block of text: the path of its slot, its words, the letters of its links, and the marked article it is in."""
+    """A block of text: the path of its slot, its words, the letters of its links, the outermost marked part it is in, and whether it is in an article."""
 
-    __slots__ = ("path", "parts", "linked", "article")
+    __slots__ = ("path", "parts", "linked", "article", "exact")
 
-    def __init__(self, path: str, article: Node | None) -> None:
-        self.path, self.parts, self.linked, self.article = path, [], 0, article
+    def __init__(self, path: str, article: Node | None, exact: bool) -> None:
+        self.path, self.parts, self.linked, self.article, self.exact = path, [], 0, article, exact
 
 
 def text_blocks(root: Node) -> list[Text]:
     """The blocks of a page outside marked chrome, in page order; an article in an article belongs to the outer one."""
-    blocks = [Text("", None)]
-    todo: list = [(root, "", None, False, True)]
+    blocks = [Text("", None, False)]
+    todo: list = [(root, "", None, False, False, True)]
     while todo:
-        node, path, article, link, opening = todo.pop()
+        node, path, article, exact, link, opening = todo.pop()
         if isinstance(node, str):
-            if blocks[-1].path != path or blocks[-1].article is not article:
-                blocks.append(Text(path, article))
+            if blocks[-1].path != path or blocks[-1].article is not article or blocks[-1].exact != exact:
+                blocks.append(Text(path, article, exact))
             blocks[-1].parts.append(node)
             blocks[-1].linked += len(node.strip()) if link else 0
             continue
         if not opening or node.tag in BLOCK and node.tag != "#page":
-            blocks.append(Text(path, article))
+            blocks.append(Text(path, article, exact))
             if not opening:
                 continue
         if node.tag == "br":
@@ -82,13 +89,15 @@ def text_blocks(root: Node) -> list[Text]:
             continue
         if is_chrome(node, article is not None):
             continue
+        held = exact
         if node.tag in BLOCK:
             inside = f"{path}/{node.label}"
-            article = article or (node if is_main(node) else None)
-            todo.append((node, path, article if not is_main(node) or article is not node else None, False, False))
+            outer, article = article, article or (node if is_main(node) else None)
+            held = exact or is_exact(node)
+            todo.append((node, path, outer, exact, False, False))
         else:
             inside = path
-        todo += [(part, inside, article, link or node.tag == "a", True) for part in reversed(node.parts)]
+        todo += [(part, inside, article, held, link or node.tag == "a", True) for part in reversed(node.parts)]
     return blocks
 
 
@@ -101,18 +110,30 @@ def extract(source: str, template: frozenset[tuple[int, int]] = frozenset()) ->
     """Main text of a page, given the (slot, text hash) pairs of its host's template."""
     found = [(block, clean("".join(block.parts))) for block in text_blocks(parse(source)) if block.parts]
     found = [(block, text) for block, text in found if text]
-    marked = Counter()
-    for block, text in found:
+    menus = [block.linked > LINK_SHARE * len(text) for block, text in found]
+    varying = [not menu and (digest(block.path), digest(text)) not in template for (block, text), menu in zip(found, menus, strict=True)]
+    marked, cards, telling = Counter(), set(), set()
+    for (block, text), menu, varies in zip(found, menus, varying, strict=True):
         if block.article is not None:
             marked[id(block.article)] += len(text)
+            if menu and is_exact(block.article):
+                cards.add(id(block.article))
+            if block.exact or varies:
+                telling.add(id(block.article))
+    chosen = set(marked) - cards
+    # An article with most of the marked text is none of the cards; where there are only cards, they are the text.
     if marked:
-        # The article with most of the marked text, or all of them when none has most.
         best, most = marked.most_common(1)[0]
-        chosen = {best} if 2 * most > sum(marked.values()) else set(marked)
-        kept = [text for block, text in found if block.article is not None and id(block.article) in chosen]
-    else:
-        kept = [text for block, text in found if block.linked <= LINK_SHARE * len(text) and (digest(block.path), digest(text)) not in template]
-    return "\n\n".join(kept)
+        if 2 * most > sum(marked.values()):
+            chosen.add(best)
+    chosen = chosen or set(marked)
+    # In a main part without article or varying text the marks alone decide.
+    inside = [id(b.article) in chosen and (b.exact or varies or id(b.article) not in telling) if b.article is not None else False for (b, _), varies in zip(found, varying, strict=True)]
+    beside = [b.article is None and varies for (b, _), varies in zip(found, varying, strict=True)]
+    letters = lambda some: sum(len(text) for (_, text), one in zip(found, some, strict=True) if one)
+    if letters(beside) > letters(inside):
+        inside = [one and id(b.article) not in cards or other for (b, _), one, other in zip(found, inside, beside, strict=True)]
+    return "\n\n".join(text for (_, text), one in zip(found, inside, strict=True) if one)
 
 
 def _flat(root: Node) -> str:

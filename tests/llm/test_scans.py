@@ -199,6 +199,24 @@ def test_given_pages(spark):
         assert found[r.page_id].text == "\n\n".join(b for b in blocks if b) and found[r.page_id].n_chars == len(found[r.page_id].text)
 
 
+MARKED = {
+    "cards": "<body><h3>Our site</h3><div class=story><p>Real story {0} told at some length here</p><p>and its long end {0}</p></div><article class=tile><h2><a href=x>Next {0}</a></h2><p>lead {0}</p></article></body>",
+    "parts": "<body><article><p>The long first part of text {0}</p></article><article><p>second {0}</p></article><p>Our site</p></body>",
+    "main": "<body><main><p>Always said on this host</p><ul><li><a href=x>link {0}</a></ul><p>Words {0}</p><article><p>Said again</p></article></main></body>",
+    "half": "<body><article><p>Short {0}</p></article><div><p>Most of the text {0} stands beside it</p></div></body>",
+}
+
+
+def test_marks_do_not_outweigh_what_varies(spark):
+    pages = [(100 * k + i, f"http://{name}.example/{i}", page.format(i)) for k, (name, page) in enumerate(MARKED.items()) for i in range(10)]
+    found = {r.page_id: r.text for r in html_extraction.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i in range(10):
+        assert found[i] == f"Real story {i} told at some length here\n\nand its long end {i}"
+        assert found[100 + i] == f"The long first part of text {i}\n\nsecond {i}"
+        assert found[200 + i] == f"Words {i}\n\nSaid again"
+        assert found[300 + i] == f"Short {i}\n\nMost of the text {i} stands beside it"
+
+
 def test_tree_matching_aligns_around_insertions():
     one, other = (parse(x).children()[0] for x in ("<div><p>a</p><ul><li>1</ul><h1>b</h1></div>", "<div><p>a</p><p>new</p><ul><li>1<li>2</ul><h1>b</h1></div>"))
     assert [a.tag for a, _ in matched(one, other)].count("li") == 1 and len(matched(one, other)) == 5
