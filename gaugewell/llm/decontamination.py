@@ -24,7 +24,7 @@ from gaugewell.llm.session import cut, keyed, named
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 15
-#: Counters of the SimHash have 14 bits: items hold fewer shingles than this.
+#: Packed counters of the SimHash have 14 bits: items of as many shingles or more are counted in a sum of their own per bit.
 LONGEST_ITEM = 1 << 14
 #: Shingles of the benchmark up to which it is broadcast; past that Spark joins by shuffle.
 BROADCAST_SHINGLES = 1_000_000
@@ -52,6 +52,15 @@ def simhashes(rows: DataFrame, *keys: str) -> DataFrame:
     return found.select(*keys, reduce(Column.bitwiseOR, bits).alias("print"))
 
 
+def long_simhashes(rows: DataFrame, *keys: str) -> DataFrame:
+    """The same as :func:`simhashes` for groups of any size, by one long sum per bit."""
+    one = F.lit(1).cast("long")
+    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(one)).alias(f"s{j}") for j in range(64)]
+    found = rows.groupBy(*keys).agg(F.count("h").alias("n"), *sums)
+    bits = [F.when(2 * F.col(f"s{j}") > F.col("n"), F.shiftleft(one, j)).otherwise(F.lit(0).cast("long")) for j in range(64)]
+    return found.select(*keys, reduce(Column.bitwiseOR, bits).alias("print"))
+
+
 def hamming_blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
     """``radius + 1`` disjoint blocks of the 64 bits, each with its number."""
     edges = [64 * i // (radius + 1) for i in range(radius + 2)]
@@ -65,14 +74,24 @@ def weighted_similarity(one: Column, other: Column) -> Column:
     return both / (F.size(one) + F.size(other) - both)
 
 
+def _grouped_similarity(held: DataFrame, items: DataFrame) -> DataFrame:
+    """:func:`weighted_similarity` of each row of ``held`` with its item, in work that grows with the length, not its square."""
+    keys = ["doc_id", "item_id", "first"]
+    found = held.select(*keys, F.size("held").alias("size"), F.explode("held").alias("h")).groupBy(*keys, "size", "h").agg(F.count("h").alias("found"))
+    own = items.select("item_id", "width", F.explode("own").alias("h")).groupBy("item_id", "width", "h").agg(F.count("h").alias("given"))
+    both = found.join(own, ["item_id", "h"]).groupBy(*keys, "size", "width").agg(F.sum(F.least("found", "given")).alias("both"))
+    return both.withColumn("similarity", F.col("both") / (F.col("size") + F.col("width") - F.col("both")))
+
+
 def _hashed(texts: DataFrame, by_doc: DataFrame, size: int, windows: str) -> DataFrame:
     """The shingle hashes of the documents of ``by_doc`` beside each struct of its array ``windows``."""
     joined = texts.select("doc_id", "text").join(by_doc, "doc_id").withColumn("words", words_of(F.col("text")))
     return joined.select("doc_id", windows, shingle_hashes(F.col("words"), size).alias("hashes")).select("doc_id", "hashes", F.inline(windows))
 
 
-def _found(texts: DataFrame, items: DataFrame, size: int, similarity: float, radius: int) -> DataFrame:
-    """Matches of the items whose shingles have ``size`` words."""
+def _found(texts: DataFrame, items: DataFrame, size: int, similarity: float, radius: int, is_long: bool = False) -> DataFrame:
+    """Matches of the items whose shingles have ``size`` words; long items are counted in grouped rows, not in arrays."""
+    prints_of = long_simhashes if is_long else simhashes
     hashed = cut(items.select("item_id", shingle_hashes(F.col("words"), size).alias("own")).withColumn("width", F.size("own")))
     known = hashed.select(F.explode("own").alias("shingle"), "width").distinct()
     few = known.count() <= BROADCAST_SHINGLES
@@ -84,15 +103,18 @@ def _found(texts: DataFrame, items: DataFrame, size: int, similarity: float, rad
     windows = windows.groupBy("doc_id").agg(F.collect_list(F.struct("width", "first")).alias("windows"))
     # The arrays are hashed again for the few documents with windows, not carried along with every shingle.
     formed = _hashed(texts, windows, size, "windows").select("doc_id", "width", "first", F.explode(F.slice("hashes", F.col("first") + 1, F.col("width"))).alias("h"))
-    prints = simhashes(formed, "doc_id", "width", "first")
-    own_prints = simhashes(hashed.select("item_id", "width", F.explode("own").alias("h")), "item_id", "width").withColumnRenamed("print", "own_print")
+    prints = prints_of(formed, "doc_id", "width", "first")
+    own_prints = prints_of(hashed.select("item_id", "width", F.explode("own").alias("h")), "item_id", "width").withColumnRenamed("print", "own_print")
     index = own_prints.select("item_id", "width", "own_print", F.inline_outer(hamming_blocks(F.col("own_print"), radius)))
     pairs = prints.select("doc_id", "first", "width", "print", F.inline_outer(hamming_blocks(F.col("print"), radius))).join(near(index), ["width", "block", "bits"])
     pairs = pairs.where(F.bit_count(F.col("print").bitwiseXOR(F.col("own_print"))) <= radius).select("doc_id", "first", "width", "item_id").distinct()
     pairs = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("first", "width", "item_id")).alias("pairs"))
     held = _hashed(texts, pairs, size, "pairs").select("doc_id", "item_id", "first", F.slice("hashes", F.col("first") + 1, F.col("width")).alias("held"))
-    scored = held.join(near(hashed), "item_id")
-    scored = scored.select("doc_id", "item_id", "first", (F.col("width") + size - 1).alias("n_words"), weighted_similarity(F.col("own"), F.col("held")).alias("similarity"))
+    if is_long:
+        similar = _grouped_similarity(held, hashed)
+    else:
+        similar = held.join(near(hashed), "item_id").withColumn("similarity", weighted_similarity(F.col("own"), F.col("held")))
+    scored = similar.select("doc_id", "item_id", "first", (F.col("width") + size - 1).alias("n_words"), "similarity")
     scored = scored.where(F.col("similarity") >= similarity)
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("first")).alias("back"), "n_words")).alias("best"))
     return best.select("doc_id", "item_id", "best.similarity", (-F.col("best.back")).cast("long").alias("first_word"), F.col("best.n_words").cast("long").alias("n_words"))
@@ -107,16 +129,16 @@ def contaminated(
     one similarity the first). Items of fewer than five words are held against windows of as many words, as one
     shingle; items and documents without words, or null, match nothing. An item may match many documents and a
     document many items. If a document id is null or occurs twice, rows count as separate documents; repeated
-    items give repeated rows only if their ids differ. Items must have fewer than 2**14 shingles.
+    items give repeated rows only if their ids differ. Items may have any length.
     """
     rows, names = keyed(docs, F.col(text_col).alias("text"), id_col=id_col)
     texts = rows.select("doc_id", lowered(F.col("text")).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), words_of(lowered(F.col(item_text_col))).alias("words")).where(F.size("words") > 0)
-    sizes = items.groupBy(F.least(F.size("words"), F.lit(SHINGLE)).alias("size")).agg(F.max(F.size("words")).alias("longest")).collect()
-    if any(row.longest >= LONGEST_ITEM for row in sizes):
-        raise ValueError(f"benchmark items must have fewer than {LONGEST_ITEM} words")
+    kinds = [F.least(F.size("words"), F.lit(SHINGLE)), F.size("words") >= LONGEST_ITEM]
+    sizes = items.groupBy(kinds[0].alias("size"), kinds[1].alias("long")).count().collect()
     found = None
-    for size in sorted(row.size for row in sizes) or [SHINGLE]:
-        part = _found(texts, items.where(F.least(F.size("words"), F.lit(SHINGLE)) == size), size, similarity, radius)
+    for size, is_long in sorted((row.size, row.long) for row in sizes) or [(SHINGLE, False)]:
+        part = items.where((kinds[0] == size) & (kinds[1] == is_long))
+        part = _found(texts, part, size, similarity, radius, is_long)
         found = part if found is None else found.unionByName(part)
     return named(found, names, "doc_id")

@@ -151,6 +151,21 @@ def test_decontamination_equals_brute_force(spark):
     assert all(abs(found[k] - expected[k]) < 1e-9 for k in found)
 
 
+def test_decontamination_by_items_of_any_length(spark):
+    r = random.Random(12)
+    item = [f"v{r.randrange(10**6)}" for _ in range(decontamination.LONGEST_ITEM + 3)]
+    short = [f"u{r.randrange(10**6)}" for _ in range(20)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id long, text string")
+    docs = frame(spark, [(1, " ".join(item)), (2, "one " + " ".join(short)), (3, " ".join(item[:9000])), (4, "a b " + " ".join(item))])
+    found = {(x.doc_id, x.item_id): (x.similarity, x.first_word, x.n_words) for x in decontamination.contaminated(docs, bench).collect()}
+    assert found == {(1, 1): (1.0, 0, len(item)), (2, 2): (1.0, 1, 20), (4, 1): (1.0, 2, len(item))}
+
+
+def test_long_and_packed_counters_agree(spark):
+    rows = spark.range(4000).select((F.col("id") % 37).alias("k"), F.xxhash64("id").alias("h"))
+    assert set(decontamination.simhashes(rows, "k").collect()) == set(decontamination.long_simhashes(rows, "k").collect())
+
+
 def test_hamming_blocks_cover_the_bits(spark):
     blocks = spark.range(1).select(decontamination.hamming_blocks(F.lit(-1)).alias("b")).first().b
     assert len(blocks) == decontamination.RADIUS + 1 and sum(int(x.bits).bit_count() for x in blocks) == 64
