@@ -18,14 +18,19 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewell.llm.html_tree import BLOCK, RAW, Node, clean, matched, parse
+from gaugewell.llm.html_tree import BLOCK, RAW, Matcher, Node, clean, parse
+from gaugewell.llm.session import cut, written
+from gaugewell.llm.spread import join_unique
 
 CHUNK = 24
+#: Template entries up to which all templates are broadcast; past that only those of hot hosts are.
+BROADCAST_ENTRIES = 1_000_000
 #: A host of a given size is spread over as many groups, whatever its share of all pages.
 SALTS = 64
 #: Different pages of a host that must be aligned at a slot, and the share of them that must agree, for a template.
@@ -59,19 +64,30 @@ def is_exact(node: Node) -> bool:
     return node.tag == "article" or node.role in ("article", "articlebody")
 
 
+def digest(text: str) -> int:
+    """A 63-bit hash of a text."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1
+
+
+@lru_cache(maxsize=100_000)
+def below(path: int, label: str) -> int:
+    """The slot of a node with ``label`` under the slot ``path``; 0 is the page. A hash, so that depth costs nothing."""
+    return digest(f"{path}/{label}")
+
+
 class Text:
     """A block of text: the path of its slot, its words, the letters of its links, the outermost marked part it is in, and whether it is in an article."""
 
     __slots__ = ("path", "parts", "linked", "article", "exact")
 
-    def __init__(self, path: str, article: Node | None, exact: bool) -> None:
+    def __init__(self, path: int, article: Node | None, exact: bool) -> None:
         self.path, self.parts, self.linked, self.article, self.exact = path, [], 0, article, exact
 
 
 def text_blocks(root: Node) -> list[Text]:
     """The blocks of a page outside marked chrome, in page order; an article in an article belongs to the outer one."""
-    blocks = [Text("", None, False)]
-    todo: list = [(root, "", None, False, False, True)]
+    blocks = [Text(0, None, False)]
+    todo: list = [(root, 0, None, False, False, True)]
     while todo:
         node, path, article, exact, link, opening = todo.pop()
         if isinstance(node, str):
@@ -91,7 +107,7 @@ def text_blocks(root: Node) -> list[Text]:
             continue
         held = exact
         if node.tag in BLOCK:
-            inside = f"{path}/{node.label}"
+            inside = below(path, node.label)
             outer, article = article, article or (node if is_main(node) else None)
             held = exact or is_exact(node)
             todo.append((node, path, outer, exact, False, False))
@@ -101,17 +117,12 @@ def text_blocks(root: Node) -> list[Text]:
     return blocks
 
 
-def digest(text: str) -> int:
-    """A 63-bit hash of a text."""
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1
-
-
 def extract(source: str, template: frozenset[tuple[int, int]] = frozenset()) -> str:
     """Main text of a page, given the (slot, text hash) pairs of its host's template."""
     found = [(block, clean("".join(block.parts))) for block in text_blocks(parse(source)) if block.parts]
     found = [(block, text) for block, text in found if text]
     menus = [block.linked > LINK_SHARE * len(text) for block, text in found]
-    varying = [not menu and (digest(block.path), digest(text)) not in template for (block, text), menu in zip(found, menus, strict=True)]
+    varying = [not menu and (block.path, digest(text)) not in template for (block, text), menu in zip(found, menus, strict=True)]
     marked, cards, telling = Counter(), set(), set()
     for (block, text), menu, varies in zip(found, menus, varying, strict=True):
         if block.article is not None:
@@ -137,22 +148,28 @@ def extract(source: str, template: frozenset[tuple[int, int]] = frozenset()) ->
 
 
 def _flat(root: Node) -> str:
-    """A tree as lines ``depth label hash``, for the shuffle; inline elements are part of the block around them."""
+    """A tree as lines ``depth label hashes``, for the shuffle; a block has one hash for each run of its own text.
+
+    Inline elements are part of the block around them, and runs end where :func:`text_blocks` ends a block.
+    """
     lines, todo = [], [(root, 0)]
     while todo:
         node, depth = todo.pop()
-        own, inner, walk = [], [], list(reversed(node.parts))
+        runs, inner, walk = [[]], [], list(reversed(node.parts))
         while walk:
             part = walk.pop()
             if isinstance(part, str):
-                own.append(part)
+                runs[-1].append(part)
             elif part.tag in BLOCK:
+                runs.append([])
                 if part.tag != "head":
                     inner.append(part)
-            elif part.tag not in RAW:
+            elif part.tag == "br":
+                runs[-1].append(" ")
+            elif part.tag not in CHROME_TAGS:
                 walk += reversed(part.parts)
-        text = clean("".join(own))
-        lines.append(f"{depth} {node.label} {digest(text) if text else 0}")
+        texts = [text for text in (clean("".join(run)) for run in runs) if text]
+        lines.append(f"{depth} {node.label} {','.join(str(digest(text)) for text in texts)}")
         todo += [(part, depth + 1) for part in reversed(inner)]
     return "\n".join(lines)
 
@@ -160,10 +177,10 @@ def _flat(root: Node) -> str:
 class _Slot(Node):
     """A node of a skeleton."""
 
-    __slots__ = ("text", "path", "name")
+    __slots__ = ("texts", "path", "name")
 
-    def __init__(self, name: str, text: int, path: str) -> None:
-        self.name, self.text, self.path, self.parts = name, text, path, []
+    def __init__(self, name: str, texts: list[int], path: int) -> None:
+        self.name, self.texts, self.path, self.parts = name, texts, path, []
 
     @property
     def label(self) -> str:
@@ -174,9 +191,9 @@ def _grown(lines: str) -> tuple[_Slot, int]:
     stack: list[_Slot] = []
     count = 0
     for line in lines.split("\n"):
-        depth, name, text = line.split(" ")
+        depth, name, texts = line.split(" ")
         del stack[int(depth) :]
-        node = _Slot(name, int(text), f"{stack[-1].path}/{name}" if len(stack) > 1 else (f"/{name}" if stack else ""))
+        node = _Slot(name, [int(x) for x in texts.split(",") if x], below(stack[-1].path, name) if stack else 0)
         if stack:
             stack[-1].parts.append(node)
         stack.append(node)
@@ -195,17 +212,16 @@ def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _chunk_slots(host: str, trees: list[str]) -> list[tuple[str, int, int, int]]:
     """(host, slot, text, pages that say it there) of one chunk; with text 0, the pages aligned at the slot.
 
-    A slot is the digest of its path. A page counts once for a slot and once for a text in it.
+    A page counts once for a slot and once for a text in it.
     """
     grown = sorted((_grown(tree) for tree in trees), key=lambda x: x[1])
     pages = [root for root, _ in grown]
     middle = pages.pop(len(pages) // 2)
+    matcher = Matcher([middle, *pages])
     counts: Counter = Counter()
     for page in [middle, *pages]:
-        pairs = matched(middle, page) if middle.label == page.label else ()
-        counts.update({(slot.path, text) for slot, node in pairs for text in (0, node.text)})
-    slots = {path: digest(path) for path, text in counts if not text}
-    return [(host, slots[path], text, n) for (path, text), n in counts.items()]
+        counts.update({(slot.path, text) for slot, node in matcher.matched(middle, page) for text in (0, *node.texts)})
+    return [(host, path, text, n) for (path, text), n in counts.items()]
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +254,8 @@ def induced_templates(pages: DataFrame) -> DataFrame:
     trees = pages.mapInArrow(_skeletons, "host string, salt int, tree string")
     dealt = trees.repartition("host", "salt").sortWithinPartitions("host", "salt", "tree").select("host", "tree")
     slots = dealt.mapInArrow(_slots, "host string, slot long, text long, pages long")
-    sums = slots.groupBy("host", "slot", "text").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= CONSTANT * LEAST_PAGES)
+    # Read twice below: written once, so that trees are aligned once.
+    sums = written(slots.groupBy("host", "slot", "text").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= CONSTANT * LEAST_PAGES), "slots")
     # Of a slot with enough pages no text that fewer say can be constant.
     aligned = sums.where((F.col("text") == 0) & (F.col("pages") >= LEAST_PAGES)).select("host", "slot", F.col("pages").alias("aligned"))
     constant = sums.where(F.col("text") != 0).join(aligned, ["host", "slot"]).where(F.col("pages") >= CONSTANT * F.col("aligned"))
@@ -267,5 +284,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)", 1))
     rows = pages.select(host.alias("host"), "page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    with_template = rows.join(induced_templates(rows.select("host", "html")), "host", "left").select("host", "page_id", "url", "html", "template")
-    return with_template.mapInArrow(_extracted, "page_id long, url string, text string")
+    templates = cut(induced_templates(rows.select("host", "html")))
+    few = (templates.agg(F.sum(F.size("template"))).first()[0] or 0) <= BROADCAST_ENTRIES
+    met = join_unique(rows, templates, "host", "left", few).select("host", "page_id", "url", "html", "template")
+    return met.mapInArrow(_extracted, "page_id long, url string, text string")

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
+
+import numpy as np
 
 #: Names fixed by the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,6 +54,12 @@ def parse(source: str) -> Node:
     """The tree of a page. End tags that are missing, crossed or left over are put right; nothing is rejected."""
     root = Node("#page")
     stack, at, lower = [root], 0, None
+    opened: Counter = Counter()
+
+    def close_from(depth: int) -> None:
+        opened.subtract(x.tag for x in stack[depth:])
+        del stack[depth:]
+
     for found in TOKEN.finditer(source):
         if found.start() < at:
             continue
@@ -61,17 +71,18 @@ def parse(source: str) -> Node:
             continue
         tag = tag.lower()
         if found.group(1) or found.group(4):
-            depth = len(stack) - 1
+            # An end tag without a start costs nothing, however deep the page is.
+            depth = len(stack) - 1 if opened[tag] else 0
             while depth and stack[depth].tag != tag and not (tag not in BLOCK and stack[depth].tag in BLOCK):
                 depth -= 1
             if depth and stack[depth].tag == tag:
-                del stack[depth:]
+                close_from(depth)
             continue
         if tag in BLOCK:
             close, limits = CLOSES.get(tag, (frozenset(("p",)), frozenset(("article", "div", "section", "td", "th", "li", "body", "table", "button"))))
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag in close:
-                    del stack[depth:]
+                    close_from(depth)
                     break
                 if stack[depth].tag in limits:
                     break
@@ -85,6 +96,7 @@ def parse(source: str) -> Node:
             close = lower.find(">", end) if end >= 0 else -1
             at = close + 1 if close >= 0 else len(source)
             continue
+        opened[tag] += 1
         stack.append(node)
     if at < len(source):
         stack[-1].parts.append(source[at:])
@@ -96,50 +108,145 @@ def clean(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
-def matched(one: Node, other: Node, most_cells: int = 10_000) -> list[tuple[Node, Node]]:
-    """Pairs of nodes aligned by simple tree matching, from two roots with one label.
+def structures(roots: Iterable[Node]) -> dict[int, int]:
+    """The number of each node's structure, by its ``id``: equal for nodes whose subtrees have equal labels throughout."""
+    known: dict[tuple, int] = {}
+    number: dict[int, int] = {}
+    for root in roots:
+        todo = [(root, False)]
+        while todo:
+            node, ready = todo.pop()
+            inner = node.children()
+            if ready or not inner:
+                key = (node.label, *[number[id(x)] for x in inner])
+                number[id(node)] = known.setdefault(key, len(known))
+            else:
+                todo.append((node, True))
+                todo += [(x, False) for x in inner]
+    return number
+
+
+class Matcher:
+    """Simple tree matching: children are aligned in order, so that the matched subtrees hold as many nodes as possible.
 
-    Children are aligned in order, so that the matched subtrees hold as many nodes as possible. Where two lists of
-    children have more than ``most_cells`` combinations, they are aligned by label and place instead.
+    Subtrees of one structure are weighed once, whatever their number, and equal structures match whole. Lists of
+    children are aligned by dynamic programming over numpy rows; long ones are halved until the table is small, which
+    gives the same best weight in memory that grows with the list. Nothing recurses.
     """
-    pairs, todo, sizes = [], [(one, other)], {}
 
-    def weight(a: Node, b: Node) -> int:
-        if a.label != b.label:
+    #: Cells of a table that is kept whole; longer lists are halved first.
+    WHOLE = 1 << 20
+
+    def __init__(self, roots: list[Node]) -> None:
+        self.number = structures(roots)
+        self.label: dict[int, str] = {}
+        self.inner: dict[int, list[int]] = {}
+        self.size: dict[int, int] = {}
+        self.weights: dict[tuple[int, int], int] = {}
+        for root in roots:
+            todo, order = [root], []
+            while todo:
+                node = todo.pop()
+                own = self.number[id(node)]
+                if own not in self.label:
+                    self.label[own] = node.label
+                    self.inner[own] = [self.number[id(x)] for x in node.children()]
+                    order.append(own)
+                    todo += node.children()
+            # Structures are numbered after those they hold.
+            for own in sorted(order):
+                self.size[own] = 1 + sum(self.size[x] for x in self.inner[own])
+
+    def _simple(self, a: int, b: int) -> int | None:
+        """The weight of two structures where it needs no table."""
+        if a == b:
+            return self.size[a]
+        if self.label[a] != self.label[b]:
             return 0
-        left, right = a.children(), b.children()
-        if not left or not right:
+        if not self.inner[a] or not self.inner[b]:
             return 1
-        key = (id(a), id(b))
-        if key not in sizes:
-            sizes[key] = 1 + table(left, right)[-1][-1] if len(left) * len(right) <= most_cells else 1
-        return sizes[key]
-
-    def table(left: list[Node], right: list[Node]) -> list[list[int]]:
-        rows = [[0] * (len(right) + 1)]
+        return self.weights.get((a, b))
+
+    def weight(self, a: int, b: int) -> int:
+        """How many nodes of two structures can be matched."""
+        todo = [(a, b)]
+        while todo:
+            one, other = todo[-1]
+            if self._simple(one, other) is not None:
+                todo.pop()
+                continue
+            lacking = [(x, y) for x in set(self.inner[one]) for y in set(self.inner[other]) if self._simple(x, y) is None]
+            if lacking:
+                todo += lacking
+                continue
+            self.weights[one, other] = 1 + int(self._last_row(self.inner[one], self.inner[other])[-1])
+            todo.pop()
+        return self._simple(a, b)
+
+    def _rows(self, left: list[int], right: list[int]) -> Iterator[np.ndarray]:
+        """The rows of the table of best weights."""
+        row = np.zeros(len(right) + 1, np.int64)
+        yield row
+        kinds, which = np.unique(np.array(right, np.int64), return_inverse=True)
+        gains: dict[int, np.ndarray] = {}
         for a in left:
-            above, row = rows[-1], [0]
-            for j, b in enumerate(right):
-                best = max(above[j + 1], row[j])
-                got = weight(a, b)
-                row.append(max(best, above[j] + got) if got else best)
-            rows.append(row)
-        return rows
-
-    while todo:
-        a, b = todo.pop()
-        pairs.append((a, b))
-        left, right = a.children(), b.children()
-        if len(left) * len(right) > most_cells:
-            todo += [(x, y) for x, y in zip(left, right, strict=False) if x.label == y.label]
-            continue
-        rows, i, j = table(left, right), len(left), len(right)
-        while i and j:
-            if rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            elif rows[i][j] == rows[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                todo.append((left[i], right[j]))
-    return pairs
+            if a not in gains:
+                gains[a] = np.array([self.weight(a, int(b)) for b in kinds], np.int64)[which]
+            above, row = row, np.zeros_like(row)
+            np.maximum.accumulate(np.maximum(above[1:], above[:-1] + gains[a]), out=row[1:])
+            yield row
+
+    def _last_row(self, left: list[int], right: list[int]) -> np.ndarray:
+        for row in self._rows(left, right):  # noqa: B007
+            pass
+        return row
+
+    def aligned(self, left: list[int], right: list[int]) -> list[tuple[int, int]]:
+        """Places of the children that a best alignment matches."""
+        pairs, todo = [], [(0, len(left), 0, len(right))]
+        while todo:
+            i, last, j, end = todo.pop()
+            # Equal structures at either end are matched by some best alignment.
+            while i < last and j < end and left[i] == right[j]:
+                pairs.append((i, j))
+                i, j = i + 1, j + 1
+            while i < last and j < end and left[last - 1] == right[end - 1]:
+                last, end = last - 1, end - 1
+                pairs.append((last, end))
+            if i == last or j == end:
+                continue
+            if (last - i + 1) * (end - j + 1) > self.WHOLE and last - i > 1:
+                half = (i + last) // 2
+                ahead = self._last_row(left[i:half], right[j:end])
+                behind = self._last_row(left[half:last][::-1], right[j:end][::-1])[::-1]
+                at = j + int(np.argmax(ahead + behind))
+                todo += [(i, half, j, at), (half, last, at, end)]
+                continue
+            rows = list(self._rows(left[i:last], right[j:end]))
+            x, y = last - i, end - j
+            while x and y:
+                if rows[x][y] == rows[x - 1][y]:
+                    x -= 1
+                elif rows[x][y] == rows[x][y - 1]:
+                    y -= 1
+                else:
+                    x, y = x - 1, y - 1
+                    pairs.append((i + x, j + y))
+        return pairs
+
+    def matched(self, one: Node, other: Node) -> list[tuple[Node, Node]]:
+        """Pairs of nodes aligned from two roots with one label."""
+        pairs, todo = [], [(one, other)]
+        while todo:
+            a, b = todo.pop()
+            pairs.append((a, b))
+            left, right = a.children(), b.children()
+            if left and right:
+                places = self.aligned([self.number[id(x)] for x in left], [self.number[id(x)] for x in right])
+                todo += [(left[i], right[j]) for i, j in places]
+        return pairs
+
+
+def matched(one: Node, other: Node) -> list[tuple[Node, Node]]:
+    """Pairs of nodes aligned by simple tree matching, from two roots with one label."""
+    return Matcher([one, other]).matched(one, other)
