@@ -6,6 +6,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -15,10 +16,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gaugewell.llm import decontamination, html_extraction, licenses, packing, secrets, token_files, tokens, toxicity
+from gaugewell.llm import decontamination, html_extraction, licenses, packing, secrets, spread, token_files, tokens, toxicity
 from gaugewell.llm import words as W
 from gaugewell.llm.catalog import CATALOG
-from gaugewell.llm.html_tree import matched, parse
+from gaugewell.llm.html_tree import Matcher, matched, parse
 from tests.oracle import connect, same
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -52,7 +53,7 @@ def base_spans(text: str) -> list[str]:
 
 def test_base_spans_and_redaction(spark):
     rows = frame(spark, list(enumerate(TEXTS)))
-    found = {r.doc_id: r for r in secrets.scan_documents(rows, "doc_id", "text").withColumn("clean", secrets.redacted(F.col("text"), F.col("spans"))).collect()}
+    found = {r.doc_id: r for r in secrets.redact_documents(rows, "doc_id", "text").collect()}
     for i, text in enumerate(TEXTS):
         assert [f"{s.kind}:{s.start}:{s.end}" for s in found[i].spans if s["rank"] < 3] == base_spans(text or "")
         for s in found[i].spans:
@@ -79,7 +80,7 @@ def test_keys_are_redacted_whole(spark):
         f"a xoxb-{'aZ-9' * 200}.": "a [SECRET].",
     }
     rows = frame(spark, list(enumerate(texts)))
-    found = {x.doc_id: x.clean for x in secrets.scan_documents(rows, "doc_id", "text").withColumn("clean", secrets.redacted(F.col("text"), F.col("spans"))).collect()}
+    found = {x.doc_id: x.clean for x in secrets.redact_documents(rows, "doc_id").collect()}
     short = body.rsplit("\n", 1)[1]
     for i, (text, clean) in enumerate(texts.items()):
         if i == 3:
@@ -91,15 +92,49 @@ def test_keys_are_redacted_whole(spark):
 def test_ledger_scans_only_what_is_new(spark):
     rows = frame(spark, [(1, TEXTS[0]), (2, TEXTS[0]), (3, TEXTS[2])])
     found, pairs = secrets.scan_new(rows)
-    assert found.count() == 2 and pairs.count() == 2 * len(secrets.RULES)
+    assert found.select("blob").distinct().count() == 2 and pairs.select(F.explode("pairs")).count() == 2 * len(secrets.RULES)
     again, none = secrets.scan_new(rows, pairs)
     assert again.count() == 0 and none.count() == 0
     newer = tuple(r._replace(version=2) if r.kind == "hex" else r for r in secrets.RULES)
     fresh, some = secrets.scan_new(rows.unionByName(frame(spark, [(4, TEXTS[3])])), pairs, newer)
-    assert some.count() == 2 + len(secrets.RULES)
-    assert sorted(len(r.spans) for r in fresh.collect()) == [0, 1, 2]  # of the old blobs only the new rule's
-    paths = secrets.findings_of_paths(rows, found, "doc_id").collect()
-    assert {r.doc_id: len(r.spans) for r in paths} == {1: 3, 2: 3, 3: 1}
+    assert some.select(F.explode("pairs")).count() == 2 + len(secrets.RULES)
+    assert Counter(r.rule for r in fresh.collect()) == {"hex": 2, "assign": 1}  # of the old blobs only the new rule's
+
+
+def test_query_reads_and_appends_a_lasting_ledger(spark, tmp_path):
+    query, folder = CATALOG.queries["op5_secret_scans"], str(tmp_path / "ledger")
+    expected = sorted(query(spark, SF_DIR).collect())
+    spark.conf.set(secrets.LEDGER_SETTING, folder)
+    try:
+        assert sorted(query(spark, SF_DIR).collect()) == expected
+        pairs, findings = secrets.read_ledger(spark, folder)
+        sizes = pairs.count(), findings.count()
+        assert sizes[0] > 0 and sorted(query(spark, SF_DIR).collect()) == expected
+        assert (pairs.sparkSession.read.parquet(f"{folder}/pairs").count(), spark.read.parquet(f"{folder}/findings").count()) == sizes
+        # Findings whose pairs were not appended any more are found again, and count once.
+        again = spark.read.parquet(f"{folder}/findings")
+        again.write.mode("append").parquet(f"{folder}/findings")
+        assert sorted(query(spark, SF_DIR).collect()) == expected
+    finally:
+        spark.conf.unset(secrets.LEDGER_SETTING)
+
+
+def test_many_secrets_in_one_text(spark):
+    n = 200_000
+    text = " ".join(f"{i:016x}" for i in range(n))
+    began = time.monotonic()
+    found = secrets.redact_documents(frame(spark, [(1, text), (2, text), (3, "none")]), "doc_id").select("doc_id", F.size("spans").alias("n"), "clean").collect()
+    assert time.monotonic() - began < 60
+    assert {r.doc_id: (r.n, r.clean) for r in found} == {1: (n, " ".join(["[SECRET]"] * n)), 2: (n, " ".join(["[SECRET]"] * n)), 3: (0, "none")}
+
+
+def test_secrets_past_the_broadcast(spark, monkeypatch):
+    rows = frame(spark, [(i, TEXTS[i % len(TEXTS)]) for i in range(60)])
+    expected = sorted(secrets.redact_documents(rows, "doc_id").collect())
+    monkeypatch.setattr(secrets, "BROADCAST_BLOBS", 0)
+    monkeypatch.setattr(secrets, "BROADCAST_SPANS", 0)
+    monkeypatch.setattr(spread, "HOT", 9)
+    assert sorted(secrets.redact_documents(rows, "doc_id").collect()) == expected and len(expected) == 60
 
 
 def test_scans_of_nothing(spark):
@@ -240,6 +275,79 @@ def test_given_pages(spark):
         assert found[r.page_id].text == "\n\n".join(b for b in blocks if b) and found[r.page_id].n_chars == len(found[r.page_id].text)
 
 
+def test_pages_without_marks_by_their_template(spark):
+    """The given pages, their articles unmarked and set between blocks that a host repeats, which nothing marks."""
+    given = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    hosts = Counter(r.url.split("/")[2] for r in given)
+    pages, texts = [], {}
+    for r in given:
+        host = r.url.split("/")[2]
+        if hosts[host] < 6:
+            continue
+        article = re.search(r"<article>(.*?)</article>", r.html, re.S).group(1)
+        blocks = [" ".join(html.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:h1|p)>", article)]
+        texts[r.page_id] = "\n\n".join(b for b in blocks if b)
+        plain = r.html.replace("<article>", f"<div><p>All of {host}<br>in one place</p>Browse<p>by subject</p></div><div>").replace("</article>", "</div><div>Terms of use</div>")
+        pages.append((r.page_id, r.url, plain))
+    frame_of = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html_extraction.extract_pages(frame_of).collect()}
+    without = {page: html_extraction.extract(source) for page, _, source in pages}
+    assert len(texts) > 100 and np.mean([found[i] == t for i, t in texts.items()]) >= 0.95
+    assert all(without[i] != t for i, t in texts.items())
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    page = "<body><div>Our site</div><div><p>Story {0}</p><p>End {0}</p></div></body>"
+    pages = [(i, f"http://c.example/{i}", page.format(min(i, 60))) for i in range(66)]
+    found = {r.page_id: r.text for r in html_extraction.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert found == {i: f"Story {min(i, 60)}\n\nEnd {min(i, 60)}" for i in range(66)}
+
+
+def test_deep_and_wide_pages(spark):
+    nested = "<body>" + "<div>" * 5000 + "deep {0}" + "</div>" * 5000 + "<p>foot</p></body>"
+    lists = "<body>" + "".join("<ul>" + "<li><p>x</p></li>" * (n % 100 + 1) + "</ul>" for n in range(100)) + "<p>tail {0}</p></body>"
+    wide = "<body>" + "<p>a</p><h2>b</h2>" * 4000 + "<p>tail {0}</p></body>"
+    pages = [(100 * k + i, f"http://{k}.example/{i}", source.format(i).replace("<div>", "<div><p>more</p>", i)) for k, source in enumerate((nested, lists, wide)) for i in range(6)]
+    found = {r.page_id: r.text for r in html_extraction.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert found[i].endswith(f"deep {i}")
+        assert found[100 + i] == found[200 + i] == f"tail {i}"
+
+
+def test_templates_past_the_broadcast(spark, monkeypatch):
+    pages = [(100 * k + i, f"http://h{k}.example/{i}", PAGE.format(i)) for k in range(3) for i in range(8 + 30 * k)]
+    pages = spark.createDataFrame(pages, "page_id long, url string, html string")
+    expected = sorted(html_extraction.extract_pages(pages).collect())
+    monkeypatch.setattr(html_extraction, "BROADCAST_ENTRIES", 0)
+    monkeypatch.setattr(spread, "HOT", 2)
+    assert sorted(html_extraction.extract_pages(pages).collect()) == expected and len(expected) == 114
+
+
+def test_matching_equals_the_plain_recurrence():
+    r = random.Random(8)
+
+    def tree(depth: int) -> str:
+        tag = r.choice(("div", "section", "ul"))
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(r.randrange(4) if depth else 0)) + f"</{tag}>"
+
+    def weight(a, b) -> int:
+        if a.label != b.label:
+            return 0
+        left, right = a.children(), b.children()
+        rows = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+        for i, x in enumerate(left, 1):
+            for j, y in enumerate(right, 1):
+                rows[i][j] = max(rows[i - 1][j], rows[i][j - 1], rows[i - 1][j - 1] + weight(x, y))
+        return 1 + rows[-1][-1]
+
+    for whole in (1 << 20, 2):
+        for _ in range(60):
+            one, other = (parse(f"<main>{''.join(tree(3) for _ in range(r.randrange(7)))}</main>").children()[0] for _ in range(2))
+            matcher = Matcher([one, other])
+            matcher.WHOLE = whole
+            assert len(matcher.matched(one, other)) == weight(one, other)
+
+
 MARKED = {
     "cards": "<body><h3>Our site</h3><div class=story><p>Real story {0} told at some length here</p><p>and its long end {0}</p></div><article class=tile><h2><a href=x>Next {0}</a></h2><p>lead {0}</p></article></body>",
     "parts": "<body><article><p>The long first part of text {0}</p></article><article><p>second {0}</p></article><p>Our site</p></body>",
