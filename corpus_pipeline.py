@@ -66,9 +66,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every secret in them replaced by a mark, with the length of the new text."""
     held = _held(docs)
-    found = secrets.scan_documents(held, *held.columns, text_col=f"{HELD}text").withColumn("_some", F.size("spans") > 0)
-    text = F.when(F.col("_some"), secrets.redacted(F.col(f"{HELD}text"), F.col("spans"))).otherwise(F.col(f"{HELD}text"))
-    found = found.withColumn(f"{HELD}text", text)
+    found = secrets.redact_documents(held, *held.columns, text_col=f"{HELD}text").withColumn("_some", F.size("spans") > 0)
+    found = found.withColumn(f"{HELD}text", F.col("clean"))
     if "n_chars" in docs.columns:
         length = F.when(F.col("_some"), F.length(f"{HELD}text").cast("long")).otherwise(F.col(f"{HELD}n_chars"))
         found = found.withColumn(f"{HELD}n_chars", length)
