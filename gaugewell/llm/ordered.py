@@ -48,4 +48,4 @@ def descending_with_next(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
         return pd.Series([[x, leads[i]] if i in leads else [x] for x, i in zip(own.tolist(), ids.tolist(), strict=True)])
 
     dealt = rows.select("*", F.posexplode(places(F.col(id_col))).alias("ahead", "id_range"))
-    return dealt.repartition(shuffle_width(rows.sparkSession), "id_range").sortWithinPartitions("id_range", "ahead", F.desc(id_col))
+    return dealt.repartitionById(shuffle_width(rows.sparkSession), "id_range").sortWithinPartitions("id_range", "ahead", F.desc(id_col))

@@ -6,8 +6,9 @@ each, the first lowest. A file row holds the ids of a run of documents in ascend
 
 ``start`` (ids before the row in the whole corpus), ``doc_ids``, ``counts`` (ids of each), ``control``, ``data``.
 
-Rows lie in Parquet in the shared folder, so that any executor can read them; ``ranks`` beside them maps ranks to
-ids. Decoding looks lengths up by control byte and gathers the bytes in numpy. Texts move once, by id range; what
+Rows lie in Parquet in the shared folder, so that any executor can read them: one file per id range, in order of
+their names, as the rows in each file are, so that reading file after file gives the ids of the corpus in ascending
+order of documents. ``ranks`` beside them maps ranks to ids. Decoding looks lengths up by control byte and gathers the bytes in numpy. Texts move once, by id range; what
 passes through the driver is the ranges' bounds and one count per vocabulary entry.
 """
 
@@ -111,7 +112,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49
     """
     spark = docs.sparkSession
     rows, names = keyed(docs, F.col(text_col).alias("text"), id_col=id_col)
-    dealt = rows.select(range_of(range_bounds(rows)).alias("id_range"), "doc_id", "text").repartition(shuffle_width(spark), "id_range")
+    dealt = rows.select(range_of(range_bounds(rows)).alias("id_range"), "doc_id", "text").repartitionById(shuffle_width(spark), "id_range")
     schema = "id_range int, doc_ids array<long>, counts array<int>, ids binary, totals array<long>"
     parts = f"{path}/encoded"
     dealt.sortWithinPartitions("id_range", "doc_id").mapInArrow(_encoded(vocabulary, end), schema).write.option("compression", "zstd").parquet(parts)
@@ -132,7 +133,9 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49
     places = places.select("first", (F.col("before") + inside).alias("start"))
     # One small row per block: its size is checked, and past it Spark joins by shuffle.
     place_of = F.broadcast(places) if places.count() <= 100_000 else places
-    placed = some.join(place_of, "first").select("start", "doc_ids", "counts", "ids")
+    placed = some.join(place_of, "first").select("id_range", "start", "doc_ids", "counts", "ids")
+    # Ranges ascend with the ids and files with the partitions, so one file per range keeps the order of ids.
+    placed = placed.repartitionById(shuffle_width(spark), "id_range").sortWithinPartitions("start").drop("id_range")
     schema = "start long, doc_ids array<long>, counts array<int>, control binary, data binary"
     placed.mapInArrow(_packed(rank_of), schema).write.option("compression", "zstd").parquet(f"{path}/blocks")
     _remove(spark, parts)
