@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewell.llm.session import cut
+from gaugewell.llm.spread import join_unique
 
 #: Repeated texts (a hash and an id each) up to which they are broadcast; past that Spark joins by shuffle.
 BROADCAST_TEXTS = 500_000
@@ -21,4 +22,4 @@ def whole_copies(rows: DataFrame) -> DataFrame:
     repeated = texts.groupBy("content").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     repeated = cut(repeated.select("content", "first"))
     few = repeated.count() <= BROADCAST_TEXTS
-    return texts.join(F.broadcast(repeated) if few else repeated, "content").where(F.col("doc_id") > F.col("first")).select("doc_id", "first")
+    return join_unique(texts, repeated, "content", few=few).where(F.col("doc_id") > F.col("first")).select("doc_id", "first")

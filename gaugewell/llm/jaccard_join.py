@@ -13,10 +13,8 @@ it is rare, the index on single rare tokens finds the pair. If it is frequent, n
 ones in a row, both frequent and neighbours in either set. Prefixes are extended to that length, and pairs of
 neighbouring frequent tokens are indexed.
 
-Equal texts are settled by hash. Every other document is verified against the one with the fewest unique tokens
-under each of its keys, if length and position allow a link; links make components, and then the pairs under one key that lie in different components are verified too,
-which leaves out only pairs that are connected already. A group of near copies costs about as many verifications
-as it has members, and no link between components is lost.
+Equal texts are settled by hash. What the keys bring together is verified as :mod:`gaugewell.llm.linking` says, the
+document with the fewest unique tokens under a key being its head, if length and position allow a link.
 """
 
 from __future__ import annotations
@@ -29,9 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewell.llm import words as W
-from gaugewell.llm.components import connected
 from gaugewell.llm.copies import whole_copies
+from gaugewell.llm.linking import components_under_keys
 from gaugewell.llm.session import cut, keyed, named, written
+from gaugewell.llm.spread import join_unique
 
 SHINGLE = 5
 PERCENT = 80
@@ -45,6 +44,8 @@ FREQUENT = 2
 FREQUENT_DF = 256
 #: Ids of sieved documents up to which they are broadcast; past that Spark joins by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Tokens of sieved documents (with their frequency) up to which they are broadcast.
+BROADCAST_TOKENS = 2_000_000
 _CLASS_SHIFT = np.uint64(61)
 HAS_WORDS = r"[^\x20\x09-\x0D]"
 
@@ -128,14 +129,6 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from W.pieces(pa.RecordBatch.from_arrays(rows, names=["token", "doc_id", "n"]))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose ``sets`` (``doc_id``, ``n``, ``tokens``) reach the similarity."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("tokens_a"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b"))
-    both = pairs.join(one, "a").join(two, "b").withColumn("shared", F.size(F.array_intersect("tokens_a", "tokens_b")))
-    return both.where(F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * PERCENT).select("a", "b", "shared")
-
-
 def _least_shared(n: str):
     """The smallest common number of tokens that a set of ``n`` needs for a link."""
     return F.floor((F.col(n) * PERCENT + 99) / 100)
@@ -152,8 +145,8 @@ def sieved(rows: DataFrame) -> DataFrame:
 def frequency_ordered(texts: DataFrame) -> DataFrame:
     """Sets of the rows that share enough tokens for a link: ``doc_id``, ``n``, ``ranked`` (df, token) ascending."""
     tokens = texts.mapInArrow(_tokens, "token long, doc_id long, n int")
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    sets = tokens.join(counts, "token").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
+    counts = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    sets = join_unique(tokens, counts, "token", few=counts.count() <= BROADCAST_TOKENS).groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
     return sets.where(F.size("ranked") >= _least_shared("n"))
 
 
@@ -197,20 +190,7 @@ def jaccard_links(rows: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFr
     sets = sets.select("doc_id", "n", F.col("ranked.token").alias("tokens"))
     # The set with the fewest unique tokens is the likeliest centre of the copies under a key.
     members = groups.select("key", F.struct("alone", "doc_id", "n", "at", "pair").alias("own"))
-    heads = members.groupBy("key").agg(F.min("own").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    stars = members.join(heads, "key").where((F.col("own.doc_id") != F.col("head.doc_id")) & _reachable("own", "head"))
-    stars = stars.select(F.least("own.doc_id", "head.doc_id").alias("a"), F.greatest("own.doc_id", "head.doc_id").alias("b"))
-    stars = cut(stars.distinct())
-    links = cut(verified(stars, sets).select("a", "b"))
-    parts = connected(links)
-    labelled = members.join(parts, F.col("own.doc_id") == parts.doc_id, "left").select("key", "own", F.coalesce("component_id", "own.doc_id").alias("part"))
-    torn = labelled.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    torn = labelled.join(torn, "key")
-    across = torn.join(torn.select("key", F.col("own").alias("other"), F.col("part").alias("apart")), "key")
-    across = across.where((F.col("own.doc_id") < F.col("other.doc_id")) & (F.col("part") != F.col("apart")) & _reachable("own", "other"))
-    across = across.select(F.col("own.doc_id").alias("a"), F.col("other.doc_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = cut(verified(across, sets).select("a", "b"))
-    return sizes.select("doc_id", "n"), parts if more.isEmpty() else connected(links.unionByName(more))
+    return sizes.select("doc_id", "n"), components_under_keys(members, sets, PERCENT, _reachable)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,5 +209,5 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     few = parts.count() <= BROADCAST_IDS
     parts = parts.select(F.col("doc_id").alias("first"), "component_id")
     every = sizes.join(copies, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("first"))
-    found = every.join(F.broadcast(parts) if few else parts, "first", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "first").alias("component_id"))
+    found = join_unique(every, parts, "first", "left", few).select("doc_id", "n_shingles", F.coalesce("component_id", "first").alias("component_id"))
     return named(found, given, "doc_id", "component_id")
