@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugewell.llm import licenses, secrets, toxicity
 from gaugewell.llm.decontamination import contaminated
-from gaugewell.llm.fingerprints import fingerprints_under_edits
+from gaugewell.llm.fingerprints import documents_with_classes
 from gaugewell.llm.html_extraction import extract_pages
 from gaugewell.llm.jaccard_join import jaccard_components
 from gaugewell.llm.packing import packed_pieces
@@ -51,9 +51,8 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CATALOG.query("op2_fingerprints")
 def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprint of every document and of its edited text, and how alike they and the next document are."""
-    found = fingerprints_under_edits(table(spark, sf_dir, "documents"))
-    return found.withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
+    """Fingerprint of every document and of its edited text, how alike they and the next document are, and its class."""
+    return documents_with_classes(table(spark, sf_dir, "documents"))
 
 
 @CATALOG.query("op4_jaccard_join", COMPONENTS_SQL)

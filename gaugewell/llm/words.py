@@ -189,3 +189,9 @@ def pieces(batch: pa.RecordBatch, rows: int = 65536) -> Iterable[pa.RecordBatch]
     """``batch`` in parts of at most ``rows`` rows."""
     for first in range(0, batch.num_rows, rows):
         yield batch.slice(first, rows)
+
+
+def sized(batch: pa.RecordBatch, name: str, limit: int = 4 * BLOCK_BYTES) -> Iterable[pa.RecordBatch]:
+    """``batch`` in parts of whole rows whose column ``name`` has at most ``limit`` bytes, or one longer row."""
+    for block in blocks(batch.column(name), limit=limit):
+        yield batch.slice(block.first, block.last - block.first)

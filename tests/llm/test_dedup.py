@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gaugewell.llm import components, fingerprints, jaccard_join, substring_dedup
+from gaugewell.llm import components, copies, fingerprints, jaccard_join, linking, spread, substring_dedup
 from gaugewell.llm import words as W
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -169,11 +169,63 @@ def test_likeness_estimates_jaccard():
     assert abs(estimate - len(x & y) / len(x | y)) < 0.15
 
 
-def test_near_duplicates_by_bands(spark):
-    rows = [(1, " ".join(prose(12, 200))), (2, " ".join(prose(12, 200) + ["end"])), (3, " ".join(prose(13, 200))), (4, None)]
-    found = fingerprints.near_duplicates(frame(spark, rows)).collect()
-    assert [(r.a, r.b) for r in found] == [(1, 2)]
-    assert found[0].shared / found[0].united >= 0.8
+def test_signatures_equal_brute_force():
+    texts = [t for _, t in corpus()]
+    found, full = fingerprints.signatures(pa.array(texts, pa.string()))
+    mask, factors, shifts = (1 << 64) - 1, fingerprints.FACTORS.tolist(), fingerprints.SHIFTS.tolist()
+
+    def scrambled(x: int) -> int:
+        return int(W.mix(np.array([x], np.uint64))[0])
+
+    for row, text in enumerate(texts[:20]):
+        hashes = [int(h) for block in W.blocks(pa.array([text], pa.string())) for h in W.all_shingles(block, fingerprints.SHINGLE)[0]]
+        assert full[row] == bool(hashes)
+        expected = [scrambled(min((a * h + b) & mask for h in hashes)) & 0xFFFF if hashes else 0xFFFF for a, b in zip(factors, shifts, strict=True)]
+        assert found[row].tolist() == expected
+
+
+def half_alike() -> list[tuple[int, str | None]]:
+    """A group whose smallest ids are just under the similarity to the others, which are links of each other."""
+    base = prose(20, 100)
+    rows = []
+    for i in range(12):
+        text = base.copy()
+        text[10 : 10 + 7] = prose(21 + i, 7)
+        rows.append((i, " ".join(text)))
+    for i in range(12, 24):
+        text = base.copy()
+        text[60 : 60 + 12] = prose(40 + i % 2, 12)
+        text[30] = f"own{i}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("rows", [corpus(), half_alike()])
+def test_classes_by_bands_reach_the_exact_ones(spark, rows):
+    exact = expected_components([(i, t) for i, t in rows])
+    cased = {i: t for i, t in rows if (t or "").translate(LOW) == (t or "")}
+    found = {r.doc_id: r.component_id for r in fingerprints.near_duplicates(frame(spark, rows)).collect()}
+    pairs = lambda parts: {(i, j) for i in cased for j in cased if i < j and parts[i] == parts[j] and WORD.findall(cased[i] or "")}
+    wanted, got = pairs({i: c for i, (_, c) in exact.items()}), pairs(found)
+    assert got <= wanted and len(got) >= 0.9 * len(wanted) and len(found) == len(rows)
+
+
+def test_joins_past_the_broadcast(spark, monkeypatch):
+    for module, name in ((components, "BROADCAST_LABELS"), (linking, "BROADCAST_ROWS"), (fingerprints, "BROADCAST_IDS"), (jaccard_join, "BROADCAST_IDS"), (jaccard_join, "BROADCAST_TOKENS"), (copies, "BROADCAST_TEXTS")):
+        monkeypatch.setattr(module, name, 0)
+    monkeypatch.setattr(spread, "HOT", 20)
+    monkeypatch.setattr(linking, "SIDE", 2)
+    rows = corpus() + [(1000 + i, t) for i, t in half_alike()]
+    found = jaccard_join.jaccard_components(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected_components(rows)
+    assert fingerprints.near_duplicates(frame(spark, rows)).count() == len(rows)
+
+
+def test_classes_and_edits_of_awkward_rows(spark):
+    rows = [(None, "a " * 25), (5, "a " * 25), (5, "b c d e f g"), (5, None), (7, "x" * 3_000_000), (8, "é" * 5)]
+    found = fingerprints.documents_with_classes(frame(spark, rows)).collect()
+    assert len(found) == 6 and {r.component_id for r in found if r.n_chars == 50} == {None}
+    assert {r.n_chars for r in found} == {50, 11, 0, 3_000_000, 5}
 
 
 def test_digest_of_kept_text(spark):

@@ -12,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -371,7 +372,7 @@ def test_tree_matching_aligns_around_insertions():
     assert [a.tag for a, _ in matched(one, other)].count("li") == 1 and len(matched(one, other)) == 5
 
 
-AWKWARD = ["", "  ", "a  b", "\n\n x", "it's  we're\t\tfoo ", "<|endoftext|> hi", "é é ́x", "Σας ΟΔΟΣ", "a  b   c", "x" * 5000, "中文 text 12 3 4", "tail  ", None]
+AWKWARD = ["", "  ", "a  b", "\n\n x", "it's  we're\t\tfoo ", "<|endoftext|> hi", "é é ́x", "Σας ΟΔΟΣ", "a  b   c", "x" * 5000, "中文 text 12 3 4", "tail  ", None, "Don't. A.B, x!!! “q”. 1.5: é. it's., ab).. (c): ... ?! q?! İx. A\u0300. =\u0338 x=. y", "Plain words AND Others, plain; words: Zz! q."]
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
@@ -408,6 +409,28 @@ def test_token_files_and_packing(spark):
         assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in own)
 
 
+@pytest.mark.parametrize("width", [1, 8, 200])
+def test_token_files_ascend(spark, tmp_path, monkeypatch, width):
+    monkeypatch.setattr(W, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(W.blocks, "__defaults__", (False, 300))
+    r = random.Random(width)
+    rows = [(r.randrange(10**6) * 3, "word " * r.randrange(30)) for _ in range(300)]
+    rows = list(dict(rows).items())
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(width))
+    try:
+        token_files.write_token_files(frame(spark, rows), str(tmp_path / "files"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    ids, start = [], 0
+    for path in sorted((tmp_path / "files" / "blocks").glob("part-*.parquet")):
+        for block in pq.read_table(path).to_pylist():
+            assert block["start"] == start
+            start += sum(block["counts"])
+            ids += block["doc_ids"]
+    assert ids == sorted(i for i, _ in rows)
+
+
 def labelled(n: int, seed: int):
     r = random.Random(seed)
     rows = []
