@@ -215,22 +215,46 @@ def test_decontamination_equals_brute_force(spark):
 
 def test_decontamination_by_items_of_any_length(spark):
     r = random.Random(12)
-    item = [f"v{r.randrange(10**6)}" for _ in range(decontamination.LONGEST_ITEM + 3)]
+    item = [f"v{r.randrange(10**6)}" for _ in range(50_000)]
     short = [f"u{r.randrange(10**6)}" for _ in range(20)]
     bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id long, text string")
-    docs = frame(spark, [(1, " ".join(item)), (2, "one " + " ".join(short)), (3, " ".join(item[:9000])), (4, "a b " + " ".join(item))])
-    found = {(x.doc_id, x.item_id): (x.similarity, x.first_word, x.n_words) for x in decontamination.contaminated(docs, bench).collect()}
-    assert found == {(1, 1): (1.0, 0, len(item)), (2, 2): (1.0, 1, 20), (4, 1): (1.0, 2, len(item))}
-
-
-def test_long_and_packed_counters_agree(spark):
-    rows = spark.range(4000).select((F.col("id") % 37).alias("k"), F.xxhash64("id").alias("h"))
-    assert set(decontamination.simhashes(rows, "k").collect()) == set(decontamination.long_simhashes(rows, "k").collect())
-
-
-def test_hamming_blocks_cover_the_bits(spark):
-    blocks = spark.range(1).select(decontamination.hamming_blocks(F.lit(-1)).alias("b")).first().b
-    assert len(blocks) == decontamination.RADIUS + 1 and sum(int(x.bits).bit_count() for x in blocks) == 64
+    docs = frame(spark, [(1, " ".join(item)), (2, "one " + " ".join(short)), (3, " ".join(item[:9000])), (4, "a b " + " ".join(item) + " c d"), (5, " ".join(item[:45_000]))])
+    began = time.monotonic()
+    found = {(x.doc_id, x.item_id): (round(x.similarity, 3), x.first_word, x.n_words) for x in decontamination.contaminated(docs, bench).collect()}
+    assert found == {(1, 1): (1.0, 0, len(item)), (2, 2): (1.0, 1, 20), (4, 1): (1.0, 2, len(item)), (5, 1): (0.9, 0, len(item))}
+    assert time.monotonic() - began < 120
+
+
+def test_items_of_one_id_or_one_text(spark):
+    r = random.Random(13)
+    texts = [" ".join(f"t{r.randrange(10**6)}" for _ in range(30)) for _ in range(4)]
+    bench = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (None, texts[2]), (2, texts[3]), (3, texts[3]), (3, texts[3].upper())], "item_id long, text string")
+    docs = frame(spark, [(i, f"x{i} {t} y") for i, t in enumerate(texts)] + [(None, texts[0]), (9, None), (9, texts[2])])
+    found = {(x.doc_id, x.item_id) for x in decontamination.contaminated(docs, bench).collect()}
+    assert found == {(0, 1), (1, 1), (2, None), (3, 2), (3, 3), (None, 1), (9, None)}
+
+
+def test_index_finds_all_within_the_radius(spark):
+    r = random.Random(14)
+    own = [r.getrandbits(63) for _ in range(30)]
+    flipped = [(x ^ sum(1 << b for b in r.sample(range(63), k)), x) for x in own for k in range(decontamination.RADIUS + 1)]
+    masks = set(decontamination.near_masks())
+    blocks = lambda x: [x >> 16 * i & 0xFFFF for i in range(4)]
+    assert all(any(a ^ b in masks for a, b in zip(blocks(x), blocks(y), strict=True)) for x, y in flipped)
+    apart = [(r.getrandbits(64), r.getrandbits(64)) for _ in range(3000)]
+    assert np.mean([any(a ^ b in masks for a, b in zip(blocks(x), blocks(y), strict=True)) for x, y in apart]) < 0.06
+    found = spark.range(1).select(decontamination.hamming_blocks(F.lit(-1)).alias("b")).first().b
+    assert len(found) == decontamination.BLOCKS and sum(int(x.bits).bit_count() for x in found) == 64
+
+
+def test_decontamination_past_the_broadcast(spark, monkeypatch):
+    r = random.Random(15)
+    items = [(k, " ".join(f"w{r.randrange(50)}" for _ in range(12))) for k in range(8)]
+    docs = frame(spark, [(i, " ".join(f"w{r.randrange(50)}" for _ in range(30)) + " " + items[i % 8][1]) for i in range(16)])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    expected = sorted(decontamination.contaminated(docs, bench).collect())
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+    assert sorted(decontamination.contaminated(docs, bench).collect()) == expected and len(expected) >= 16
 
 
 PAGE = """<html><head><title>t</title></head><body><div id=top class=header>Site name</div><ul class="nav-bar nav"><li><a href=x>Home</a></ul>
