@@ -161,17 +161,38 @@ def test_licenses(spark):
 
 def test_containment_equals_brute_force(spark):
     r = random.Random(5)
-    vocabulary = sorted({w for _, t in licenses.TEMPLATES for w in licenses.template_words(t)}) + ["zz", "yy"]
+    vocabulary = sorted({w for _, t, _ in licenses.TEMPLATES for w in licenses.template_words(t)}) + ["zz", "yy"]
     rows = [(i, "\n".join(" ".join(r.sample(vocabulary, r.randrange(1, 60))) for _ in range(3))) for i in range(60)]
+    rows += [(100 + i, " ".join(r.sample(vocabulary, 5)) + " " + t.upper()) for i, (_, t, _) in enumerate(licenses.TEMPLATES)]
     expected = set()
     for i, text in rows:
-        for b, line in enumerate(text.split("\n")):
-            for n, (label, template) in enumerate(licenses.TEMPLATES):
-                t = set(licenses.template_words(template))
-                if len(t & set(line.split())) >= 0.8 * len(t) - 1e-9:
-                    expected.add((i, b, label, n))
-    found = licenses.contained_templates(frame(spark, rows).select("doc_id", "text")).collect()
-    assert {(x.doc_id, x.block, x.label, x.template) for x in found} == expected and expected
+        words = licenses.word_list(text)
+        for n, (label, template, names) in enumerate(licenses.TEMPLATES):
+            t, length = set(licenses.template_words(template)), len(licenses.word_list(template))
+            for first in range(0, len(words), length):
+                block = set(words[first : first + 2 * length])
+                if len(t & block) >= 0.8 * len(t) - 1e-9 and set(names) <= block:
+                    expected.add((i, first, label, n))
+    texts = frame(spark, rows).select("doc_id", "text")
+    found = licenses.contained_templates(texts, licenses.word_sets(texts)).collect()
+    assert {(x.doc_id, x.first_word, x.label, x.template) for x in found} == expected and {n for *_, n in expected} == set(range(len(licenses.TEMPLATES)))
+
+
+def test_wrapped_notices_and_long_lines(spark):
+    texts = []
+    for _, notice, _ in licenses.TEMPLATES:
+        words = notice.split()
+        texts.append("code\n" + "\n".join("# " + " ".join(words[i : i + 6]) for i in range(0, len(words), 6)) + "\nmore code")
+    scattered = " ".join(f"{w} " + "filler " * 40 for w in licenses.word_list(licenses.TEMPLATES[6][1]))
+    texts += [scattered, "Released under the Apache License", "Licensed under CC BY 4.0.", "filler " * 9000 + texts[6]]
+    found = [r.labels for r in licenses.scan_licenses(frame(spark, list(enumerate(texts)))).orderBy("doc_id").collect()]
+    assert all(label in labels.split(",") for (label, _, _), labels in zip(licenses.TEMPLATES, found, strict=False))
+    assert found[10:] == ["", "apache", "", "bsd"]
+
+
+def test_licenses_of_awkward_rows(spark):
+    rows = [(None, "mit license"), (5, "mit license"), (5, None), (5, licenses.TEMPLATES[7][1])]
+    assert sorted((r.doc_id or 0, r.labels) for r in licenses.scan_licenses(frame(spark, rows)).collect()) == [(0, "mit"), (5, ""), (5, "cc-by-nc"), (5, "mit")]
 
 
 def test_decontamination_equals_brute_force(spark):
