@@ -107,11 +107,11 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return result
 
 
-def window_hash(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """A hash of the ``size`` consecutive word hashes from each position of ``at``."""
+def window_hash(hashes: np.ndarray, at: np.ndarray, size: int, factor: np.uint64 = MIX_A) -> np.ndarray:
+    """A hash of the ``size`` consecutive word hashes from each position of ``at``; one for each ``factor``."""
     result = np.zeros(len(at), np.uint64)
     for step in range(size):
-        result = result * MIX_A + hashes[at + step]
+        result = result * factor + hashes[at + step]
     return mix(result + np.uint64(size))
 
 

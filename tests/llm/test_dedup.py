@@ -107,6 +107,19 @@ def test_components_with_frequent_tokens(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected_components(corpus())
 
 
+def test_one_equal_hash_is_no_repeat(spark, monkeypatch):
+    plain = W.window_hash
+
+    def clashing(hashes, at, size, factor=W.MIX_A):
+        found = plain(hashes, at, size, factor)
+        return np.zeros_like(found) if size == substring_dedup.WINDOW and factor == W.MIX_A else found
+
+    monkeypatch.setattr(W, "window_hash", clashing)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([" ".join(prose(30, 20)), " ".join(prose(31, 20))]), pa.array([[0], [0]])], names=["doc_id", "text", "spots"])
+    rows = [pa.Table.from_batches([b]).sort_by([("key", "ascending"), ("check", "ascending")]).to_batches()[0] for b in substring_dedup._windows(iter([batch]))]
+    assert sum(r.num_rows for r in rows) == 2 and sum(b.num_rows for b in substring_dedup._later(iter(rows))) == 0
+
+
 def test_repeated_and_null_ids(spark):
     rows = [(None, "a " * 25), (5, "a " * 25), (5, "a " * 25), (5, None)]
     kept = substring_dedup.remove_repeats(frame(spark, rows)).collect()
