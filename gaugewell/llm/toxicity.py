@@ -28,6 +28,8 @@ SUPPORT = 5
 #: Least log-likelihood ratio (half of G squared) of a word of the vocabulary: about one chance word in ten thousand.
 LEAST_RATIO = 7.5
 THRESHOLD = 0.5
+#: Partitions of the sample, whose sums are added in one order.
+PARTITIONS = 8
 
 
 class Chain(NamedTuple):
@@ -89,8 +91,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] =
     mark = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000))
     chosen = known.where(mark < int(1_000_000 * min(1.0, sample / max(total, 1))))
     texts = docs.select(F.col("doc_id").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most about `sample` small rows
-    texts = texts.dropDuplicates(["text"]).select(letter_words(F.col("text")).alias("words"), F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(folds)).alias("_fold"), *categories)
-    texts = cut(texts.coalesce(8))
+    # Of equal texts the largest labels and the smallest id: what is fitted does not depend on how rows are dealt.
+    texts = texts.groupBy("text").agg(F.min("doc_id").alias("doc_id"), *[F.max(c).alias(c) for c in categories])
+    texts = texts.select("doc_id", letter_words(F.col("text")).alias("words"), F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(folds)).alias("_fold"), *categories)
+    texts = cut(texts.repartition(PARTITIONS, "doc_id").sortWithinPartitions("doc_id").drop("doc_id").coalesce(PARTITIONS))
     if texts.isEmpty():
         return Chain(categories, [], [])
     vocabulary = _telling_words(texts, categories, VOCABULARY)

@@ -498,6 +498,63 @@ def test_chain_on_held_out_documents(spark):
     assert found[1].p_toxic == found[2].p_toxic and found[1].toxic == 0
 
 
+def regression(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights and intercept that minimise the mean loss and the ridge on standardised columns, by Newton steps."""
+    spread_of = x.std(axis=0, ddof=1)
+    kept = spread_of > 0
+    z = np.column_stack([x[:, kept], np.ones(len(x))])
+    ridge = np.diag(np.append(0.002 * spread_of[kept] ** 2, 0.0))
+    w = np.zeros(z.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-z @ w))
+        w -= np.linalg.solve(z.T @ (z * (p * (1 - p) / len(z))[:, None]) + ridge + 1e-12 * np.eye(len(w)), z.T @ (p - y) / len(z) + ridge @ w)
+    out = np.zeros(x.shape[1] + 1)
+    out[np.append(kept, True)] = w
+    return out
+
+
+def test_chain_equals_a_plain_one(spark):
+    train, test = labelled(300, 3), labelled(60, 4)
+    docs = frame(spark, [(i, text) for i, text, _, _ in train])
+    labels = spark.createDataFrame([(i, q, t) for i, _, t, q in train], "doc_id long, quality int, toxic int")
+    chain = toxicity.fit_chain(docs, labels)
+    held = lambda rows: np.array([[float(w in set(text.lower().split())) for w in chain.vocabulary] for _, text, _, _ in rows])
+    predict = lambda x, w: 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+    folds = dict(docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(toxicity.FOLDS))).collect())
+    fold, x, good, bad = np.array([folds[i] for i, *_ in train]), held(train), np.array([q for *_, q in train]), np.array([t for _, _, t, _ in train])
+    first = regression(x, good)
+    apart = np.empty(len(x))
+    for k in range(toxicity.FOLDS):
+        apart[fold == k] = predict(x[fold == k], regression(x[fold != k], good[fold != k]))
+    second = regression(np.column_stack([x, apart]), bad)
+    new = held(test)
+    p_good = predict(new, first)
+    p_bad = predict(np.column_stack([new, p_good]), second)
+    found = {r.doc_id: r for r in toxicity.score(frame(spark, [(i, text) for i, text, _, _ in test]), chain, "doc_id").collect()}
+    assert np.abs([found[i].p_quality - p for (i, *_), p in zip(test, p_good, strict=True)]).max() < 0.01
+    assert np.abs([found[i].p_toxic - p for (i, *_), p in zip(test, p_bad, strict=True)]).max() < 0.01
+
+
+def test_chain_does_not_depend_on_how_rows_are_dealt(spark):
+    train = labelled(200, 5)
+    rows = [(i, text) for i, text, _, _ in train] + [(50_000 + i, text) for i, (_, text, _, _) in enumerate(train[:80])]
+    marks = [(i, q, t) for i, _, t, q in train] + [(50_000 + i, 1 - q, t) for i, (_, _, t, q) in enumerate(train[:80])]
+    marks += [(train[0][0], 0, 0), (train[1][0], None, 1), (None, 1, 1)]
+    docs, labels = frame(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    chains = [toxicity.fit_chain(docs.repartition(n).withColumnRenamed("kinds", "quality"), labels.repartition(n)) for n in (1, 5)]
+    assert chains[0].vocabulary == chains[1].vocabulary
+    for one, other in zip(chains[0].links, chains[1].links, strict=True):
+        assert np.allclose(one.coefficients.toArray(), other.coefficients.toArray(), atol=1e-6)
+
+
+def test_chain_of_a_category_with_one_value(spark):
+    train = labelled(100, 6)
+    labels = spark.createDataFrame([(i, 1, t) for i, _, t, _ in train], "doc_id long, quality int, toxic int")
+    docs = frame(spark, [(i, text) for i, text, _, _ in train])
+    found = toxicity.score(docs, toxicity.fit_chain(docs, labels), "doc_id").collect()
+    assert {r.quality for r in found} == {1} and len({r.toxic for r in found}) == 2
+
+
 def test_chain_without_labels(spark):
     docs = frame(spark, [(1, "a")])
     chain = toxicity.fit_chain(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
