@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(rows: DataFrame) -> DataFrame:
-    """``rows`` checkpointed in the folder of spark.checkpoint.dir, or a local one where none is set."""
-    spark = rows.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gaugewell-"))
-    return rows.checkpoint(eager=True)
+from gaugewell.sources.files import cut
 
 
 def fit_rasch(responses: DataFrame, steps: int = 8, least: int = 5, limit: float = 6.0) -> DataFrame:
@@ -27,7 +19,7 @@ def fit_rasch(responses: DataFrame, steps: int = 8, least: int = 5, limit: float
     for key in ("item", "learner", "item"):
         good = cells.groupBy(key).agg(F.sum("n").alias("_n"), F.sum("k").alias("_k")).where((F.col("_n") >= least) & (F.col("_k") > 0) & (F.col("_k") < F.col("_n"))).select(key)
         cells = cells.join(good, key, "left_semi")
-    cells = _cut(cells)
+    cells = cut(cells)
     ability = cells.select("learner").distinct().withColumn("theta", F.lit(0.0))
     hard = cells.select("item").distinct().withColumn("b", F.lit(0.0))
 
@@ -39,9 +31,9 @@ def fit_rasch(responses: DataFrame, steps: int = 8, least: int = 5, limit: float
 
     found = None
     for _ in range(steps):
-        ability = _cut(moved("learner", "theta", 1, cells.join(ability, "learner").join(hard, "item")).select("learner", "theta"))
+        ability = cut(moved("learner", "theta", 1, cells.join(ability, "learner").join(hard, "item")).select("learner", "theta"))
         found = moved("item", "b", -1, cells.join(ability, "learner").join(hard, "item"))
         mean = found.agg(F.avg("b").alias("mean"))
-        found = _cut(found.crossJoin(F.broadcast(mean)).withColumn("b", F.col("b") - F.col("mean")).drop("mean"))  # one row
+        found = cut(found.crossJoin(F.broadcast(mean)).withColumn("b", F.col("b") - F.col("mean")).drop("mean"))  # one row
         hard = found.select("item", "b")
     return found.select("item", "n", F.col("b").alias("difficulty"), (1 / F.sqrt("h")).alias("se"))

@@ -9,8 +9,25 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a fresh local one only where none is set, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="gaugewell-")).rstrip("/")
+    """The folder named by spark.checkpoint.dir, also set for checkpoints; a fresh local one where none is set.
+
+    The latter only on a local master, as in tests: elsewhere executors would not see it, and ValueError is raised.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="gaugewell-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """``rows`` checkpointed in the shared folder, so that their lineage ends there."""
+    shared_folder(rows.sparkSession)
+    return rows.checkpoint(eager=True)
 
 
 def explode_wide(rows: DataFrame, key: str, lists: dict[str, str]) -> DataFrame:
