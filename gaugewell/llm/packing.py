@@ -2,7 +2,8 @@
 
 A document of n tokens gives n // 2048 pieces of 2048 tokens and one piece for each bit of the rest, larger ones
 first. Each piece is a sequence of its own, so no sequence crosses documents and none is padded. Sequences are
-numbered by length, then by document and place; a bucket of one length fills batches without padding either.
+numbered by length, then by document and place: those of one length are a bucket of consecutive numbers, whose
+batches need no padding either.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def _pieces(vocabulary: str, end: int, with_ids: bool):
 def packed_pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end: int = 1, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents: ``doc_id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``.
 
-    Every document ends with the id ``end``; a null text counts as empty and is that id alone. ``with_ids`` adds
+    ``bucket`` is the binary logarithm of the length, ``bucket_place`` numbers the sequences of a bucket from 0. Every document ends with the id ``end``; a null text counts as empty and is that id alone. ``with_ids`` adds
     the ids of each piece. ``sequence_id`` numbers sequences from 0 without gaps, longest first; ``offset`` is 0
     throughout. If an id is null or occurs twice, rows count as separate documents in the order of id (null first)
     and text. Texts are not shuffled; pieces are written once, and numbered from the counts of each id range.
@@ -69,8 +70,10 @@ def packed_pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end: i
     pieces = written(pieces.withColumn("id_range", range_of(range_bounds(rows))), "pieces")
     counts = pieces.groupBy("length", "id_range").agg(F.count(F.lit(1)).alias("n"))
     order = Window.orderBy(F.desc("length"), "id_range")
-    before = counts.select("length", "id_range", (F.sum("n").over(order) - F.col("n")).alias("before"))
+    own = Window.partitionBy("length").orderBy("id_range")
+    before = counts.select("length", "id_range", (F.sum("n").over(order) - F.col("n")).alias("before"), (F.sum("n").over(own) - F.col("n")).alias("own_before"))
     inside = F.row_number().over(Window.partitionBy("length", "id_range").orderBy("doc_id", "start")) - 1
     numbered = pieces.withColumn("inside", inside).join(before, ["length", "id_range"])
     kept = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("inside")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")]
+    kept += [F.log2("length").cast("int").alias("bucket"), (F.col("own_before") + F.col("inside")).alias("bucket_place")]
     return named(numbered.select(*kept, *["ids"] * with_ids), names, "doc_id")

@@ -11,7 +11,6 @@ match, so that the work grows with the number of matches in a text and not with
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 from typing import NamedTuple
 
@@ -19,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from gaugewell.llm.session import cut, shared_dir
+from gaugewell.llm.session import cut, fresh_path
 from gaugewell.llm.spread import join_unique
 
 
@@ -178,7 +177,7 @@ def scan_into(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES,
 
 def ledger_folder(spark: SparkSession) -> str:
     """The folder that :data:`LEDGER_SETTING` names, or a new one in the shared folder."""
-    return spark.conf.get(LEDGER_SETTING, None) or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    return spark.conf.get(LEDGER_SETTING, None) or fresh_path(spark, "ledger")
 
 
 def scan_documents(docs: DataFrame, *keep: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text", ledger: str | None = None) -> DataFrame:

@@ -2,38 +2,56 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugewell.sources.files import cut
+from gaugewell.sources.files import shared_folder as shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a fresh local one only where none is set, as in tests."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="gaugewell-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
+__all__ = ["cut", "fresh_path", "keyed", "named", "remove", "scratch", "shared_dir", "shuffle_width", "written"]
+#: Tables that :func:`written` has made and :func:`scratch` removes; None outside of it.
+_scratch: list[str] | None = None
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """``frame`` checkpointed in the shared folder, so that its lineage ends there."""
-    shared_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to yet."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scratch is not None:
+        _scratch.append(path)
+    return path
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
-    """``frame`` written as a Parquet table in the shared folder and read again."""
+def written(frame: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """``frame`` written as a Parquet table in the shared folder, or under ``path``, and read again."""
     spark = frame.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = path or fresh_path(spark, name)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of our own in the shared folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside are removed at the end; results must be written elsewhere before."""
+    global _scratch
+    before, _scratch = _scratch, []
+    try:
+        yield
+    finally:
+        for path in _scratch:
+            remove(spark, path)
+        _scratch = before
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

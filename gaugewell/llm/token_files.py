@@ -14,7 +14,6 @@ passes through the driver is the ranges' bounds and one count per vocabulary ent
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gaugewell.llm import words as W
 from gaugewell.llm.ordered import range_bounds, range_of
-from gaugewell.llm.session import keyed, named, shared_dir, shuffle_width
+from gaugewell.llm.session import fresh_path, keyed, named, remove, shuffle_width
 from gaugewell.llm.tokens import encoder
 
 #: Tasks that sum the counts of ids; each adds one array per task before it.
@@ -138,16 +137,10 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49
     placed = placed.repartitionById(shuffle_width(spark), "id_range").sortWithinPartitions("start").drop("id_range")
     schema = "start long, doc_ids array<long>, counts array<int>, control binary, data binary"
     placed.mapInArrow(_packed(rank_of), schema).write.option("compression", "zstd").parquet(f"{path}/blocks")
-    _remove(spark, parts)
+    remove(spark, parts)
     return names
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    """Delete a table of our own in the shared folder."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def _documents(id_of: np.ndarray, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,6 +168,6 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
 
 def token_files_round_trip(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end: int = 2) -> DataFrame:
     """Token files of ``docs`` written to the shared folder and read back, one row per document."""
-    path = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    path = fresh_path(docs.sparkSession, "tokens")
     names = write_token_files(docs, path, vocabulary, end)
     return named(read_token_files(docs.sparkSession, path), names, "doc_id")

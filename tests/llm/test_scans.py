@@ -447,6 +447,9 @@ def test_token_files_and_packing(spark):
         start += len(ids)
     packed = packing.packed_pieces(rows, with_ids=True).collect()
     assert sorted(r.sequence_id for r in packed) == list(range(len(packed)))
+    for bucket in {r.bucket for r in packed}:
+        own = sorted((r.sequence_id, r.bucket_place, r.length) for r in packed if r.bucket == bucket)
+        assert [p for _, p, _ in own] == list(range(len(own))) and {n for *_, n in own} == {1 << bucket} and own[-1][0] - own[0][0] == len(own) - 1
     for i, text in order:
         ids = np.append(pieces.direct([text])[0], 1).tolist()
         own = sorted((r for r in packed if r.doc_id == i), key=lambda r: r.start)
