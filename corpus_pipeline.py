@@ -6,6 +6,8 @@ are null or repeat are replaced by row numbers inside a stage, so that decisions
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from gaugewell.llm import secrets, toxicity
 from gaugewell.llm.decontamination import contaminated
 from gaugewell.llm.jaccard_join import jaccard_components
 from gaugewell.llm.packing import packed_pieces
-from gaugewell.llm.session import written
+from gaugewell.llm.session import remove, scratch, shared_dir, written
 from gaugewell.plans.registry import Catalog
 
 CATALOG = Catalog()
@@ -92,8 +94,16 @@ ORACLE_SQL = None
 
 @CATALOG.query("pipeline", ORACLE_SQL)
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``, each one's rows written in the shared folder for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of ``sf_dir``, each one's rows written in the shared folder for the next.
+
+    A stage's own tables are removed once its rows are written, and those of the stage before it then.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        table = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), name, table)
+        if before is not None:
+            remove(spark, before)
+        before = table
     return STAGES[-1][1](spark, docs, sf_dir)
