@@ -142,9 +142,11 @@ def sieved(rows: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("n").cast("long").alias("n"), (F.col("hits") >= F.greatest(F.floor(_least_shared("n") / SIEVE), F.lit(1))).alias("open"))
 
 
-def frequency_ordered(texts: DataFrame) -> DataFrame:
-    """Sets of the rows that share enough tokens for a link: ``doc_id``, ``n``, ``ranked`` (df, token) ascending."""
-    tokens = texts.mapInArrow(_tokens, "token long, doc_id long, n int")
+def frequency_ordered(tokens: DataFrame) -> DataFrame:
+    """Sets with enough shared tokens for a link: ``doc_id``, ``n``, ``ranked`` (df, token) ascending.
+
+    ``tokens`` has ``token``, ``doc_id`` and ``n``, the size of its set.
+    """
     counts = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     sets = join_unique(tokens, counts, "token", few=counts.count() <= BROADCAST_TOKENS).groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
     return sets.where(F.size("ranked") >= _least_shared("n"))
@@ -180,17 +182,22 @@ def _reachable(one: str, other: str):
     return (left + before) * (100 + PERCENT) >= (column(one, "n") + column(other, "n")) * PERCENT
 
 
+def linked_sets(tokens: DataFrame) -> DataFrame:
+    """``doc_id`` and ``component_id`` of the sets of ``tokens`` (see :func:`frequency_ordered`) that have a link."""
+    sets = written(frequency_ordered(tokens), "sets")
+    groups = written(indexed(sets), "index")
+    # The set with the fewest unique tokens is the likeliest centre of the copies under a key.
+    members = groups.select("key", F.struct("alone", "doc_id", "n", "at", "pair").alias("own"))
+    return components_under_keys(members, sets.select("doc_id", "n", F.col("ranked.token").alias("tokens")), PERCENT, _reachable)
+
+
 def jaccard_links(rows: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sizes (``doc_id``, ``n``) of all rows and components of the linked ones that are no copies."""
     sizes = written(sieved(rows), "sizes")
     wanted = cut(sizes.where("open").select("doc_id").join(copies, "doc_id", "left_anti"))
     few = wanted.count() <= BROADCAST_IDS
-    sets = written(frequency_ordered(rows.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")), "sets")
-    groups = written(indexed(sets), "index")
-    sets = sets.select("doc_id", "n", F.col("ranked.token").alias("tokens"))
-    # The set with the fewest unique tokens is the likeliest centre of the copies under a key.
-    members = groups.select("key", F.struct("alone", "doc_id", "n", "at", "pair").alias("own"))
-    return sizes.select("doc_id", "n"), components_under_keys(members, sets, PERCENT, _reachable)
+    tokens = rows.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").mapInArrow(_tokens, "token long, doc_id long, n int")
+    return sizes.select("doc_id", "n"), linked_sets(tokens)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

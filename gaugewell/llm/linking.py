@@ -34,15 +34,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * percent).select("a", "b", "shared")
 
 
-def components_under_keys(members: DataFrame, sets: DataFrame, percent: int, reachable: Callable[[str, str], Column]) -> DataFrame:
-    """``doc_id`` and ``component_id`` of the documents with a verified link to another that has a key in common.
+def star_links(members: DataFrame, sets: DataFrame, percent: int, reachable: Callable[[str, str], Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members with the head and the size of each of their keys, the pairs of members and heads, and those verified.
 
     ``members`` has ``key`` and ``own``, a struct with ``doc_id``; the smallest struct under a key is its head.
-    ``reachable`` is a condition on two such structs, without which a pair cannot be linked. Every member is held
-    against the heads of its keys first; links make components, and then the pairs under one key that lie in
-    different components are verified too, which leaves out only pairs that are connected already. A group of near
-    copies costs about as many verifications as it has members, and no link between components is lost. Heads and
-    labels reach the members of a common key without a shuffle by it, and a key's pairs are formed in blocks.
+    ``reachable`` is a condition on two such structs, without which a pair cannot be linked. Heads reach the members of
+    a common key without a shuffle by it.
     """
     heads = cut(members.groupBy("key").agg(F.min("own").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1"))
     few = heads.count() <= BROADCAST_ROWS
@@ -51,13 +48,29 @@ def components_under_keys(members: DataFrame, sets: DataFrame, percent: int, rea
         met = cut(met)
     stars = met.where((F.col("own.doc_id") != F.col("head.doc_id")) & reachable("own", "head"))
     stars = cut(stars.select(F.col("own.doc_id").alias("a"), F.col("head.doc_id").alias("b")).distinct())
-    links = cut(verified(stars, sets, percent).select("a", "b"))
-    parts = connected(links)
+    return met, stars, cut(verified(stars, sets, percent).select("a", "b"))
+
+
+def torn_members(met: DataFrame, parts: DataFrame) -> DataFrame:
+    """``key``, ``own``, ``size`` and ``part`` (its component) of all members under keys with more than one component."""
     labels = parts.select("doc_id", "component_id")
     labelled = met.select("key", "own", "size", F.col("own.doc_id").alias("doc_id")).join(F.broadcast(labels) if labels.count() <= BROADCAST_ROWS else labels, "doc_id", "left")
     labelled = labelled.select("key", "own", "size", F.coalesce("component_id", "doc_id").alias("part"))
     torn = cut(labelled.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key"))
-    torn = cut(join_unique(labelled, torn, "key", "left_semi", torn.count() <= BROADCAST_ROWS))
+    return cut(join_unique(labelled, torn, "key", "left_semi", torn.count() <= BROADCAST_ROWS))
+
+
+def components_under_keys(members: DataFrame, sets: DataFrame, percent: int, reachable: Callable[[str, str], Column]) -> DataFrame:
+    """``doc_id`` and ``component_id`` of the documents with a verified link to another that has a key in common.
+
+    Every member is held against the heads of its keys first, see :func:`star_links`; links make components, and then
+    the pairs under one key that lie in different components are verified too, which leaves out only pairs that are
+    connected already. A group of near copies costs about as many verifications as it has members, and no link between
+    components is lost. A key's pairs are formed in blocks.
+    """
+    met, stars, links = star_links(members, sets, percent, reachable)
+    parts = connected(links)
+    torn = torn_members(met, parts)
     width = F.ceil(F.col("size") / SIDE).cast("int")
     left = torn.select("key", "own", "part", F.pmod(F.xxhash64("own.doc_id"), width).cast("int").alias("block"))
     right = torn.select("key", F.col("own").alias("other"), F.col("part").alias("apart"), F.explode(F.sequence(F.lit(0), width - 1)).alias("block"))
