@@ -30,7 +30,7 @@ from gaugewell.llm import words as W
 from gaugewell.llm.copies import whole_copies
 from gaugewell.llm.linking import components_under_keys
 from gaugewell.llm.session import cut, keyed, named, written
-from gaugewell.llm.spread import join_unique
+from gaugewell.llm.spread import HOT, join_unique
 
 SHINGLE = 5
 PERCENT = 80
@@ -44,8 +44,6 @@ FREQUENT = 2
 FREQUENT_DF = 256
 #: Ids of sieved documents up to which they are broadcast; past that Spark joins by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Tokens of sieved documents (with their frequency) up to which they are broadcast.
-BROADCAST_TOKENS = 2_000_000
 _CLASS_SHIFT = np.uint64(61)
 HAS_WORDS = r"[^\x20\x09-\x0D]"
 
@@ -148,7 +146,11 @@ def frequency_ordered(tokens: DataFrame) -> DataFrame:
     ``tokens`` has ``token``, ``doc_id`` and ``n``, the size of its set.
     """
     counts = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    sets = join_unique(tokens, counts, "token", few=counts.count() <= BROADCAST_TOKENS).groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
+    # A token that many documents hold is broadcast: there are fewer than ``HOT`` with more than one row in so many.
+    hot = cut(counts.where(F.col("df") * HOT > (counts.agg(F.sum("df")).first()[0] or 0)))
+    often = tokens.join(F.broadcast(hot), "token")
+    rest = tokens.join(F.broadcast(hot.select("token")), "token", "left_anti").join(counts, "token")
+    sets = often.unionByName(rest).groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
     return sets.where(F.size("ranked") >= _least_shared("n"))
 
 

@@ -11,10 +11,10 @@ from gaugewell.llm.components import connected
 from gaugewell.llm.session import cut
 from gaugewell.llm.spread import hot_keys, join_unique
 
-#: Rows of one key that one task holds against the key's others.
-SIDE = 256
 #: Rows up to which the smaller side of a join is broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Pairs of a round per link that it must find for another.
+FRUITLESS = 50
 #: Copies of the set that many documents are held against, so that no task holds it against all of them.
 COPIES = 64
 
@@ -26,11 +26,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     copies, and the pairs with it over them.
     """
     hot = hot_keys(pairs, "b").withColumn("hot", F.lit(True))
+    few = F.broadcast if pairs.count() <= BROADCAST_ROWS else lambda frame: frame
     salted = pairs.join(F.broadcast(hot), "b", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("a"), F.lit(COPIES)).cast("int")).otherwise(F.lit(0))).select("a", "b", "salt")
     one = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("tokens_a"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b")).join(F.broadcast(hot), "b", "left")
+    two = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b"))
+    two = two.join(few(pairs.select("b").distinct()), "b", "left_semi").join(F.broadcast(hot), "b", "left")
     two = two.withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(COPIES - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
-    both = salted.join(one, "a").join(two, ["b", "salt"]).withColumn("shared", F.size(F.array_intersect("tokens_a", "tokens_b")))
+    both = one.join(few(salted), "a").join(two, ["b", "salt"]).withColumn("shared", F.size(F.array_intersect("tokens_a", "tokens_b")))
     return both.where(F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * percent).select("a", "b", "shared")
 
 
@@ -60,21 +62,40 @@ def torn_members(met: DataFrame, parts: DataFrame) -> DataFrame:
     return cut(join_unique(labelled, torn, "key", "left_semi", torn.count() <= BROADCAST_ROWS))
 
 
+def components_by_rounds(members: DataFrame, sets: DataFrame, percent: int, reachable: Callable[[str, str], Column]) -> DataFrame:
+    """Components by links to heads alone, in rounds: ``doc_id`` and ``component_id``.
+
+    In each round the members that are in no component of their key's heads so far are held against the first of them;
+    rounds end when one finds a link in no more than one of :data:`FRUITLESS` pairs. No pairs within a key are formed but those with its heads: a link between two
+    members is found if a round makes either a head while they are apart, or if links to heads connect them.
+    """
+    left, links, parts = members, None, None
+    while True:
+        met, stars, found = star_links(left, sets, percent, reachable)
+        links = found if links is None else cut(links.unionByName(found))
+        parts = connected(links)
+        if found.count() * FRUITLESS <= stars.count():
+            return parts
+        few = parts.count() <= BROADCAST_ROWS
+        own = join_unique(met.withColumn("doc_id", F.col("own.doc_id")), parts, "doc_id", "left", few).withColumn("part", F.coalesce("component_id", "doc_id"))
+        own = own.select("key", "own", "part", F.col("head.doc_id").alias("doc_id"))
+        apart = join_unique(own, parts, "doc_id", "left", few).where(F.col("part") != F.coalesce("component_id", "doc_id"))
+        left = cut(apart.select("key", "own"))
+
+
 def components_under_keys(members: DataFrame, sets: DataFrame, percent: int, reachable: Callable[[str, str], Column]) -> DataFrame:
     """``doc_id`` and ``component_id`` of the documents with a verified link to another that has a key in common.
 
     Every member is held against the heads of its keys first, see :func:`star_links`; links make components, and then
     the pairs under one key that lie in different components are verified too, which leaves out only pairs that are
     connected already. A group of near copies costs about as many verifications as it has members, and no link between
-    components is lost. A key's pairs are formed in blocks.
+    components is lost.
     """
     met, stars, links = star_links(members, sets, percent, reachable)
     parts = connected(links)
     torn = torn_members(met, parts)
-    width = F.ceil(F.col("size") / SIDE).cast("int")
-    left = torn.select("key", "own", "part", F.pmod(F.xxhash64("own.doc_id"), width).cast("int").alias("block"))
-    right = torn.select("key", F.col("own").alias("other"), F.col("part").alias("apart"), F.explode(F.sequence(F.lit(0), width - 1)).alias("block"))
-    across = left.join(right, ["key", "block"]).where((F.col("own.doc_id") < F.col("other.doc_id")) & (F.col("part") != F.col("apart")) & reachable("own", "other"))
+    right = torn.select("key", F.col("own").alias("other"), F.col("part").alias("apart"))
+    across = torn.join(right, "key").where((F.col("own.doc_id") < F.col("other.doc_id")) & (F.col("part") != F.col("apart")) & reachable("own", "other"))
     across = across.select(F.col("own.doc_id").alias("a"), F.col("other.doc_id").alias("b")).distinct()
     across = across.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = cut(verified(cut(across), sets, percent).select("a", "b"))

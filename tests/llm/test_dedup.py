@@ -224,10 +224,10 @@ def test_classes_by_bands_reach_the_exact_ones(spark, rows):
 
 
 def test_joins_past_the_broadcast(spark, monkeypatch):
-    for module, name in ((components, "BROADCAST_LABELS"), (linking, "BROADCAST_ROWS"), (fingerprints, "BROADCAST_IDS"), (jaccard_join, "BROADCAST_IDS"), (jaccard_join, "BROADCAST_TOKENS"), (copies, "BROADCAST_TEXTS")):
+    for module, name in ((components, "BROADCAST_LABELS"), (linking, "BROADCAST_ROWS"), (fingerprints, "BROADCAST_IDS"), (jaccard_join, "BROADCAST_IDS"), (copies, "BROADCAST_TEXTS")):
         monkeypatch.setattr(module, name, 0)
     monkeypatch.setattr(spread, "HOT", 20)
-    monkeypatch.setattr(linking, "SIDE", 2)
+    monkeypatch.setattr(jaccard_join, "HOT", 20)
     rows = corpus() + [(1000 + i, t) for i, t in half_alike()]
     found = jaccard_join.jaccard_components(frame(spark, rows)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected_components(rows)
