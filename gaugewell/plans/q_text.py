@@ -179,11 +179,25 @@ def f11(spark: SparkSession, sf_dir: str) -> DataFrame:
 SYSTEM = "Rate the difficulty from 0 to 1."
 
 
-@query("f12_prompt_render_hash", f"""SELECT doc_id, sha256('[{{"role": "system", "content": "{SYSTEM}"}}, {{"role": "user", "content": ' || to_json(stem) || '}}]') AS prompt_hash FROM ({DOCS}) WHERE NOT regexp_matches(stem, '[\\x00-\\x1F\\x7F"\\\\/]')""")
+#: Escapes of a JSON string: the backslash first, then the quote and the control characters.
+ESCAPES = (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f"))
+ESCAPES += tuple((chr(i), f"\\u{i:04x}") for i in range(1, 32) if chr(i) not in "\n\r\t\b\f")
+
+
+def _escaped_sql(x: str) -> str:
+    for raw, shown in ESCAPES:
+        x = f"replace({x}, chr({ord(raw)}), '{shown}')"
+    return f"replace({x}, chr(0), '\\u0000')"
+
+
+@query("f12_prompt_render_hash", f"""SELECT doc_id, sha256('[{{"role": "system", "content": "{SYSTEM}"}}, {{"role": "user", "content": "' || {_escaped_sql('stem')} || '"}}]') AS prompt_hash FROM ({DOCS})""")
 def f12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hash of the exact prompt of every one-line document that needs no escapes."""
-    prompt = F.concat(F.lit(f'[{{"role": "system", "content": "{SYSTEM}"}}, {{"role": "user", "content": "'), "stem", F.lit('"}]'))
-    return docs(spark, sf_dir).where(~F.col("stem").rlike('[\\x00-\\x1F\\x7F"\\\\/]')).select("doc_id", F.sha2(prompt, 256).alias("prompt_hash"))
+    """Hash of the exact prompt of every document; other characters than those of ``ESCAPES`` stand as they are."""
+    body = F.col("stem")
+    for raw, shown in (*ESCAPES, ("\0", "\\u0000")):
+        body = F.replace(body, F.lit(raw), F.lit(shown))
+    prompt = F.concat(F.lit(f'[{{"role": "system", "content": "{SYSTEM}"}}, {{"role": "user", "content": "'), body, F.lit('"}]'))
+    return docs(spark, sf_dir).select("doc_id", F.sha2(prompt, 256).alias("prompt_hash"))
 
 
 @query("f13_request_cache_key", "SELECT doc_id, model, sha256('v1|' || model || '|' || doc_id || '|' || sha256(coalesce(text, '')) || '|0.0|2024') AS cache_key FROM documents, (SELECT unnest(['model_a', 'model_b']) AS model)")
