@@ -33,18 +33,25 @@ def spearman(rows: DataFrame, x: str, y: str, *cell: str, least: int = 5) -> Dat
 
 
 def kendall(rows: DataFrame, x: str, y: str, *cell: str) -> DataFrame:
-    """n and tau-b per cell, from the contingency table of (x, y): its size, not the rows', is squared."""
+    """n and tau-b per cell. Pairs are not formed: two ranks of y first differ in one binary digit, and for each digit
+    a running sum along x counts, among the ranks alike above it, those with a 0 there below and above each with a 1.
+    """
     table = rows.groupBy(*cell, x, y).agg(F.count(F.lit(1)).alias("c"))
-    other = table.select(*cell, F.col(x).alias("_x"), F.col(y).alias("_y"), F.col("c").alias("_c"))
-    sign = F.signum(F.col("_x") - F.col(x)) * F.signum(F.col("_y") - F.col(y))
-    pairs = table.join(other, list(cell)) if cell else table.crossJoin(other)
-    score = pairs.groupBy(*cell).agg((F.sum(sign * F.col("c") * F.col("_c")) / 2).alias("s"))
+    ranked = table.withColumn("_r", F.dense_rank().over(Window.partitionBy(*cell).orderBy(y)).cast("long"))
+    digits = ranked.withColumn("_top", F.length(F.bin(F.max("_r").over(Window.partitionBy(*cell)))))
+    digits = digits.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_top") - 1)))
+    one = F.expr("shiftright(_r, _k) & 1") == 1
+    same = [*cell, "_k", "_above"]
+    sums = digits.withColumn("_above", F.expr("shiftright(_r, _k + 1)")).groupBy(*same, x).agg(F.sum(F.when(one, F.col("c")).otherwise(0)).alias("_one"), F.sum(F.when(one, 0).otherwise(F.col("c"))).alias("_zero"))
+    upto = F.sum("_zero").over(Window.partitionBy(*same).orderBy(x))
+    every = F.sum("_zero").over(Window.partitionBy(*same))
+    score = sums.withColumn("_gap", (upto - F.col("_zero")) - (every - upto)).groupBy(*cell).agg(F.sum(F.col("_one") * F.col("_gap")).alias("s"))
     tied = lambda col: table.groupBy(*cell, col).agg(F.sum("c").alias("t")).groupBy(*cell).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"tie_{col}"))
     total = table.groupBy(*cell).agg(F.sum("c").alias("n"))
     join = (lambda a, b: a.join(b, list(cell))) if cell else (lambda a, b: a.crossJoin(b))
     both = join(join(join(score, tied(x)), tied(y)), total)
-    every = F.col("n") * (F.col("n") - 1) / 2
-    scale = F.sqrt((every - F.col(f"tie_{x}")) * (every - F.col(f"tie_{y}")))
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    scale = F.sqrt((pairs - F.col(f"tie_{x}")) * (pairs - F.col(f"tie_{y}")))
     return both.select(*cell, "n", F.when(scale > 0, F.col("s") / scale).alias("tau"))
 
 

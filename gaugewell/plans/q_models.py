@@ -55,7 +55,7 @@ def m3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.kendall(analysis_frame(spark, sf_dir), "score", "smoothed", "model"))
 
 
-BOOTS = 100
+BOOTS = 500
 _DRAW = "CAST('0x' || substr(sha256('boot|' || b || '|' || r), 1, 8) AS BIGINT) % n"
 BOOT = f"SELECT model, b, f.score, f.smoothed FROM (SELECT model, b, {_DRAW} AS pick FROM (SELECT model, n, r FROM numbered), (SELECT unnest(range(0, {BOOTS})) AS b)) JOIN numbered f USING (model) WHERE f.r = pick"
 NUMBERED = "SELECT model, item, score, smoothed, chars, row_number() OVER (PARTITION BY model ORDER BY item) - 1 AS r, count(*) OVER (PARTITION BY model) AS n FROM frame"
@@ -116,12 +116,12 @@ def m6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(whole)
 
 
-@query("m12_rq1_feature_bivariate", V.sql("SELECT feature, n, rho FROM (" + _spearman_sql("x", "y", "long", "feature") + ")", "scores", "items", long="SELECT feature, x, score AS y FROM (SELECT item, 'size' AS feature, size::DOUBLE AS x FROM items UNION ALL SELECT item, 'price', price FROM items) JOIN scores USING (item) WHERE model = 'model_b'"))
+@query("m12_rq1_feature_bivariate", V.sql("SELECT model, feature, n, rho FROM (" + _spearman_sql("x", "y", "long", "model, feature") + ")", "scores", "items", long="SELECT model, feature, x, score AS y FROM (SELECT item, 'size' AS feature, size::DOUBLE AS x FROM items UNION ALL SELECT item, 'price', price FROM items) JOIN scores USING (item)"))
 def m12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank correlation of a score with each feature."""
+    """Rank correlation of each score with each feature."""
     features = F.array(F.struct(F.lit("size").alias("feature"), F.col("size").cast("double").alias("x")), F.struct(F.lit("price").alias("feature"), F.col("price").alias("x")))
-    long = V.items(spark, sf_dir).select("item", F.inline(features)).join(V.scores(spark, sf_dir).where("model = 'model_b'"), "item")
-    return rounded(A.spearman(long, "x", "score", "feature"))
+    long = V.items(spark, sf_dir).select("item", F.inline(features)).join(V.scores(spark, sf_dir), "item")
+    return rounded(A.spearman(long, "x", "score", "model", "feature"))
 
 
 @query("m14_calibration", V.sql("SELECT model, round(regr_slope(error, score), 6) AS slope, round(regr_intercept(error, score), 6) AS intercept, count(*) AS n FROM scores JOIN (SELECT item, avg(1 - correct)::DOUBLE AS error FROM ix_big GROUP BY item) USING (item) GROUP BY model", "ix_big", "scores"))
@@ -140,11 +140,16 @@ def m15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.agg(count_rows().alias("k"), r6(wm / w).alias("pooled"), F.round(wmm - wm * wm / w, 4).alias("q"))
 
 
-@query("m18_model_agreement", V.sql("SELECT count(*) AS n, round(corr(a, b), 6) AS r, round(avg(a - b), 6) AS signed_gap, round(avg(abs(a - b)), 6) AS gap FROM pairs", "scores", pairs=PAIR))
+AGREED = "SELECT 'x' AS cell, a AS u, b AS v FROM pairs"
+
+
+@query("m18_model_agreement", V.sql(f"SELECT n, r, rho, tau, signed_gap, gap FROM (SELECT count(*) AS n, round(corr(u, v), 6) AS r, round(avg(u - v), 6) AS signed_gap, round(avg(abs(u - v)), 6) AS gap FROM agreed), (SELECT rho FROM ({_spearman_sql('u', 'v', 'agreed', 'cell')})), (SELECT tau FROM ({KENDALL.format(c='cell', x='u', y='v', f='agreed')}))", "scores", pairs=PAIR, agreed=AGREED))
 def m18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Agreement of two models."""
-    p = V.scores(spark, sf_dir).groupBy("item").pivot("model", ["model_a", "model_b"]).agg(F.first("score")).toDF("item", "a", "b")
-    return rounded(p.agg(count_rows().alias("n"), F.corr("a", "b").alias("r"), F.avg(F.col("a") - F.col("b")).alias("signed_gap"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("gap")))
+    """Agreement of two models: three correlations and mean gaps."""
+    p = V.scores(spark, sf_dir).groupBy("item").pivot("model", ["model_a", "model_b"]).agg(F.first("score")).toDF("item", "u", "v").withColumn("cell", F.lit("x"))
+    found = p.groupBy("cell").agg(count_rows().alias("n"), F.corr("u", "v").alias("r"), F.avg(F.col("u") - F.col("v")).alias("signed_gap"), F.avg(F.abs(F.col("u") - F.col("v"))).alias("gap"))
+    rho, tau = A.spearman(p, "u", "v", "cell").drop("n"), A.kendall(p, "u", "v", "cell").drop("n")
+    return rounded(found.join(rho, "cell").join(tau, "cell").drop("cell"))
 
 
 BOTH = "SELECT a.item, a.e AS every, b.e AS first FROM (SELECT item, avg(1 - correct) AS e FROM ixs WHERE split = 'test' GROUP BY item) a JOIN (SELECT item, avg(1 - correct) AS e FROM first_seen GROUP BY item) b USING (item)"
@@ -183,20 +188,32 @@ def m21(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("condition", "n", r6("m").alias("mean_delta"), F.round(t, 4).alias("t"), r6(A.p_df4(t)).alias("p"))
 
 
-@query("m22_pooled_seed_test", V.sql(f"SELECT condition, round(sum(d * n) / sum(n), 6) AS pooled_delta, count(*) FILTER (WHERE d < 0) AS better FROM (SELECT a.condition, a.seed, a.l - b.l AS d, a.n FROM pooled a JOIN pooled b ON a.seed = b.seed AND b.condition = 'random' AND a.condition <> 'random') GROUP BY condition", "pred", pooled=f"SELECT condition, seed, count(*) AS n, {LOSS} AS l FROM pred GROUP BY 1, 2"))
-def m22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prediction-weighted delta against the random control, predictions pooled over folds within a seed."""
+CONTROLS = ("base", "length", "random")
+POOLED = f"SELECT condition, seed, count(*) AS n, {LOSS} AS l FROM pred GROUP BY 1, 2"
+CONTRASTS = f"SELECT b.condition AS control, a.condition, a.seed, a.l - b.l AS d, a.n FROM pooled a JOIN pooled b ON a.seed = b.seed AND a.condition <> b.condition WHERE a.condition <> 'base' AND b.condition IN {CONTROLS}"
+
+
+def contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss of each condition less that of each control, predictions pooled over folds: control, condition, seed, d, n."""
     p = evaluation.binary_metrics(V.pred(spark, sf_dir), "condition", "seed").select("condition", "seed", "n", "log_loss")
-    control = p.where("condition = 'random'").select("seed", F.col("log_loss").alias("b"))
-    d = p.where("condition <> 'random'").join(control, "seed").withColumn("d", F.col("log_loss") - F.col("b"))
-    return d.groupBy("condition").agg(r6(F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("pooled_delta"), F.count_if(F.col("d") < 0).alias("better"))
+    control = p.where(F.col("condition").isin(*CONTROLS)).select("seed", F.col("condition").alias("control"), F.col("log_loss").alias("b"))
+    pairs = p.where("condition <> 'base'").join(control, "seed").where("condition <> control")
+    return pairs.select("control", "condition", "seed", (F.col("log_loss") - F.col("b")).alias("d"), "n")
+
+
+@query("m22_pooled_seed_test", V.sql("SELECT control, condition, pooled_delta, better, round(p, 6) AS p, round(max(step) OVER (ORDER BY p, control, condition ROWS UNBOUNDED PRECEDING), 6) AS p_holm FROM (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, control, condition) + 1) * p) AS step FROM (SELECT *, " + P_DF4 + " AS p FROM (SELECT control, condition, round(sum(d * n) / sum(n), 6) AS pooled_delta, count(*) FILTER (WHERE d < 0) AS better, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM contrasts GROUP BY 1, 2)))", "pred", pooled=POOLED, contrasts=CONTRASTS))
+def m22(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction-weighted deltas against three controls, p of the t test over five seeds, and Holm's over all contrasts."""
+    t = F.avg("d") / (F.stddev_samp("d") / F.sqrt(count_rows()))
+    found = contrasts(spark, sf_dir).groupBy("control", "condition").agg((F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("pooled_delta"), F.count_if(F.col("d") < 0).alias("better"), A.p_df4(t).alias("p"))
+    return rounded(A.holm(found.withColumn("family", F.lit("f")), "p", "family", ties=("control", "condition")).drop("family"))
 
 
-@query("m23_paired_deltas", V.sql("SELECT condition, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS sd, " + ", ".join(f"round(max(d) FILTER (WHERE seed = {s}), 6) AS seed_{s}" for s in V.SEEDS) + " FROM deltas GROUP BY condition", "pred", seeded=SEEDED, deltas=DELTAS))
+@query("m23_paired_deltas", V.sql("SELECT control, condition, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS sd, " + ", ".join(f"round(max(d) FILTER (WHERE seed = {s}), 6) AS seed_{s}" for s in V.SEEDS) + " FROM contrasts GROUP BY 1, 2", "pred", pooled=POOLED, contrasts=CONTRASTS))
 def m23(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deltas against base: mean, spread and each seed."""
+    """Deltas against base, random and length: mean, spread and each seed."""
     by_seed = [F.max(F.when(F.col("seed") == s, F.col("d"))).alias(f"seed_{s}") for s in V.SEEDS]
-    return rounded(seed_deltas(spark, sf_dir).groupBy("condition").agg(F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"), *by_seed))
+    return rounded(contrasts(spark, sf_dir).groupBy("control", "condition").agg(F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"), *by_seed))
 
 
 @query("m25_trend_slope", V.sql("SELECT round(regr_slope(m, level), 6) AS slope, round(regr_intercept(m, level), 6) AS intercept, round(corr(m, level), 6) AS r FROM (SELECT seed::DOUBLE AS level, avg(log_loss) AS m FROM runs GROUP BY seed)", "pred", runs=RUNS))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gaugewell.functions.hashing import hash_number, hash_rank, hashed
 from gaugewell.operators import association as A
 from gaugewell.operators import evaluation, rates, ridge
-from gaugewell.plans.q_models import DELTAS, P_DF4, SEEDED, VIEWS, _spearman_sql, folded, rounded, seed_deltas
+from gaugewell.plans.q_models import DELTAS, KENDALL, P_DF4, SEEDED, VIEWS, _spearman_sql, folded, rounded, seed_deltas
 from gaugewell.plans.q_rates import FIRST, LEAST, count_rows, r6
 from gaugewell.plans.q_tables import FRAME_PARTS, analysis_frame
 from gaugewell.plans.registry import Catalog
@@ -125,38 +125,47 @@ def m13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REFERENCES = ("smoothed", "train_error")
+REFERENCE_SQL = f"SELECT cell, n, r, rho, tau FROM ({_spearman_sql('score', 'x', 'long', 'cell')}) JOIN (SELECT cell, round(corr(score, x), 6) AS r FROM long GROUP BY cell) USING (cell) JOIN (SELECT cell, tau FROM ({KENDALL.format(c='cell', x='score', y='x', f='long')})) USING (cell)"
 LONG = " UNION ALL ".join(f"SELECT model || '|{r}' AS cell, score, {r} AS x FROM frame WHERE {r} IS NOT NULL" for r in REFERENCES)
 
 
-@query("m16_convergent_validity_table", V.sql(_spearman_sql("score", "x", "long", "cell"), *VIEWS, **FRAME_PARTS, long=LONG))
+@query("m16_convergent_validity_table", V.sql(REFERENCE_SQL, *VIEWS, **FRAME_PARTS, long=LONG))
 def m16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank correlation of each score with each reference, in one grouped plan."""
+    """Pearson, Spearman and Kendall correlation of each score with each reference, in grouped plans."""
     f = analysis_frame(spark, sf_dir)
     cells = F.array(*[F.struct(F.concat(F.col("model"), F.lit(f"|{r}")).alias("cell"), F.col(r).alias("x")) for r in REFERENCES])
-    return rounded(A.spearman(f.select("score", F.inline(cells)).where("x IS NOT NULL"), "score", "x", "cell"))
+    long = f.select("score", F.inline(cells)).where("x IS NOT NULL")
+    r, tau = A.pearson(long, "score", "x", "cell").drop("n"), A.kendall(long, "score", "x", "cell").drop("n")
+    return rounded(A.spearman(long, "score", "x", "cell").join(r, "cell").join(tau, "cell"))
 
 
 CRITERIA = f"SELECT 'all' AS cell, item, avg(1 - correct) AS x FROM ixs WHERE split = 'test' GROUP BY item HAVING count(*) >= {LEAST} UNION ALL SELECT 'first', item, avg(1 - correct) FROM first_seen GROUP BY item HAVING count(*) >= {LEAST} UNION ALL SELECT 'learner', item, avg(e) FROM (SELECT item, learner, avg(1 - correct) AS e FROM ixs WHERE split = 'test' GROUP BY 1, 2) GROUP BY item HAVING count(*) >= {LEAST}"
-SCORED = "SELECT cell, round(x, 9) AS x, score FROM criteria JOIN scores USING (item) WHERE model = 'model_a'"
+SCORED = "SELECT cell, model, round(x, 9) AS x, score FROM criteria JOIN scores USING (item)"
 
 
-@query("m17_criterion_sensitivity", V.sql(_spearman_sql("score", "x", "scored", "cell"), "ixs", "scores", first_seen=FIRST, criteria=CRITERIA, scored=SCORED))
+@query("m17_criterion_sensitivity", V.sql(_spearman_sql("score", "x", "scored", "cell, model"), "ixs", "scores", first_seen=FIRST, criteria=CRITERIA, scored=SCORED))
 def m17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank correlation of a score with three error criteria."""
+    """Rank correlation of each score with three error criteria."""
     rows = V.ixs(spark, sf_dir).where("split = 'test'")
     wrong = 1 - F.col("correct")
     mean = lambda frame, x: frame.groupBy("item").agg(F.avg(x).alias("x"), count_rows().alias("n")).where(F.col("n") >= LEAST)
     views = {"all": mean(rows, wrong), "first": mean(rates.first_observed(rows, "ts", "event_id"), wrong), "learner": mean(rows.groupBy("item", "learner").agg(F.avg(wrong).alias("e")), F.col("e"))}
     long = reduce(DataFrame.unionByName, [v.select(F.lit(c).alias("cell"), "item", F.round("x", 9).alias("x")) for c, v in views.items()])
-    return rounded(A.spearman(long.join(V.scores(spark, sf_dir).where("model = 'model_a'"), "item"), "score", "x", "cell"))
+    return rounded(A.spearman(long.join(V.scores(spark, sf_dir), "item"), "score", "x", "cell", "model"))
 
 
-@query("m20_paired_seed_test", V.sql("SELECT condition, count(*) AS n, round(avg(d), 6) AS mean, round(avg(d) - 1.96 * stddev_samp(d) / sqrt(count(*)), 6) AS low, round(avg(d) + 1.96 * stddev_samp(d) / sqrt(count(*)), 6) AS high, round(avg(d) / stddev_samp(d), 4) AS cohen_d FROM deltas GROUP BY condition", "pred", seeded=SEEDED, deltas=DELTAS))
+TESTED = f"SELECT *, {P_DF4} AS p FROM (SELECT condition, count(*) AS n, avg(d) AS m, stddev_samp(d) AS s, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM deltas GROUP BY condition)"
+STEPPED = "SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, condition) + 1) * p) AS step FROM tested"
+
+
+@query("m20_paired_seed_test", V.sql("SELECT condition, n, round(m, 6) AS mean, round(m - 1.96 * s / sqrt(n), 6) AS low, round(m + 1.96 * s / sqrt(n), 6) AS high, round(m / s, 4) AS cohen_d, round(p, 6) AS p, round(max(step) OVER (ORDER BY p, condition ROWS UNBOUNDED PRECEDING), 6) AS p_holm FROM stepped", "pred", seeded=SEEDED, deltas=DELTAS, tested=TESTED, stepped=STEPPED))
 def m20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paired differences over seeds: mean, normal interval, Cohen's d."""
+    """Paired differences over five seeds: mean, normal interval, Cohen's d, p of the t test, and Holm's over the conditions."""
     mean, sd = F.avg("d"), F.stddev_samp("d")
     half = 1.96 * sd / F.sqrt(count_rows())
-    return seed_deltas(spark, sf_dir).groupBy("condition").agg(count_rows().alias("n"), r6(mean).alias("mean"), r6(mean - half).alias("low"), r6(mean + half).alias("high"), F.round(mean / sd, 4).alias("cohen_d"))
+    p = A.p_df4(mean / (sd / F.sqrt(count_rows())))
+    found = seed_deltas(spark, sf_dir).groupBy("condition").agg(count_rows().alias("n"), mean.alias("mean"), (mean - half).alias("low"), (mean + half).alias("high"), F.round(mean / sd, 4).alias("cohen_d"), p.alias("p"))
+    return rounded(A.holm(found.withColumn("family", F.lit("f")), "p", "family", ties=("condition",)).drop("family"))
 
 
 @query("m24_evidence_classification", V.sql(f"SELECT condition, CASE WHEN better AND strong THEN 'supported' WHEN better THEN 'suggestive' WHEN strong THEN 'harmful' ELSE 'inconclusive' END AS evidence FROM (SELECT condition, m < 0 AS better, {P_DF4} < 0.05 AS strong FROM (SELECT condition, avg(d) AS m, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM deltas GROUP BY condition))", "pred", seeded=SEEDED, deltas=DELTAS))
@@ -170,14 +179,14 @@ def m24(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONSENSUS = f"SELECT 'all' AS cell, item, avg(1 - correct) AS x FROM ix GROUP BY item HAVING count(*) >= {LEAST} UNION ALL SELECT 'agreed', item, avg(1 - correct) FROM ix WHERE event_id % 7 = 0 OR (correct = 1) = (response_time < 60) GROUP BY item HAVING count(*) >= {LEAST}"
 
 
-@query("m28_construct_sensitivity", V.sql(_spearman_sql("score", "x", "scored", "cell"), "ix", "scores", criteria=CONSENSUS, scored=SCORED))
+@query("m28_construct_sensitivity", V.sql(_spearman_sql("score", "x", "scored", "cell, model"), "ix", "scores", criteria=CONSENSUS, scored=SCORED))
 def m28(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same correlation on all rows and on those whose two sources agree; the outcome is a grouping key."""
     agreed = (F.pmod("event_id", F.lit(7)) == 0) | ((F.col("correct") == 1) == (F.col("response_time") < 60))
     cells = F.array_compact(F.array(F.lit("all"), F.when(agreed, F.lit("agreed"))))
     rows = V.ix(spark, sf_dir).select("item", "correct", F.explode(cells).alias("cell"))
     long = rows.groupBy("cell", "item").agg(F.round(F.avg(1 - F.col("correct")), 9).alias("x"), count_rows().alias("n")).where(F.col("n") >= LEAST)
-    return rounded(A.spearman(long.join(V.scores(spark, sf_dir).where("model = 'model_a'"), "item"), "score", "x", "cell"))
+    return rounded(A.spearman(long.join(V.scores(spark, sf_dir), "item"), "score", "x", "cell", "model"))
 
 
 @query("m29_ordinal_contrast", V.sql(_spearman_sql("rating", "smoothed", "(SELECT model, size // 10 AS rating, smoothed FROM frame)", "model"), *VIEWS, **FRAME_PARTS))

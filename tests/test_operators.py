@@ -153,3 +153,18 @@ def test_rasch_orders_items_and_drops_extremes(spark):
     rows = [(f"l{i}", item, int((i * 7 + k * 3) % 20 < cut)) for i in range(30) for item, cut in (("easy", 17), ("hard", 4)) for k in range(4)] + [(f"l{i}", "always", 1) for i in range(30)]
     found = {r["item"]: r.difficulty for r in fit_rasch(spark.createDataFrame(rows, "learner string, item string, correct int")).collect()}
     assert set(found) == {"easy", "hard"} and found["hard"] > found["easy"]
+
+
+@pytest.mark.parametrize("values", [3, 40, 1000])
+def test_kendall_equals_all_pairs(spark, values):
+    import random
+
+    draw = random.Random(values)
+    rows = [(f"c{i % 2}", draw.randrange(values), draw.randrange(values) / 7) for i in range(300)]
+    found = {r.cell: (r.n, r.tau) for r in A.kendall(spark.createDataFrame(rows, "cell string, x int, y double"), "x", "y", "cell").collect()}
+    sign = lambda a: (a > 0) - (a < 0)
+    for cell in ("c0", "c1"):
+        own = [(x, y) for c, x, y in rows if c == cell]
+        pairs = [(sign(a[0] - b[0]), sign(a[1] - b[1])) for i, a in enumerate(own) for b in own[:i]]
+        scale = (sum(x != 0 for x, _ in pairs) * sum(y != 0 for _, y in pairs)) ** 0.5
+        assert found[cell] == (len(own), pytest.approx(sum(x * y for x, y in pairs) / scale))
