@@ -10,6 +10,7 @@ from gaugewell.llm.decontamination import contaminated
 from gaugewell.llm.fingerprints import documents_with_classes
 from gaugewell.llm.html_extraction import extract_pages
 from gaugewell.llm.jaccard_join import jaccard_components
+from gaugewell.llm.merkle import document_manifest
 from gaugewell.llm.packing import packed_pieces
 from gaugewell.llm.substring_dedup import remove_repeats
 from gaugewell.llm.token_files import token_files_round_trip
@@ -41,6 +42,27 @@ t AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, t.b FROM r JOIN t ON r.b = t.a)
 SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, c AS component_id FROM s JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) ON a = s.doc_id"""
 
+#: CRC-32 of a list of byte values, by the table of its polynomial.
+_CRC_TABLE = "SELECT list_transform(range(0, 256), lambda i: list_reduce(list_concat([i], range(0, 8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END)) AS tab"
+_CRC = "xor(4294967295, list_reduce(list_concat([4294967295], {bytes}), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])))"
+_LEAF = "sha256(" + " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END" for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+_PARENTS = "list_transform(range(1, len(nodes) + 1, 2), lambda i: sha256(nodes[i] || coalesce(nodes[i + 1], '')))"
+MANIFEST_SQL = f"""
+WITH RECURSIVE crc AS MATERIALIZED ({_CRC_TABLE}),
+h AS (SELECT documents.*, {_CRC.format(bytes="list_transform(string_split(doc_id::VARCHAR, ''), lambda x: unicode(x)::BIGINT)")} % 7 = 0 AS hit FROM documents, crc),
+d AS MATERIALIZED (SELECT doc_id, coalesce('1' || lang, '0') AS grp, {_LEAF.format(n="n_chars")} AS leaf, CASE WHEN hit THEN {_LEAF.format(n="(n_chars + 1)")} ELSE {_LEAF.format(n="n_chars")} END AS changed FROM h),
+e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM d),
+t(grp, lv, nodes) AS (SELECT grp, 0, list(leaf ORDER BY p) FROM e GROUP BY grp UNION ALL SELECT grp, lv + 1, {_PARENTS} FROM t WHERE len(nodes) > 1),
+s AS MATERIALIZED (SELECT grp, nodes[1] AS subroot, row_number() OVER (ORDER BY grp) - 1 AS q, lv AS height FROM t WHERE len(nodes) = 1),
+u(lv, nodes) AS (SELECT 0, list(subroot ORDER BY q) FROM s UNION ALL SELECT lv + 1, {_PARENTS} FROM u WHERE len(nodes) > 1),
+v AS MATERIALIZED (SELECT grp, lv, nodes FROM t WHERE len(nodes) > 1 UNION ALL SELECT s.grp, height + u.lv, u.nodes FROM s, u WHERE len(u.nodes) > 1),
+f(doc_id, grp, p, lv, proof, digest) AS (SELECT doc_id, grp, p, 0, '', changed FROM e UNION ALL
+  SELECT f.doc_id, f.grp, CASE WHEN f.lv + 1 = s.height THEN s.q ELSE f.p // 2 END, f.lv + 1, proof || coalesce(v.nodes[xor(w, 1) + 1], ''),
+  sha256(CASE WHEN w % 2 = 0 THEN digest || coalesce(v.nodes[w + 2], '') ELSE v.nodes[w] || digest END)
+  FROM (SELECT f.*, CASE WHEN f.lv = 0 AND z.height = 0 THEN z.q ELSE f.p END AS w FROM f JOIN s z ON z.grp = f.grp) f JOIN v ON v.grp = f.grp AND v.lv = f.lv JOIN s ON s.grp = f.grp)
+SELECT e.doc_id, e.leaf, s.subroot, r.root, sha256(f.proof) AS proof_sha256, f.digest AS folded_root, f.digest = r.root AS verified
+FROM e JOIN s USING (grp) JOIN (SELECT doc_id, max_by(proof, lv) AS proof, max_by(digest, lv) AS digest FROM f GROUP BY doc_id) f USING (doc_id), (SELECT nodes[1] AS root FROM u WHERE len(nodes) = 1) r"""
+
 
 @CATALOG.query("op1_substring_dedup", REMOVAL_SQL)
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,3 +128,10 @@ def toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probabilities and decisions of the chain for every document."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit_chain(docs, table(spark, sf_dir, "labels")), "doc_id")
+
+
+@CATALOG.query("op13_merkle_manifest", MANIFEST_SQL)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, proof and folded root of every document, and whether it verifies after tampering."""
+    found = document_manifest(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
