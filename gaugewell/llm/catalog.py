@@ -12,6 +12,7 @@ from gaugewell.llm.html_extraction import extract_pages
 from gaugewell.llm.jaccard_join import jaccard_components
 from gaugewell.llm.merkle import document_manifest
 from gaugewell.llm.packing import packed_pieces
+from gaugewell.llm.spelling import spelling_groups
 from gaugewell.llm.substring_dedup import remove_repeats
 from gaugewell.llm.token_files import token_files_round_trip
 from gaugewell.plans.registry import Catalog
@@ -63,6 +64,20 @@ f(doc_id, grp, p, lv, proof, digest) AS (SELECT doc_id, grp, p, 0, '', changed F
 SELECT e.doc_id, e.leaf, s.subroot, r.root, sha256(f.proof) AS proof_sha256, f.digest AS folded_root, f.digest = r.root AS verified
 FROM e JOIN s USING (grp) JOIN (SELECT doc_id, max_by(proof, lv) AS proof, max_by(digest, lv) AS digest FROM f GROUP BY doc_id) f USING (doc_id), (SELECT nodes[1] AS root FROM u WHERE len(nodes) = 1) r"""
 
+_RUN_BYTES = "flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195, unicode(x)::BIGINT - 64] END))"
+SPELLING_SQL = f"""
+WITH RECURSIVE crc AS MATERIALIZED ({_CRC_TABLE}),
+r AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 6 GROUP BY 1, 2),
+h AS (SELECT run, c, {_CRC.format(bytes=_RUN_BYTES)} AS h FROM r, crc),
+w AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n, string_split(word, '') AS cs FROM (SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, c FROM h) WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+k AS (SELECT word, n, unnest(range(1, len(cs) + 1)) AS i FROM w),
+g AS MATERIALIZED (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS less FROM k),
+e AS (SELECT a.word AS a, b.word AS b, b.n AS m FROM g a JOIN g b ON a.less = b.less AND a.i = b.i AND a.word <> b.word UNION SELECT g.word, w.word, w.n FROM g JOIN w ON w.word = g.less UNION SELECT w.word, g.word, g.n FROM g JOIN w ON w.word = g.less),
+b AS (SELECT a AS word, count(*) AS n_near, max(m) AS m FROM e GROUP BY a),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.m >= 5 * w.n THEN b.m END AS form_n, CASE WHEN b.m >= 5 * w.n THEN (SELECT min(e.b) FROM e WHERE e.a = w.word AND e.m = b.m) END AS form FROM w LEFT JOIN b USING (word)),
+t(word, top) AS (SELECT word, word FROM f UNION ALL SELECT t.word, f.form FROM t JOIN f ON f.word = t.top WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, t.top AS root, f.n, f.n_near, f.form_n FROM f JOIN t USING (word) JOIN f z ON z.word = t.top WHERE z.form IS NULL"""
+
 
 @CATALOG.query("op1_substring_dedup", REMOVAL_SQL)
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,3 +150,9 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots, proof and folded root of every document, and whether it verifies after tampering."""
     found = document_manifest(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+@CATALOG.query("op11_spelling_variants", SPELLING_SQL)
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its near words' number, its form and its root."""
+    return spelling_groups(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
