@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugewell.llm import licenses, secrets, toxicity
+from gaugewell.llm import licenses, pii, secrets, toxicity
 from gaugewell.llm.decontamination import contaminated
 from gaugewell.llm.fingerprints import documents_with_classes
 from gaugewell.llm.html_extraction import extract_pages
@@ -156,3 +156,12 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every frequent word with its near words' number, its form and its root."""
     return spelling_groups(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@CATALOG.query("op12_personal_data")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, counted and listed by kind and span."""
+    found = pii.personal_data(table(spark, sf_dir, "documents"), "doc_id")
+    counts = [F.size(F.expr(f"filter(spans, s -> s.base and s.kind = '{kind}')")).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
