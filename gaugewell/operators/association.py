@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,13 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from gaugewell.operators.ranking import average_rank, centred_rank, joint, running
 
-def average_rank(rows: DataFrame, value: str, *cell: str, name: str) -> DataFrame:
-    """``rows`` with the average rank of ``value`` in its cell, ties sharing the mean of their ranks."""
-    counts = rows.groupBy(*cell, value).agg(F.count(F.lit(1)).alias("_ties"))
-    upto = F.sum("_ties").over(Window.partitionBy(*cell).orderBy(value))
-    ranks = counts.select(*cell, value, (upto - F.col("_ties") + (F.col("_ties") + 1) / 2).alias(name))
-    return rows.join(ranks, [*cell, value])
+__all__ = ["average_rank", "holm", "incomplete_beta", "kendall", "p_df4", "pearson", "spearman", "t_two_sided_p", "weighted_pearson", "with_rank_p"]
 
 
 def pearson(rows: DataFrame, x: str, y: str, *cell: str, least: int = 5) -> DataFrame:
@@ -26,32 +23,51 @@ def pearson(rows: DataFrame, x: str, y: str, *cell: str, least: int = 5) -> Data
     return found.select(*cell, "n", F.when(usable, F.col("_c") / (F.col("_x") * F.col("_y"))).alias("r"))
 
 
-def spearman(rows: DataFrame, x: str, y: str, *cell: str, least: int = 5) -> DataFrame:
-    """n and rank correlation per cell, with average ranks for ties."""
-    ranked = average_rank(average_rank(rows.select(*cell, x, y), x, *cell, name="_rx"), y, *cell, name="_ry")
-    return pearson(ranked, "_rx", "_ry", *cell, least=least).withColumnRenamed("r", "rho")
+def weighted_pearson(rows: DataFrame, x: str, y: str, weight: str, *cell: str, least: float = 5, name: str = "r") -> DataFrame:
+    """n, the sum of weights, and the correlation of rows that count ``weight`` times; null as in :func:`pearson`."""
+    w, both = F.col(weight), rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    total = lambda *f: F.sum(reduce(Column.__mul__, f, w.cast("double")))
+    sums = both.groupBy(*cell).agg(F.sum(w).alias("n"), total(F.col(x)).alias("_x"), total(F.col(y)).alias("_y"), total(F.col(x), F.col(y)).alias("_xy"), total(F.col(x), F.col(x)).alias("_xx"), total(F.col(y), F.col(y)).alias("_yy"))
+    spread = lambda a, b, ab: F.col(ab) - F.col(a) * F.col(b) / F.col("n")
+    # What cancels to nothing but rounding is no spread.
+    vx, vy = spread("_x", "_x", "_xx"), spread("_y", "_y", "_yy")
+    usable = (F.col("n") >= least) & (vx > 1e-12 * F.col("_xx")) & (vy > 1e-12 * F.col("_yy"))
+    return sums.select(*cell, "n", F.when(usable, spread("_x", "_y", "_xy") / F.sqrt(vx * vy)).alias(name))
+
+
+def spearman(rows: DataFrame, x: str, y: str, *cell: str, least: float = 5, weight: str | None = None) -> DataFrame:
+    """n and rank correlation per cell, with average ranks for ties, from the table of pairs of values.
+
+    With ``weight`` a row counts so many times. Rows that lack x or y are left out; rho is null with fewer than
+    ``least`` rows or a constant side.
+    """
+    table = joint(rows, x, y, *cell, weight=weight)
+    ranked = centred_rank(centred_rank(table, "_x", "_w", *cell, name="_rx"), "_y", "_w", *cell, name="_ry")
+    w, rx, ry = F.col("_w"), F.col("_rx"), F.col("_ry")
+    sums = ranked.groupBy(*cell).agg(F.sum(w).alias("n"), F.sum(w * rx * ry).alias("_c"), F.sum(w * rx * rx).alias("_vx"), F.sum(w * ry * ry).alias("_vy"))
+    usable = (F.col("n") >= least) & (F.col("_vx") > 0) & (F.col("_vy") > 0)
+    return sums.select(*cell, "n", F.when(usable, F.col("_c") / F.sqrt(F.col("_vx") * F.col("_vy"))).alias("rho"))
 
 
 def kendall(rows: DataFrame, x: str, y: str, *cell: str) -> DataFrame:
     """n and tau-b per cell. Pairs are not formed: two ranks of y first differ in one binary digit, and for each digit
     a running sum along x counts, among the ranks alike above it, those with a 0 there below and above each with a 1.
     """
-    table = rows.groupBy(*cell, x, y).agg(F.count(F.lit(1)).alias("c"))
-    ranked = table.withColumn("_r", F.dense_rank().over(Window.partitionBy(*cell).orderBy(y)).cast("long"))
-    digits = ranked.withColumn("_top", F.length(F.bin(F.max("_r").over(Window.partitionBy(*cell)))))
-    digits = digits.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_top") - 1)))
+    table = joint(rows, x, y, *cell)
+    values = table.select(*cell, "_y", F.lit(1).alias("_one")).distinct()
+    ranked = running(values, "_y", ("_one",), *cell).select(*cell, "_y", (F.col("_one_below") + 1).cast("long").alias("_r"), F.length(F.bin("_one_all")).alias("_top"))
+    digits = table.join(ranked, [*cell, "_y"]).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_top") - 1)))
     one = F.expr("shiftright(_r, _k) & 1") == 1
     same = [*cell, "_k", "_above"]
-    sums = digits.withColumn("_above", F.expr("shiftright(_r, _k + 1)")).groupBy(*same, x).agg(F.sum(F.when(one, F.col("c")).otherwise(0)).alias("_one"), F.sum(F.when(one, 0).otherwise(F.col("c"))).alias("_zero"))
-    upto = F.sum("_zero").over(Window.partitionBy(*same).orderBy(x))
-    every = F.sum("_zero").over(Window.partitionBy(*same))
-    score = sums.withColumn("_gap", (upto - F.col("_zero")) - (every - upto)).groupBy(*cell).agg(F.sum(F.col("_one") * F.col("_gap")).alias("s"))
-    tied = lambda col: table.groupBy(*cell, col).agg(F.sum("c").alias("t")).groupBy(*cell).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"tie_{col}"))
-    total = table.groupBy(*cell).agg(F.sum("c").alias("n"))
-    join = (lambda a, b: a.join(b, list(cell))) if cell else (lambda a, b: a.crossJoin(b))
-    both = join(join(join(score, tied(x)), tied(y)), total)
+    sums = digits.withColumn("_above", F.expr("shiftright(_r, _k + 1)")).groupBy(*same, "_x").agg(F.sum(F.when(one, F.col("_w")).otherwise(0)).alias("_ones"), F.sum(F.when(one, 0).otherwise(F.col("_w"))).alias("_zeros"))
+    gap = F.col("_zeros_below") - (F.col("_zeros_all") - F.col("_zeros_below") - F.col("_zeros"))
+    score = running(sums, "_x", ("_zeros",), *same).groupBy(*cell).agg(F.sum(F.col("_ones") * gap).alias("s"))
+    tied = lambda col: table.groupBy(*cell, col).agg(F.sum("_w").alias("t")).groupBy(*cell).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"tie{col}"))
+    total = table.groupBy(*cell).agg(F.sum("_w").alias("n"))
+    join = (lambda a, b: a.join(b, list(cell))) if cell else (lambda a, b: a.crossJoin(b))  # a row each without cells
+    both = join(join(join(score, tied("_x")), tied("_y")), total)
     pairs = F.col("n") * (F.col("n") - 1) / 2
-    scale = F.sqrt((pairs - F.col(f"tie_{x}")) * (pairs - F.col(f"tie_{y}")))
+    scale = F.sqrt((pairs - F.col("tie_x")) * (pairs - F.col("tie_y")))
     return both.select(*cell, "n", F.when(scale > 0, F.col("s") / scale).alias("tau"))
 
 

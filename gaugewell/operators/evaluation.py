@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugewell.operators.ranking import running
+
 CLIP = 1e-6
 BINS = 10
 
@@ -20,8 +22,8 @@ def binary_metrics(rows: DataFrame, *cell: str, clip: float = CLIP) -> DataFrame
 def roc_auc(rows: DataFrame, *cell: str) -> DataFrame:
     """Area under the ROC curve per cell, ties counted half; null with one class. From the histogram of ``p``."""
     counts = rows.groupBy(*cell, "p").agg(F.sum("y").alias("ones"), F.sum(1 - F.col("y")).alias("zeros"))
-    below = F.sum("zeros").over(Window.partitionBy(*cell).orderBy("p")) - F.col("zeros")
-    sums = counts.withColumn("won", F.col("ones") * (below + F.col("zeros") / 2)).groupBy(*cell).agg(F.sum("won").alias("won"), F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    won = F.col("ones") * (F.col("zeros_below") + F.col("zeros") / 2)
+    sums = running(counts, "p", ("zeros",), *cell).groupBy(*cell).agg(F.sum(won).alias("won"), F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     return sums.select(*cell, F.when((F.col("ones") > 0) & (F.col("zeros") > 0), F.col("won") / (F.col("ones") * F.col("zeros"))).alias("auc"))
 
 
