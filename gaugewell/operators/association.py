@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType
 
 from gaugewell.operators.ranking import average_rank, centred_rank, joint, running
 
-__all__ = ["average_rank", "holm", "incomplete_beta", "kendall", "p_df4", "pearson", "spearman", "t_two_sided_p", "weighted_pearson", "with_rank_p"]
+__all__ = ["average_rank", "holm", "incomplete_beta", "kendall", "p_df4", "pearson", "spearman", "spearman_of", "t_two_sided_p", "weighted_pearson", "with_rank_p"]
 
 
 def pearson(rows: DataFrame, x: str, y: str, *cell: str, least: int = 5) -> DataFrame:
@@ -41,7 +41,11 @@ def spearman(rows: DataFrame, x: str, y: str, *cell: str, least: float = 5, weig
     With ``weight`` a row counts so many times. Rows that lack x or y are left out; rho is null with fewer than
     ``least`` rows or a constant side.
     """
-    table = joint(rows, x, y, *cell, weight=weight)
+    return spearman_of(joint(rows, x, y, *cell, weight=weight), *cell, least=least)
+
+
+def spearman_of(table: DataFrame, *cell: str, least: float = 5) -> DataFrame:
+    """:func:`spearman` from the table of pairs of values (:func:`joint`)."""
     ranked = centred_rank(centred_rank(table, "_x", "_w", *cell, name="_rx"), "_y", "_w", *cell, name="_ry")
     w, rx, ry = F.col("_w"), F.col("_rx"), F.col("_ry")
     sums = ranked.groupBy(*cell).agg(F.sum(w).alias("n"), F.sum(w * rx * ry).alias("_c"), F.sum(w * rx * rx).alias("_vx"), F.sum(w * ry * ry).alias("_vy"))
@@ -72,10 +76,12 @@ def kendall(rows: DataFrame, x: str, y: str, *cell: str) -> DataFrame:
 
 
 def holm(rows: DataFrame, p: str, *family: str, ties: tuple[str, ...] = ()) -> DataFrame:
-    """``rows`` with ``p_holm``: the running maximum of min(1, (m - r) * p) in each family, p ascending."""
-    order = Window.partitionBy(*family).orderBy(p, *ties)
-    step = F.least(F.lit(1.0), (F.count(F.lit(1)).over(Window.partitionBy(*family)) - F.row_number().over(order) + 1) * F.col(p))
-    return rows.withColumn("_step", step).withColumn("p_holm", F.max("_step").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
+    """``rows`` with ``p_holm``: the running maximum of min(1, (m - r) * p) in each family, p ascending; a null p is no test."""
+    whole = Window.partitionBy(*family, F.col(p).isNull())
+    order = whole.orderBy(p, *ties)
+    step = F.least(F.lit(1.0), (F.count(F.lit(1)).over(whole) - F.row_number().over(order) + 1) * F.col(p))
+    upto = F.max("_step").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_step", step).withColumn("p_holm", F.when(F.col(p).isNotNull(), upto)).drop("_step")
 
 
 def p_df4(t: Column) -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugewell.sources.files import cut
+
 #: Buckets that the distinct values of all cells are cut into.
 BUCKETS = 64
 #: Accuracy of the quantiles: buckets differ by at most one in so many of all values.
@@ -25,8 +27,9 @@ def bucket_of(values: DataFrame, value: str, buckets: int | None = None) -> Data
 
 
 def running(values: DataFrame, value: str, amounts: tuple[str, ...], *cell: str, buckets: int | None = None) -> DataFrame:
-    """``values``, one row per cell and ``value``, with ``<amount>_below``, the sum over smaller values of the cell, and
+    """``values``, one row per cell and ``value`` and checkpointed, with ``<amount>_below``, the sum over smaller values of the cell, and
     ``<amount>_all``, the sum over the cell. Cells must not be null."""
+    values = cut(values)  # read for the quantiles, the totals and the windows
     keyed = bucket_of(values, value, buckets)
     inside = Window.partitionBy(*cell, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     totals = keyed.groupBy(*cell, "_bucket").agg(*[F.sum(a).alias(f"_{a}") for a in amounts])
@@ -54,6 +57,6 @@ def average_rank(rows: DataFrame, value: str, *cell: str, name: str) -> DataFram
 
 
 def joint(rows: DataFrame, x: str, y: str, *cell: str, weight: str | None = None) -> DataFrame:
-    """How often, or with what weight ``_w``, each pair of values occurs in each cell; pairs with a null are left out."""
+    """How often, or with what weight ``_w``, each pair of values occurs in each cell, checkpointed; pairs with a null are left out."""
     amount: Column = F.sum(weight) if weight else F.count(F.lit(1))
-    return rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*cell, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(amount.alias("_w"))
+    return cut(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*cell, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(amount.alias("_w")))

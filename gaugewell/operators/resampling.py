@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugewell.functions.hashing import hashed
-from gaugewell.operators.association import spearman, weighted_pearson
+from gaugewell.operators.association import holm, kendall, pearson, spearman, spearman_of, weighted_pearson, with_rank_p
+from gaugewell.operators.ranking import joint
 
 REPLICATES = 500
 #: Numbers of 32 bits in a digest, each for one replicate.
@@ -24,10 +25,11 @@ EDGES = tuple(int(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k
 def poisson_counts(rows: DataFrame, key: str, replicates: int = REPLICATES, stream: str = "boot") -> DataFrame:
     """``rows`` for each replicate ``b`` in which they count, with ``w``, how often: about 0.63 rows per row and replicate."""
     number = lambda j: F.conv(F.substring("_digest", 8 * j + 1, 8), 16, 10).cast("long")
-    times = lambda u: sum(((u >= e).cast("int") for e in EDGES[1:]), (u >= EDGES[0]).cast("int"))
+    edges = F.array(*[F.lit(e) for e in EDGES])
     dealt = rows.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // PER_DIGEST)))).withColumn("_digest", hashed(F.lit(stream), key, "_g"))
-    each = F.array(*[F.struct((F.col("_g") * PER_DIGEST + j).alias("b"), times(number(j)).alias("w")) for j in range(PER_DIGEST)])
-    return dealt.select(*rows.columns, F.inline(F.filter(each, lambda d: (d["w"] > 0) & (d["b"] < replicates))))
+    times = F.transform(F.array(*[number(j) for j in range(PER_DIGEST)]), lambda u: F.size(F.filter(edges, lambda e: e <= u)))
+    each = dealt.select(*rows.columns, "_g", F.posexplode(times).alias("_j", "w")).withColumn("b", F.col("_g") * PER_DIGEST + F.col("_j"))
+    return each.where((F.col("w") > 0) & (F.col("b") < replicates)).select(*rows.columns, "b", "w")
 
 
 def percentiles(rows: DataFrame, value: str, *cell: str, low: str, high: str, alpha: float = 0.05) -> DataFrame:
@@ -40,14 +42,28 @@ def intervals(rows: DataFrame, x: str, y: str, key: str, *cell: str, replicates:
     """95 % intervals of the correlation (``r_low``, ``r_high``) and of the rank correlation (``rho_low``, ``rho_high``) per cell,
     over resamples of ``key``, which no cell has twice."""
     drawn = poisson_counts(rows.select(*cell, key, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()), key, replicates)
+    table = joint(drawn, x, y, *cell, "b", weight="w")  # one shuffle for both kinds
     found = None
     for kind in kinds:
-        each = weighted_pearson(drawn, x, y, "w", *cell, "b") if kind == "r" else spearman(drawn, x, y, *cell, "b", weight="w")
+        each = weighted_pearson(table, "_x", "_y", "_w", *cell, "b") if kind == "r" else spearman_of(table, *cell, "b")
         part = percentiles(each, kind, *cell, low=f"{kind}_low", high=f"{kind}_high")
         found = part if found is None else found.join(part, list(cell))
     return found
 
 
+def correlation_table(rows: DataFrame, x: str, y: str, key: str, *cell: str, kinds: tuple[str, ...] = ("r", "rho"), tau: bool = False, replicates: int = REPLICATES) -> DataFrame:
+    """Per cell: n, the correlations of ``kinds`` (``r``, ``rho``) with 95 % intervals, ``tau`` if asked for, and of the rank
+    correlation its p and Holm's over all cells. Rows that lack x or y are left out; ``key`` is what is resampled."""
+    rows = rows.select(*cell, key, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    found = with_rank_p(spearman(rows, x, y, *cell))
+    if "r" in kinds:
+        found = found.join(pearson(rows, x, y, *cell).drop("n"), list(cell))
+    if tau:
+        found = found.join(kendall(rows, x, y, *cell).drop("n"), list(cell))
+    found = found.join(intervals(rows, x, y, key, *cell, replicates=replicates, kinds=kinds), list(cell), "left")
+    return holm(found.withColumn("_family", F.lit("all")), "p", "_family", ties=cell).drop("_family")
+
+
 def sql_counts(source: str, key: str, replicates: int = REPLICATES, stream: str = "boot") -> str:
     """SQL of the keys' counts: ``key``, ``b``, ``w``."""
     times = " + ".join(f"(u >= {e})::BIGINT" for e in EDGES)
@@ -79,3 +95,29 @@ def p_sql(t: str, df: str) -> str:
 def rank_p_sql(rho: str = "rho", n: str = "n") -> str:
     """SQL of the p of a rank correlation by the t approximation."""
     return f"CASE WHEN {rho} IS NOT NULL THEN " + p_sql(f"({rho} * sqrt(({n} - 2) / greatest(1 - {rho} * {rho}, 1e-300)))", f"({n} - 2)::BIGINT") + " END"
+
+
+def correlation_sql(long: str, cell: str, key: str = "item", kinds: tuple[str, ...] = ("r", "rho"), tau: str | None = None, more: str = "") -> tuple[str, dict[str, str]]:
+    """SQL of :func:`correlation_table` over the named table ``long`` (cell, key, x, y): the last query, and what goes before it.
+
+    ``tau`` is a query of cell and tau; ``more`` goes before the list of columns.
+    """
+    one = f"(SELECT *, 1 AS w FROM {long})"
+    parts = {
+        "counts": sql_counts(long, key),
+        "drawn": f"SELECT {cell}, b, x, y, sum(w) AS w FROM {long} JOIN counts USING ({key}) WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY {cell}, b, x, y",
+        "ranked": ranked_sql("x", "y", "drawn", f"{cell}, b"),
+        "rho_each": weighted_sql("rx", "ry", "ranked", f"{cell}, b", "rho"),
+        "r_each": weighted_sql("x", "y", "drawn", f"{cell}, b", "r"),
+        "point": f"SELECT * FROM (SELECT {cell}, count(*) AS n FROM {long} WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY {cell}) JOIN ({weighted_sql('rx', 'ry', '(' + ranked_sql('x', 'y', one, cell) + ')', cell, 'rho')}) USING ({cell}) JOIN ({weighted_sql('x', 'y', one, cell, 'r')}) USING ({cell})",
+        "tested": f"SELECT *, {rank_p_sql()} AS p FROM point",
+        "stepped": f"SELECT *, CASE WHEN p IS NOT NULL THEN max(least(1.0, (m - k + 1) * p)) OVER (PARTITION BY p IS NULL ORDER BY p, {cell} ROWS UNBOUNDED PRECEDING) END AS p_holm FROM (SELECT *, count(*) OVER (PARTITION BY p IS NULL) AS m, row_number() OVER (PARTITION BY p IS NULL ORDER BY p, {cell}) AS k FROM tested)",
+    }
+    for kind in kinds:
+        parts[f"{kind}_ends"] = f"SELECT {cell}, quantile_cont({kind}, 0.025) AS {kind}_low, quantile_cont({kind}, 0.975) AS {kind}_high FROM {kind}_each GROUP BY {cell}"
+    columns = ["n", *[f"round({kind}{end}, 6) AS {kind}{end}" for kind in kinds for end in ("", "_low", "_high")], "round(p, 6) AS p", "round(p_holm, 6) AS p_holm"]
+    joins = "".join(f" LEFT JOIN {kind}_ends USING ({cell})" for kind in kinds)
+    if tau is not None:
+        columns.append("tau")
+        joins += f" LEFT JOIN (SELECT {cell}, tau FROM ({tau})) USING ({cell})"
+    return f"SELECT {more}{cell}, {', '.join(columns)} FROM stepped{joins}", parts

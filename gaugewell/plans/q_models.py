@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugewell.functions.hashing import hash_number, hashed
 from gaugewell.operators import association as A
-from gaugewell.operators import evaluation, rates, ridge
+from gaugewell.operators import evaluation, rates, resampling, ridge
 from gaugewell.plans.q_rates import FIRST, LEAST, RANK, count_rows, held_out, r6
 from gaugewell.plans.q_tables import FRAME_PARTS, PAIR, RUNS, analysis_frame, runs
 from gaugewell.plans.registry import Catalog
@@ -34,15 +34,9 @@ def _spearman_sql(x: str, y: str, frame: str = "frame", cell: str = "model") ->
     return f"SELECT {cell}, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM (SELECT {cell}, {RANK.format(c=cell, x=x)} AS rx, {RANK.format(c=cell, x=y)} AS ry FROM {frame}) GROUP BY {cell}"
 
 
-@query("m2_spearman_p", V.sql(_spearman_sql("score", "smoothed"), *VIEWS, **FRAME_PARTS))
+@query("m2_spearman_p", V.sql(f"SELECT model, n, round(rho, 6) AS rho, round({resampling.rank_p_sql()}, 6) AS p FROM (" + _spearman_sql("score", "smoothed").replace("round(corr(rx, ry), 6)", "corr(rx, ry)") + ")", *VIEWS, **FRAME_PARTS))
 def m2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank correlation; its p value is left to ``association.with_rank_p``, which SQL has no twin for."""
-    return rounded(A.spearman(analysis_frame(spark, sf_dir), "score", "smoothed", "model"))
-
-
-@query("m2_rank_p_values")
-def m2p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank correlations with their two-sided p values."""
+    """Rank correlation with its two-sided p."""
     return rounded(A.with_rank_p(A.spearman(analysis_frame(spark, sf_dir), "score", "smoothed", "model")))
 
 
@@ -55,36 +49,32 @@ def m3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.kendall(analysis_frame(spark, sf_dir), "score", "smoothed", "model"))
 
 
-BOOTS = 500
-_DRAW = "CAST('0x' || substr(sha256('boot|' || b || '|' || r), 1, 8) AS BIGINT) % n"
-BOOT = f"SELECT model, b, f.score, f.smoothed FROM (SELECT model, b, {_DRAW} AS pick FROM (SELECT model, n, r FROM numbered), (SELECT unnest(range(0, {BOOTS})) AS b)) JOIN numbered f USING (model) WHERE f.r = pick"
-NUMBERED = "SELECT model, item, score, smoothed, chars, row_number() OVER (PARTITION BY model ORDER BY item) - 1 AS r, count(*) OVER (PARTITION BY model) AS n FROM frame"
+def correlated(long: str, cell: str, *views: str, kinds: tuple[str, ...] = ("r", "rho"), tau: bool = False, **more: str) -> str:
+    """SQL twin of ``resampling.correlation_table`` over a query of the cell, item, x and y."""
+    body, parts = resampling.correlation_sql("long", cell, kinds=kinds, tau=KENDALL.format(c=cell, x="x", y="y", f="long") if tau else None)
+    return V.sql(body, *views, **more, long=long, **parts)
 
 
-def resampled(frame: DataFrame, *columns: str, replicates: int = BOOTS) -> DataFrame:
-    """Item bootstrap per model: draw r of replicate b is the row whose number is a hash of (b, r) modulo n."""
-    by = Window.partitionBy("model")
-    numbered = frame.select("model", *columns, (F.row_number().over(by.orderBy("item")) - 1).alias("r"), count_rows().over(by).alias("n"))
-    draws = numbered.select("model", "n", "r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-    picks = draws.select("model", "b", F.pmod(hash_number(hashed(F.lit("boot"), "b", "r")), F.col("n")).alias("r"))
-    return picks.join(numbered.drop("n"), ["model", "r"])
+@query("m4_bootstrap_corr_ci", V.sql("SELECT model, " + ", ".join(f"round({k}_{e}, 6) AS {k}_{e}" for k in ("r", "rho") for e in ("low", "high")) + " FROM r_ends JOIN rho_ends USING (model)", *VIEWS, **FRAME_PARTS, long="SELECT model, item, score AS x, smoothed AS y FROM frame", **resampling.correlation_sql("long", "model")[1]))
+def m4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentile intervals of both correlations over 500 item resamples."""
+    return rounded(resampling.intervals(analysis_frame(spark, sf_dir), "score", "smoothed", "item", "model"))
 
 
-@query("m4_bootstrap_corr_ci", V.sql("SELECT model, round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high FROM (SELECT model, b, corr(score, smoothed) AS r FROM boot GROUP BY 1, 2) GROUP BY model", *VIEWS, **FRAME_PARTS, numbered=NUMBERED, boot=BOOT))
-def m4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentile interval of the correlation over item resamples."""
-    each = A.pearson(resampled(analysis_frame(spark, sf_dir), "score", "smoothed"), "score", "smoothed", "model", "b")
-    q = lambda p: F.percentile("r", F.lit(p))
-    return rounded(each.groupBy("model").agg(q(0.025).alias("low"), q(0.975).alias("high")))
+DIFFERENCE = {"long": "SELECT model, item, price, score, smoothed FROM frame JOIN (SELECT item, price FROM items) USING (item)", "counts": resampling.sql_counts("long", "item"), "drawn": "SELECT * FROM long JOIN counts USING (item)"}
+for _name in ("price", "smoothed"):
+    _ranked = resampling.ranked_sql("score", _name, "drawn", "model, b")
+    DIFFERENCE[f"by_{_name}"] = resampling.weighted_sql("rx", "ry", f"({_ranked})", "model, b", f"rho_{_name}")
 
 
-@query("m5_bootstrap_corr_difference", V.sql("SELECT model, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high FROM (SELECT model, b, corr(score, size) - corr(score, smoothed) AS d FROM (SELECT boot.*, price AS size FROM boot) GROUP BY 1, 2) GROUP BY model", *VIEWS, **FRAME_PARTS, numbered=NUMBERED.replace("chars,", "price,").replace("FROM frame", "FROM frame JOIN (SELECT item, price FROM items) USING (item)"), boot=BOOT.replace("f.smoothed FROM", "f.smoothed, f.price FROM")))
+@query("m5_bootstrap_corr_difference", V.sql("SELECT model, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high, round(avg(d), 6) AS mean FROM (SELECT model, rho_price - rho_smoothed AS d FROM by_price JOIN by_smoothed USING (model, b)) GROUP BY model", *VIEWS, **FRAME_PARTS, **DIFFERENCE))
 def m5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval of the difference of two correlations on the same resamples."""
+    """Interval of the difference of two rank correlations of the score, with a surface feature and with error, on the same resamples."""
     frame = analysis_frame(spark, sf_dir).join(V.items(spark, sf_dir).select("item", "price"), "item")
-    each = resampled(frame, "score", "smoothed", "price").groupBy("model", "b").agg((F.corr("score", "price") - F.corr("score", "smoothed")).alias("d"))
-    q = lambda p: F.percentile("d", F.lit(p))
-    return rounded(each.groupBy("model").agg(q(0.025).alias("low"), q(0.975).alias("high")))
+    drawn = resampling.poisson_counts(frame.select("model", "item", "score", "price", "smoothed"), "item")
+    sides = [A.spearman(drawn, "score", y, "model", "b", weight="w").select("model", "b", F.col("rho").alias(f"rho_{y}")) for y in ("price", "smoothed")]
+    gap = sides[0].join(sides[1], ["model", "b"]).withColumn("d", F.col("rho_price") - F.col("rho_smoothed"))
+    return rounded(resampling.percentiles(gap, "d", "model", low="low", high="high").join(gap.groupBy("model").agg(F.avg("d").alias("mean")), "model"))
 
 
 def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,12 +106,21 @@ def m6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(whole)
 
 
-@query("m12_rq1_feature_bivariate", V.sql("SELECT model, feature, n, rho FROM (" + _spearman_sql("x", "y", "long", "model, feature") + ")", "scores", "items", long="SELECT model, feature, x, score AS y FROM (SELECT item, 'size' AS feature, size::DOUBLE AS x FROM items UNION ALL SELECT item, 'price', price FROM items) JOIN scores USING (item)"))
+FEATURES = ("size", "price", "chars", "domain")
+FEATURE_LONG = "SELECT model, feature, item, x, score AS y FROM (" + " UNION ALL ".join(f"SELECT item, '{f}' AS feature, {x}::DOUBLE AS x FROM items" for f, x in zip(FEATURES, ("size", "price", "length(text)", "length(domain)"), strict=True)) + ") JOIN scores USING (item)"
+
+
+def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item's features as rows, with both scores: item, feature, x, model, score."""
+    values = {"size": F.col("size"), "price": F.col("price"), "chars": F.length("text"), "domain": F.length("domain")}
+    each = F.array(*[F.struct(F.lit(name).alias("feature"), values[name].cast("double").alias("x")) for name in FEATURES])
+    return V.items(spark, sf_dir).select("item", F.inline(each)).join(V.scores(spark, sf_dir), "item")
+
+
+@query("m12_rq1_feature_bivariate", correlated(FEATURE_LONG, "model, feature", "scores", "items", kinds=("rho",)))
 def m12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank correlation of each score with each feature."""
-    features = F.array(F.struct(F.lit("size").alias("feature"), F.col("size").cast("double").alias("x")), F.struct(F.lit("price").alias("feature"), F.col("price").alias("x")))
-    long = V.items(spark, sf_dir).select("item", F.inline(features)).join(V.scores(spark, sf_dir), "item")
-    return rounded(A.spearman(long, "x", "score", "model", "feature"))
+    """Rank correlation of each score with each feature, with interval, p and Holm's p over all."""
+    return rounded(resampling.correlation_table(feature_rows(spark, sf_dir), "x", "score", "item", "model", "feature", kinds=("rho",)))
 
 
 @query("m14_calibration", V.sql("SELECT model, round(regr_slope(error, score), 6) AS slope, round(regr_intercept(error, score), 6) AS intercept, count(*) AS n FROM scores JOIN (SELECT item, avg(1 - correct)::DOUBLE AS error FROM ix_big GROUP BY item) USING (item) GROUP BY model", "ix_big", "scores"))
@@ -254,13 +253,11 @@ def a19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(s.groupBy("condition").agg(F.avg("log_loss").alias("log_loss"), F.stddev_samp("log_loss").alias("log_loss_sd"), F.avg("brier").alias("brier")))
 
 
-@query("t8_strongest_feature", V.sql("SELECT model, max_by(feature, strength) AS feature, round(max(strength), 6) AS strength FROM (SELECT model, feature, abs(corr(x, score)) AS strength FROM (SELECT item, 'size' AS feature, size::DOUBLE AS x FROM items UNION ALL SELECT item, 'price', price FROM items) JOIN scores USING (item) GROUP BY 1, 2) GROUP BY model", "scores", "items"))
+@query("t8_strongest_feature", V.sql("SELECT model, arg_max(feature, (abs(rho), feature)) AS feature, round(max(abs(rho)), 6) AS strength FROM (" + resampling.weighted_sql("rx", "ry", "(" + resampling.ranked_sql("x", "y", f"(SELECT *, 1 AS w FROM ({FEATURE_LONG}))", "model, feature") + ")", "model, feature", "rho") + ") WHERE rho IS NOT NULL GROUP BY model", "scores", "items"))
 def t8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feature that goes with each score most."""
-    features = F.array(F.struct(F.lit("size").alias("feature"), F.col("size").cast("double").alias("x")), F.struct(F.lit("price").alias("feature"), F.col("price").alias("x")))
-    long = V.items(spark, sf_dir).select("item", F.inline(features)).join(V.scores(spark, sf_dir), "item")
-    s = long.groupBy("model", "feature").agg(F.abs(F.corr("x", "score")).alias("strength"))
-    return rounded(s.groupBy("model").agg(F.max_by("feature", "strength").alias("feature"), F.max("strength").alias("strength")))
+    """The feature that each score goes with most, by rank correlation; of equal ones the last by name."""
+    s = A.spearman(feature_rows(spark, sf_dir), "x", "score", "model", "feature").where("rho IS NOT NULL").withColumn("strength", F.abs("rho"))
+    return rounded(s.groupBy("model").agg(F.max_by("feature", F.struct("strength", "feature")).alias("feature"), F.max("strength").alias("strength")))
 
 
 @query("j15_evidence_matrix_join", V.sql("SELECT model, round(corr(score, smoothed), 6) AS held_out_r, round(corr(score, train_error), 6) AS train_r, count(*) AS n FROM frame GROUP BY model", *VIEWS, **FRAME_PARTS))

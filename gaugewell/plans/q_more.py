@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from gaugewell.functions.hashing import hash_number, hash_rank, hashed
 from gaugewell.operators import association as A
-from gaugewell.operators import evaluation, rates, ridge
-from gaugewell.plans.q_models import DELTAS, KENDALL, P_DF4, SEEDED, VIEWS, _spearman_sql, folded, rounded, seed_deltas
+from gaugewell.operators import evaluation, rates, resampling, ridge
+from gaugewell.plans.q_models import DELTAS, P_DF4, SEEDED, VIEWS, correlated, folded, rounded, seed_deltas
 from gaugewell.plans.q_rates import FIRST, LEAST, count_rows, r6
 from gaugewell.plans.q_tables import FRAME_PARTS, analysis_frame
 from gaugewell.plans.registry import Catalog
@@ -124,34 +124,46 @@ def m13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(both.select("feature", "r2_whole", (F.col("r2_whole") - F.col("r2")).alias("drop")))
 
 
-REFERENCES = ("smoothed", "train_error")
-REFERENCE_SQL = f"SELECT cell, n, r, rho, tau FROM ({_spearman_sql('score', 'x', 'long', 'cell')}) JOIN (SELECT cell, round(corr(score, x), 6) AS r FROM long GROUP BY cell) USING (cell) JOIN (SELECT cell, tau FROM ({KENDALL.format(c='cell', x='score', y='x', f='long')})) USING (cell)"
-LONG = " UNION ALL ".join(f"SELECT model || '|{r}' AS cell, score, {r} AS x FROM frame WHERE {r} IS NOT NULL" for r in REFERENCES)
+#: Errors of an item by other responses than its score is tested on in the frame: column, rows, and whether smoothed.
+REFERENCES = {
+    "test_raw": ("SELECT * FROM ixs WHERE split = 'test'", False), "test_smoothed": ("SELECT * FROM ixs WHERE split = 'test'", True),
+    "oracle_smoothed": ("SELECT * FROM ixs", True), "train_smoothed": ("SELECT * FROM ixs WHERE split = 'train'", True),
+    "first_raw": ("SELECT * FROM first_seen", False), "first_smoothed": ("SELECT * FROM first_seen", True),
+}
+LONG = " UNION ALL ".join(
+    f"SELECT model, '{name}' AS reference, item, score AS x, round({'(k + 1.0) / (n + 2.0)' if smooth else 'k * 1.0 / n'}, 9)::DOUBLE AS y FROM (SELECT item, count(*) AS n, sum(1 - correct) AS k FROM ({rows}) GROUP BY item HAVING count(*) >= {LEAST}) JOIN scores USING (item)"
+    for name, (rows, smooth) in REFERENCES.items()
+)
 
 
-@query("m16_convergent_validity_table", V.sql(REFERENCE_SQL, *VIEWS, **FRAME_PARTS, long=LONG))
+@query("m16_convergent_validity_table", correlated(LONG, "model, reference", "ixs", "scores", tau=True, first_seen=FIRST))
 def m16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pearson, Spearman and Kendall correlation of each score with each reference, in grouped plans."""
-    f = analysis_frame(spark, sf_dir)
-    cells = F.array(*[F.struct(F.concat(F.col("model"), F.lit(f"|{r}")).alias("cell"), F.col(r).alias("x")) for r in REFERENCES])
-    long = f.select("score", F.inline(cells)).where("x IS NOT NULL")
-    r, tau = A.pearson(long, "score", "x", "cell").drop("n"), A.kendall(long, "score", "x", "cell").drop("n")
-    return rounded(A.spearman(long, "score", "x", "cell").join(r, "cell").join(tau, "cell"))
+    """Pearson, Spearman and Kendall correlation of each score with six references, with intervals, p and Holm's p over all."""
+    rows = V.ixs(spark, sf_dir)
+    test = F.col("split") == "test"
+    each = rows.select("item", "correct", F.explode(F.array_compact(F.array(F.lit("oracle"), F.when(test, "test"), F.when(F.col("split") == "train", "train")))).alias("part"))
+    first = rates.first_observed(rows.where(test), "ts", "event_id").select("item", "correct", F.lit("first").alias("part"))
+    counts = each.unionByName(first).groupBy("part", "item").agg(count_rows().alias("n"), F.sum(1 - F.col("correct")).alias("k")).where(F.col("n") >= LEAST)
+    smooth = F.struct(F.concat("part", F.lit("_smoothed")).alias("reference"), F.round(rates.beta_smoothed("k", "n"), 9).alias("y"))
+    raw = F.when(F.col("part").isin("test", "first"), F.struct(F.concat("part", F.lit("_raw")).alias("reference"), F.round(F.col("k") / F.col("n"), 9).alias("y")))
+    long = counts.select("item", F.inline(F.array_compact(F.array(smooth, raw)))).join(V.scores(spark, sf_dir), "item")
+    return rounded(resampling.correlation_table(long, "score", "y", "item", "model", "reference", tau=True))
 
 
-CRITERIA = f"SELECT 'all' AS cell, item, avg(1 - correct) AS x FROM ixs WHERE split = 'test' GROUP BY item HAVING count(*) >= {LEAST} UNION ALL SELECT 'first', item, avg(1 - correct) FROM first_seen GROUP BY item HAVING count(*) >= {LEAST} UNION ALL SELECT 'learner', item, avg(e) FROM (SELECT item, learner, avg(1 - correct) AS e FROM ixs WHERE split = 'test' GROUP BY 1, 2) GROUP BY item HAVING count(*) >= {LEAST}"
-SCORED = "SELECT cell, model, round(x, 9) AS x, score FROM criteria JOIN scores USING (item)"
+CRITERIA = f"SELECT 'all' AS criterion, item, count(*) AS n, avg(1 - correct) AS y FROM ixs WHERE split = 'test' GROUP BY item HAVING count(*) >= {LEAST} UNION ALL SELECT 'first', item, count(*), avg(1 - correct) FROM first_seen GROUP BY item HAVING count(*) >= {LEAST} UNION ALL SELECT 'learner', item, count(*), avg(e) FROM (SELECT item, learner, avg(1 - correct) AS e FROM ixs WHERE split = 'test' GROUP BY 1, 2) GROUP BY item HAVING count(*) >= {LEAST}"
+SCORED = "SELECT criterion, model, item, n AS records, round(y, 9) AS y, score AS x FROM criteria JOIN scores USING (item)"
 
 
-@query("m17_criterion_sensitivity", V.sql(_spearman_sql("score", "x", "scored", "cell, model"), "ixs", "scores", first_seen=FIRST, criteria=CRITERIA, scored=SCORED))
+@query("m17_criterion_sensitivity", correlated(SCORED, "criterion, model", "ixs", "scores", kinds=("rho",), first_seen=FIRST, criteria=CRITERIA).replace(" FROM stepped", ", least_records, median_records FROM stepped JOIN (SELECT criterion, model, min(records) AS least_records, quantile_cont(records, 0.5)::DOUBLE AS median_records FROM long GROUP BY 1, 2) USING (criterion, model)"))
 def m17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank correlation of each score with three error criteria."""
+    """Rank correlation of each score with three error criteria, with interval, p, Holm's p and the records per item."""
     rows = V.ixs(spark, sf_dir).where("split = 'test'")
     wrong = 1 - F.col("correct")
-    mean = lambda frame, x: frame.groupBy("item").agg(F.avg(x).alias("x"), count_rows().alias("n")).where(F.col("n") >= LEAST)
+    mean = lambda frame, x: frame.groupBy("item").agg(F.avg(x).alias("y"), count_rows().alias("n")).where(F.col("n") >= LEAST)
     views = {"all": mean(rows, wrong), "first": mean(rates.first_observed(rows, "ts", "event_id"), wrong), "learner": mean(rows.groupBy("item", "learner").agg(F.avg(wrong).alias("e")), F.col("e"))}
-    long = reduce(DataFrame.unionByName, [v.select(F.lit(c).alias("cell"), "item", F.round("x", 9).alias("x")) for c, v in views.items()])
-    return rounded(A.spearman(long.join(V.scores(spark, sf_dir), "item"), "score", "x", "cell", "model"))
+    long = reduce(DataFrame.unionByName, [v.select(F.lit(c).alias("criterion"), "item", "n", F.round("y", 9).alias("y")) for c, v in views.items()]).join(V.scores(spark, sf_dir), "item")
+    records = long.groupBy("criterion", "model").agg(F.min("n").alias("least_records"), F.percentile("n", F.lit(0.5)).alias("median_records"))
+    return rounded(resampling.correlation_table(long, "score", "y", "item", "criterion", "model", kinds=("rho",)).join(records, ["criterion", "model"]))
 
 
 TESTED = f"SELECT *, {P_DF4} AS p FROM (SELECT condition, count(*) AS n, avg(d) AS m, stddev_samp(d) AS s, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM deltas GROUP BY condition)"
@@ -176,24 +188,31 @@ def m24(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("condition", F.when(better & strong, "supported").when(better, "suggestive").when(strong, "harmful").otherwise("inconclusive").alias("evidence"))
 
 
-CONSENSUS = f"SELECT 'all' AS cell, item, avg(1 - correct) AS x FROM ix GROUP BY item HAVING count(*) >= {LEAST} UNION ALL SELECT 'agreed', item, avg(1 - correct) FROM ix WHERE event_id % 7 = 0 OR (correct = 1) = (response_time < 60) GROUP BY item HAVING count(*) >= {LEAST}"
+CONSENSUS = f"SELECT 'all' AS outcome, item, avg(1 - correct) AS y FROM ix GROUP BY item HAVING count(*) >= {LEAST} UNION ALL SELECT 'agreed', item, avg(1 - correct) FROM ix WHERE event_id % 7 = 0 OR (correct = 1) = (response_time < 60) GROUP BY item HAVING count(*) >= {LEAST}"
 
 
-@query("m28_construct_sensitivity", V.sql(_spearman_sql("score", "x", "scored", "cell, model"), "ix", "scores", criteria=CONSENSUS, scored=SCORED))
+@query("m28_construct_sensitivity", correlated("SELECT outcome, model, item, round(y, 9) AS y, score AS x FROM criteria JOIN scores USING (item)", "outcome, model", "ix", "scores", kinds=("rho",), criteria=CONSENSUS))
 def m28(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same correlation on all rows and on those whose two sources agree; the outcome is a grouping key."""
+    """The same rank correlation on all rows and on those whose two sources agree, with interval, p and Holm's p; the outcome is a grouping key."""
     agreed = (F.pmod("event_id", F.lit(7)) == 0) | ((F.col("correct") == 1) == (F.col("response_time") < 60))
     cells = F.array_compact(F.array(F.lit("all"), F.when(agreed, F.lit("agreed"))))
-    rows = V.ix(spark, sf_dir).select("item", "correct", F.explode(cells).alias("cell"))
-    long = rows.groupBy("cell", "item").agg(F.round(F.avg(1 - F.col("correct")), 9).alias("x"), count_rows().alias("n")).where(F.col("n") >= LEAST)
-    return rounded(A.spearman(long.join(V.scores(spark, sf_dir), "item"), "score", "x", "cell", "model"))
+    rows = V.ix(spark, sf_dir).select("item", "correct", F.explode(cells).alias("outcome"))
+    long = rows.groupBy("outcome", "item").agg(F.round(F.avg(1 - F.col("correct")), 9).alias("y"), count_rows().alias("n")).where(F.col("n") >= LEAST)
+    return rounded(resampling.correlation_table(long.join(V.scores(spark, sf_dir), "item"), "score", "y", "item", "outcome", "model", kinds=("rho",)))
 
 
-@query("m29_ordinal_contrast", V.sql(_spearman_sql("rating", "smoothed", "(SELECT model, size // 10 AS rating, smoothed FROM frame)", "model"), *VIEWS, **FRAME_PARTS))
+RATED = f"SELECT item, p_size // 10 AS rating, (k + 1.0) / (n + 2.0) AS error FROM part JOIN (SELECT item, count(*) AS n, sum(1 - correct) AS k FROM ix GROUP BY item HAVING count(*) >= {LEAST}) ON p_partkey = item"
+CONTRASTED = "SELECT 'error' AS contrast, item, rating AS x, round(error, 9)::DOUBLE AS y FROM rated UNION ALL SELECT model, item, rating, score FROM rated JOIN scores USING (item)"
+
+
+@query("m29_ordinal_contrast", correlated(CONTRASTED, "contrast", "ix", "scores", kinds=("rho",), tau=True, rated=RATED))
 def m29(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank correlation of an ordinal rating with error."""
-    f = analysis_frame(spark, sf_dir).withColumn("rating", F.floor(F.col("size") / 10))
-    return rounded(A.spearman(f, "rating", "smoothed", "model"))
+    """Rank correlation and Kendall's tau of an ordinal rating with error and with each score, with interval, p and Holm's p."""
+    e = V.ix(spark, sf_dir).groupBy("item").agg(count_rows().alias("n"), F.sum(1 - F.col("correct")).alias("k")).where(F.col("n") >= LEAST)
+    rated = e.join(V.items(spark, sf_dir), "item").select("item", F.floor(F.col("size") / 10).alias("rating"), F.round(rates.beta_smoothed("k", "n"), 9).alias("error"))
+    own = rated.select(F.lit("error").alias("contrast"), "item", "rating", F.col("error").alias("y"))
+    other = rated.join(V.scores(spark, sf_dir), "item").select(F.col("model").alias("contrast"), "item", "rating", F.col("score").alias("y"))
+    return rounded(resampling.correlation_table(own.unionByName(other), "rating", "y", "item", "contrast", kinds=("rho",), tau=True))
 
 
 @query("k12_condition_model_grid")
