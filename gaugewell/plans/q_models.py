@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from gaugewell.functions.hashing import hash_number, hashed
 from gaugewell.operators import association as A
-from gaugewell.operators import evaluation, rates, resampling, ridge
+from gaugewell.operators import evaluation, isotonic, rates, resampling, ridge
 from gaugewell.plans.q_rates import FIRST, LEAST, RANK, count_rows, held_out, r6
 from gaugewell.plans.q_tables import FRAME_PARTS, PAIR, RUNS, analysis_frame, runs
 from gaugewell.plans.registry import Catalog
 from gaugewell.sources import views as V
+from gaugewell.sources.files import cut
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -123,12 +124,35 @@ def m12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(resampling.correlation_table(feature_rows(spark, sf_dir), "x", "score", "item", "model", "feature", kinds=("rho",)))
 
 
-@query("m14_calibration", V.sql("SELECT model, round(regr_slope(error, score), 6) AS slope, round(regr_intercept(error, score), 6) AS intercept, count(*) AS n FROM scores JOIN (SELECT item, avg(1 - correct)::DOUBLE AS error FROM ix_big GROUP BY item) USING (item) GROUP BY model", "ix_big", "scores"))
+CALIBRATED = {
+    "f": "SELECT model, item, score AS x, smoothed::DOUBLE AS y, CAST('0x' || substr(sha256('2024|' || item), 1, 8) AS BIGINT) % 5 AS fold FROM frame",
+    "folds": "SELECT unnest(range(0, 5)) AS k",
+    "h": "SELECT model, k, x, count(*) AS n, sum(y) AS s FROM f, folds WHERE fold <> k GROUP BY ALL",
+    "c": "SELECT *, sum(n) OVER w AS cn, sum(s) OVER w AS cs, row_number() OVER w AS i FROM h WINDOW w AS (PARTITION BY model, k ORDER BY x)",
+    "means": "SELECT a.model, a.k, a.i AS first, b.i AS last, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) AS m FROM c a JOIN c b ON a.model = b.model AND a.k = b.k AND a.i <= b.i",
+    "lows": "SELECT model, k, last AS i, min(m) OVER (PARTITION BY model, k, first ORDER BY last DESC ROWS UNBOUNDED PRECEDING) AS low FROM means",
+    "fit": "SELECT c.model, c.k, c.x, g FROM c JOIN (SELECT model, k, i, max(low) AS g FROM lows GROUP BY ALL) USING (model, k, i)",
+    "sides": "SELECT f.model, f.item, f.x, f.y, f.fold, max(CASE WHEN fit.x <= f.x THEN fit.x END) AS x0, min(CASE WHEN fit.x >= f.x THEN fit.x END) AS x1 FROM f LEFT JOIN fit ON fit.model = f.model AND fit.k = f.fold GROUP BY ALL",
+    "iso": "SELECT s.model, s.item, s.y, CASE WHEN x0 IS NULL THEN b.g WHEN x1 IS NULL OR x1 = x0 THEN a.g ELSE a.g + (b.g - a.g) * (s.x - x0) / (x1 - x0) END AS p FROM sides s LEFT JOIN fit a ON a.model = s.model AND a.k = s.fold AND a.x = x0 LEFT JOIN fit b ON b.model = s.model AND b.k = s.fold AND b.x = x1",
+    "lines": "SELECT model, k, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM f, folds WHERE fold <> k GROUP BY ALL",
+}
+
+
+@query("m14_calibration", V.sql("SELECT * FROM (SELECT model, count(*) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept FROM f GROUP BY model) JOIN (SELECT f.model, round(avg((y - intercept - slope * x) * (y - intercept - slope * x)), 6) AS linear_mse FROM f JOIN lines ON lines.model = f.model AND k = fold GROUP BY f.model) USING (model) JOIN (SELECT model, round(avg(abs(y - p)), 6) AS isotonic_residual, round(avg((y - p) * (y - p)), 6) AS isotonic_mse FROM iso GROUP BY model) USING (model)", *VIEWS, **FRAME_PARTS, **CALIBRATED))
 def m14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Linear calibration of error on score."""
-    e = rates.error_rates(V.ix_big(spark, sf_dir), "item").select("item", "error")
-    rows = V.scores(spark, sf_dir).join(e, "item")
-    return rounded(rows.groupBy("model").agg(F.regr_slope("error", "score").alias("slope"), F.regr_intercept("error", "score").alias("intercept"), count_rows().alias("n")))
+    """Calibration of error on score: the line, its out-of-fold squared error, and those of an out-of-fold isotonic fit."""
+    fold = F.pmod(hash_number(hashed(2024, "item")), F.lit(5)).cast("int")
+    rows = cut(analysis_frame(spark, sf_dir).select("model", "item", F.col("score").alias("x"), F.col("smoothed").cast("double").alias("y"), fold.alias("fold")))
+    # Each point trains the four folds that are not its own.
+    others = F.explode(F.filter(F.array(*[F.lit(k) for k in range(5)]), lambda k: k != F.col("fold"))).alias("k")
+    train = rows.select("model", "x", "y", others)
+    points = train.groupBy("model", "k", "x").agg(count_rows().alias("weight"), F.sum("y").alias("total"))
+    fitted = isotonic.predict_isotonic(rows.withColumnRenamed("fold", "k"), isotonic.fit_isotonic(points, "model", "k"), "x", "model", "k")
+    lines = train.groupBy("model", "k").agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"))
+    off, line = F.col("y") - F.col("fitted"), F.col("y") - F.col("a") - F.col("b") * F.col("x")
+    found = fitted.join(lines, ["model", "k"]).groupBy("model").agg(F.avg(line * line).alias("linear_mse"), F.avg(F.abs(off)).alias("isotonic_residual"), F.avg(off * off).alias("isotonic_mse"))
+    whole = rows.groupBy("model").agg(count_rows().alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
+    return rounded(whole.join(found, "model"))
 
 
 @query("m15_meta_summary", V.sql("SELECT count(*) AS k, round(sum(m / v) / sum(1 / v), 6) AS pooled, round(sum(m * m / v) - sum(m / v) * sum(m / v) / sum(1 / v), 4) AS q FROM (SELECT condition, avg(log_loss) AS m, var_samp(log_loss) / count(*) AS v FROM runs GROUP BY condition)", "pred", runs=RUNS))
