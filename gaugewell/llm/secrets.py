@@ -51,13 +51,15 @@ RULES = (
     Rule("pem", 2, PEM, 0, 1, "-----BEGIN "),
     Rule("github", 2, r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, "gh"),
     Rule("chat", 2, r"xox[abeprs]-[A-Za-z0-9-]{10,}", 0, 1, "xox"),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, "eyJ"),
+    # A run that is no token is taken whole, with an empty group: what starts later in it is none either.
+    Rule("jwt", 2, r"eyJ(?:([A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)|[A-Za-z0-9_-]*+)", 1, 1, "eyJ"),
 )
 BASE = ("assign", "access", "hex")
 #: The DuckDB twin has the base rules as the contract states them, and no atomic groups: it differs on texts that hold
 #: a key's body or longer tokens.
 TWIN_PATTERNS = {
     "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+", "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "github": r"gh[pousr]_[A-Za-z0-9]{36,255}", "chat": r"xox[abeprs]-[A-Za-z0-9-]{10,255}",
+    "jwt": r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})",
 }
 SPAN = "array<struct<start:long,rank:int,end:long,kind:string>>"
 PAIRS = "blob binary, pairs array<struct<rule:string,version:int>>"
@@ -158,7 +160,7 @@ def read_ledger(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
 
 
 def scan_into(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """Scan what the ledger in ``folder`` lacks of ``versions``, append to it, and return all its findings.
+    """Scan what the ledger in ``folder`` lacks of ``versions``, append to it, and return its findings of them.
 
     ``blob`` and ``spans`` of every blob with findings under the versions of ``rules``, sorted by start, then in the
     order of the rules. Findings are appended before the pairs that vouch for them: a run that breaks off between
@@ -170,7 +172,11 @@ def scan_into(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES,
     found.write.mode("append").parquet(f"{folder}/findings")
     pairs.write.mode("append").parquet(f"{folder}/pairs")
     current = F.broadcast(spark.createDataFrame([(r.kind, r.version, rank) for rank, r in enumerate(rules)], "rule string, version int, rank int"))  # one row per rule
-    findings = spark.read.schema(FINDINGS).parquet(f"{folder}/findings").distinct().join(current, ["rule", "version"])
+    findings = spark.read.schema(FINDINGS).parquet(f"{folder}/findings")
+    if known:
+        # An older ledger may have findings of blobs that this run does not hold.
+        findings = findings.join(versions.select(content_address(F.col(text_col)).alias("blob")).distinct(), "blob", "left_semi")
+    findings = findings.distinct().join(current, ["rule", "version"])
     spans = F.array_sort(F.collect_list(F.struct("start", "rank", "end", F.col("rule").alias("kind"))))
     return findings.groupBy("blob").agg(spans.alias("spans"))
 
