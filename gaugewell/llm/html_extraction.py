@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -47,11 +47,42 @@ CHROME_NAMES = frozenset(
 EDGE_NAMES = frozenset("footer header masthead topbar".split())
 
 
-def is_chrome(node: Node, in_article: bool) -> bool:
-    """Whether the page marks ``node`` as something other than its article."""
-    if node.tag in CHROME_TAGS or node.role in CHROME_ROLES or not CHROME_NAMES.isdisjoint(node.names):
-        return not (node.tag in ("article", "main", "body", "html") and node.role not in CHROME_ROLES and CHROME_NAMES.isdisjoint(node.names))
-    return not in_article and (node.tag == "header" or not EDGE_NAMES.isdisjoint(node.names)) and node.tag not in ("article", "main", "body", "html")
+PAGE_TAGS = frozenset("article main body html".split())
+#: Chrome tags that some pages put around all of themselves.
+WRAPPERS = frozenset("form fieldset".split())
+
+
+def is_chrome(node: Node, in_article: bool, holds_main: Callable[[Node], bool]) -> bool:
+    """Whether the page marks ``node`` as something other than its article.
+
+    Page, main part and article are what their tags say, save for an article whose class or id as a whole is a chrome word
+    (a comment). Elsewhere such a name marks chrome; a word in a longer name, and a form, do so unless ``holds_main``: the
+    element is around most of the page's marked text.
+    """
+    if node.tag in PAGE_TAGS:
+        return node.tag == "article" and (node.role in CHROME_ROLES or not CHROME_NAMES.isdisjoint(node.says))
+    if node.role in CHROME_ROLES or not CHROME_NAMES.isdisjoint(node.says) or node.tag in CHROME_TAGS:
+        return not (node.tag in WRAPPERS or node.role == "form") or not CHROME_NAMES.isdisjoint(node.says) or not holds_main(node)
+    if not CHROME_NAMES.isdisjoint(node.hints):
+        return not holds_main(node)
+    return not in_article and (node.tag == "header" or not EDGE_NAMES.isdisjoint(node.says) or not EDGE_NAMES.isdisjoint(node.hints) and not holds_main(node))
+
+
+def marked_letters(root: Node) -> dict[int, int]:
+    """Of each element, by its ``id``, the letters in articles and main parts in it or around it that are no chrome themselves."""
+    found: dict[int, int] = {}
+    todo: list = [(root, False, False)]
+    while todo:
+        node, inside, ready = todo.pop()
+        own = inside or is_main(node) and not (node.tag == "article" and is_chrome(node, False, lambda _: True))
+        if ready:
+            found[id(node)] = sum((len(x) if own else 0) if isinstance(x, str) else found[id(x)] for x in node.parts)
+        elif node.tag in RAW:
+            found[id(node)] = 0
+        else:
+            todo.append((node, inside, True))
+            todo += [(x, own, False) for x in node.parts if not isinstance(x, str)]
+    return found
 
 
 def is_main(node: Node) -> bool:
@@ -87,6 +118,13 @@ class Text:
 def text_blocks(root: Node) -> list[Text]:
     """The blocks of a page outside marked chrome, in page order; an article in an article belongs to the outer one."""
     blocks = [Text(0, None, False)]
+    letters: dict[int, int] = {}
+
+    def holds_main(node: Node) -> bool:
+        if not letters:
+            letters.update(marked_letters(root))
+        return 2 * letters[id(node)] > letters[id(root)]
+
     todo: list = [(root, 0, None, False, False, True)]
     while todo:
         node, path, article, exact, link, opening = todo.pop()
@@ -103,7 +141,7 @@ def text_blocks(root: Node) -> list[Text]:
         if node.tag == "br":
             blocks[-1].parts.append(" ")
             continue
-        if is_chrome(node, article is not None):
+        if is_chrome(node, article is not None, holds_main):
             continue
         held = exact
         if node.tag in BLOCK:

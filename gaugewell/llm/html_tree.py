@@ -23,19 +23,36 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
+WORD = re.compile(r"[a-z0-9]+")
+NOTHING: frozenset[str] = frozenset()
+#: Words of names that tell what an element has, lacks or does, and not what it is.
+STATES = frozenset("no not non has have with without is hide hidden show shows open closed enabled disabled supports".split())
+
+
 class Node:
-    """An element: its tag, the words of its class and id, its role or item property, and what it holds in order."""
+    """An element: its tag, the words of its class and id, those that say what it is, its role or item property, and what it holds.
 
-    __slots__ = ("tag", "names", "role", "parts")
+    ``says`` has the names that are one word, ``hints`` the words of longer names, but for those that only tell what the
+    element has or lacks (``no-sidebar``, ``has-comments``).
+    """
+
+    __slots__ = ("tag", "names", "says", "hints", "role", "parts")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
         self.tag, self.role, self.parts = tag, "", []
         names: list[str] = []
+        self.says, self.hints = NOTHING, NOTHING
         if attributes and "=" in attributes:
             for key, *values in ATTRIBUTE.findall(attributes):
                 value = html.unescape("".join(values)).lower()
                 if key.lower() in ("class", "id"):
-                    names += re.findall(r"[a-z0-9]+", value)
+                    for name in value.split():
+                        words = WORD.findall(name)
+                        names += words
+                        if len(words) == 1:
+                            self.says = self.says | {words[0]}
+                        elif words and STATES.isdisjoint(words):
+                            self.hints = self.hints.union(words)
                 else:
                     self.role = value.strip()
         self.names = names
@@ -54,13 +71,20 @@ def parse(source: str) -> Node:
     """The tree of a page. End tags that are missing, crossed or left over are put right; nothing is rejected."""
     root = Node("#page")
     stack, at, lower = [root], 0, None
-    opened: Counter = Counter()
+    # Depths of the open elements of each tag, and of all open blocks: what is closed is found without a walk.
+    where: dict[str, list[int]] = {}
+    blocks: list[int] = []
 
     def close_from(depth: int) -> None:
-        opened.subtract(x.tag for x in stack[depth:])
+        for x in reversed(stack[depth:]):
+            where[x.tag].pop()
+            if x.tag in BLOCK:
+                blocks.pop()
         del stack[depth:]
 
-    for found in TOKEN.finditer(source):
+    # Past the last ">" no tag ends, and a search for its end would run through the rest at every "<".
+    last = source.rfind(">") + 1
+    for found in TOKEN.finditer(source, 0, last):
         if found.start() < at:
             continue
         if found.start() > at:
@@ -68,24 +92,21 @@ def parse(source: str) -> Node:
         at = found.end()
         tag = found.group(2) or found.group(5)
         if tag is None:
+            if at == last and source.startswith("<!--", found.start()) and not source.endswith("-->", found.start(), at):
+                at = len(source)
             continue
         tag = tag.lower()
         if found.group(1) or found.group(4):
-            # An end tag without a start costs nothing, however deep the page is.
-            depth = len(stack) - 1 if opened[tag] else 0
-            while depth and stack[depth].tag != tag and not (tag not in BLOCK and stack[depth].tag in BLOCK):
-                depth -= 1
-            if depth and stack[depth].tag == tag:
-                close_from(depth)
+            open_ = where.get(tag)
+            # The end of an inline element does not close a block around which it was opened.
+            if open_ and (tag in BLOCK or not blocks or blocks[-1] < open_[-1]):
+                close_from(open_[-1])
             continue
         if tag in BLOCK:
             close, limits = CLOSES.get(tag, (frozenset(("p",)), frozenset(("article", "div", "section", "td", "th", "li", "body", "table", "button"))))
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag in close:
-                    close_from(depth)
-                    break
-                if stack[depth].tag in limits:
-                    break
+            nearest = max((where[t][-1] for t in close if where.get(t)), default=0)
+            if nearest and nearest > max((where[t][-1] for t in limits if where.get(t)), default=0):
+                close_from(nearest)
         node = Node(tag, found.group(3) or found.group(6) or "")
         stack[-1].parts.append(node)
         if tag in VOID or (found.group(3) or "").endswith("/") and tag not in BLOCK:
@@ -96,10 +117,16 @@ def parse(source: str) -> Node:
             close = lower.find(">", end) if end >= 0 else -1
             at = close + 1 if close >= 0 else len(source)
             continue
-        opened[tag] += 1
+        where.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            blocks.append(len(stack))
         stack.append(node)
     if at < len(source):
-        stack[-1].parts.append(source[at:])
+        # A declaration that does not end takes the rest.
+        rest = re.search(r"<[!?]", source[at:])
+        text = source[at : at + rest.start()] if rest else source[at:]
+        if text:
+            stack[-1].parts.append(text)
     return root
 
 

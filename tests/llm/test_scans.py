@@ -592,3 +592,42 @@ def test_pipeline_stages(spark):
 def test_blob_address_is_the_content_hash(spark):
     row = frame(spark, [(1, "a")]).select(F.hex(secrets.content_address(F.col("text"))).alias("h")).first()
     assert row.h.lower() == hashlib.sha256(b"a").hexdigest()
+
+
+ARTICLE = "<p>" + "The story goes on and on. " * 20 + "</p>"
+MENU = "<nav><a href=/>home</a></nav><div class=sidebar>links here</div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='single no-sidebar'>{m}<article>{a}</article></body>", "<div class='content with-sidebar'>{m}<article>{a}</article></div>", "<article class='post has-comments'>{a}</article>{m}",
+        "<main id=content-widget>{a}</main>{m}", "<form action=x>{m}<article>{a}</article></form>", "<div class=sidebar-layout>{m}<article>{a}</article></div>",
+        "<article>{a}</article><section class=comments><article class=comment>so true</article></section>{m}", "<article>{a}</article><aside class=related><article>another</article></aside>{m}",
+    ],
+)
+def test_marks_of_containers_do_not_blank_pages(page):
+    assert html_extraction.extract(page.format(m=MENU, a=ARTICLE)) == ("The story goes on and on. " * 20).strip()
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "', "<a '", "<ul>", "<b>", "<b><i>", "<!--", "<![CDATA[", "<p><button><b>", "<li><div>", "</i><b>", "<a >"])
+def test_parsing_is_linear(part):
+    for end in ("", "</i>" * 50_000, ">", "<h1>" * 50_000):
+        began = time.monotonic()
+        parse(part * (600_000 // len(part)) + end)
+        assert time.monotonic() - began < 12
+
+
+def test_unfinished_ends():
+    said = lambda source: [x for x in parse(source).parts if isinstance(x, str)]
+    assert said("a <!-- b > c") == ["a "] and said("a <!doctype b") == ["a "] and said("a <b c") == ["a <b c"] and said("a > b") == ["a > b"]
+
+
+def test_runs_of_token_starts_are_linear(spark):
+    token = "eyJhbGciOiJI.eyJzdWIiOiIx.abcdefgh"
+    texts = ["eyJ" * 700_000, "eyJaaaaaaaaa" * 50_000 + ".", f"x {token} eyJ {token}.tail eyJshort.{token}", "eyJ" * 9 + ".a." + token]
+    began = time.monotonic()
+    found = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "jwt"] for r in secrets.redact_documents(frame(spark, list(enumerate(texts))), "doc_id").collect()}
+    assert time.monotonic() - began < 90
+    plain = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    assert not found[0] and not found[1] and all(found[i] == [m.span() for m in plain.finditer(texts[i])] for i in (2, 3)) and len(found[2]) == 3
