@@ -155,12 +155,15 @@ def m14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(whole.join(found, "model"))
 
 
-@query("m15_meta_summary", V.sql("SELECT count(*) AS k, round(sum(m / v) / sum(1 / v), 6) AS pooled, round(sum(m * m / v) - sum(m / v) * sum(m / v) / sum(1 / v), 4) AS q FROM (SELECT condition, avg(log_loss) AS m, var_samp(log_loss) / count(*) AS v FROM runs GROUP BY condition)", "pred", runs=RUNS))
+@query("m15_meta_summary", V.sql("SELECT k, round(pooled, 6) AS pooled, round(1 / sqrt(w), 6) AS se, round(q, 4) AS q, round(greatest(0.0, 1 - (k - 1) / q), 4) AS i2, round(greatest(0.0, (q - (k - 1)) / (w - ww / w)), 6) AS tau2, round(low, 6) AS low, round(high, 6) AS high FROM (SELECT count(*) AS k, sum(1 / v) AS w, sum(1 / v / v) AS ww, sum(m / v) / sum(1 / v) AS pooled, sum(m * m / v) - sum(m / v) * sum(m / v) / sum(1 / v) AS q, min(m) AS low, max(m) AS high FROM (SELECT condition, avg(log_loss) AS m, var_samp(log_loss) / count(*) AS v FROM runs GROUP BY condition))", "pred", runs=RUNS))
 def m15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inverse-variance pooled loss of the conditions, and Cochran's Q."""
+    """Inverse-variance pooled loss of the conditions with its error, Cochran's Q, I2, tau2 and the range."""
     each = runs(spark, sf_dir).groupBy("condition").agg(F.avg("log_loss").alias("m"), (F.var_samp("log_loss") / count_rows()).alias("v"))
-    w, wm, wmm = F.sum(1 / F.col("v")), F.sum(F.col("m") / F.col("v")), F.sum(F.col("m") * F.col("m") / F.col("v"))
-    return each.agg(count_rows().alias("k"), r6(wm / w).alias("pooled"), F.round(wmm - wm * wm / w, 4).alias("q"))
+    m, v = F.col("m"), F.col("v")
+    sums = each.agg(count_rows().alias("k"), F.sum(1 / v).alias("w"), F.sum(1 / v / v).alias("ww"), F.sum(m / v).alias("wm"), F.sum(m * m / v).alias("wmm"), F.min("m").alias("low"), F.max("m").alias("high"))
+    q, w, df = F.col("wmm") - F.col("wm") * F.col("wm") / F.col("w"), F.col("w"), F.col("k") - 1
+    i2, tau2 = F.greatest(F.lit(0.0), 1 - df / q), F.greatest(F.lit(0.0), (q - df) / (w - F.col("ww") / w))
+    return sums.select("k", r6(F.col("wm") / w).alias("pooled"), r6(1 / F.sqrt(w)).alias("se"), F.round(q, 4).alias("q"), F.round(i2, 4).alias("i2"), r6(tau2).alias("tau2"), r6("low").alias("low"), r6("high").alias("high"))
 
 
 AGREED = "SELECT 'x' AS cell, a AS u, b AS v FROM pairs"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gaugewell.functions.hashing import hash_number, hash_rank, hashed
 from gaugewell.operators import association as A
-from gaugewell.operators import evaluation, rates, resampling, ridge
+from gaugewell.operators import evaluation, randomisation, rates, resampling, ridge
 from gaugewell.plans.q_models import DELTAS, P_DF4, SEEDED, VIEWS, correlated, folded, rounded, seed_deltas
 from gaugewell.plans.q_rates import FIRST, LEAST, count_rows, r6
 from gaugewell.plans.q_tables import FRAME_PARTS, analysis_frame
@@ -109,6 +109,19 @@ def m11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.agg(r6((1 + F.count_if(F.col("s") >= F.col("o") - 1e-12)) / (count_rows() + 1.0)).alias("p"), count_rows().alias("permutations"))
 
 
+@query("m11_randomisation_100k")
+def m11_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label swap test at B = 100,000 for six hypotheses, three conditions by two losses against base, with Holm's p."""
+    clipped = F.least(F.greatest("p", F.lit(evaluation.CLIP)), F.lit(1 - evaluation.CLIP))
+    losses = {"brier": F.pow(F.col("p") - F.col("y"), 2), "log_loss": -(F.col("y") * F.log(clipped) + (1 - F.col("y")) * F.log(1 - clipped))}
+    each = F.array(*[F.struct(F.lit(name).alias("loss"), value.alias("v")) for name, value in losses.items()])
+    means = V.pred(spark, sf_dir).select("condition", "item", F.inline(each)).groupBy("loss", "item", "condition").agg(F.avg("v").alias("v"))
+    base = means.where("condition = 'base'").select("loss", "item", F.col("v").alias("base"))
+    gaps = means.where("condition <> 'base'").join(base, ["loss", "item"]).withColumn("d", F.col("base") - F.col("v"))
+    found = randomisation.sign_test(gaps, "item", "d", "condition", "loss")
+    return rounded(A.holm(found.withColumn("family", F.lit("f")), "p", "family", ties=("condition", "loss")).drop("family"))
+
+
 @query("m13_rq1_feature_model")
 def m13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score as outcome: out-of-fold R2, and its drop when each feature is dealt to items anew."""

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugewell.operators import association as A
-from gaugewell.operators import evaluation, isotonic, ranking, resampling
+from gaugewell.operators import evaluation, isotonic, randomisation, ranking, resampling
 
 
 def test_running_totals_do_not_depend_on_buckets(spark):
@@ -99,3 +99,20 @@ def test_isotonic_against_max_min(spark):
             assert row.fitted == pytest.approx(np.interp(row.x, own[:, 0], level))
     assert all(row.fitted is None for row in found if row.cell == 9)
     assert math.isclose(sum(b.weight for b in blocks.collect()), sum(p[2] for p in points))
+
+
+def test_sign_test_against_all_sign_choices(spark):
+    r = np.random.default_rng(5)
+    rows = [("a", k, float(v)) for k, v in enumerate(r.normal(0.4, 1, 12))] + [("b", k, float(v)) for k, v in enumerate(r.normal(0, 1, 9))] + [("b", 99, None), ("c", 1, 0.5)]
+    found = {x.c: x for x in randomisation.sign_test(spark.createDataFrame(rows, "c string, k long, d double").repartition(5), "k", "d", "c").collect()}
+    for c, n in (("a", 12), ("b", 9), ("c", 1)):
+        d = np.array([v for cell, _, v in rows if cell == c and v is not None])
+        signs = 1 - 2 * ((np.arange(1 << n)[:, None] >> np.arange(n)) & 1)
+        exact = (np.abs(signs @ d) >= abs(d.sum()) - 1e-12).mean()
+        assert found[c].n == n and found[c].mean == pytest.approx(d.mean()) and abs(found[c].p - exact) < 5 * max(found[c].se, 1e-5)
+        assert found[c].se == pytest.approx(math.sqrt(found[c].p * (1 - found[c].p) / randomisation.REPLICATES))
+
+
+def test_sign_bits_are_even_and_independent():
+    bits = randomisation.sign_bits(np.arange(40), 50_000).astype(float)
+    assert np.abs(bits.mean(1) - 0.5).max() < 0.012 and np.abs(np.corrcoef(bits) - np.eye(40)).max() < 0.03
