@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugewell.functions.hashing import hash_number, hashed
 from gaugewell.operators import association as A
-from gaugewell.operators import evaluation, isotonic, rates, resampling, ridge
+from gaugewell.operators import evaluation, isotonic, mixed_ridge, rates, resampling, ridge
 from gaugewell.plans.q_rates import FIRST, LEAST, RANK, count_rows, held_out, r6
 from gaugewell.plans.q_tables import FRAME_PARTS, PAIR, RUNS, analysis_frame, runs
 from gaugewell.plans.registry import Catalog
@@ -41,6 +41,12 @@ def m2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.with_rank_p(A.spearman(analysis_frame(spark, sf_dir), "score", "smoothed", "model")))
 
 
+@query("m2_rank_p_values", CATALOG.oracles["m2_spearman_p"])
+def m2p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlations with their two-sided p values."""
+    return m2(spark, sf_dir)
+
+
 KENDALL = "SELECT a.{c}, any_value(z.n) AS n, round(sum(sign(b.{x} - a.{x}) * sign(b.{y} - a.{y})) / 2 / sqrt((any_value(z.n) * (any_value(z.n) - 1) / 2.0 - any_value(tx)) * (any_value(z.n) * (any_value(z.n) - 1) / 2.0 - any_value(ty))), 6) AS tau FROM {f} a JOIN {f} b USING ({c}) JOIN (SELECT {c}, count(*) AS n FROM {f} GROUP BY {c}) z USING ({c}) JOIN (SELECT {c}, sum(t * (t - 1) / 2.0) AS tx FROM (SELECT {c}, count(*) AS t FROM {f} GROUP BY {c}, {x}) GROUP BY {c}) USING ({c}) JOIN (SELECT {c}, sum(t * (t - 1) / 2.0) AS ty FROM (SELECT {c}, count(*) AS t FROM {f} GROUP BY {c}, {y}) GROUP BY {c}) USING ({c}) GROUP BY a.{c}"
 
 
@@ -86,25 +92,39 @@ def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(s, "item").join(f, "item").withColumn("fold", F.pmod(hash_number(hashed(2024, "item")), F.lit(5)).cast("int"))
 
 
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`folded` with more features, some of them missing, three categories, and two outcomes as cells."""
+    p = V.table(spark, sf_dir, "part")
+    number = F.regexp_extract("p_brand", "[0-9]+", 0).cast("int")
+    more = p.select(
+        F.col("p_partkey").alias("item"), F.length("p_type").alias("kind_chars"), F.length(F.substring_index("p_name", " ", 1)).alias("first_chars"), F.length(F.regexp_replace("p_name", "[^aeiou]", "")).alias("vowels"),
+        F.when(number % 7 != 0, number).alias("options"), F.substring("p_brand", 1, 7).alias("format"), F.col("p_type").alias("domain"), F.substring_index("p_name", " ", 1).alias("level"),
+    )
+    known = V.ixs(spark, sf_dir).where("split = 'train'").groupBy("item").agg(F.log1p(count_rows()).alias("log_train"))
+    raw = rates.error_rates(V.ix_big(spark, sf_dir), "item").select("item", "error")
+    rows = folded(spark, sf_dir).join(more, "item").join(known, "item", "left").join(raw, "item")
+    outcomes = F.array(F.struct(F.lit("smoothed").alias("outcome"), F.col("y").alias("value")), F.struct(F.lit("raw").alias("outcome"), F.col("error").alias("value")))
+    return rows.select("fold", *SURFACE, "model_a", "model_b", *CATEGORIES, F.inline(outcomes))
+
+
+SURFACE = ("chars", "kind_chars", "first_chars", "vowels", "options", "log_train")
+CATEGORIES = ("format", "domain", "level")
+
+
 @query("m9_ridge_delta_r2")
 def m9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold R2 without and with a score, and the increment."""
-    rows = folded(spark, sf_dir).withColumn("cell", F.lit("all"))
-    base = ridge.out_of_fold_r2(rows, "y", ("chars", "price"), "cell").select("cell", "n", F.col("r2").alias("r2_base"))
-    more = ridge.out_of_fold_r2(rows, "y", ("chars", "price", "model_a"), "cell").select("cell", F.col("r2").alias("r2_more"))
-    return rounded(base.join(more, "cell").withColumn("delta", F.col("r2_more") - F.col("r2_base")))
+    """Out-of-fold fit on six shared numbers without and with each score, and the differences in R2, RMSE and MAE."""
+    sets = {"base": SURFACE, "model_a": (*SURFACE, "model_a"), "model_b": (*SURFACE, "model_b")}
+    found = mixed_ridge.out_of_fold(mixed(spark, sf_dir).where("outcome = 'smoothed'"), "value", (*SURFACE, "model_a", "model_b"), (), sets, "outcome")
+    return rounded(mixed_ridge.increments(found, "base", "outcome").where("spec <> 'base'"))
 
 
 @query("m6_ridge_oof_increment")
 def m6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold R2 and RMSE of nested feature sets."""
-    rows = folded(spark, sf_dir).withColumn("cell", F.lit("all"))
-    sets = {"A": ("chars", "price"), "B": ("chars", "price", "model_a"), "C": ("chars", "price", "model_b"), "D": ("chars", "price", "model_a", "model_b")}
-    parts = [ridge.out_of_fold_r2(rows, "y", features, "cell").select(F.lit(name).alias("spec"), "n", "r2", "rmse") for name, features in sets.items()]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return rounded(whole)
+    """Out-of-fold R2, RMSE and MAE of four feature sets on numbers and categories, for two outcomes, and their gain over the first."""
+    sets = {"A": SURFACE, "B": (*SURFACE, "model_a"), "C": (*SURFACE, "model_b"), "D": (*SURFACE, "model_a", "model_b")}
+    found = mixed_ridge.out_of_fold(mixed(spark, sf_dir), "value", (*SURFACE, "model_a", "model_b"), CATEGORIES, sets, "outcome")
+    return rounded(mixed_ridge.increments(found, "A", "outcome"))
 
 
 FEATURES = ("size", "price", "chars", "domain")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugewell.operators import association as A
-from gaugewell.operators import evaluation, isotonic, randomisation, ranking, resampling
+from gaugewell.operators import evaluation, isotonic, mixed_ridge, randomisation, ranking, resampling
 
 
 def test_running_totals_do_not_depend_on_buckets(spark):
@@ -116,3 +116,36 @@ def test_sign_test_against_all_sign_choices(spark):
 def test_sign_bits_are_even_and_independent():
     bits = randomisation.sign_bits(np.arange(40), 50_000).astype(float)
     assert np.abs(bits.mean(1) - 0.5).max() < 0.012 and np.abs(np.corrcoef(bits) - np.eye(40)).max() < 0.03
+
+
+def test_mixed_ridge_against_numpy(spark):
+    r = np.random.default_rng(6)
+    n = 240
+    frame = pd.DataFrame({"c": r.choice(["u", "v"], n), "fold": r.integers(0, 5, n), "a": r.normal(3, 2, n), "b": r.normal(0, 9, n), "k": r.choice(["x", "y", "z"], n), "l": r.choice(["p", "q"], n)})
+    frame["t"] = frame.a * 0.5 + (frame.k == "x") + r.normal(0, 1, n)
+    frame.loc[r.random(n) < 0.2, "b"] = np.nan
+    frame.loc[::17, "k"] = None
+    frame.loc[5, "t"] = np.nan
+    none = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    given = spark.createDataFrame(frame.astype({"k": object}).where(frame.k.notna() | True)).select("c", "fold", "a", none("b"), "k", "l", none("t"))
+    sets = {"one": ("a",), "two": ("a", "b")}
+    found = {(x.c, x.spec): x for x in mixed_ridge.increments(mixed_ridge.out_of_fold(given, "t", ("a", "b"), ("k", "l"), sets, "c"), "one", "c").collect()}
+    for c, part in frame.dropna(subset=["t"]).groupby("c"):
+        scores = {}
+        for spec, numbers in sets.items():
+            dummies = np.column_stack([(part[q].fillna("None") == v) for q in ("k", "l") for v in sorted(frame[q].fillna("None").unique())]).astype(float)
+            off = np.zeros(len(part))
+            for fold in range(5):
+                train = (part.fold != fold).to_numpy()
+                x = part[list(numbers)].to_numpy()
+                x = np.where(np.isnan(x), np.nanmedian(x[train], axis=0), x)
+                x = np.column_stack([(x - x[train].mean(0)) / x[train].std(0), dummies])
+                y, mean = part.t.to_numpy(), x[train].mean(0)
+                w = np.linalg.solve((x[train] - mean).T @ (x[train] - mean) + np.eye(x.shape[1]), (x[train] - mean).T @ (y[train] - y[train].mean()))
+                off[~train] = (y - y[train].mean() - (x - mean) @ w)[~train]
+            scores[spec] = (1 - (off**2).sum() / ((y - y.mean()) ** 2).sum(), math.sqrt((off**2).mean()), np.abs(off).mean())
+            row = found[c, spec]
+            assert [row.r2, row.rmse, row.mae] == pytest.approx(scores[spec]) and row.n == len(part)
+        assert found[c, "two"].delta_mae == pytest.approx(scores["two"][2] - scores["one"][2])
+    with pytest.raises(ValueError, match="categories"):
+        mixed_ridge.dictionary(spark.range(mixed_ridge.MOST_CATEGORIES + 1), ("id",))
