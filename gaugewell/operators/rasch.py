@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewell.sources.files import cut
 
 
-def fit_rasch(responses: DataFrame, steps: int = 8, least: int = 5, limit: float = 6.0) -> DataFrame:
-    """``item``, ``n``, ``difficulty``, ``se``: ``steps`` Newton steps for abilities and centred difficulties in turn.
+def item_flags(responses: DataFrame, least: int = 5) -> DataFrame:
+    """``item``, ``n``, ``perfect`` and ``zero``: whether an item with ``least`` responses has only right, or only wrong ones."""
+    counts = responses.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.sum("correct").alias("_k"))
+    enough = F.col("n") >= least
+    return counts.select("item", "n", (enough & (F.col("_k") == F.col("n"))).alias("perfect"), (enough & (F.col("_k") == 0)).alias("zero"))
+
+
+def fit_rasch(responses: DataFrame, steps: int = 80, least: int = 5, limit: float = 6.0, tolerance: float = 1e-4) -> DataFrame:
+    """``item``, ``n``, ``difficulty``, ``se``: Newton steps for abilities and centred difficulties in turn.
+
+    They end when no difficulty moves by ``tolerance`` or more, or after ``steps`` (with a warning).
 
     ``responses`` has learner, item and 0/1 correct. Items and learners that are all right or all wrong, or have
     fewer than ``least`` responses, have no finite estimate and are left out before the first step. Responses are
@@ -27,7 +38,7 @@ def fit_rasch(responses: DataFrame, steps: int = 8, least: int = 5, limit: float
         p = 1 / (1 + F.exp(F.col("b") - F.col("theta")))
         sums = rows.groupBy(key).agg(F.first(value).alias("old"), F.sum(F.col("k") - F.col("n") * p).alias("g"), F.sum(F.col("n") * p * (1 - p)).alias("h"), F.sum("n").alias("n"))
         step = F.least(F.greatest(F.col("g") / F.greatest("h", F.lit(1e-9)), F.lit(-1.0)), F.lit(1.0))
-        return sums.select(key, F.least(F.greatest(F.col("old") + sign * step, F.lit(-limit)), F.lit(limit)).alias(value), "h", "n")
+        return sums.select(key, F.least(F.greatest(F.col("old") + sign * step, F.lit(-limit)), F.lit(limit)).alias(value), "old", "h", "n")
 
     found = None
     for _ in range(steps):
@@ -36,4 +47,9 @@ def fit_rasch(responses: DataFrame, steps: int = 8, least: int = 5, limit: float
         mean = found.agg(F.avg("b").alias("mean"))
         found = cut(found.crossJoin(F.broadcast(mean)).withColumn("b", F.col("b") - F.col("mean")).drop("mean"))  # one row
         hard = found.select("item", "b")
+        moved_by = found.agg(F.max(F.abs(F.col("b") - F.col("old"))).alias("most")).first().most
+        if moved_by is None or moved_by < tolerance:
+            break
+    else:
+        warnings.warn(f"difficulties still moved by {moved_by:.2g} after {steps} steps", stacklevel=2)
     return found.select("item", "n", F.col("b").alias("difficulty"), (1 / F.sqrt("h")).alias("se"))

@@ -409,7 +409,9 @@ def k11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m26_rasch_1pl")
 def m26(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rasch difficulties of the items of the large log."""
-    from gaugewell.operators.rasch import fit_rasch
+    """Rasch difficulties of the items of the large log at convergence; items without a finite one are flagged."""
+    from gaugewell.operators.rasch import fit_rasch, item_flags
 
-    return rounded(fit_rasch(V.ix_big(spark, sf_dir)))
+    rows = V.ix_big(spark, sf_dir)
+    found = item_flags(rows).join(fit_rasch(rows).drop("n"), "item", "left")
+    return rounded(found.withColumn("identifiable", F.col("difficulty").isNotNull()))

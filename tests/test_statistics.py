@@ -149,3 +149,29 @@ def test_mixed_ridge_against_numpy(spark):
         assert found[c, "two"].delta_mae == pytest.approx(scores["two"][2] - scores["one"][2])
     with pytest.raises(ValueError, match="categories"):
         mixed_ridge.dictionary(spark.range(mixed_ridge.MOST_CATEGORIES + 1), ("id",))
+
+
+def test_rasch_at_convergence_against_numpy(spark):
+    from gaugewell.operators.rasch import fit_rasch, item_flags
+
+    r = np.random.default_rng(7)
+    theta, b = r.normal(0, 1, 60), np.linspace(-1.2, 1.2, 9)
+    rows = [(i, j, int(r.random() < 1 / (1 + np.exp(b[j] - theta[i])))) for i in range(60) for j in range(9)] + [(i, 50, 1) for i in range(8)] + [(i, 51, 0) for i in range(7)] + [(1, 52, 1)]
+    frame = spark.createDataFrame(rows, "learner int, item int, correct int")
+    found = {x["item"]: x for x in fit_rasch(frame).collect()}
+    # The same likelihood's equations: what each learner and item got is what it should get.
+    y = np.full((60, 9), np.nan)
+    for i, j, k in rows:
+        if j < 9:
+            y[i, j] = k
+    y = y[(np.nansum(y, 1) > 0) & (np.nansum(y, 1) < 9)]
+    t, d = np.zeros(len(y)), np.zeros(9)
+    for _ in range(400):
+        p = 1 / (1 + np.exp(d - t[:, None]))
+        t += (y - p).sum(1) / (p * (1 - p)).sum(1)
+        p = 1 / (1 + np.exp(d - t[:, None]))
+        d -= (y - p).sum(0) / (p * (1 - p)).sum(0)
+        d -= d.mean()
+    assert sorted(found) == list(range(9)) and np.abs(np.array([found[j].difficulty for j in range(9)]) - d).max() < 2e-3
+    flags = {x["item"]: (x.n, x.perfect, x.zero) for x in item_flags(frame).collect()}
+    assert flags[50] == (8, True, False) and flags[51] == (7, False, True) and flags[52] == (1, False, False) and flags[0] == (60, False, False)
