@@ -22,17 +22,17 @@ def hash_unit(digest: Column, steps: int = 1000) -> Column:
     return (hash_number(digest) % steps) / F.lit(float(steps))
 
 
-def hash_rank(rows: DataFrame, digest: Column, *ties: str, name: str = "rank") -> DataFrame:
-    """0-based rank of every row by ``digest``, then ``ties``, over the whole table and without one task for all.
+def hash_rank(rows: DataFrame, digest: Column, *ties: str, name: str = "rank", cell: tuple[str, ...] = ()) -> DataFrame:
+    """0-based rank of every row by ``digest``, then ``ties``, over the whole table or each cell, and without one task for all.
 
     Rows are cut into 4096 buckets by the digest's first digits; bucket counts give offsets, a window in each
-    bucket the rest. The only unpartitioned window is over the bucket counts.
+    bucket the rest. The only window over a whole table or cell is over the bucket counts.
     """
     keyed = rows.withColumn("_digest", digest).withColumn("_bucket", F.substring("_digest", 1, 3))
-    counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_digest", *ties)) - 1
-    return keyed.withColumn("_inside", inside).join(before, "_bucket").withColumn(name, F.col("_before") + F.col("_inside")).drop("_digest", "_bucket", "_inside", "_before")
+    counts = keyed.groupBy(*cell, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(*cell, "_bucket", (F.sum("_n").over(Window.partitionBy(*cell).orderBy("_bucket")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*cell, "_bucket").orderBy("_digest", *ties)) - 1
+    return keyed.withColumn("_inside", inside).join(before, [*cell, "_bucket"]).withColumn(name, F.col("_before") + F.col("_inside")).drop("_digest", "_bucket", "_inside", "_before")
 
 
 def table_fingerprint(rows: DataFrame) -> DataFrame:

@@ -316,7 +316,7 @@ def j15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(one.join(two, "model"))
 
 
-@query("k1_scalar_map_table", V.sql("SELECT item, round(coalesce((k + 1.0) / (n + 2.0), (SELECT avg(1 - correct) FROM ixs WHERE split = 'train')), 6) AS train_error, n IS NULL AS unseen FROM items LEFT JOIN (SELECT item, count(*) AS n, sum(1 - correct) AS k FROM ixs WHERE split = 'train' GROUP BY item) USING (item)", "ixs", "items"))
+@query("k1_train_error", V.sql("SELECT item, round(coalesce((k + 1.0) / (n + 2.0), (SELECT avg(1 - correct) FROM ixs WHERE split = 'train')), 6) AS train_error, n IS NULL AS unseen FROM items LEFT JOIN (SELECT item, count(*) AS n, sum(1 - correct) AS k FROM ixs WHERE split = 'train' GROUP BY item) USING (item)", "ixs", "items"))
 def k1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smoothed train error of every item; the global mean where it has no train rows."""
     train = V.ixs(spark, sf_dir).where("split = 'train'")
@@ -329,7 +329,7 @@ def k1(spark: SparkSession, sf_dir: str) -> DataFrame:
 MASKED = "SELECT item, event_id, row_number() OVER (PARTITION BY item ORDER BY sha256(learner || '|' || event_id || '|2024'), event_id) AS r FROM ixs WHERE split = 'train'"
 
 
-@query("k2_response_limited_view", V.sql("SELECT cap, count(*) AS n_rows, count(DISTINCT item) AS items FROM (SELECT cap, item FROM masked, (SELECT unnest([1, 5, 10, 20]) AS cap) WHERE r <= cap) GROUP BY cap", "ixs", masked=MASKED))
+@query("k2_exposure_counts", V.sql("SELECT cap, count(*) AS n_rows, count(DISTINCT item) AS items FROM (SELECT cap, item FROM masked, (SELECT unnest([1, 5, 10, 20]) AS cap) WHERE r <= cap) GROUP BY cap", "ixs", masked=MASKED))
 def k2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train rows kept at every cap, from one ranking."""
     rows = V.ixs(spark, sf_dir).where("split = 'train'").withColumn("h", hashed("learner", "event_id", 2024))
@@ -338,7 +338,7 @@ def k2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("item", caps).groupBy("cap").agg(count_rows().alias("n_rows"), F.countDistinct("item").alias("items"))
 
 
-@query("k3_cold_start_view", V.sql("SELECT fold, count(*) FILTER (WHERE split <> 'test' AND item % 5 <> fold) AS train_rows, count(*) FILTER (WHERE split <> 'test' AND item % 5 = fold) AS removed_rows, count(*) FILTER (WHERE split = 'test' AND item % 5 = fold) AS target_rows FROM ixs, (SELECT unnest([0, 1, 2, 3, 4]) AS fold) GROUP BY fold", "ixs"))
+@query("k3_fold_counts", V.sql("SELECT fold, count(*) FILTER (WHERE split <> 'test' AND item % 5 <> fold) AS train_rows, count(*) FILTER (WHERE split <> 'test' AND item % 5 = fold) AS removed_rows, count(*) FILTER (WHERE split = 'test' AND item % 5 = fold) AS target_rows FROM ixs, (SELECT unnest([0, 1, 2, 3, 4]) AS fold) GROUP BY fold", "ixs"))
 def k3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that each item fold trains on, removes and evaluates."""
     rows = V.ixs(spark, sf_dir).select("split", F.pmod("item", F.lit(5)).alias("own"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("fold"))

@@ -228,7 +228,7 @@ def m29(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(resampling.correlation_table(own.unionByName(other), "rating", "y", "item", "contrast", kinds=("rho",), tau=True))
 
 
-@query("k12_condition_model_grid")
+@query("k12_two_conditions")
 def k12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Next-response models with and without the score, fitted on train learners and scored on test learners."""
     by = Window.partitionBy("learner").orderBy("ts", "event_id")
