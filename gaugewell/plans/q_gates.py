@@ -203,8 +203,15 @@ def x1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(spark, rows, stream.item_counts, "complete").withColumn("smoothed", r6("smoothed"))
 
 
-@query("x2_stream_first_observed", V.sql("SELECT DISTINCT learner, item FROM ix", "ix"))
-def x2(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("x2_first_arrivals", V.sql("SELECT DISTINCT learner, item FROM ix", "ix"))
+def x2_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs whose first response a stream has kept."""
     rows = V.ix(spark, sf_dir).select("learner", "item", "correct", F.col("ts").cast("timestamp").alias("ts"))
     return _drained(spark, rows, stream.first_responses, "append").select("learner", "item")
+
+
+@query("x2_stream_first_observed", V.sql("SELECT learner, item, epoch_us(ts) AS ts_us, event_id, correct FROM (SELECT *, row_number() OVER (PARTITION BY learner, item ORDER BY ts, event_id) AS place FROM ix) WHERE place = 1", "ix"))
+def x2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The earliest response of each pair, kept by a stream of all interactions as of its end."""
+    rows = V.ix(spark, sf_dir).select("learner", "item", "event_id", "correct", F.col("ts").cast("timestamp").alias("ts"))
+    return _drained(spark, rows, stream.earliest_responses, "complete").select("learner", "item", F.unix_micros("ts").alias("ts_us"), "event_id", "correct")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugewell.functions.hashing import hash_number, hash_rank, hashed
-from gaugewell.operators import association, rates
+from gaugewell.operators import association, rates, stability
 from gaugewell.plans.registry import Catalog
 from gaugewell.sources import views as V
 
@@ -169,14 +169,23 @@ def a14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("role").agg(count_rows().alias("expected"), F.count_if(F.col("text").isNotNull() & (F.col("text") != "")).alias("completed"), F.count_if(F.col("text").rlike(SCORE)).alias("valid"))
 
 
-@query("a15_replicate_stability", V.sql("SELECT condition, count(*) AS items, round(avg(hi - lo), 6) AS mean_range, round(avg(((hi - lo) > 0.1)::INT), 6) AS share_over_10, round(avg(mad), 6) AS mean_abs_dev FROM (SELECT condition, item, max(p) AS hi, min(p) AS lo, avg(abs(p - m)) AS mad FROM (SELECT condition, item, seed, p, avg(p) OVER (PARTITION BY condition, item) AS m FROM (SELECT condition, item, seed, avg(p) AS p FROM pred GROUP BY 1, 2, 3)) GROUP BY 1, 2) GROUP BY condition", "pred"))
+REPLICATE_PAIRS = [(i, j) for i in V.SEEDS for j in V.SEEDS if i < j]
+STABLE = {
+    "each": "SELECT condition, item, seed, round(avg(p), 9) AS p FROM pred GROUP BY 1, 2, 3",
+    "ranked": f"SELECT *, {RANK.format(c='condition, seed', x='p')} AS r, avg(p) OVER (PARTITION BY condition, item) AS m, median(p) OVER (PARTITION BY condition, item) AS md FROM each",
+    "wide": "SELECT condition, item, max(p) - min(p) AS gap, " + ", ".join(f"max(p) FILTER (WHERE seed = {s}) AS p{s}, max(r) FILTER (WHERE seed = {s}) AS r{s}" for s in V.SEEDS) + " FROM ranked GROUP BY 1, 2",
+    "moved": "SELECT condition, avg(abs(p - m)) AS mean_abs_dev, median(round(abs(p - md), 6)) AS median_abs_dev FROM ranked GROUP BY condition",
+}
+STABLE_SQL = "SELECT condition, count(*) AS items, round(max(gap), 6) AS max_range, round(avg(gap), 6) AS mean_range, round(avg((round(gap, 6) > 0.1)::INT), 6) AS share_over_10, round(avg((round(gap, 6) > 0.2)::INT), 6) AS share_over_20, round(any_value(mean_abs_dev), 6) AS mean_abs_dev, round(any_value(median_abs_dev), 6) AS median_abs_dev, "
+STABLE_SQL += f"round(({' + '.join(f'corr(r{i}, r{j})' for i, j in REPLICATE_PAIRS)}) / {len(REPLICATE_PAIRS)}, 6) AS mean_spearman, round(({len(V.SEEDS)} + 2 * ({' + '.join(f'corr(p{i}, p{j})' for i, j in REPLICATE_PAIRS)})) / {len(V.SEEDS) ** 2}, 6) AS matrix_mean FROM wide JOIN moved USING (condition) GROUP BY condition"
+
+
+@query("a15_replicate_stability", V.sql(STABLE_SQL, "pred", **STABLE))
 def a15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much an item's prediction moves over seeds."""
-    each = V.pred(spark, sf_dir).groupBy("condition", "item", "seed").agg(F.avg("p").alias("p"))
-    ps = each.groupBy("condition", "item").agg(F.max("p").alias("hi"), F.min("p").alias("lo"), F.avg("p").alias("m"), F.collect_list("p").alias("ps"))
-    mad = F.aggregate(F.transform("ps", lambda p: F.abs(p - F.col("m"))), F.lit(0.0), lambda a, b: a + b) / F.size("ps")
-    gap = F.col("hi") - F.col("lo")
-    return ps.withColumn("mad", mad).groupBy("condition").agg(count_rows().alias("items"), r6(F.avg(gap)).alias("mean_range"), r6(F.avg((gap > 0.1).cast("int"))).alias("share_over_10"), r6(F.avg("mad")).alias("mean_abs_dev"))
+    """How much an item's prediction moves over seeds, and how well seeds agree on items."""
+    each = V.pred(spark, sf_dir).groupBy("condition", "item", "seed").agg(F.round(F.avg("p"), 9).alias("p"))
+    found = stability.replicate_stability(each, "p", "seed", V.SEEDS, "item", "condition")
+    return found.select(*[r6(c).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes])
 
 
 @query("a16_cost_table", "SELECT role, count(*) AS requests, sum(greatest(1, length(text) // 4)) AS tokens, round(sum(greatest(1, length(text) // 4)) * 0.00015 / 1000, 6) AS cost FROM conversations GROUP BY role")

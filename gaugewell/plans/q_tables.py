@@ -34,13 +34,40 @@ def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.explode_wide(wide(spark, sf_dir), "learner", {"item": "questions", "correct": "responses"}).select("learner", "pos", F.col("item").cast("long").alias("item"), F.col("correct").cast("int").alias("correct"))
 
 
-@query("s2_nested_json_items", "SELECT event_id, k AS feature, CAST(json_extract_string(props, '$.' || k) AS BIGINT) AS amount FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
-def s2(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("s2_json_entries", "SELECT event_id, k AS feature, CAST(json_extract_string(props, '$.' || k) AS BIGINT) AS amount FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
+def s2_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of a JSON object as rows."""
     e = V.table(spark, sf_dir, "events")
     return e.select("event_id", F.explode(F.from_json("props", "map<string,bigint>")).alias("feature", "amount"))
 
 
+MULTIPLE = "p_size % 4 IN (1, 2, 3)"
+NESTED_ITEMS = f"""SELECT p_partkey AS item, p_name AS text, CASE WHEN {MULTIPLE} THEN 'multiple_choice' ELSE 'fill_in' END AS item_format,
+CASE WHEN {MULTIPLE} THEN '{{"A":"' || p_brand || '","B":"' || p_type || '"}}' END AS answer_options, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END AS answer,
+CASE WHEN p_partkey % 10 = 9 THEN '' ELSE replace(p_name, ' ', '|') END AS concept_ids, CASE WHEN p_partkey % 10 = 9 THEN '' ELSE string_split(p_name, ' ')[-1] END AS primary_concept FROM part"""
+
+
+def question_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given items as JSON objects keyed by item, at most 64 in one: types as numbers, as text or absent, other keys absent at times."""
+    p = V.table(spark, sf_dir, "part")
+    many = F.pmod("p_size", F.lit(4)) > 0
+    rest = [
+        F.concat(F.lit("  "), "p_name", F.lit("\n")).alias("content"), F.when(many, F.create_map(F.lit("A"), "p_brand", F.lit("B"), "p_type")).alias("options"),
+        F.when(F.pmod("p_partkey", F.lit(10)) != 9, F.split("p_name", " ")).alias("kc_routes"), F.when(F.pmod("p_partkey", F.lit(3)) != 0, F.col("p_brand")).alias("answer"),
+    ]
+    coded = F.when(F.pmod("p_size", F.lit(4)) == 2, "1").when(many, "multiple_choice")
+    question = F.when(F.pmod("p_size", F.lit(4)) == 1, F.to_json(F.struct(F.lit(1).alias("type"), *rest))).otherwise(F.to_json(F.struct(coded.alias("type"), *rest)))
+    entry = F.concat(F.lit('"'), F.col("p_partkey").cast("string"), F.lit('":'), question)
+    return p.groupBy(F.floor(F.col("p_partkey") / 64).alias("part")).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ","), F.lit("}")).alias("value"))
+
+
+@query("s2_nested_json_items", NESTED_ITEMS)
+def s2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items read from files of nested JSON objects."""
+    read = files.round_trip(question_objects(spark, sf_dir).select("value"), "text", f"questions-{uuid.uuid4().hex}")
+    return files.nested_items(read, "value")
+
+
 @query("s3_log_scan_pruned", "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_quantity < 10 AND l_returnflag = 'R'")
 def s3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Few columns of the log, filtered at the scan."""

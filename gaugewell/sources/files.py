@@ -38,6 +38,26 @@ def explode_wide(rows: DataFrame, key: str, lists: dict[str, str]) -> DataFrame:
     return rows.select(key, F.posexplode(zipped).alias("pos", "z")).select(key, "pos", *[F.col(f"z.{name}").alias(name) for name in split])
 
 
+#: A nested item; types are read as text, so that 1 and "1" are one.
+NESTED = "map<string, struct<content: string, type: string, options: map<string, string>, kc_routes: array<string>, answer: string>>"
+
+
+def nested_items(rows: DataFrame, column: str) -> DataFrame:
+    """Items of JSON objects keyed by item: item, text, item_format, answer_options, answer, concept_ids, primary_concept.
+
+    A missing or null key gives empty text, no concepts, null options and the format ``fill_in``; the type 1, ``"1"`` or
+    ``"multiple_choice"`` gives ``multiple_choice``; the last of an item's routes is its primary concept. A text that is no such
+    object gives no rows. Keys must be whole numbers: others give a null item.
+    """
+    each = rows.select(F.explode(F.from_json(column, NESTED)).alias("_key", "_q")).select(F.expr("try_cast(_key AS BIGINT)").alias("item"), "_q.*")
+    routes = F.filter(F.coalesce("kc_routes", F.array().cast("array<string>")), lambda r: r.isNotNull())
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return each.select(
+        "item", F.regexp_replace(blank("content"), r"^\s+|\s+$", "").alias("text"), F.when(F.col("type").isin("1", "multiple_choice"), "multiple_choice").otherwise("fill_in").alias("item_format"),
+        F.when(F.size("options") > 0, F.to_json("options")).alias("answer_options"), blank("answer").alias("answer"), F.array_join(routes, "|").alias("concept_ids"), F.coalesce(F.try_element_at(routes, F.lit(-1)), F.lit("")).alias("primary_concept"),
+    )
+
+
 def allowed(rows: DataFrame, names: tuple[str, ...], denied: tuple[str, ...] = ()) -> DataFrame:
     """Exactly the columns ``names``; ValueError if one is missing or a denied one is present."""
     missing, present = set(names) - set(rows.columns), set(denied) & set(rows.columns)
