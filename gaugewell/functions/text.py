@@ -69,3 +69,17 @@ def parse_score(text: Column) -> Column:
     """The first number like 0.42, .5, 1.0, 0 or 1 in a text, clamped to [0, 1]; null without any."""
     score = F.regexp_extract(text, SCORE, 0).try_cast("double")
     return F.when(score.isNotNull(), F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)))
+
+
+def int_list(column: Column | str, before: str | None = None) -> Column:
+    """Whole numbers of a comma list, null for each token that is none; with ``before``, of what stands before that in a token.
+
+    A null text gives null. Blanks around a token do not count.
+    """
+    token = (lambda x: F.substring_index(x, before, 1)) if before else (lambda x: x)
+    return F.transform(F.split(column, ","), lambda x: F.trim(token(x)).try_cast("long"))
+
+
+def zero_failures(numbers: Column) -> Column:
+    """The list with 0 for each null."""
+    return F.transform(numbers, lambda x: F.coalesce(x, F.lit(0)))

@@ -258,14 +258,30 @@ def f18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", share(T.CJK).alias("cjk_share"), share(r"[^\x00-\x7F]").alias("non_ascii_share"))
 
 
-@query("f19_int_list_parse", "SELECT p_partkey, list_transform(string_split(regexp_replace(p_brand || '_' || p_size, '[^0-9_]', '', 'g'), '_'), lambda x: coalesce(TRY_CAST(x AS INT), 0))[1] AS concept, p_size AS last_value FROM part")
-def f19(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("f19_first_of_list", "SELECT p_partkey, list_transform(string_split(regexp_replace(p_brand || '_' || p_size, '[^0-9_]', '', 'g'), '_'), lambda x: coalesce(TRY_CAST(x AS INT), 0))[1] AS concept, p_size AS last_value FROM part")
+def f19_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of a list of integers in text, 0 when it is none."""
     parts = F.split(F.regexp_replace(F.concat_ws("_", "p_brand", F.col("p_size").cast("string")), "[^0-9_]", ""), "_")
     ints = F.transform(parts, lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))
     return V.table(spark, sf_dir, "part").select("p_partkey", F.get(ints, F.lit(0)).alias("concept"), F.element_at(ints, -1).alias("last_value"))
 
 
+LISTS = "SELECT l_orderkey, string_agg(l_partkey, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS items, string_agg(CASE l_partkey % 10 WHEN 9 THEN '' WHEN 8 THEN 'none_8' ELSE (l_partkey % 10) || '_' || l_suppkey END, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS concepts FROM lineitem GROUP BY l_orderkey"
+
+
+@query("f19_int_list_parse", f"SELECT l_orderkey, array_to_string(list_transform(string_split(items, ','), lambda x: CAST(x AS BIGINT)), '|') AS items, array_to_string(list_transform(c, lambda x: coalesce(x, 0)), '|') AS concepts, len(list_filter(c, lambda x: x IS NULL)) AS failures FROM (SELECT *, list_transform(string_split(concepts, ','), lambda x: TRY_CAST(string_split(x, '_')[1] AS BIGINT)) AS c FROM ({LISTS}))")
+def f19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comma lists of an order's items and concepts as numbers, concepts that are none as 0 and counted."""
+    ends = F.pmod("l_partkey", F.lit(10))
+    concept = F.when(ends == 9, "").when(ends == 8, "none_8").otherwise(F.concat_ws("_", ends.cast("string"), F.col("l_suppkey").cast("string")))
+    lines = V.table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_partkey").cast("string").alias("item"), concept.alias("concept")).alias("line"))
+    orders = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("line")).alias("lines"))  # an order has few lines
+    lists = orders.select("l_orderkey", F.array_join("lines.item", ",").alias("items"), F.array_join("lines.concept", ",").alias("concepts"))
+    read = lists.select("l_orderkey", T.int_list("items").alias("items"), T.int_list("concepts", "_").alias("concepts"))
+    shown = lambda c: F.array_join(c.cast("array<string>"), "|")
+    return read.select("l_orderkey", shown(F.col("items")).alias("items"), shown(T.zero_failures(F.col("concepts"))).alias("concepts"), F.size(F.filter("concepts", lambda x: x.isNull())).alias("failures"))
+
+
 @query("f20_sequence_arrays", V.sql("SELECT learner, string_agg(item, ',' ORDER BY r) AS items, string_agg(correct, ',' ORDER BY r) AS corrects, count(*) AS length, 80 - count(*) AS padding FROM (SELECT *, row_number() OVER (PARTITION BY learner ORDER BY ts, event_id) AS r FROM ix) WHERE r <= 80 GROUP BY learner", "ix"))
 def f20(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parallel arrays of each learner's first eighty interactions, as text."""

@@ -11,6 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from gaugewell.functions import text as T
 from gaugewell.operators.stability import replicate_stability
 from gaugewell.sources.files import nested_items
 from gaugewell.streaming.interactions import earliest_responses
@@ -72,3 +73,9 @@ def test_an_earlier_response_that_arrives_later(spark):
         query.foreachBatch(lambda frame, number: seen.append(frame.collect())).trigger(availableNow=True).start().awaitTermination()
     last = {(r.learner, r["item"]): (int(r.ts.timestamp()), r.event_id, r.correct) for batch in seen for r in batch}
     assert len(seen) >= 3 and last == {(1, 1): (100, 9, 1), (1, 2): (50, 11, 0), (2, 1): (5, 14, 1)}
+
+
+def test_lists_of_numbers(spark):
+    rows = spark.createDataFrame([("1,22,3",), (" 7_3 ,x_1,,9",), ("",), (None,), ("1.5,99999999999999999999",)], "t string")
+    got = [(r.a, r.z) for r in rows.select(T.int_list("t", "_").alias("a"), T.zero_failures(T.int_list("t")).alias("z")).collect()]
+    assert got == [([1, 22, 3], [1, 22, 3]), ([7, None, None, 9], [0, 0, 0, 9]), ([None], [0]), (None, None), ([None, None], [0, 0])]
