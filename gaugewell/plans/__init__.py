@@ -6,7 +6,7 @@ import importlib
 
 from gaugewell.plans.registry import Catalog
 
-MODULES = ("q_rates", "q_tables", "q_text", "q_models", "q_gates", "q_more", "q_tracing")
+MODULES = ("q_rates", "q_tables", "q_text", "q_models", "q_gates", "q_more", "q_tracing", "q_evidence")
 
 
 def catalogs() -> list[Catalog]:

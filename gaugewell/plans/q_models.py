@@ -226,14 +226,6 @@ def seed_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 P_DF4 = "2 * (1 - (0.5 + 0.375 * abs(t) / sqrt(1 + t * t / 4) * (1 - t * t / (12 * (1 + t * t / 4)))))"
 
 
-@query("m21_seed_delta_test", V.sql(f"SELECT condition, n, round(m, 6) AS mean_delta, round(t, 4) AS t, round({P_DF4}, 6) AS p FROM (SELECT condition, count(*) AS n, avg(d) AS m, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM deltas GROUP BY condition)", "pred", seeded=SEEDED, deltas=DELTAS))
-def m21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One-sample t test of each condition's delta over five seeds, p in closed form."""
-    d = seed_deltas(spark, sf_dir).groupBy("condition").agg(count_rows().alias("n"), F.avg("d").alias("m"), F.stddev_samp("d").alias("s"))
-    t = F.col("m") / (F.col("s") / F.sqrt("n"))
-    return d.select("condition", "n", r6("m").alias("mean_delta"), F.round(t, 4).alias("t"), r6(A.p_df4(t)).alias("p"))
-
-
 CONTROLS = ("base", "length", "random")
 POOLED = f"SELECT condition, seed, count(*) AS n, {LOSS} AS l FROM pred GROUP BY 1, 2"
 CONTRASTS = f"SELECT b.condition AS control, a.condition, a.seed, a.l - b.l AS d, a.n FROM pooled a JOIN pooled b ON a.seed = b.seed AND a.condition <> b.condition WHERE a.condition <> 'base' AND b.condition IN {CONTROLS}"
@@ -247,14 +239,6 @@ def contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("control", "condition", "seed", (F.col("log_loss") - F.col("b")).alias("d"), "n")
 
 
-@query("m22_pooled_seed_test", V.sql("SELECT control, condition, pooled_delta, better, round(p, 6) AS p, round(max(step) OVER (ORDER BY p, control, condition ROWS UNBOUNDED PRECEDING), 6) AS p_holm FROM (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, control, condition) + 1) * p) AS step FROM (SELECT *, " + P_DF4 + " AS p FROM (SELECT control, condition, round(sum(d * n) / sum(n), 6) AS pooled_delta, count(*) FILTER (WHERE d < 0) AS better, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM contrasts GROUP BY 1, 2)))", "pred", pooled=POOLED, contrasts=CONTRASTS))
-def m22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prediction-weighted deltas against three controls, p of the t test over five seeds, and Holm's over all contrasts."""
-    t = F.avg("d") / (F.stddev_samp("d") / F.sqrt(count_rows()))
-    found = contrasts(spark, sf_dir).groupBy("control", "condition").agg((F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("pooled_delta"), F.count_if(F.col("d") < 0).alias("better"), A.p_df4(t).alias("p"))
-    return rounded(A.holm(found.withColumn("family", F.lit("f")), "p", "family", ties=("control", "condition")).drop("family"))
-
-
 @query("m23_paired_deltas", V.sql("SELECT control, condition, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS sd, " + ", ".join(f"round(max(d) FILTER (WHERE seed = {s}), 6) AS seed_{s}" for s in V.SEEDS) + " FROM contrasts GROUP BY 1, 2", "pred", pooled=POOLED, contrasts=CONTRASTS))
 def m23(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deltas against base, random and length: mean, spread and each seed."""
@@ -307,15 +291,6 @@ def t8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(s.groupBy("model").agg(F.max_by("feature", F.struct("strength", "feature")).alias("feature"), F.max("strength").alias("strength")))
 
 
-@query("j15_evidence_matrix_join", V.sql("SELECT model, round(corr(score, smoothed), 6) AS held_out_r, round(corr(score, train_error), 6) AS train_r, count(*) AS n FROM frame GROUP BY model", *VIEWS, **FRAME_PARTS))
-def j15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Result families side by side, one row per model."""
-    f = analysis_frame(spark, sf_dir)
-    one = A.pearson(f, "score", "smoothed", "model").withColumnRenamed("r", "held_out_r")
-    two = f.groupBy("model").agg(F.corr("score", "train_error").alias("train_r"))
-    return rounded(one.join(two, "model"))
-
-
 @query("k1_train_error", V.sql("SELECT item, round(coalesce((k + 1.0) / (n + 2.0), (SELECT avg(1 - correct) FROM ixs WHERE split = 'train')), 6) AS train_error, n IS NULL AS unseen FROM items LEFT JOIN (SELECT item, count(*) AS n, sum(1 - correct) AS k FROM ixs WHERE split = 'train' GROUP BY item) USING (item)", "ixs", "items"))
 def k1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smoothed train error of every item; the global mean where it has no train rows."""

@@ -193,14 +193,6 @@ def m20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.holm(found.withColumn("family", F.lit("f")), "p", "family", ties=("condition",)).drop("family"))
 
 
-@query("m24_evidence_classification", V.sql(f"SELECT condition, CASE WHEN better AND strong THEN 'supported' WHEN better THEN 'suggestive' WHEN strong THEN 'harmful' ELSE 'inconclusive' END AS evidence FROM (SELECT condition, m < 0 AS better, {P_DF4} < 0.05 AS strong FROM (SELECT condition, avg(d) AS m, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM deltas GROUP BY condition))", "pred", seeded=SEEDED, deltas=DELTAS))
-def m24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One label per condition from the flags of its test."""
-    d = seed_deltas(spark, sf_dir).groupBy("condition").agg(F.avg("d").alias("m"), (F.avg("d") / (F.stddev_samp("d") / F.sqrt(count_rows()))).alias("t"))
-    better, strong = F.col("m") < 0, A.p_df4(F.col("t")) < 0.05
-    return d.select("condition", F.when(better & strong, "supported").when(better, "suggestive").when(strong, "harmful").otherwise("inconclusive").alias("evidence"))
-
-
 CONSENSUS = f"SELECT 'all' AS outcome, item, avg(1 - correct) AS y FROM ix GROUP BY item HAVING count(*) >= {LEAST} UNION ALL SELECT 'agreed', item, avg(1 - correct) FROM ix WHERE event_id % 7 = 0 OR (correct = 1) = (response_time < 60) GROUP BY item HAVING count(*) >= {LEAST}"
 
 
