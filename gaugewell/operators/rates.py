@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugewell.operators.association import spearman
+
 THRESHOLDS = (5, 10, 20, 50, 100)
 
 
@@ -53,3 +55,28 @@ def threshold_table(rates: DataFrame, *keys: str, thresholds: tuple[int, ...] =
     limits = F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold")
     eligible = F.count_if(F.col("n") >= F.col("threshold"))
     return rates.select(*keys, "n", limits).groupBy(*keys, "threshold").agg(eligible.alias("eligible"), (F.count(F.lit(1)) - eligible).alias("excluded"))
+
+
+def compare_errors(one: DataFrame, other: DataFrame, least: int, key: str = "item") -> DataFrame:
+    """One row on two error tables (key, ``n``, ``error``) whose items are those of ``one``: agreement where both have ``least`` responses.
+
+    ``items`` compared, ``r``, ``rho``, median, 95 % and largest absolute gap, how many are ``eligible_one`` and ``eligible_other``, ``flips``
+    (eligible in one table alone), their share of those eligible in any, and ``lost`` (eligible in ``one`` alone).
+    """
+    both = one.join(other.select(key, F.col("n").alias("_n"), F.col("error").alias("_error")), key, "left")
+    a, b = F.col("n") >= least, F.coalesce(F.col("_n") >= least, F.lit(False))
+    common = both.where(a & b).select(F.lit("x").alias("_cell"), "error", "_error")
+    rho = spearman(common, "error", "_error", "_cell").select("_cell", "rho")
+    x, y = F.when(a & b, F.col("error")), F.when(a & b, F.col("_error"))
+    gap = F.abs(x - y)
+    at = lambda q: F.percentile(gap, F.lit(q))
+    flips, either = F.count_if(a != b), F.count_if(a | b)
+    found = both.agg(F.count_if(a & b).alias("items"), F.corr(x, y).alias("r"), at(0.5).alias("median_gap"), at(0.95).alias("p95_gap"), F.max(gap).alias("max_gap"), F.count_if(a).alias("eligible_one"), F.count_if(b).alias("eligible_other"), flips.alias("flips"), (flips / F.greatest(either, F.lit(1))).alias("flip_share"), F.count_if(a & ~b).alias("lost"))
+    return found.withColumn("_cell", F.lit("x")).join(rho, "_cell", "left").drop("_cell")
+
+
+def attach_split(rows: DataFrame, splits: DataFrame, key: str = "learner") -> DataFrame:
+    """``rows`` with the ``split`` of their key; computing a row whose key has none, or a null one, raises an error."""
+    found = rows.join(splits.select(key, F.col("split").alias("_split")), key, "left")
+    wrong = F.concat(F.lit("no split for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    return found.withColumn("split", F.coalesce("_split", F.raise_error(wrong).cast("string"))).drop("_split")

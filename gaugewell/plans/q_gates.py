@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugewell.functions.hashing import hashed
-from gaugewell.operators import gates, rates
-from gaugewell.plans.q_rates import FIRST, TWO, count_rows, r6, two_sources
+from gaugewell.operators import gates, rates, requests
+from gaugewell.plans.q_models import COMPARED, ERRORS_OF, compared_sql, rounded, smoothed_errors
+from gaugewell.plans.q_rates import FIRST, LEAST, TWO, count_rows, r6, two_sources
 from gaugewell.plans.q_tables import RUNS, runs
 from gaugewell.plans.q_text import CLASSIFIED, DOCS, classified, docs
 from gaugewell.plans.registry import Catalog
@@ -124,13 +125,50 @@ def g10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.join(cached, ["item", "model"], "left_anti").withColumn("cache_key", hashed(F.lit("v1"), "model", "item"))
 
 
-@query("g11_request_reconciliation", V.sql("SELECT model, count(*) AS planned, count(score) AS answered, count(*) - count(score) AS missing, count(*) = count(score) AS passed FROM (SELECT item, model FROM items, (SELECT unnest(['model_a', 'model_b']) AS model)) LEFT JOIN (SELECT * FROM scores WHERE NOT (model = 'model_b' AND item % 17 = 0)) USING (item, model) GROUP BY model", "items", "scores"))
+ATTEMPT_ORDER = ("l_shipdate", "l_orderkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus", "l_tax", "l_discount")
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scoring attempts out of small order lines: item, model, valid, value, pilot, cached and the columns of their order."""
+    lines = V.table(spark, sf_dir, "lineitem").where("l_linenumber <= 2 AND l_quantity <= 12")
+    model = F.when(F.col("l_linenumber") == 1, "model_a").otherwise("model_b")
+    value = F.when(F.col("l_discount") > 0, F.col("l_tax") * 20)
+    return lines.select(F.col("l_partkey").alias("item"), model.alias("model"), (F.col("l_returnflag") != "R").alias("valid"), value.alias("value"), (F.pmod("l_suppkey", F.lit(9)) == 0).alias("pilot"), (F.col("l_linestatus") == "F").alias("cached"), *ATTEMPT_ORDER)
+
+
+def request_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The plan, every item under both models, and the records of its pairs, both with the item's domain."""
+    items = V.items(spark, sf_dir).select("item", "domain")
+    plan = items.withColumn("model", F.explode(F.array(F.lit("model_a"), F.lit("model_b"))))
+    return plan, requests.records(attempts(spark, sf_dir), ("item", "model"), ATTEMPT_ORDER).join(items, "item")
+
+
+RECORDS = {
+    "attempted": f"SELECT *, row_number() OVER w AS place, coalesce(sum(valid::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS record FROM (SELECT l_partkey AS item, CASE l_linenumber WHEN 1 THEN 'model_a' ELSE 'model_b' END AS model, l_returnflag <> 'R' AS valid, CASE WHEN l_discount > 0 THEN l_tax * 20 END AS value, l_suppkey % 9 = 0 AS pilot, l_linestatus = 'F' AS cached, {', '.join(ATTEMPT_ORDER)} FROM lineitem WHERE l_linenumber <= 2 AND l_quantity <= 12) WINDOW w AS (PARTITION BY item, model ORDER BY {', '.join(ATTEMPT_ORDER)})",
+    "records": "SELECT item, model, domain, record, count(*) - 1 AS retries, bool_or(valid) AS valid, (list(value ORDER BY place DESC))[1] AS value, (list(cached ORDER BY place DESC))[1] AS cached, (list(pilot ORDER BY place))[1] AS pilot FROM attempted JOIN items USING (item) GROUP BY ALL",
+    "planned": "SELECT item, domain, model FROM items, (SELECT unnest(['model_a', 'model_b']) AS model)",
+}
+
+
+@query("a14_parse_gate_table", V.sql(f"SELECT domain, model, expected, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('completed', 'valid_first_pass', 'valid_after_retry', 'failed', 'missing_value', 'out_of_range', 'cache_hits', 'pilot_imports', 'paid'))}, CASE WHEN coalesce(completed, 0) < expected OR coalesce(valid_after_retry, 0) < expected THEN '{requests.BLOCKED}' ELSE '{requests.PASSED}' END AS status FROM (SELECT domain, model, count(*) AS expected FROM planned GROUP BY ALL) LEFT JOIN (SELECT domain, model, count(*) AS completed, count(*) FILTER (WHERE valid AND retries = 0) AS valid_first_pass, count(*) FILTER (WHERE valid) AS valid_after_retry, count(*) FILTER (WHERE NOT valid) AS failed, count(*) - count(value) AS missing_value, count(*) FILTER (WHERE valid AND NOT value BETWEEN 0 AND 1) AS out_of_range, count(*) FILTER (WHERE cached) AS cache_hits, count(*) FILTER (WHERE pilot) AS pilot_imports, count(*) FILTER (WHERE valid AND NOT cached) AS paid FROM records GROUP BY ALL) USING (domain, model)", "items", **RECORDS))
+def a14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected, completed, valid, failed, missing, out of range, cached, imported and paid records per domain and model, and the status."""
+    return requests.parse_gate(*request_log(spark, sf_dir), "domain", "model")
+
+
+@query("g11_request_reconciliation", V.sql("SELECT *, CASE WHEN extra_calls = 0 THEN 'none' WHEN extra_calls > 0 AND retried_records = extra_calls THEN 'format_retry' WHEN duplicates > 0 THEN 'accidental_duplicate' ELSE 'accounting_error' END AS reason, duplicates = 0 AND observed = expected AND extra_calls = retried_records AS passed FROM (SELECT *, paid_calls - new_records AS extra_calls FROM (SELECT domain, model, expected, coalesce(observed, 0) AS observed, coalesce(duplicates, 0) AS duplicates, coalesce(pilot_reuse, 0) AS pilot_reuse, coalesce(retried_records, 0) AS retried_records, coalesce(paid_calls, 0) AS paid_calls, greatest(0, expected - coalesce(observed, 0)) AS missing, coalesce(observed - pilot_reuse, 0) AS new_records FROM (SELECT domain, model, count(*) AS expected FROM planned GROUP BY ALL) LEFT JOIN (SELECT domain, model, count(*) AS observed, count(*) - count(DISTINCT item) AS duplicates, count(*) FILTER (WHERE pilot) AS pilot_reuse, count(*) FILTER (WHERE NOT pilot AND retries > 0) AS retried_records, sum(CASE WHEN pilot THEN 0 ELSE retries + 1 END) AS paid_calls FROM records GROUP BY ALL) USING (domain, model)))", "items", **RECORDS))
 def g11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Planned, answered and missing requests per model."""
-    plan = V.items(spark, sf_dir).select("item", F.explode(F.array(F.lit("model_a"), F.lit("model_b"))).alias("model"))
-    got = V.scores(spark, sf_dir).where("NOT (model = 'model_b' AND item % 17 = 0)")
-    both = plan.join(got, ["item", "model"], "left").groupBy("model").agg(count_rows().alias("planned"), F.count("score").alias("answered"))
-    return both.withColumn("missing", F.col("planned") - F.col("answered")).withColumn("passed", F.col("missing") == 0)
+    """Planned records against observed ones and paid calls, per domain and model."""
+    plan, found = request_log(spark, sf_dir)
+    paid = found.where("calls > 0").select("domain", "model", F.explode(F.sequence(F.lit(1), F.col("calls").cast("int"))))
+    return requests.reconcile(plan, found, paid, ("item", "model"), "domain", "model")
+
+
+@query("g11_request_classes", V.sql(f"SELECT model, kind, count(*) AS records, sum(retries) AS retries, sum(CASE WHEN pilot THEN 0 ELSE retries + 1 END) AS calls, count(*) FILTER (WHERE valid) AS eligible FROM (SELECT *, CASE WHEN pilot THEN '{requests.PILOT}' WHEN retries > 0 THEN '{requests.RETRIED}' ELSE '{requests.FIRST_PASS}' END AS kind FROM records) GROUP BY model, kind", "items", **RECORDS))
+def g11_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records, retries, paid calls and eligible records of each class."""
+    found = request_log(spark, sf_dir)[1]
+    return found.groupBy("model", "kind").agg(count_rows().alias("records"), F.sum("retries").alias("retries"), F.sum("calls").cast("long").alias("calls"), F.count_if("valid").alias("eligible"))
 
 
 @query("g12_pilot_gate_decision", "SELECT role, round(avg((length(coalesce(text, '')) >= 20)::INT), 6) AS parse_rate, CASE WHEN avg((length(coalesce(text, '')) >= 20)::INT) >= 0.98 THEN 'GO' WHEN avg((length(coalesce(text, '')) >= 20)::INT) >= 0.9 THEN 'AMEND' ELSE 'STOP' END AS decision FROM conversations GROUP BY role")
@@ -141,12 +179,21 @@ def g12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("role", r6("r").alias("parse_rate"), F.when(F.col("r") >= 0.98, "GO").when(F.col("r") >= 0.9, "AMEND").otherwise("STOP").alias("decision"))
 
 
-@query("g13_correctness_gate", V.sql("SELECT round(count(*) FILTER (WHERE a <> b) / count(b), 6) AS disagreement, count(DISTINCT item) FILTER (WHERE a <> b) AS items, count(*) FILTER (WHERE a <> b) / count(b) >= 0.01 OR count(DISTINCT item) FILTER (WHERE a <> b) > 5 AS escalate FROM two", "ix", two=TWO))
+AGREED_ROWS = "SELECT item, CASE WHEN a THEN 1 ELSE 0 END AS correct FROM two"
+DISPUTED = {"every_row": AGREED_ROWS, "agreed_row": AGREED_ROWS + " WHERE a = b", **compared_sql(ERRORS_OF.format("every_row"), ERRORS_OF.format("agreed_row")), "disputed": "SELECT count(*) FILTER (WHERE a <> b) / nullif(count(b), 0) AS disagreement, count(DISTINCT item) FILTER (WHERE a <> b) AS disputed_items FROM two"}
+
+
+@query("g13_correctness_gate", V.sql(f"SELECT round(disagreement, 6) AS disagreement, disputed_items, {COMPARED}, CASE WHEN coalesce(disagreement >= 0.01, false) OR coalesce(rho < 0.99, false) OR coalesce(median_gap > 0.01, false) OR lost > 5 THEN 'PI_REVIEW_REQUIRED' ELSE 'PASS_WITH_SENSITIVITY' END AS gate FROM compared, disputed", "ix", two=TWO, **DISPUTED))
 def g13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether two correctness sources disagree too much."""
+    """Whether two correctness sources part too far: disagreement, and item errors over all rows against those on which both agree."""
+    two = two_sources(spark, sf_dir)
     wrong = F.col("a") != F.col("b")
-    one = two_sources(spark, sf_dir).agg((F.count_if(wrong) / F.count("b")).alias("d"), F.countDistinct(F.when(wrong, F.col("item"))).alias("items"))
-    return one.select(r6("d").alias("disagreement"), "items", ((F.col("d") >= 0.01) | (F.col("items") > 5)).alias("escalate"))
+    disputed = two.agg((F.count_if(wrong) / F.nullif(F.count("b"), F.lit(0))).alias("disagreement"), F.count_distinct(F.when(wrong, F.col("item"))).alias("disputed_items"))
+    rows = two.select("item", F.col("a").cast("int").alias("correct"), (F.col("a") == F.col("b")).alias("agreed"))
+    found = rates.compare_errors(smoothed_errors(rows), smoothed_errors(rows.where("agreed")), LEAST).crossJoin(F.broadcast(disputed))  # one row each
+    over = lambda test: F.coalesce(test, F.lit(False))
+    review = over(F.col("disagreement") >= 0.01) | over(F.col("rho") < 0.99) | over(F.col("median_gap") > 0.01) | (F.col("lost") > 5)
+    return rounded(found.withColumn("gate", F.when(review, "PI_REVIEW_REQUIRED").otherwise("PASS_WITH_SENSITIVITY")))
 
 
 @query("g14_orientation_identities", V.sql("SELECT count(*) AS items, count(*) FILTER (WHERE k + w <> n) AS count_violations, count(*) FILTER (WHERE abs((k + 1.0) / (n + 2.0) + (w + 1.0) / (n + 2.0) - 1) > 1e-12) AS rate_violations FROM (SELECT item, count(*) AS n, sum(correct) AS k, sum(1 - correct) AS w FROM ix_big GROUP BY item)", "ix_big"))

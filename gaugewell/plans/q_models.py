@@ -198,18 +198,35 @@ def m18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.join(rho, "cell").join(tau, "cell").drop("cell"))
 
 
-BOTH = "SELECT a.item, a.e AS every, b.e AS first FROM (SELECT item, avg(1 - correct) AS e FROM ixs WHERE split = 'test' GROUP BY item) a JOIN (SELECT item, avg(1 - correct) AS e FROM first_seen GROUP BY item) b USING (item)"
+def compared_sql(one: str, other: str) -> dict[str, str]:
+    """SQL of ``rates.compare_errors`` over two queries of item, n and error: the parts, the last of which is ``compared``."""
+    common = f"n >= {LEAST} AND n_other >= {LEAST}"
+    gap = f"abs(error - error_other)) FILTER (WHERE {common})"
+    return {
+        "paired": f"SELECT item, n, error, coalesce(n_other, 0) AS n_other, error_other FROM ({one}) LEFT JOIN (SELECT item, n AS n_other, error AS error_other FROM ({other})) USING (item)",
+        "common": f"SELECT 'x' AS cell, 1 AS w, error, error_other FROM paired WHERE {common}",
+        "rank_agreement": resampling.weighted_sql("rx", "ry", "(" + resampling.ranked_sql("error", "error_other", "common", "cell") + ")", "cell", "rho"),
+        "compared": f"SELECT *, (SELECT rho FROM rank_agreement) AS rho, flips / greatest(either, 1)::DOUBLE AS flip_share FROM (SELECT count(*) FILTER (WHERE {common}) AS items, corr(error, error_other) FILTER (WHERE {common}) AS r, quantile_cont(abs(error - error_other), 0.5) FILTER (WHERE {common}) AS median_gap, quantile_cont(abs(error - error_other), 0.95) FILTER (WHERE {common}) AS p95_gap, max({gap} AS max_gap, count(*) FILTER (WHERE n >= {LEAST}) AS eligible_one, count(*) FILTER (WHERE n_other >= {LEAST}) AS eligible_other, count(*) FILTER (WHERE (n >= {LEAST}) <> (n_other >= {LEAST})) AS flips, count(*) FILTER (WHERE n >= {LEAST} OR n_other >= {LEAST}) AS either, count(*) FILTER (WHERE n >= {LEAST} AND n_other < {LEAST}) AS lost FROM paired)",
+    }
 
 
-@query("m19_construct_compare", V.sql("SELECT count(*) AS items, round(corr(every, first), 6) AS r, round(quantile_cont(abs(every - first), 0.5), 6) AS median_gap, round(quantile_cont(abs(every - first), 0.95), 6) AS p95_gap, round(max(abs(every - first)), 6) AS max_gap, quantile_cont(abs(every - first), 0.5) > 0.03 AS alarm FROM both_views", "ixs", first_seen=FIRST, both_views=BOTH))
+def smoothed_errors(rows: DataFrame) -> DataFrame:
+    """item, n and the smoothed error, to nine digits so that equal errors tie."""
+    each = rows.groupBy("item").agg(count_rows().alias("n"), F.sum(1 - F.col("correct")).alias("k"))
+    return each.select("item", "n", F.round(rates.beta_smoothed("k", "n"), 9).alias("error"))
+
+
+ERRORS_OF = "SELECT item, count(*) AS n, round((sum(1 - correct) + 1.0) / (count(*) + 2.0), 9)::DOUBLE AS error FROM {} GROUP BY item"
+COMPARED = "items, round(r, 6) AS r, round(rho, 6) AS rho, round(median_gap, 6) AS median_gap, round(p95_gap, 6) AS p95_gap, round(max_gap, 6) AS max_gap, eligible_one, eligible_other, flips, round(flip_share, 6) AS flip_share, lost"
+
+
+@query("m19_construct_compare", V.sql(f"SELECT {COMPARED}, coalesce(rho < 0.95, true) OR coalesce(median_gap > 0.03, true) OR flip_share > 0.1 AS alarm FROM compared", "ixs", first_seen=FIRST, **compared_sql(ERRORS_OF.format("ixs WHERE split = 'test'"), ERRORS_OF.format("first_seen"))))
 def m19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error over all responses against error over first ones."""
+    """Error over all responses against error over first ones: agreement, gaps, items whose eligibility flips, and the alarm."""
     rows = V.ixs(spark, sf_dir).where("split = 'test'")
-    every = rows.groupBy("item").agg(F.avg(1 - F.col("correct")).alias("every"))
-    first = rates.first_observed(rows, "ts", "event_id").groupBy("item").agg(F.avg(1 - F.col("correct")).alias("first"))
-    gap = F.abs(F.col("every") - F.col("first"))
-    q = lambda p: F.percentile(gap, F.lit(p))
-    return rounded(every.join(first, "item").agg(count_rows().alias("items"), F.corr("every", "first").alias("r"), q(0.5).alias("median_gap"), q(0.95).alias("p95_gap"), F.max(gap).alias("max_gap"), (q(0.5) > 0.03).alias("alarm")))
+    found = rates.compare_errors(smoothed_errors(rows), smoothed_errors(rates.first_observed(rows, "ts", "event_id")), LEAST)
+    alarm = F.coalesce(F.col("rho") < 0.95, F.lit(True)) | F.coalesce(F.col("median_gap") > 0.03, F.lit(True)) | (F.col("flip_share") > 0.1)
+    return rounded(found.withColumn("alarm", alarm))
 
 
 SEEDED = f"SELECT condition, seed, {LOSS} AS log_loss FROM pred GROUP BY 1, 2"

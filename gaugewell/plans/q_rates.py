@@ -159,16 +159,6 @@ def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(mode, "model")
 
 
-SCORE = r"(?:0?\.[0-9]+|1\.0*|0|1)"
-
-
-@query("a14_parse_gate_table", f"SELECT role, count(*) AS expected, count(*) FILTER (WHERE text IS NOT NULL AND text <> '') AS completed, count(*) FILTER (WHERE regexp_matches(text, '{SCORE}')) AS valid FROM conversations GROUP BY role")
-def a14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected, completed and parseable replies per role."""
-    c = V.table(spark, sf_dir, "conversations")
-    return c.groupBy("role").agg(count_rows().alias("expected"), F.count_if(F.col("text").isNotNull() & (F.col("text") != "")).alias("completed"), F.count_if(F.col("text").rlike(SCORE)).alias("valid"))
-
-
 REPLICATE_PAIRS = [(i, j) for i in V.SEEDS for j in V.SEEDS if i < j]
 STABLE = {
     "each": "SELECT condition, item, seed, round(avg(p), 9) AS p FROM pred GROUP BY 1, 2, 3",

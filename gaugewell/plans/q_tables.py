@@ -245,11 +245,11 @@ def j1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.ix_big(spark, sf_dir).join(i, "item", "left").select("learner", "item", F.coalesce("format", F.lit("")).alias("format"))
 
 
-@query("j2_split_attach_checked", V.sql("SELECT count(*) AS n_rows, count(*) - count(split) AS unassigned FROM ix LEFT JOIN split USING (learner)", "ix", "split"))
+@query("j2_split_attach_checked", V.sql("SELECT split, count(*) AS n_rows, count(DISTINCT learner) AS learners FROM ix JOIN split USING (learner) GROUP BY split", "ix", "split"))
 def j2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many rows lack a split."""
-    rows = V.ix(spark, sf_dir).join(V.split(spark, sf_dir), "learner", "left")
-    return rows.agg(count_rows().alias("n_rows"), F.count_if(F.col("split").isNull()).alias("unassigned"))
+    """Rows and learners of each split; a row without a split raises an error."""
+    rows = rates.attach_split(V.ix(spark, sf_dir), V.split(spark, sf_dir))
+    return rows.groupBy("split").agg(count_rows().alias("n_rows"), F.count_distinct("learner").alias("learners"))
 
 
 @query("j3_semi_join_universe", V.sql("SELECT learner, item FROM ix_big WHERE item IN (SELECT item FROM items WHERE size >= 25)", "ix_big", "items"))
