@@ -6,6 +6,8 @@ learners to train, val and test, ``scores`` are two difficulty scores per item,
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +44,9 @@ def learner_split(learners: DataFrame, seed: int = SEED, train: float = TRAIN, v
     """``learner`` and ``split``: hash order, the first floor(train * n) train, the next floor(val * n) val, the rest test."""
     ranked = hash_rank(learners.select("learner").distinct(), hashed(seed, "learner"), "learner")
     n = learners.select("learner").distinct().agg(F.count(F.lit(1)).alias("n"))
-    first, second = F.floor(F.col("n") * train), F.floor(F.col("n") * train) + F.floor(F.col("n") * val)
+    # Exact decimals: 90,000 * 0.7 is 62,999.99... as a double.
+    first, second = (F.floor(F.col("n") * F.lit(Decimal(str(share)))) for share in (train, val))
+    second = first + second
     split = F.when(F.col("rank") < first, "train").when(F.col("rank") < second, "val").otherwise("test")
     return ranked.crossJoin(F.broadcast(n)).select("learner", split.alias("split"))  # one row is broadcast
 

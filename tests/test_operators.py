@@ -168,3 +168,9 @@ def test_kendall_equals_all_pairs(spark, values):
         pairs = [(sign(a[0] - b[0]), sign(a[1] - b[1])) for i, a in enumerate(own) for b in own[:i]]
         scale = (sum(x != 0 for x, _ in pairs) * sum(y != 0 for _, y in pairs)) ** 0.5
         assert found[cell] == (len(own), pytest.approx(sum(x * y for x, y in pairs) / scale))
+
+
+def test_split_sizes_are_exact_where_doubles_are_not(spark):
+    for n, sizes in ((90, {"train": 63, "val": 9, "test": 18}), (170, {"train": 119, "val": 17, "test": 34})):
+        found = {r.split: r["count"] for r in learner_split(spark.range(n).withColumnRenamed("id", "learner")).groupBy("split").count().collect()}
+        assert found == sizes
