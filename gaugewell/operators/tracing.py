@@ -33,6 +33,11 @@ def exposure_ranks(rows: DataFrame, largest: int, seed: int = SEED) -> DataFrame
     return kept.select("learner", "item", "event_id", "correct", "exposure_rank")
 
 
+def per_item(table: DataFrame) -> DataFrame:
+    """``table``, a row or more per item, for joins by shuffle: it grows with the input, and what Spark takes from compressed files for a small table may be too large to broadcast."""
+    return table.hint("merge")
+
+
 def caps(exposures: tuple) -> list[int]:
     """The numeric exposures."""
     return [e for e in exposures if e != "warm"]
@@ -52,7 +57,7 @@ def response_limited_view(rows: DataFrame, items: DataFrame, exposures: tuple =
     in hash order of all ``items`` (item).
     """
     index = hash_rank(items.select("item").distinct(), hashed("item"), "item").select("item", (F.col("rank") + 1).alias("item_index"))
-    known = rows.join(index, "item")
+    known = rows.join(per_item(index), "item")
     train = known.where("split = 'train'")
     parts = [_truncated(known.where("split <> 'train'").withColumn("exposure", F.lit("any")), order, max_len, "exposure", "split", "learner")]
     numbers = caps(exposures)
@@ -77,7 +82,7 @@ def fold_index(folds: DataFrame, n_folds: int) -> DataFrame:
     others = folds.select("item", "fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))).alias("other")).where("other <> fold")
     ranked = hash_rank(others, hashed("item"), "item", cell=("other",))
     by_fold = ranked.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("other", F.col("rank") + 2))).alias("indices"))
-    return folds.select("item", F.col("fold").alias("own")).join(by_fold, "item", "left")
+    return folds.select("item", F.col("fold").alias("own")).join(per_item(by_fold), "item", "left")
 
 
 def dropped(index: Column, share: float, seed: int) -> Column:
@@ -94,7 +99,7 @@ def cold_start_view(rows: DataFrame, folds: DataFrame, n_folds: int, order: tupl
     these and ``eval_first`` each one's first place. Test learners without one are not in the fold. Both marks are true
     in train and val.
     """
-    known = rows.join(fold_index(folds, n_folds), "item")
+    known = rows.join(per_item(fold_index(folds, n_folds)), "item")
     index = F.coalesce(F.try_element_at("indices", "fold"), F.lit(UNKNOWN).cast("long"))
     # A row that has max_len rows of its own item fold before it is in no fold's cut sequence.
     fit = _truncated(known.where("split <> 'test'"), order, max_len, "split", "learner", "own")
@@ -117,7 +122,7 @@ def cold_start_proof(rows: DataFrame, folds: DataFrame, view: DataFrame, n_folds
     left in the view), target_largest_index (1 unless an own item has an index), largest_index, first_rows and all_rows
     (test rows under either mark), clean.
     """
-    own = folds.select("item", F.col("fold").alias("own"))
+    own = per_item(folds.select("item", F.col("fold").alias("own")))
     every = F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))).alias("fold")
     sizes = own.groupBy("own").agg(F.count(F.lit(1)).alias("target_items"))
     total = own.agg(F.count(F.lit(1)).alias("n"))
@@ -154,7 +159,7 @@ def train_errors(rows: DataFrame, items: DataFrame, exposures: tuple = EXPOSURES
     grid = items.select("item").distinct().select("item", F.explode(F.array(*[F.lit(str(e)) for e in exposures])).alias("exposure"))
     for n, cell in enumerate(cells):
         own = cell.select("item", "exposure", beta_smoothed("k", "n").alias(f"_own{n}"))
-        grid = grid.join(own, ["item", "exposure"], "left")
+        grid = grid.join(per_item(own), ["item", "exposure"], "left")
     owns = [F.col(f"_own{n}") for n in range(len(cells))]
     return grid.crossJoin(F.broadcast(mean)).select("item", "exposure", F.coalesce(*owns, F.col("_mean")).alias("value"))  # one row
 
@@ -164,14 +169,14 @@ def resampled(values: DataFrame) -> DataFrame:
     ranked = hash_rank(values, hashed("item"), "item").select("value", "rank")
     n = values.agg(F.count(F.lit(1)).alias("_n"))
     drawn = values.crossJoin(F.broadcast(n)).select("item", F.pmod(hash_number(hashed(F.lit("draw"), "item")), F.col("_n")).alias("rank"))  # one row
-    return drawn.join(ranked, "rank").select("item", "value")
+    return drawn.join(per_item(ranked), "rank").select("item", "value")
 
 
 def permuted(values: DataFrame) -> DataFrame:
     """``values`` (item, value) dealt to the items anew, each once."""
     left = hash_rank(values, hashed("item"), "item").select("item", "rank")
     right = hash_rank(values, hashed(F.lit("p"), "item"), "item").select("value", "rank")
-    return left.join(right, "rank").select("item", "value")
+    return left.join(per_item(right), "rank").select("item", "value")
 
 
 def scaled_length(items: DataFrame) -> DataFrame:
@@ -189,10 +194,10 @@ def scalar_maps(items: DataFrame, scores: DataFrame, rows: DataFrame, control: s
     ``length``, ``oracle_error`` from all rows, all with exposure ``any``, and ``train_error`` under each exposure. Items
     without a score or a response have no row of that source.
     """
-    own = scores.where(F.col("model") == control).select("item", F.col("score").alias("value")).join(items.select("item"), "item", "left_semi")
-    oracle = rows.groupBy("item").agg(beta_smoothed(F.sum(1 - F.col("correct")), F.count(F.lit(1))).alias("value")).join(items.select("item"), "item", "left_semi")
+    own = scores.where(F.col("model") == control).select("item", F.col("score").alias("value")).join(per_item(items.select("item")), "item", "left_semi")
+    oracle = rows.groupBy("item").agg(beta_smoothed(F.sum(1 - F.col("correct")), F.count(F.lit(1))).alias("value")).join(per_item(items.select("item")), "item", "left_semi")
     named = {"resampled": resampled(own), "permuted": permuted(own), "length": scaled_length(items), "oracle_error": oracle}
-    long = scores.join(items.select("item"), "item", "left_semi").select("item", F.lit("any").alias("exposure"), F.col("model").alias("source"), F.col("score").alias("value"))
+    long = scores.join(per_item(items.select("item")), "item", "left_semi").select("item", F.lit("any").alias("exposure"), F.col("model").alias("source"), F.col("score").alias("value"))
     for name, values in named.items():
         long = long.unionByName(values.select("item", F.lit("any").alias("exposure"), F.lit(name).alias("source"), "value"))
     return long.unionByName(train_errors(rows, items, exposures, seed).select("item", "exposure", F.lit("train_error").alias("source"), "value"))

@@ -156,3 +156,12 @@ def test_metrics_from_a_histogram(spark):
     for row in plain.collect():
         for name in ("n", "log_loss", "brier", "accuracy", "auc", "ece"):
             assert getattr(got[row.cell], name) == (None if row[name] is None else pytest.approx(row[name]))
+
+
+def test_tables_of_all_items_are_never_broadcast(spark):
+    rows = spark.createDataFrame([(1, 3, 1, 1, "train", 5), (2, 4, 2, 0, "test", 6)], ROWS.replace("ts long, correct int, split string", "correct int, split string, ts int"))
+    folds = spark.range(20).select(F.col("id").alias("item"), F.pmod("id", F.lit(5)).cast("int").alias("fold"))
+    view = tracing.cold_start_view(rows, folds, 5)
+    for frame in (view, tracing.cold_start_proof(rows, folds, view, 5), tracing.response_limited_view(rows, folds)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [item#" in plan and "BroadcastHashJoin [item#" not in plan
