@@ -18,6 +18,7 @@ from gaugewell.plans.q_rates import FIRST, LEAST, count_rows, r6
 from gaugewell.plans.q_tables import FRAME_PARTS, analysis_frame
 from gaugewell.plans.registry import Catalog
 from gaugewell.sources import views as V
+from gaugewell.sources.files import cut
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -229,11 +230,12 @@ def k12(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = by.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("lagged", F.lag("correct", 1, 0).over(by)).withColumn("running", F.coalesce(F.avg("correct").over(before), F.lit(0.5)))
     rows = rows.join(known, "item", "left").select("split", F.col("correct").alias("y"), F.col("lagged").cast("double"), "running", F.coalesce("item_rate", F.lit(0.5)).alias("item_rate"), "score")
+    rows = cut(rows)  # read by two fits and their scores; the windows over learners are sorted once
     parts = []
     for name, features in (("base", ["lagged", "running", "item_rate"]), ("score", ["lagged", "running", "item_rate", "score"])):
         both = VectorAssembler(inputCols=features, outputCol="features").transform(rows)
         model = LogisticRegression(featuresCol="features", labelCol="y", regParam=0.001, maxIter=25).fit(both.where("split = 'train'"))
         p = model.transform(both.where("split = 'test'")).select(F.lit(name).alias("condition"), "y", vector_to_array("probability")[1].alias("p"))
         parts.append(p)
-    whole = parts[0].unionByName(parts[1])
+    whole = cut(parts[0].unionByName(parts[1]))
     return rounded(evaluation.binary_metrics(whole, "condition").join(evaluation.roc_auc(whole, "condition"), "condition"))

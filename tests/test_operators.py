@@ -13,6 +13,7 @@ from gaugewell.operators import association as A
 from gaugewell.operators import evaluation, gates, rates, ridge
 from gaugewell.operators.rasch import fit_rasch
 from gaugewell.sources import files
+from gaugewell.plans import q_gates, q_more
 from gaugewell.sources.views import learner_split
 
 X = [1.0, 1.0, 2.0, 2.0, 2.0, 3.0]
@@ -174,3 +175,15 @@ def test_split_sizes_are_exact_where_doubles_are_not(spark):
     for n, sizes in ((90, {"train": 63, "val": 9, "test": 18}), (170, {"train": 119, "val": 17, "test": 34})):
         found = {r.split: r["count"] for r in learner_split(spark.range(n).withColumnRenamed("id", "learner")).groupBy("split").count().collect()}
         assert found == sizes
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_admission_gates_expand_no_rows_and_broadcast_no_items(spark):
+    plan = q_gates.g6(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "BroadcastHashJoin [item#" not in plan
+
+
+def test_condition_models_are_scored_on_rows_that_are_cut(spark):
+    assert "learner#" not in q_more.k12(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
