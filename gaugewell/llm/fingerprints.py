@@ -5,9 +5,9 @@ A signature has ``PERMUTATIONS`` components; component i is the smallest value o
 component with a probability equal to the Jaccard similarity of the shingle sets (2**-16 more for the cut).
 
 A band is a run of ``BAND_ROWS`` components. Documents with an equal band are candidates; at a similarity of 0.8 two
-share one of the 21 bands with a probability of 0.998. Members of a band are verified against its centre on their
-whole shingle sets, and those that are in no component with it against a second, in rounds until one finds hardly a link:
-in a group of documents that are alike, but less than that, nearly all pairs would be candidates.
+share one of the 21 bands with a probability of 0.998. In a group of documents that are alike, but less than that,
+nearly all pairs would be candidates. So the documents that share a band with any other go through the exact join of
+:mod:`gaugewell.llm.jaccard_join` on their whole shingle sets, which loses no link among them and does not form those pairs.
 """
 
 from __future__ import annotations
@@ -16,21 +16,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewell.llm import words as W
 from gaugewell.llm.copies import whole_copies
-from gaugewell.llm.linking import components_by_rounds
+from gaugewell.llm.jaccard_join import PERCENT, linked_sets
 from gaugewell.llm.ordered import descending_with_next
 from gaugewell.llm.packed import opened
-from gaugewell.llm.session import cut, keyed, named, written
+from gaugewell.llm.session import cut, keyed, named
 from gaugewell.llm.spread import join_unique
 
 SHINGLE = 5
 PERMUTATIONS = 128
 BAND_ROWS = 6
-PERCENT = 80
 #: Ids of copies up to which they are broadcast; past that Spark joins by shuffle.
 BROADCAST_IDS = 1_000_000
 _STEP = np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)
@@ -158,27 +157,23 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.asarray(docs), keys.shape[1]))], names=["key", "doc_id"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in W.blocks(batch.column(1)):
             sets = W.shingle_sets(block, SHINGLE)
-            docs = batch.column(0).slice(block.first, block.last - block.first)
-            yield pa.RecordBatch.from_arrays([docs, pa.array(np.diff(sets.firsts)), W.lists(pa.array(sets.hashes.view(np.int64)), sets.firsts)], names=["doc_id", "n", "tokens"])
-
-
-def _alike_in_size(one: str, other: str) -> Column:
-    """Whether two sets are near enough in size to reach the similarity."""
-    a, b = F.col(f"{one}.n"), F.col(f"{other}.n")
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+            sizes = np.diff(sets.firsts)
+            docs = np.repeat(np.asarray(batch.column(0))[block.first : block.last], sizes)
+            rows = [pa.array(sets.hashes.view(np.int64)), pa.array(docs), pa.array(np.repeat(sizes, sizes).astype(np.int32))]
+            yield from W.pieces(pa.RecordBatch.from_arrays(rows, names=["token", "doc_id", "n"]))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of near duplicates found by equal bands: ``doc_id`` and ``component_id`` of every row of ``docs``.
 
-    Two documents are linked when they share a band and their shingle sets have :data:`PERCENT` of their union in
-    common; ``component_id`` is the smallest id that links reach. Copies of one text have one class. Documents
+    Two documents are linked when each shares a band with some other text and their shingle sets have :data:`PERCENT`
+    of their union in common; ``component_id`` is the smallest id that links reach. Copies of one text have one class. Documents
     without words are linked with nothing but their copies. Ids that are null or repeat are as in
-    :func:`fingerprints_under_edits`. See :mod:`gaugewell.llm.linking` for how candidates are verified.
+    :func:`fingerprints_under_edits`.
     """
     rows, names = keyed(docs, F.coalesce(F.col(text_col), F.lit("")).alias("text"), id_col=id_col)
     return named(_classed(rows.select("doc_id"), rows), names, "doc_id", "component_id")
@@ -197,16 +192,11 @@ def _classed(every: DataFrame, rows: DataFrame) -> DataFrame:
     few = copies.count() <= BROADCAST_IDS
     once = rows.join(F.broadcast(copies.select("doc_id")) if few else copies.select("doc_id"), "doc_id", "left_anti")
     bands = once.mapInArrow(_bands, "key long, doc_id long")
-    shared = cut(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    met = written(join_unique(bands, shared, "key", few=shared.count() <= BROADCAST_IDS), "bands")
-    wanted = cut(met.groupBy("doc_id").agg(F.sum("size").alias("met")))
+    shared = cut(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key"))
+    wanted = cut(join_unique(bands, shared, "key", "left_semi", shared.count() <= BROADCAST_IDS).select("doc_id").distinct())
     near = wanted.count() <= BROADCAST_IDS
-    sets = written(once.join(F.broadcast(wanted) if near else wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, n long, tokens array<long>"), "sets")
-    # The document that meets the most others in all its bands is a key's head: the likeliest centre of its copies.
-    ranks = cut(wanted.join(sets.select("doc_id", "n"), "doc_id"))
-    members = join_unique(met.select("key", "doc_id"), ranks, "doc_id", few=near)
-    members = members.select("key", F.struct((-F.col("met")).alias("rank"), "doc_id", "n").alias("own"))
-    parts = components_by_rounds(members, sets, PERCENT, _alike_in_size).select(F.col("doc_id").alias("first"), "component_id")
+    tokens = once.join(F.broadcast(wanted) if near else wanted, "doc_id", "left_semi").mapInArrow(_tokens, "token long, doc_id long, n int")
+    parts = linked_sets(tokens).select(F.col("doc_id").alias("first"), "component_id")
     firsts = every.join(F.broadcast(copies) if few else copies, "doc_id", "left").withColumn("first", F.coalesce("first", "doc_id"))
     found = join_unique(firsts, parts, "first", "left", parts.count() <= BROADCAST_IDS)
     return found.select(*every.columns, F.coalesce("component_id", "first").alias("component_id"))

@@ -13,8 +13,6 @@ from gaugewell.llm.spread import hot_keys, join_unique
 
 #: Rows up to which the smaller side of a join is broadcast.
 BROADCAST_ROWS = 1_000_000
-#: Pairs of a round per link that it must find for another.
-FRUITLESS = 50
 #: Copies of the set that many documents are held against, so that no task holds it against all of them.
 COPIES = 64
 
@@ -62,27 +60,6 @@ def torn_members(met: DataFrame, parts: DataFrame) -> DataFrame:
     return cut(join_unique(labelled, torn, "key", "left_semi", torn.count() <= BROADCAST_ROWS))
 
 
-def components_by_rounds(members: DataFrame, sets: DataFrame, percent: int, reachable: Callable[[str, str], Column]) -> DataFrame:
-    """Components by links to heads alone, in rounds: ``doc_id`` and ``component_id``.
-
-    In each round the members that are in no component of their key's heads so far are held against the first of them;
-    rounds end when one finds a link in no more than one of :data:`FRUITLESS` pairs. No pairs within a key are formed but those with its heads: a link between two
-    members is found if a round makes either a head while they are apart, or if links to heads connect them.
-    """
-    left, links, parts = members, None, None
-    while True:
-        met, stars, found = star_links(left, sets, percent, reachable)
-        links = found if links is None else cut(links.unionByName(found))
-        parts = connected(links)
-        if found.count() * FRUITLESS <= stars.count():
-            return parts
-        few = parts.count() <= BROADCAST_ROWS
-        own = join_unique(met.withColumn("doc_id", F.col("own.doc_id")), parts, "doc_id", "left", few).withColumn("part", F.coalesce("component_id", "doc_id"))
-        own = own.select("key", "own", "part", F.col("head.doc_id").alias("doc_id"))
-        apart = join_unique(own, parts, "doc_id", "left", few).where(F.col("part") != F.coalesce("component_id", "doc_id"))
-        left = cut(apart.select("key", "own"))
-
-
 def components_under_keys(members: DataFrame, sets: DataFrame, percent: int, reachable: Callable[[str, str], Column]) -> DataFrame:
     """``doc_id`` and ``component_id`` of the documents with a verified link to another that has a key in common.
 

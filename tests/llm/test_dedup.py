@@ -244,3 +244,30 @@ def test_classes_and_edits_of_awkward_rows(spark):
 def test_digest_of_kept_text(spark):
     kept = substring_dedup.remove_repeats(frame(spark, [(1, "a b")])).select(F.sha2("kept_text", 256).alias("h")).first().h
     assert kept == hashlib.sha256(b"a b").hexdigest()
+
+
+def alike(n: int, places: int, words: int, seed: int) -> list[tuple[int, str]]:
+    """Variants of one text, most of them alike but less than near duplicates."""
+    r, base = random.Random(seed), prose(seed, words)
+    step = words // places
+    return [(i, " ".join(f"v{j // step}" if j % step == 3 and (mask >> (j // step)) & 1 and j // step < places else w for j, w in enumerate(base))) for i, mask in enumerate(r.randrange(1 << places) for _ in range(n))]
+
+
+def test_no_link_in_a_group_that_is_merely_alike_is_lost(spark):
+    rows = alike(400, 12, 84, 21)
+    sets = {i: {tuple(t.split(" ")[j : j + 5]) for j in range(80)} for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in sets:
+        for b in range(a + 1, len(rows)):
+            shared = len(sets[a] & sets[b])
+            if 100 * shared >= 80 * (len(sets[a]) + len(sets[b]) - shared):
+                one, other = sorted((root(a), root(b)))
+                parent[other] = one
+    found = {r.doc_id: r.component_id for r in fingerprints.near_duplicates(frame(spark, rows)).collect()}
+    assert found == {i: root(i) for i in sets}
