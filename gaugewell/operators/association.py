@@ -28,6 +28,11 @@ def weighted_pearson(rows: DataFrame, x: str, y: str, weight: str, *cell: str, l
     w, both = F.col(weight), rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     total = lambda *f: F.sum(reduce(Column.__mul__, f, w.cast("double")))
     sums = both.groupBy(*cell).agg(F.sum(w).alias("n"), total(F.col(x)).alias("_x"), total(F.col(y)).alias("_y"), total(F.col(x), F.col(y)).alias("_xy"), total(F.col(x), F.col(x)).alias("_xx"), total(F.col(y), F.col(y)).alias("_yy"))
+    return pearson_of(sums, *cell, least=least, name=name)
+
+
+def pearson_of(sums: DataFrame, *cell: str, least: float = 5, name: str = "r") -> DataFrame:
+    """:func:`weighted_pearson` from the sums of weights (``n``) and of weighted x, y, xy, xx and yy (``_x`` to ``_yy``)."""
     spread = lambda a, b, ab: F.col(ab) - F.col(a) * F.col(b) / F.col("n")
     # What cancels to nothing but rounding is no spread.
     vx, vy = spread("_x", "_x", "_xx"), spread("_y", "_y", "_yy")

@@ -6,20 +6,14 @@ statistics of a replicate, in whatever cell, see the same resample of items.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugewell.functions.hashing import hashed
-from gaugewell.operators.association import holm, kendall, pearson, spearman, spearman_of, weighted_pearson, with_rank_p
-from gaugewell.operators.ranking import joint
+from gaugewell.operators.association import holm, kendall, pearson, pearson_of, spearman, with_rank_p
+from gaugewell.operators.replicates import EDGES, PER_DIGEST, counted_pairs, moments, rank_correlations
 
 REPLICATES = 500
-#: Numbers of 32 bits in a digest, each for one replicate.
-PER_DIGEST = 8
-#: A count is how many of these a number reaches: Poisson(1)'s distribution function at 0, 1, ... in steps of 2**-32.
-EDGES = tuple(int(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(10))
 
 
 def poisson_counts(rows: DataFrame, key: str, replicates: int = REPLICATES, stream: str = "boot") -> DataFrame:
@@ -41,16 +35,20 @@ def percentiles(rows: DataFrame, value: str, *cell: str, low: str, high: str, al
 def intervals(rows: DataFrame, x: str, y: str, key: str, *cell: str, replicates: int = REPLICATES, kinds: tuple[str, ...] = ("r", "rho")) -> DataFrame:
     """95 % intervals of the correlation (``r_low``, ``r_high``) and of the rank correlation (``rho_low``, ``rho_high``) per cell,
     over resamples of ``key``, which no cell has twice."""
-    drawn = poisson_counts(rows.select(*cell, key, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()), key, replicates)
-    table = joint(drawn, x, y, *cell, "b", weight="w")  # one shuffle for both kinds
     found = None
-    for kind in kinds:
-        each = weighted_pearson(table, "_x", "_y", "_w", *cell, "b") if kind == "r" else spearman_of(table, *cell, "b")
+    for kind, each in replicated(rows, x, y, key, *cell, replicates=replicates, kinds=kinds).items():
         part = percentiles(each, kind, *cell, low=f"{kind}_low", high=f"{kind}_high")
         found = part if found is None else found.join(part, list(cell))
     return found
 
 
+def replicated(rows: DataFrame, x: str, y: str, key: str, *cell: str, replicates: int = REPLICATES, kinds: tuple[str, ...] = ("r", "rho")) -> dict[str, DataFrame]:
+    """The correlation ``r`` and the rank correlation ``rho`` of each cell and replicate ``b``, by kind; rows that lack x or y are left out."""
+    pairs = counted_pairs(rows, x, y, key, *cell, replicates=replicates)
+    each = {"r": lambda: pearson_of(moments(pairs, replicates, *cell), *cell, "b"), "rho": lambda: rank_correlations(pairs, replicates, *cell)}
+    return {kind: each[kind]() for kind in kinds}
+
+
 def correlation_table(rows: DataFrame, x: str, y: str, key: str, *cell: str, kinds: tuple[str, ...] = ("r", "rho"), tau: bool = False, replicates: int = REPLICATES) -> DataFrame:
     """Per cell: n, the correlations of ``kinds`` (``r``, ``rho``) with 95 % intervals, ``tau`` if asked for, and of the rank
     correlation its p and Holm's over all cells. Rows that lack x or y are left out; ``key`` is what is resampled."""

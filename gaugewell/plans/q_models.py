@@ -78,8 +78,7 @@ for _name in ("price", "smoothed"):
 def m5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of the difference of two rank correlations of the score, with a surface feature and with error, on the same resamples."""
     frame = analysis_frame(spark, sf_dir).join(V.items(spark, sf_dir).select("item", "price"), "item")
-    drawn = resampling.poisson_counts(frame.select("model", "item", "score", "price", "smoothed"), "item")
-    sides = [A.spearman(drawn, "score", y, "model", "b", weight="w").select("model", "b", F.col("rho").alias(f"rho_{y}")) for y in ("price", "smoothed")]
+    sides = [resampling.replicated(frame, "score", y, "item", "model", kinds=("rho",))["rho"].select("model", "b", F.col("rho").alias(f"rho_{y}")) for y in ("price", "smoothed")]
     gap = sides[0].join(sides[1], ["model", "b"]).withColumn("d", F.col("rho_price") - F.col("rho_smoothed"))
     return rounded(resampling.percentiles(gap, "d", "model", low="low", high="high").join(gap.groupBy("model").agg(F.avg("d").alias("mean")), "model"))
 

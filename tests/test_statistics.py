@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugewell.operators import association as A
-from gaugewell.operators import evaluation, isotonic, mixed_ridge, randomisation, ranking, resampling
+from gaugewell.operators import evaluation, isotonic, mixed_ridge, randomisation, ranking, replicates, resampling
 
 
 def test_running_totals_do_not_depend_on_buckets(spark):
@@ -175,3 +175,16 @@ def test_rasch_at_convergence_against_numpy(spark):
     assert sorted(found) == list(range(9)) and np.abs(np.array([found[j].difficulty for j in range(9)]) - d).max() < 2e-3
     flags = {x["item"]: (x.n, x.perfect, x.zero) for x in item_flags(frame).collect()}
     assert flags[50] == (8, True, False) and flags[51] == (7, False, True) and flags[52] == (1, False, False) and flags[0] == (60, False, False)
+
+
+def test_replicates_in_arrays_equal_replicates_in_rows(spark):
+    # Item k and k + 3000 are copies: 3000 profiles, more values than one batch and one bucket hold, ties, a null and a cell of constant y.
+    cells = "inline(array(struct('a' AS c, hash(v) % 2000 / 7D AS x, double(v % 50) AS y), struct('b' AS c, double(v % 4) AS x, 3D AS y), struct('c' AS c, if(v = 5, null, v / 3D) AS x, double(v % 1100) AS y)))"
+    rows = spark.range(6000).selectExpr("id AS k", "id % 3000 AS v").selectExpr("k", cells)
+    pairs = replicates.counted_pairs(rows, "x", "y", "k", "c", replicates=12)
+    assert pairs.count() == 3 * 3000 - 1
+    found = resampling.replicated(rows, "x", "y", "k", "c", replicates=12)
+    drawn = resampling.poisson_counts(rows, "k", 12)
+    for kind, expected in {"rho": A.spearman(drawn, "x", "y", "c", "b", weight="w"), "r": A.weighted_pearson(drawn, "x", "y", "w", "c", "b")}.items():
+        got = {(r.c, r.b): r[kind] for r in found[kind].collect()}
+        assert len(got) == 36 and got == {(r.c, r.b): pytest.approx(r[kind]) if r.c != "b" else None for r in expected.collect()}
