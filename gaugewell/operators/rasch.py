@@ -1,55 +1,136 @@
-"""One-parameter logistic item response model, fitted by alternating Newton steps as grouped aggregations."""
+"""One-parameter logistic item response model, fitted by alternating Newton steps over ranges of learners.
+
+Responses stay where they are: they are counted per learner and item, dealt into ranges of learners, and kept. A step
+sends each range the difficulties of its items and its learners' abilities, once each, and gets back new abilities and
+one row of sums per item, so that what moves is at most a row per range and item each way, and not the responses.
+"""
 
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from gaugewell.sources.files import cut
 
+#: Ranges of learners for each shuffle partition; a task holds one range at a time.
+RANGES = 2
+#: Keys without a finite estimate up to which they are broadcast; past that Spark joins by shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def _partitions(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def response_cells(responses: DataFrame) -> DataFrame:
+    """``range``, ``learner``, ``item``, ``n`` and ``k``: responses and right ones, by range of learners; kept until unpersisted."""
+    parts = _partitions(responses)
+    ranged = responses.select("learner", "item", "correct").repartitionByRange(RANGES * parts, "learner").withColumn("range", F.spark_partition_id())
+    return ranged.repartition(parts, "range").groupBy("range", "learner", "item").agg(F.count(F.lit(1)).alias("n"), F.sum("correct").cast("long").alias("k")).persist()
+
 
 def item_flags(responses: DataFrame, least: int = 5) -> DataFrame:
     """``item``, ``n``, ``perfect`` and ``zero``: whether an item with ``least`` responses has only right, or only wrong ones."""
-    counts = responses.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.sum("correct").alias("_k"))
+    return cell_flags(responses.select("item", F.lit(1).alias("n"), F.col("correct").alias("k")), least)
+
+
+def cell_flags(cells: DataFrame, least: int = 5) -> DataFrame:
+    """:func:`item_flags` from the table of :func:`response_cells`."""
+    counts = cells.groupBy("item").agg(F.sum("n").alias("n"), F.sum("k").alias("_k"))
     enough = F.col("n") >= least
     return counts.select("item", "n", (enough & (F.col("_k") == F.col("n"))).alias("perfect"), (enough & (F.col("_k") == 0)).alias("zero"))
 
 
+def _estimable(cells: DataFrame, least: int) -> DataFrame:
+    """The cells of items and learners that may have a finite estimate, kept by range."""
+    kept, few = cells.where(F.col("learner").isNotNull() & F.col("item").isNotNull()), True
+    for key in ("item", "learner", "item"):
+        sums = kept.groupBy(key).agg(F.sum("n").alias("_n"), F.sum("k").alias("_k"))
+        bad = cut(sums.where((F.col("_n") < least) | (F.col("_k") <= 0) | (F.col("_k") >= F.col("_n"))).select(key))
+        some = bad.count() <= BROADCAST_KEYS
+        kept, few = kept.join(F.broadcast(bad) if some else bad, key, "left_anti"), few and some
+    kept = kept.select("range", "learner", "item", "n", "k")
+    return (kept if few else kept.repartition(_partitions(cells), "range")).sortWithinPartitions("range").persist()
+
+
+def _stepped(limit: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """New abilities of a range's learners, and with them the sums that its responses give to its items."""
+
+    def run(cells: pa.Table, sent: pa.Table) -> pa.Table:
+        n, k = (np.asarray(cells.column(c)).astype(float) for c in ("n", "k"))
+        value = np.asarray(sent.column("value"))
+        ids, codes, old = {}, {}, {}
+        for name in ("learner", "item"):
+            own = np.flatnonzero(np.asarray(pc.is_valid(sent.column(f"to_{name}"))))
+            ids[name], old[name] = sent.column(f"to_{name}").take(pa.array(own)).combine_chunks(), value[own]
+            codes[name] = np.asarray(pc.index_in(cells.column(name), value_set=ids[name])).astype(np.int64)
+        sums = lambda name, what: np.bincount(codes[name], what, len(old[name]))
+        chance = lambda ability: 1 / (1 + np.exp(old["item"][codes["item"]] - ability[codes["learner"]]))
+        p = chance(old["learner"])
+        step = sums("learner", k - n * p) / np.maximum(sums("learner", n * p * (1 - p)), 1e-9)
+        ability = np.clip(old["learner"] + np.clip(step, -1, 1), -limit, limit)
+        p = chance(ability)
+        none = {name: pa.nulls(len(ids[name]), ids[name].type) for name in ids}
+        blank = pa.nulls(len(ability), pa.float64())
+        chunks = {
+            "range": [pa.array(np.full(len(ability) + len(old["item"]), np.asarray(cells.column("range"))[0]), pa.int32())],
+            "learner": [ids["learner"], pa.nulls(len(ids["item"]), ids["learner"].type)], "item": [none["learner"].cast(ids["item"].type), ids["item"]],
+            "value": [pa.array(ability), pa.nulls(len(ids["item"]), pa.float64())],
+            "g": [blank, pa.array(sums("item", k - n * p))], "h": [blank, pa.array(sums("item", n * p * (1 - p)))],
+            "n": [pa.nulls(len(ability), pa.int64()), pa.array(sums("item", n).astype(np.int64))],
+        }
+        return pa.table({name: pa.chunked_array(parts) for name, parts in chunks.items()}).combine_chunks()
+
+    return run
+
+
 def fit_rasch(responses: DataFrame, steps: int = 80, least: int = 5, limit: float = 6.0, tolerance: float = 1e-4) -> DataFrame:
     """``item``, ``n``, ``difficulty``, ``se``: Newton steps for abilities and centred difficulties in turn.
 
     They end when no difficulty moves by ``tolerance`` or more, or after ``steps`` (with a warning).
 
     ``responses`` has learner, item and 0/1 correct. Items and learners that are all right or all wrong, or have
-    fewer than ``least`` responses, have no finite estimate and are left out before the first step. Responses are
-    counted per (learner, item) and cut once; each step is two grouped aggregations, and parameters are cut.
+    fewer than ``least`` responses, have no finite estimate and are left out before the first step.
     """
-    cells = responses.groupBy("learner", "item").agg(F.count(F.lit(1)).alias("n"), F.sum("correct").alias("k"))
-    for key in ("item", "learner", "item"):
-        good = cells.groupBy(key).agg(F.sum("n").alias("_n"), F.sum("k").alias("_k")).where((F.col("_n") >= least) & (F.col("_k") > 0) & (F.col("_k") < F.col("_n"))).select(key)
-        cells = cells.join(good, key, "left_semi")
-    cells = cut(cells)
-    ability = cells.select("learner").distinct().withColumn("theta", F.lit(0.0))
-    hard = cells.select("item").distinct().withColumn("b", F.lit(0.0))
-
-    def moved(key: str, value: str, sign: int, rows: DataFrame) -> DataFrame:
-        p = 1 / (1 + F.exp(F.col("b") - F.col("theta")))
-        sums = rows.groupBy(key).agg(F.first(value).alias("old"), F.sum(F.col("k") - F.col("n") * p).alias("g"), F.sum(F.col("n") * p * (1 - p)).alias("h"), F.sum("n").alias("n"))
-        step = F.least(F.greatest(F.col("g") / F.greatest("h", F.lit(1e-9)), F.lit(-1.0)), F.lit(1.0))
-        return sums.select(key, F.least(F.greatest(F.col("old") + sign * step, F.lit(-limit)), F.lit(limit)).alias(value), "old", "h", "n")
+    cells = response_cells(responses)
+    found = fit_cells(cells, steps, least, limit, tolerance)
+    cells.unpersist()
+    return found
 
+
+def fit_cells(cells: DataFrame, steps: int = 80, least: int = 5, limit: float = 6.0, tolerance: float = 1e-4) -> DataFrame:
+    """:func:`fit_rasch` from the table of :func:`response_cells`."""
+    kept = _estimable(cells, least)
+    fields = {f.name: f for f in kept.schema.fields}
+    schema = StructType([StructField(c, fields[c].dataType) for c in ("range", "learner", "item")] + [StructField(c, DoubleType()) for c in ("value", "g", "h")] + [StructField("n", LongType())])
+    routes = kept.select("range", "item").distinct().repartition(_partitions(cells), "item").persist()
+    hard = cut(routes.select("item").distinct().withColumn("b", F.lit(0.0)))
+    ability = kept.select("range", "learner").distinct().withColumn("value", F.lit(0.0))
     found = None
     for _ in range(steps):
-        ability = cut(moved("learner", "theta", 1, cells.join(ability, "learner").join(hard, "item")).select("learner", "theta"))
-        found = moved("item", "b", -1, cells.join(ability, "learner").join(hard, "item"))
-        mean = found.agg(F.avg("b").alias("mean"))
-        found = cut(found.crossJoin(F.broadcast(mean)).withColumn("b", F.col("b") - F.col("mean")).drop("mean"))  # one row
+        sent = routes.join(hard, "item").select("range", "item", F.col("b").alias("value")).unionByName(ability, allowMissingColumns=True)
+        sent = sent.select(F.col("range").alias("to"), *[F.col(c).alias(f"to_{c}") for c in ("learner", "item")], "value")
+        both = cut(kept.groupBy("range").cogroup(sent.groupBy("to")).applyInArrow(_stepped(limit), schema))
+        ability = both.where("learner is not null").select("range", "learner", "value")
+        sums = both.where("item is not null").groupBy("item").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
+        step = F.least(F.greatest(F.col("g") / F.greatest("h", F.lit(1e-9)), F.lit(-1.0)), F.lit(1.0))
+        moved = sums.join(hard.withColumnRenamed("b", "old"), "item").withColumn("b", F.least(F.greatest(F.col("old") - step, F.lit(-limit)), F.lit(limit)))
+        moved = cut(moved.select("item", "b", "old", "h", "n"))
+        mean = moved.agg(F.avg("b").alias("mean"))
+        found = cut(moved.crossJoin(F.broadcast(mean)).withColumn("b", F.col("b") - F.col("mean")).drop("mean"))  # one row
         hard = found.select("item", "b")
         moved_by = found.agg(F.max(F.abs(F.col("b") - F.col("old"))).alias("most")).first().most
         if moved_by is None or moved_by < tolerance:
             break
     else:
         warnings.warn(f"difficulties still moved by {moved_by:.2g} after {steps} steps", stacklevel=2)
+    for rows in (kept, routes):
+        rows.unpersist()
     return found.select("item", "n", F.col("b").alias("difficulty"), (1 / F.sqrt("h")).alias("se"))

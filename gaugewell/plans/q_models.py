@@ -401,8 +401,9 @@ def k11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("m26_rasch_1pl")
 def m26(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rasch difficulties of the items of the large log at convergence; items without a finite one are flagged."""
-    from gaugewell.operators.rasch import fit_rasch, item_flags
+    from gaugewell.operators.rasch import cell_flags, fit_cells, response_cells
 
-    rows = V.ix_big(spark, sf_dir)
-    found = item_flags(rows).join(fit_rasch(rows).drop("n"), "item", "left")
+    cells = response_cells(V.ix_big(spark, sf_dir))
+    found = cut(cell_flags(cells)).join(fit_cells(cells).drop("n"), "item", "left")
+    cells.unpersist()
     return rounded(found.withColumn("identifiable", F.col("difficulty").isNotNull()))

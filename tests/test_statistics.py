@@ -188,3 +188,18 @@ def test_replicates_in_arrays_equal_replicates_in_rows(spark):
     for kind, expected in {"rho": A.spearman(drawn, "x", "y", "c", "b", weight="w"), "r": A.weighted_pearson(drawn, "x", "y", "w", "c", "b")}.items():
         got = {(r.c, r.b): r[kind] for r in found[kind].collect()}
         assert len(got) == 36 and got == {(r.c, r.b): pytest.approx(r[kind]) if r.c != "b" else None for r in expected.collect()}
+
+
+def test_rasch_steps_move_no_row_per_response(spark, monkeypatch):
+    from gaugewell.operators import rasch
+
+    sizes = []
+
+    def counted(rows, cut=rasch.cut):
+        sizes.append((found := cut(rows)).count())
+        return found
+
+    monkeypatch.setattr(rasch, "cut", counted)
+    rows = spark.range(2000 * 10).selectExpr("concat('l', id % 2000) AS learner", "id div 2000 AS item", "int(abs(hash(id)) % 12 > id div 2000) AS correct")
+    found = [r["item"] for r in rasch.fit_rasch(rows).orderBy("difficulty").collect()]
+    assert found == list(range(10)) and max(sizes) <= 2000 + 10 * rasch.RANGES * 4
