@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewell.llm import words as W
@@ -42,6 +42,8 @@ SIEVE = 5
 FREQUENT = 2
 #: Tokens that more documents hold are frequent; used by the join.
 FREQUENT_DF = 256
+#: Bits of the slots in which tokens are counted to find those that very many rows have.
+HOT_BITS = 13
 #: Ids of sieved documents up to which they are broadcast; past that Spark joins by shuffle.
 BROADCAST_IDS = 1_000_000
 _CLASS_SHIFT = np.uint64(61)
@@ -140,18 +142,31 @@ def sieved(rows: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("n").cast("long").alias("n"), (F.col("hits") >= F.greatest(F.floor(_least_shared("n") / SIEVE), F.lit(1))).alias("open"))
 
 
+def hot_tokens(tokens: DataFrame) -> DataFrame:
+    """``token`` and ``df`` of the tokens that more than one row in ``HOT`` of ``tokens`` has: fewer than ``HOT`` rows.
+
+    Rows are counted by slot first, and by token only in slots that hold so many.
+    """
+    slotted = tokens.select("token", F.shiftrightunsigned("token", 64 - HOT_BITS).alias("slot"))
+    slots = cut(slotted.groupBy("slot").agg(F.count(F.lit(1)).alias("rows")))
+    total = slots.agg(F.sum("rows")).first()[0] or 0
+    full = cut(slots.where(F.col("rows") * HOT > total).select("slot"))
+    counts = slotted.join(F.broadcast(full), "slot", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return cut(counts.where(F.col("df") * HOT > total))
+
+
 def frequency_ordered(tokens: DataFrame) -> DataFrame:
     """Sets with enough shared tokens for a link: ``doc_id``, ``n``, ``ranked`` (df, token) ascending.
 
-    ``tokens`` has ``token``, ``doc_id`` and ``n``, the size of its set.
+    ``tokens`` has ``token``, ``doc_id`` and ``n``, the size of its set. They move once by token and once by document:
+    the rows of a token are counted where they meet. A hot token's are counted before and dealt out by document.
     """
-    counts = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    # A token that many documents hold is broadcast: there are fewer than ``HOT`` with more than one row in so many.
-    hot = cut(counts.where(F.col("df") * HOT > (counts.agg(F.sum("df")).first()[0] or 0)))
-    often = tokens.join(F.broadcast(hot), "token")
-    rest = tokens.join(F.broadcast(hot.select("token")), "token", "left_anti").join(counts, "token")
-    sets = often.unionByName(rest).groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
-    return sets.where(F.size("ranked") >= _least_shared("n"))
+    rows = tokens.join(F.broadcast(hot_tokens(tokens)), "token", "left").withColumn("dealt", F.when(F.col("df").isNotNull(), F.col("doc_id")))
+    met = F.count(F.lit(1)).over(Window.partitionBy("token", "dealt"))
+    shared = rows.withColumn("df", F.least(F.coalesce("df", met), F.lit(2**31 - 1)).cast("int")).where("df > 1")
+    # Two lists, filled row by row alike, take fewer bytes in a shuffle than one list of structs.
+    sets = shared.groupBy("doc_id", "n").agg(F.collect_list("df").alias("df"), F.collect_list("token").alias("token"))
+    return sets.where(F.size("token") >= _least_shared("n")).select("doc_id", "n", F.array_sort(F.arrays_zip("df", "token")).alias("ranked"))
 
 
 def indexed(sets: DataFrame) -> DataFrame:

@@ -271,3 +271,57 @@ def test_no_link_in_a_group_that_is_merely_alike_is_lost(spark):
                 parent[other] = one
     found = {r.doc_id: r.component_id for r in fingerprints.near_duplicates(frame(spark, rows)).collect()}
     assert found == {i: root(i) for i in sets}
+
+
+def test_few_pairs_of_a_group_that_is_merely_alike_are_verified(spark, monkeypatch):
+    plain, held = linking.verified, []
+
+    def counted(pairs, sets, percent):
+        held.append(pairs.count())
+        return plain(pairs, sets, percent)
+
+    monkeypatch.setattr(linking, "verified", counted)
+    rows = alike(400, 12, 84, 21)
+    assert fingerprints.near_duplicates(frame(spark, rows)).count() == len(rows)
+    assert len(held) == 2 and held[1] < 5 * len(rows)
+
+
+def test_bitmaps_never_exceed_the_difference(spark):
+    r, rows = random.Random(3), []
+    for i in range(60):
+        common = [r.getrandbits(63) for _ in range(r.choice([0, 20, 120, 3000]))]
+        one, other = ([*common, *(r.getrandbits(63) - (1 << 62) for _ in range(r.choice([0, 1, 9, 70])))] for _ in range(2))
+        rows.append((i, one, other))
+    plain = spark.createDataFrame(rows, "doc_id long, one array<long>, other array<long>")
+    one, other = (linking.bitmaps(plain.select("doc_id", F.col(c).alias("tokens"))).withColumnRenamed("bits", c) for c in ("one", "other"))
+    found = one.join(other, "doc_id").select("doc_id", linking.least_difference(F.col("one"), F.col("other")).alias("n"), linking.least_difference(F.col("one"), F.lit(None).cast("array<long>")).alias("none")).collect()
+    truth = {i: len(set(a) ^ set(b)) for i, a, b in rows}
+    assert len(found) == len(rows) and all(x.none == 0 and x.n <= truth[x.doc_id] for x in found)
+    near = [x for x in found if 0 < truth[x.doc_id] <= 18]
+    assert near and sum(x.n for x in near) > 0.8 * sum(truth[x.doc_id] for x in near)
+
+
+def test_sets_move_twice_and_narrow(spark):
+    r = random.Random(5)
+    rows = [(t, d, 300) for d in range(200) for t in [*range(40), *(r.randrange(40, 12000) << 45 for _ in range(260))]]
+    rows = [(t, d, 300) for d, t in sorted({(d, t) for t, d, _ in rows})]
+    tokens = spark.createDataFrame(pa.table({"token": [x[0] for x in rows], "doc_id": [x[1] for x in rows], "n": pa.array([x[2] for x in rows], pa.int32())}))
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = lambda: list(gateway.jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)))
+    before = max((s.stageId() for s in stages()), default=-1)
+    # As with tables that are too large for a broadcast.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = {x.doc_id: [(y.df, y.token) for y in x.ranked] for x in jaccard_join.frequency_ordered(tokens).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = sum(s.shuffleWriteBytes() for s in stages() if s.stageId() > before)
+    df = {}
+    for t, _, _ in rows:
+        df[t] = df.get(t, 0) + 1
+    own = {}
+    for t, d, _ in rows:
+        if df[t] > 1:
+            own.setdefault(d, []).append((df[t], t))
+    assert found == {d: sorted(x) for d, x in own.items() if len(x) >= 240}
+    assert moved < 17.5 * len(rows), moved / len(rows)
