@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gaugewell.functions.hashing import hash_number, hashed
 from gaugewell.operators import association as A
 from gaugewell.operators import evaluation, isotonic, mixed_ridge, rates, resampling, ridge
+from gaugewell.operators.tracing import per_item
 from gaugewell.plans.q_rates import FIRST, LEAST, RANK, count_rows, held_out, r6
 from gaugewell.plans.q_tables import FRAME_PARTS, PAIR, RUNS, analysis_frame, runs
 from gaugewell.plans.registry import Catalog
@@ -88,7 +89,7 @@ def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = rates.error_rates(V.ix_big(spark, sf_dir), "item").select("item", rates.beta_smoothed("n_incorrect", "n").alias("y"))
     s = V.scores(spark, sf_dir).groupBy("item").pivot("model", ["model_a", "model_b"]).agg(F.first("score"))
     f = V.items(spark, sf_dir).select("item", F.length("text").alias("chars"), "price", "size")
-    return e.join(s, "item").join(f, "item").withColumn("fold", F.pmod(hash_number(hashed(2024, "item")), F.lit(5)).cast("int"))
+    return e.join(per_item(s), "item").join(per_item(f), "item").withColumn("fold", F.pmod(hash_number(hashed(2024, "item")), F.lit(5)).cast("int"))
 
 
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gaugewell.functions.hashing import hash_number, hash_rank, hashed
 from gaugewell.operators import association as A
 from gaugewell.operators import evaluation, randomisation, rates, resampling, ridge
+from gaugewell.operators.tracing import per_item
 from gaugewell.plans.q_models import DELTAS, P_DF4, SEEDED, VIEWS, correlated, folded, rounded, seed_deltas
 from gaugewell.plans.q_rates import FIRST, LEAST, count_rows, r6
 from gaugewell.plans.q_tables import FRAME_PARTS, analysis_frame
@@ -127,15 +128,16 @@ def m11_many(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score as outcome: out-of-fold R2, and its drop when each feature is dealt to items anew."""
     features = ("chars", "price", "size")
-    rows = folded(spark, sf_dir).select("item", "fold", "model_b", *features).withColumn("cell", F.lit("all"))
-    whole = ridge.out_of_fold_r2(rows, "model_b", features, "cell").select("cell", F.col("r2").alias("r2_whole"))
-    parts = []
+    rows = cut(folded(spark, sf_dir).select("item", "fold", "model_b", *features))  # ranked four times; responses are joined once
+    dealt = hash_rank(rows, hashed("item"), "item")
     for name in features:
-        left = hash_rank(rows.drop(name), hashed("item"), "item")
-        right = hash_rank(rows.select("item", name), hashed(F.lit(name), "item"), "item").select(name, "rank")
-        parts.append(ridge.out_of_fold_r2(left.join(right, "rank"), "model_b", features, "cell").select("cell", F.lit(name).alias("feature"), "r2"))
-    both = reduce(DataFrame.unionByName, parts).join(whole, "cell")
-    return rounded(both.select("feature", "r2_whole", (F.col("r2_whole") - F.col("r2")).alias("drop")))
+        right = hash_rank(rows.select("item", name), hashed(F.lit(name), "item"), "item").select(F.col(name).alias(f"new_{name}"), "rank")
+        dealt = dealt.join(per_item(right), "rank")
+    cells = [F.struct(F.lit(cell).alias("cell"), *[F.col(f"new_{name}" if name == cell else name).alias(name) for name in features]) for cell in ("whole", *features)]
+    found = ridge.out_of_fold_r2(dealt.select("fold", "model_b", F.inline(F.array(*cells))), "model_b", features, "cell")
+    whole = found.where("cell = 'whole'").select(F.col("r2").alias("r2_whole"))
+    both = found.where("cell <> 'whole'").crossJoin(F.broadcast(whole))  # one row
+    return rounded(both.select(F.col("cell").alias("feature"), "r2_whole", (F.col("r2_whole") - F.col("r2")).alias("drop")))
 
 
 #: Errors of an item by other responses than its score is tested on in the frame: column, rows, and whether smoothed.

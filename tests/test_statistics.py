@@ -203,3 +203,32 @@ def test_rasch_steps_move_no_row_per_response(spark, monkeypatch):
     rows = spark.range(2000 * 10).selectExpr("concat('l', id % 2000) AS learner", "id div 2000 AS item", "int(abs(hash(id)) % 12 > id div 2000) AS correct")
     found = [r["item"] for r in rasch.fit_rasch(rows).orderBy("difficulty").collect()]
     assert found == list(range(10)) and max(sizes) <= 2000 + 10 * rasch.RANGES * 4
+
+
+def test_feature_model_deals_features_anew_and_broadcasts_no_table_of_items(spark, tmp_path):
+    from gaugewell.operators import ridge
+    from gaugewell.plans.q_models import folded
+    from gaugewell.plans.q_more import m13
+
+    r = np.random.default_rng(5)
+    part = [(i, "n" * int(r.integers(3, 30)), "b", "t", int(r.integers(1, 50)), float(r.integers(900, 2000))) for i in range(80)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(o, o % 7) for o in range(40)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(x % 40, x % 80, "RNA"[x % 3]) for x in range(400)], "l_orderkey long, l_partkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    found = m13(spark, str(tmp_path))
+    assert "SortMergeJoin [item#" in (read := plan(folded(spark, str(tmp_path)))) and "BroadcastHashJoin [item#" not in read
+    assert "SortMergeJoin [rank#" in (read := plan(found)) and "BroadcastHashJoin [rank#" not in read and "lineitem" not in read
+
+    order = lambda *name: sorted(range(80), key=lambda i: hashlib.sha256("|".join([*name, str(i)]).encode()).hexdigest())
+    low, high = min(p[5] for p in part), max(p[5] for p in part)
+    folds = [int(hashlib.sha256(f"2024|{i}".encode()).hexdigest()[:8], 16) % 5 for i in range(80)]
+    columns, r2 = {"chars": [len(p[1]) for p in part], "price": [p[5] for p in part], "size": [p[4] for p in part]}, {}
+    for cell in ("whole", *columns):
+        new = {name: list(values) for name, values in columns.items()}
+        if cell != "whole":
+            for i, j in zip(order(), order(cell), strict=True):
+                new[cell][i] = columns[cell][j]
+        rows = [(folds[i], (part[i][5] - low) / (high - low), *(float(new[name][i]) for name in columns), "c") for i in range(80)]
+        r2[cell] = ridge.out_of_fold_r2(spark.createDataFrame(rows, "fold int, y double, chars double, price double, size double, cell string"), "y", tuple(columns), "cell").first().r2
+    assert {x.feature: (x.r2_whole, x.drop) for x in found.collect()} == {name: (pytest.approx(r2["whole"], abs=2e-6), pytest.approx(r2["whole"] - r2[name], abs=2e-6)) for name in columns}
