@@ -1,96 +1,256 @@
 """One-parameter logistic item response model, fitted by alternating Newton steps over ranges of learners.
 
-Responses stay where they are: they are counted per learner and item, dealt into ranges of learners, and kept. A step
-sends each range the difficulties of its items and its learners' abilities, once each, and gets back new abilities and
-one row of sums per item, so that what moves is at most a row per range and item each way, and not the responses.
+Responses stay where they are: each range of learners counts its own per learner and item and keeps them as arrays. Items
+are dealt to blocks by hash. In a step a block sends each range the difficulties of the items that occur there, and gets
+back two sums for each; learners' abilities stay with their range. All are plain numbers in an order that both sides know,
+so that 24 bytes move for an item and range, and neither keys nor responses; only the estimates are checkpointed.
 """
 
 from __future__ import annotations
 
+import math
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from gaugewell.sources.files import cut
 
-#: Ranges of learners for each shuffle partition; a task holds one range at a time.
-RANGES = 2
-#: Keys without a finite estimate up to which they are broadcast; past that Spark joins by shuffle.
-BROADCAST_KEYS = 1_000_000
+#: Ranges of learners for each core at least, and about how many responses a range may have; a task holds one range at a time.
+RANGES, RESPONSES = 2, 4_000_000
+#: What is sent ``to`` a range or block ``frm`` another: difficulties, sums, abilities and items, as doubles in ``a``, ``b`` and ``n``.
+SENT = {"to": pa.int32(), "frm": pa.int32(), "kind": pa.string(), "a": pa.binary(), "b": pa.binary(), "n": pa.binary(), "total": pa.float64(), "count": pa.int64(), "low": pa.float64(), "high": pa.float64()}
+SENT_SQL = "to int, frm int, kind string, a binary, b binary, n binary, total double, count long, low double, high double"
+COUNTS = ("n", "k", "valid_n", "valid_k")
 
 
-def _partitions(rows: DataFrame) -> int:
-    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _rows(found: list[dict]) -> pa.Table:
+    return pa.Table.from_pylist(found, schema=pa.schema(SENT.items()))
 
 
-def response_cells(responses: DataFrame) -> DataFrame:
-    """``range``, ``learner``, ``item``, ``n`` and ``k``: responses and right ones, by range of learners; kept until unpersisted."""
-    parts = _partitions(responses)
-    ranged = responses.select("learner", "item", "correct").repartitionByRange(RANGES * parts, "learner").withColumn("range", F.spark_partition_id())
-    return ranged.repartition(parts, "range").groupBy("range", "learner", "item").agg(F.count(F.lit(1)).alias("n"), F.sum("correct").cast("long").alias("k")).persist()
+def _small(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0)))).tobytes()
 
 
-def item_flags(responses: DataFrame, least: int = 5) -> DataFrame:
-    """``item``, ``n``, ``perfect`` and ``zero``: whether an item with ``least`` responses has only right, or only wrong ones."""
-    return cell_flags(responses.select("item", F.lit(1).alias("n"), F.col("correct").alias("k")), least)
+def _large(small: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(small, f"u{len(small) // max(size, 1) or 1}").astype(float)
 
 
-def cell_flags(cells: DataFrame, least: int = 5) -> DataFrame:
-    """:func:`item_flags` from the table of :func:`response_cells`."""
-    counts = cells.groupBy("item").agg(F.sum("n").alias("n"), F.sum("k").alias("_k"))
-    enough = F.col("n") >= least
-    return counts.select("item", "n", (enough & (F.col("_k") == F.col("n"))).alias("perfect"), (enough & (F.col("_k") == 0)).alias("zero"))
+def _unusable(n: np.ndarray, k: np.ndarray, least: int) -> np.ndarray:
+    """Where counts have no finite estimate: too few, all right or all wrong."""
+    return (n < least) | (k <= 0) | (k >= n)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A range's counts per item, and one row with its cells: learners' numbers of cells, and each cell's item and counts."""
+    if not (batches := [x for x in batches if x.num_rows]):
+        return
+    table = pa.Table.from_batches(batches)
+    del batches
+    own, right = table.column("range")[0].as_py(), np.asarray(table.column("correct").fill_null(0))
+    items = table.column("item").combine_chunks().dictionary_encode(null_encoding="encode")
+    learners = table.column("learner").combine_chunks().dictionary_encode()
+    place = np.empty(len(learners.dictionary) + 1, np.int32)
+    place[np.asarray(pc.sort_indices(learners.dictionary))], place[-1] = np.arange(len(learners.dictionary)), -1
+    learner = place[np.asarray(learners.indices.fill_null(-1))]  # in order of the keys, as abilities are kept; null is -1
+    code, items, size = np.asarray(items.indices), items.dictionary, len(items.dictionary)
+    seen = np.empty(size, np.int64)
+    seen[code] = np.arange(len(code))
+    found = pa.table({"to": table.column("to").take(pa.array(seen)), "item": items})
+    del table, seen, learners
+    order = pc.sort_indices(found, sort_keys=[("to", "ascending"), ("item", "ascending")])
+    found, place = found.take(order).combine_chunks(), np.empty(size, np.int32)
+    place[np.asarray(order)] = np.arange(size, dtype=np.int32)
+    code = place[code]
+    valid = (learner >= 0) & np.asarray(pc.is_valid(found.column("item")))[code]
+    sums = [np.bincount(code[which], what, size).astype(np.int64) for which in (slice(None), valid) for what in (None, right[which])]
+    cell, right = learner[valid].astype(np.int64) * size + code[valid], right[valid]
+    del learner, code, valid
+    order = np.argsort(cell)
+    cell, right = cell[order], right[order]
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    n, k, cell = np.diff(first, append=len(cell)), np.add.reduceat(right, first) if len(first) else right, cell[first]
+    packed = [np.bincount(cell // size).astype(np.int32).tobytes(), (cell % size).astype(np.int32).tobytes(), _small(n), _small(k)]
+    blank = lambda kind, rows=1: pa.nulls(rows, kind)
+    kinds, names = [items.type, *[pa.int64()] * 4, *[pa.binary()] * 4], ["range", "to", "item", *COUNTS, "learners", "items", "times", "right"]
+    yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), blank(pa.int32()), *map(blank, kinds[:5]), *[pa.array([x], pa.binary()) for x in packed]], names)
+    each = pa.Table.from_arrays([pa.array(np.full(size, own), pa.int32()), found.column("to"), found.column("item"), *map(pa.array, sums), *[blank(x, size) for x in kinds[5:]]], names)
+    yield from each.combine_chunks().to_batches(max_chunksize=100_000)
+
+
+def _block(least: int) -> Callable[[pa.Table], pa.Table]:
+    """A block's items in order, their counts, and the places of those that occur in each range."""
+
+    def run(table: pa.Table) -> pa.Table:
+        items = pc.unique(table.column("item"))
+        items = items.take(pc.sort_indices(items))
+        code, ranges = np.asarray(pc.index_in(table.column("item"), value_set=items)).astype(np.int32), np.asarray(table.column("range"))
+        n, k, valid_n, valid_k = (np.bincount(code, np.asarray(table.column(c)), len(items)) for c in COUNTS)
+        to, sizes = np.unique(ranges, return_counts=True)
+        start = np.where(_unusable(valid_n, valid_k, least), np.nan, 0.0)
+        arrays = {"n": n, "k": k, "start": start, "ranges": to.astype(np.int32), "sizes": sizes.astype(np.int32), "places": code[np.lexsort((code, ranges))]}
+        ids = pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)
+        return pa.table({"block": pa.array([table.column("to")[0].as_py()], pa.int32()), "items": ids} | {name: pa.array([x.tobytes()], pa.binary()) for name, x in arrays.items()})
+
+    return run
+
+
+def _array(table: pa.Table, name: str, kind: type = float) -> np.ndarray:
+    return np.frombuffer(table.column(name)[0].as_py(), kind)
+
 
+def _places(block: pa.Table) -> list[tuple[int, np.ndarray]]:
+    """For each range, the places of its items in the block."""
+    ends = np.cumsum(_array(block, "sizes", np.int32))
+    return list(zip(_array(block, "ranges", np.int32).tolist(), np.split(_array(block, "places", np.int32), ends[:-1]), strict=True))
 
-def _estimable(cells: DataFrame, least: int) -> DataFrame:
-    """The cells of items and learners that may have a finite estimate, kept by range."""
-    kept, few = cells.where(F.col("learner").isNotNull() & F.col("item").isNotNull()), True
-    for key in ("item", "learner", "item"):
-        sums = kept.groupBy(key).agg(F.sum("n").alias("_n"), F.sum("k").alias("_k"))
-        bad = cut(sums.where((F.col("_n") < least) | (F.col("_k") <= 0) | (F.col("_k") >= F.col("_n"))).select(key))
-        some = bad.count() <= BROADCAST_KEYS
-        kept, few = kept.join(F.broadcast(bad) if some else bad, key, "left_anti"), few and some
-    kept = kept.select("range", "learner", "item", "n", "k")
-    return (kept if few else kept.repartition(_partitions(cells), "range")).sortWithinPartitions("range").persist()
 
+def _difficulties(block: pa.Table, state: list[dict], mean: float) -> np.ndarray:
+    """A block's centred difficulties; none for items that are left out."""
+    return np.frombuffer(state[0]["a"]) - mean if state else _array(block, "start")
 
-def _stepped(limit: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """New abilities of a range's learners, and with them the sums that its responses give to its items."""
+
+def _of(rows: pa.Table, kind: str) -> list[dict]:
+    return rows.filter(pc.equal(rows.column("kind"), kind)).to_pylist()
+
+
+def _sending(mean: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """To each range the difficulties of a block's items there."""
+
+    def run(block: pa.Table, state: pa.Table) -> pa.Table:
+        b, own = _difficulties(block, state.to_pylist(), mean), block.column("block")[0].as_py()
+        return _rows([{"to": to, "frm": own, "kind": "difficulties", "a": b[places].tobytes()} for to, places in _places(block)])
+
+    return run
+
+
+def _learning(first: bool, least: int, limit: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A range's new abilities, and with them the sums that its responses give to its items; at first, who is left out."""
 
     def run(cells: pa.Table, sent: pa.Table) -> pa.Table:
-        n, k = (np.asarray(cells.column(c)).astype(float) for c in ("n", "k"))
-        value = np.asarray(sent.column("value"))
-        ids, codes, old = {}, {}, {}
-        for name in ("learner", "item"):
-            own = np.flatnonzero(np.asarray(pc.is_valid(sent.column(f"to_{name}"))))
-            ids[name], old[name] = sent.column(f"to_{name}").take(pa.array(own)).combine_chunks(), value[own]
-            codes[name] = np.asarray(pc.index_in(cells.column(name), value_set=ids[name])).astype(np.int64)
-        sums = lambda name, what: np.bincount(codes[name], what, len(old[name]))
-        chance = lambda ability: 1 / (1 + np.exp(old["item"][codes["item"]] - ability[codes["learner"]]))
-        p = chance(old["learner"])
-        step = sums("learner", k - n * p) / np.maximum(sums("learner", n * p * (1 - p)), 1e-9)
-        ability = np.clip(old["learner"] + np.clip(step, -1, 1), -limit, limit)
-        p = chance(ability)
-        none = {name: pa.nulls(len(ids[name]), ids[name].type) for name in ids}
-        blank = pa.nulls(len(ability), pa.float64())
-        chunks = {
-            "range": [pa.array(np.full(len(ability) + len(old["item"]), np.asarray(cells.column("range"))[0]), pa.int32())],
-            "learner": [ids["learner"], pa.nulls(len(ids["item"]), ids["learner"].type)], "item": [none["learner"].cast(ids["item"].type), ids["item"]],
-            "value": [pa.array(ability), pa.nulls(len(ids["item"]), pa.float64())],
-            "g": [blank, pa.array(sums("item", k - n * p))], "h": [blank, pa.array(sums("item", n * p * (1 - p)))],
-            "n": [pa.nulls(len(ability), pa.int64()), pa.array(sums("item", n).astype(np.int64))],
-        }
-        return pa.table({name: pa.chunked_array(parts) for name, parts in chunks.items()}).combine_chunks()
+        sizes, item = _array(cells, "learners", np.int32), _array(cells, "items", np.int32)
+        learner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        blocks = sorted(_of(sent, "difficulties"), key=lambda x: x["frm"])
+        parts, state, own = [np.frombuffer(x["a"]) for x in blocks], _of(sent, "ability"), cells.column("range")[0].as_py()
+        b, ability = np.concatenate(parts), np.frombuffer(state[0]["a"]) if state else np.zeros(len(sizes))
+        out = np.isnan(b)[item] | np.isnan(ability)[learner]
+        n, k = (np.where(out, 0.0, _large(cells.column(c)[0].as_py(), len(item))) for c in ("times", "right"))
+        b, old = np.nan_to_num(b), np.nan_to_num(ability)
+        of_learner, of_item = (lambda what, by=by, size=size: np.bincount(by, what, size) for by, size in ((learner, len(sizes)), (item, len(b))))
+        if first:
+            lost = _unusable(of_learner(n), of_learner(k), least)
+            ability, kept = np.where(lost, np.nan, 0.0), ~lost[learner]
+            sums = of_item(k * kept), of_item(n * kept)
+        else:
+            chance = lambda x: 1 / (1 + np.exp(b[item] - x[learner]))
+            p = chance(old)
+            step = of_learner(k - n * p) / np.maximum(of_learner(n * p * (1 - p)), 1e-9)
+            new = np.clip(old + np.clip(step, -1, 1), -limit, limit)
+            p = chance(new)
+            sums, ability = (of_item(k - n * p), of_item(n * p * (1 - p))), np.where(np.isnan(ability), np.nan, new)
+        ends = np.cumsum([len(x) for x in parts])[:-1]
+        back = zip(blocks, *[np.split(x, ends) for x in sums], strict=True)
+        return _rows([{"to": x["frm"], "frm": own, "kind": "sums", "a": g.tobytes(), "b": h.tobytes()} for x, g, h in back] + [{"to": own, "kind": "ability", "a": ability.tobytes()}])
 
     return run
 
 
+def _moving(first: bool, mean: float, least: int, limit: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A block's new difficulties, not yet centred, and how far they moved; abilities go through to the next step."""
+
+    def run(block: pa.Table, sent: pa.Table) -> pa.Table:
+        abilities = _of(sent, "ability")
+        if not block.num_rows:
+            return _rows(abilities)
+        state = _of(sent, "item")
+        old, sums = _difficulties(block, state, mean), {x["frm"]: x for x in _of(sent, "sums")}
+        g, h = np.zeros(len(old)), np.zeros(len(old))
+        for frm, places in _places(block):
+            g[places] += np.frombuffer(sums[frm]["a"])
+            h[places] += np.frombuffer(sums[frm]["b"])
+        if first:
+            new, n = np.where(np.isnan(old) | _unusable(h, g, least), np.nan, 0.0), h
+        else:
+            new, n = np.clip(old - np.clip(g / np.maximum(h, 1e-9), -1, 1), -limit, limit), np.frombuffer(state[0]["n"])
+        some = ~np.isnan(new)
+        moved = (new - old)[some].tolist()
+        return _rows([*abilities, {"to": block.column("block")[0].as_py(), "kind": "item", "a": new.tobytes(), "b": h.tobytes(), "n": n.tobytes(), "total": float(new[some].sum()), "count": len(moved), "low": min(moved, default=None), "high": max(moved, default=None)}])
+
+    return run
+
+
+def _unpacked(mean: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A row per item of a block."""
+
+    def run(block: pa.Table, state: pa.Table) -> pa.Table:
+        state = state.to_pylist()
+        b, n, h = _difficulties(block, state, mean), np.frombuffer(state[0]["n"]), np.frombuffer(state[0]["b"])
+        out = np.isnan(b)
+        counts = {name: pa.array(_array(block, name).astype(np.int64)) for name in ("n", "k")}
+        return pa.table({"item": block.column("items").combine_chunks().flatten()} | counts | {"fitted": pa.array(n.astype(np.int64), mask=out), "difficulty": pa.array(b, mask=out), "h": pa.array(h, mask=out)})
+
+    return run
+
+
+def item_flags(responses: DataFrame, least: int = 5) -> DataFrame:
+    """``item``, ``n``, ``perfect`` and ``zero``: whether an item with ``least`` responses has only right, or only wrong ones."""
+    counts = responses.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.sum("correct").alias("k"))
+    return counts.select("item", "n", *flags(least))
+
+
+def flags(least: int = 5) -> tuple[Column, Column]:
+    """The flags of :func:`item_flags` from an item's ``n`` and ``k``."""
+    enough = F.col("n") >= least
+    return (enough & (F.col("k") == F.col("n"))).alias("perfect"), (enough & (F.col("k") == 0)).alias("zero")
+
+
+def _packed(responses: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """The ranges of learners and the blocks of items, a row each; kept until unpersisted."""
+    spark, kind = responses.sparkSession, responses.schema["item"].dataType.simpleString()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = responses.select("learner", "item", "correct").persist()
+    ranges = max(RANGES * spark.sparkContext.defaultParallelism, math.ceil(rows.count() / RESPONSES))
+    dealt = rows.withColumn("to", F.pmod(F.hash("item"), F.lit(ranges))).repartitionByRange(ranges, "learner").withColumn("range", F.spark_partition_id())
+    counted = dealt.mapInArrow(_counted, f"range int, to int, item {kind}, n long, k long, valid_n long, valid_k long, learners binary, items binary, times binary, right binary").persist()
+    learners = counted.where("learners is not null").select("range", "learners", "items", "times", "right").repartition(parts, "range").persist()
+    blocks = counted.where("learners is null").select("range", "to", "item", *COUNTS).groupBy("to").applyInArrow(_block(least), f"block int, items array<{kind}>, n binary, k binary, start binary, ranges binary, sizes binary, places binary")
+    blocks = blocks.repartition(parts, "block").persist()
+    for kept, done in ((learners, rows), (blocks, counted)):
+        kept.count()
+        done.unpersist()
+    return learners, blocks
+
+
+def fit_items(responses: DataFrame, steps: int = 80, least: int = 5, limit: float = 6.0, tolerance: float = 1e-4) -> DataFrame:
+    """Every ``item`` with its ``n`` responses and ``k`` right ones; where it has a finite estimate, also as in :func:`fit_rasch` how many were ``fitted``, its ``difficulty`` and information ``h``."""
+    learners, blocks = _packed(responses, least)
+    state, mean, moved_by = responses.sparkSession.createDataFrame([], SENT_SQL), 0.0, None
+    for step in range(steps + 1):  # the first leaves out learners, then items, without a finite estimate
+        item, ability, by = state.where("kind = 'item'"), state.where("kind = 'ability'"), blocks.groupBy("block")
+        sent = by.cogroup(item.groupBy("to")).applyInArrow(_sending(mean), SENT_SQL)
+        back = learners.groupBy("range").cogroup(sent.unionByName(ability).groupBy("to")).applyInArrow(_learning(step == 0, least, limit), SENT_SQL)
+        state = cut(by.cogroup(back.unionByName(item).groupBy("to")).applyInArrow(_moving(step == 0, mean, least, limit), SENT_SQL))
+        found = state.where("kind = 'item'").agg(F.sum("total").alias("total"), F.sum("count").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).first()
+        if not found.n:
+            break
+        mean = found.total / found.n
+        moved_by = max(abs(found.low - mean), abs(found.high - mean))
+        if step and moved_by < tolerance:
+            break
+    else:
+        warnings.warn(f"difficulties still moved by {moved_by:.2g} after {steps} steps", stacklevel=2)
+    kind = responses.schema["item"].dataType.simpleString()
+    fitted = cut(blocks.groupBy("block").cogroup(state.where("kind = 'item'").groupBy("to")).applyInArrow(_unpacked(mean), f"item {kind}, n long, k long, fitted long, difficulty double, h double"))
+    for kept in (learners, blocks):
+        kept.unpersist()
+    return fitted
+
+
 def fit_rasch(responses: DataFrame, steps: int = 80, least: int = 5, limit: float = 6.0, tolerance: float = 1e-4) -> DataFrame:
     """``item``, ``n``, ``difficulty``, ``se``: Newton steps for abilities and centred difficulties in turn.
 
@@ -99,38 +259,5 @@ def fit_rasch(responses: DataFrame, steps: int = 80, least: int = 5, limit: floa
     ``responses`` has learner, item and 0/1 correct. Items and learners that are all right or all wrong, or have
     fewer than ``least`` responses, have no finite estimate and are left out before the first step.
     """
-    cells = response_cells(responses)
-    found = fit_cells(cells, steps, least, limit, tolerance)
-    cells.unpersist()
-    return found
-
-
-def fit_cells(cells: DataFrame, steps: int = 80, least: int = 5, limit: float = 6.0, tolerance: float = 1e-4) -> DataFrame:
-    """:func:`fit_rasch` from the table of :func:`response_cells`."""
-    kept = _estimable(cells, least)
-    fields = {f.name: f for f in kept.schema.fields}
-    schema = StructType([StructField(c, fields[c].dataType) for c in ("range", "learner", "item")] + [StructField(c, DoubleType()) for c in ("value", "g", "h")] + [StructField("n", LongType())])
-    routes = kept.select("range", "item").distinct().repartition(_partitions(cells), "item").persist()
-    hard = cut(routes.select("item").distinct().withColumn("b", F.lit(0.0)))
-    ability = kept.select("range", "learner").distinct().withColumn("value", F.lit(0.0))
-    found = None
-    for _ in range(steps):
-        sent = routes.join(hard, "item").select("range", "item", F.col("b").alias("value")).unionByName(ability, allowMissingColumns=True)
-        sent = sent.select(F.col("range").alias("to"), *[F.col(c).alias(f"to_{c}") for c in ("learner", "item")], "value")
-        both = cut(kept.groupBy("range").cogroup(sent.groupBy("to")).applyInArrow(_stepped(limit), schema))
-        ability = both.where("learner is not null").select("range", "learner", "value")
-        sums = both.where("item is not null").groupBy("item").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
-        step = F.least(F.greatest(F.col("g") / F.greatest("h", F.lit(1e-9)), F.lit(-1.0)), F.lit(1.0))
-        moved = sums.join(hard.withColumnRenamed("b", "old"), "item").withColumn("b", F.least(F.greatest(F.col("old") - step, F.lit(-limit)), F.lit(limit)))
-        moved = cut(moved.select("item", "b", "old", "h", "n"))
-        mean = moved.agg(F.avg("b").alias("mean"))
-        found = cut(moved.crossJoin(F.broadcast(mean)).withColumn("b", F.col("b") - F.col("mean")).drop("mean"))  # one row
-        hard = found.select("item", "b")
-        moved_by = found.agg(F.max(F.abs(F.col("b") - F.col("old"))).alias("most")).first().most
-        if moved_by is None or moved_by < tolerance:
-            break
-    else:
-        warnings.warn(f"difficulties still moved by {moved_by:.2g} after {steps} steps", stacklevel=2)
-    for rows in (kept, routes):
-        rows.unpersist()
-    return found.select("item", "n", F.col("b").alias("difficulty"), (1 / F.sqrt("h")).alias("se"))
+    found = fit_items(responses, steps, least, limit, tolerance).where("difficulty is not null")
+    return found.select("item", F.col("fitted").alias("n"), "difficulty", (1 / F.sqrt("h")).alias("se"))

@@ -402,9 +402,7 @@ def k11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("m26_rasch_1pl")
 def m26(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rasch difficulties of the items of the large log at convergence; items without a finite one are flagged."""
-    from gaugewell.operators.rasch import cell_flags, fit_cells, response_cells
+    from gaugewell.operators.rasch import fit_items, flags
 
-    cells = response_cells(V.ix_big(spark, sf_dir))
-    found = cut(cell_flags(cells)).join(fit_cells(cells).drop("n"), "item", "left")
-    cells.unpersist()
+    found = fit_items(V.ix_big(spark, sf_dir)).select("item", "n", *flags(), "difficulty", (1 / F.sqrt("h")).alias("se"))
     return rounded(found.withColumn("identifiable", F.col("difficulty").isNotNull()))

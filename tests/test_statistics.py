@@ -232,3 +232,44 @@ def test_feature_model_deals_features_anew_and_broadcasts_no_table_of_items(spar
         rows = [(folds[i], (part[i][5] - low) / (high - low), *(float(new[name][i]) for name in columns), "c") for i in range(80)]
         r2[cell] = ridge.out_of_fold_r2(spark.createDataFrame(rows, "fold int, y double, chars double, price double, size double, cell string"), "y", tuple(columns), "cell").first().r2
     assert {x.feature: (x.r2_whole, x.drop) for x in found.collect()} == {name: (pytest.approx(r2["whole"], abs=2e-6), pytest.approx(r2["whole"] - r2[name], abs=2e-6)) for name in columns}
+
+
+def test_rasch_keeps_estimates_only_where_ranges_share_few_items(spark, monkeypatch):
+    from gaugewell.operators import rasch
+
+    sizes = []
+
+    def counted(rows, cut=rasch.cut):
+        sizes.append((found := cut(rows)).count())
+        return found
+
+    monkeypatch.setattr(rasch, "cut", counted)
+    r = np.random.default_rng(11)
+    rows = [(f"l{x // 8}", f"i{r.integers(0, 700)}", int(r.random() < 0.6)) for x in range(16_000)]
+    rows += rows[:500] + [(None, f"i{x}", 1) for x in range(30)] + [(f"l{x}", None, x % 2) for x in range(40)] + [(None, None, 0)]
+    rows += [(f"l{x}", "all", 1) for x in range(9)] + [(f"l{x}", "none", 0) for x in range(9)] + [("l1", "few", 1)]
+    found = {x["item"]: x for x in rasch.fit_items(spark.createDataFrame(rows, "learner string, item string, correct int")).collect()}
+    assert max(sizes) <= len(found)  # neither a row per response nor one per item and range of learners
+
+    all_of = pd.DataFrame(rows, columns=["learner", "item", "y"])
+    counts = all_of.groupby("item", dropna=False).y.agg(["size", "sum"])
+    assert {(None if isinstance(i, float) else i): tuple(x) for i, x in zip(counts.index, counts.to_numpy().tolist(), strict=True)} == {i: (x.n, x.k) for i, x in found.items()}
+    kept = all_of.dropna()
+    for key in ("item", "learner", "item"):
+        n, k = (kept.groupby(key).y.transform(what) for what in ("size", "sum"))
+        kept = kept[(n >= 5) & (k > 0) & (k < n)]
+    (i, items), (j, learners) = (pd.factorize(kept[c]) for c in ("item", "learner"))
+    y, b, t, moved = kept.y.to_numpy(), np.zeros(len(items)), np.zeros(len(learners)), 1
+    while moved >= 1e-4:
+        p = 1 / (1 + np.exp(b[i] - t[j]))
+        t = np.clip(t + np.clip(np.bincount(j, y - p) / np.bincount(j, p * (1 - p)), -1, 1), -6, 6)
+        p = 1 / (1 + np.exp(b[i] - t[j]))
+        h = np.bincount(i, p * (1 - p))
+        new = np.clip(b - np.clip(np.bincount(i, y - p) / h, -1, 1), -6, 6)
+        new -= new.mean()
+        moved, b = np.abs(new - b).max(), new
+    assert {x for x, row in found.items() if row.difficulty is not None} == set(items) and {"all", "none", "few", None}.isdisjoint(items)
+    n = np.bincount(i)
+    for x, name in enumerate(items):
+        row = found[name]
+        assert [row.fitted, row.difficulty, row.h] == [n[x], pytest.approx(b[x], abs=1e-9), pytest.approx(h[x], abs=1e-9)]
