@@ -25,7 +25,8 @@ RANGES, RESPONSES = 2, 4_000_000
 #: What is sent ``to`` a range or block ``frm`` another: difficulties, sums, abilities and items, as doubles in ``a``, ``b`` and ``n``.
 SENT = {"to": pa.int32(), "frm": pa.int32(), "kind": pa.string(), "a": pa.binary(), "b": pa.binary(), "n": pa.binary(), "total": pa.float64(), "count": pa.int64(), "low": pa.float64(), "high": pa.float64()}
 SENT_SQL = "to int, frm int, kind string, a binary, b binary, n binary, total double, count long, low double, high double"
-COUNTS = ("n", "k", "valid_n", "valid_k")
+#: In place of a range, where responses name no learner: they count in ``n`` and ``k`` of an item only.
+NO_LEARNER = -1
 
 
 def _rows(found: list[dict]) -> pa.Table:
@@ -52,12 +53,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     table = pa.Table.from_batches(batches)
     del batches
-    own, right = table.column("range")[0].as_py(), np.asarray(table.column("correct").fill_null(0))
-    items = table.column("item").combine_chunks().dictionary_encode(null_encoding="encode")
-    learners = table.column("learner").combine_chunks().dictionary_encode()
-    place = np.empty(len(learners.dictionary) + 1, np.int32)
-    place[np.asarray(pc.sort_indices(learners.dictionary))], place[-1] = np.arange(len(learners.dictionary)), -1
-    learner = place[np.asarray(learners.indices.fill_null(-1))]  # in order of the keys, as abilities are kept; null is -1
+    if len(own := table.column("range").unique()) != 1:
+        raise ValueError(f"a task has the ranges {own.to_pylist()}")
+    own, n, k = own[0].as_py(), np.asarray(table.column("n")), np.asarray(table.column("k"))
+    learners, items = (table.column(c).combine_chunks().dictionary_encode(null_encoding="encode") for c in ("learner", "item"))
+    place = np.empty(len(learners.dictionary), np.int32)
+    place[np.asarray(pc.sort_indices(learners.dictionary))] = np.arange(len(place))
+    learner = place[np.asarray(learners.indices)]  # in order of the keys, as abilities are kept
     code, items, size = np.asarray(items.indices), items.dictionary, len(items.dictionary)
     seen = np.empty(size, np.int64)
     seen[code] = np.arange(len(code))
@@ -67,19 +69,18 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found, place = found.take(order).combine_chunks(), np.empty(size, np.int32)
     place[np.asarray(order)] = np.arange(size, dtype=np.int32)
     code = place[code]
-    valid = (learner >= 0) & np.asarray(pc.is_valid(found.column("item")))[code]
-    sums = [np.bincount(code[which], what, size).astype(np.int64) for which in (slice(None), valid) for what in (None, right[which])]
-    cell, right = learner[valid].astype(np.int64) * size + code[valid], right[valid]
-    del learner, code, valid
+    sums = [np.bincount(code, what, size).astype(np.int64) for what in (n, k)]
+    cell = learner.astype(np.int64) * size + code
+    cell[np.asarray(pc.is_null(found.column("item")))[code]] = -1
+    del learner, code
     order = np.argsort(cell)
-    cell, right = cell[order], right[order]
-    first = np.flatnonzero(np.diff(cell, prepend=-1))
-    n, k, cell = np.diff(first, append=len(cell)), np.add.reduceat(right, first) if len(first) else right, cell[first]
-    packed = [np.bincount(cell // size).astype(np.int32).tobytes(), (cell % size).astype(np.int32).tobytes(), _small(n), _small(k)]
+    order = order[np.searchsorted(cell, 0, sorter=order) :]
+    cell = cell[order]
+    packed = [np.bincount(cell // size).astype(np.int32).tobytes(), (cell % size).astype(np.int32).tobytes(), _small(n[order]), _small(k[order])]
     blank = lambda kind, rows=1: pa.nulls(rows, kind)
-    kinds, names = [items.type, *[pa.int64()] * 4, *[pa.binary()] * 4], ["range", "to", "item", *COUNTS, "learners", "items", "times", "right"]
-    yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), blank(pa.int32()), *map(blank, kinds[:5]), *[pa.array([x], pa.binary()) for x in packed]], names)
-    each = pa.Table.from_arrays([pa.array(np.full(size, own), pa.int32()), found.column("to"), found.column("item"), *map(pa.array, sums), *[blank(x, size) for x in kinds[5:]]], names)
+    kinds, names = [items.type, pa.int64(), pa.int64(), *[pa.binary()] * 4], ["range", "to", "item", "n", "k", "learners", "items", "times", "right"]
+    yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), blank(pa.int32()), *map(blank, kinds[:3]), *[pa.array([x], pa.binary()) for x in packed]], names)
+    each = pa.Table.from_arrays([pa.array(np.full(size, own), pa.int32()), found.column("to"), found.column("item"), *map(pa.array, sums), *[blank(x, size) for x in kinds[3:]]], names)
     yield from each.combine_chunks().to_batches(max_chunksize=100_000)
 
 
@@ -90,9 +91,11 @@ def _block(least: int) -> Callable[[pa.Table], pa.Table]:
         items = pc.unique(table.column("item"))
         items = items.take(pc.sort_indices(items))
         code, ranges = np.asarray(pc.index_in(table.column("item"), value_set=items)).astype(np.int32), np.asarray(table.column("range"))
-        n, k, valid_n, valid_k = (np.bincount(code, np.asarray(table.column(c)), len(items)) for c in COUNTS)
+        sums = lambda name, some=slice(None): np.bincount(code[some], np.asarray(table.column(name))[some], len(items))
+        n, k, known = sums("n"), sums("k"), ranges != NO_LEARNER
+        start = np.where(_unusable(sums("n", known), sums("k", known), least) | np.asarray(pc.is_null(items)), np.nan, 0.0)
+        code, ranges = code[known], ranges[known]
         to, sizes = np.unique(ranges, return_counts=True)
-        start = np.where(_unusable(valid_n, valid_k, least), np.nan, 0.0)
         arrays = {"n": n, "k": k, "start": start, "ranges": to.astype(np.int32), "sizes": sizes.astype(np.int32), "places": code[np.lexsort((code, ranges))]}
         ids = pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)
         return pa.table({"block": pa.array([table.column("to")[0].as_py()], pa.int32()), "items": ids} | {name: pa.array([x.tobytes()], pa.binary()) for name, x in arrays.items()})
@@ -107,6 +110,8 @@ def _array(table: pa.Table, name: str, kind: type = float) -> np.ndarray:
 def _places(block: pa.Table) -> list[tuple[int, np.ndarray]]:
     """For each range, the places of its items in the block."""
     ends = np.cumsum(_array(block, "sizes", np.int32))
+    if not len(ends):
+        return []
     return list(zip(_array(block, "ranges", np.int32).tolist(), np.split(_array(block, "places", np.int32), ends[:-1]), strict=True))
 
 
@@ -215,13 +220,19 @@ def _packed(responses: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = responses.select("learner", "item", "correct").persist()
     ranges = max(RANGES * spark.sparkContext.defaultParallelism, math.ceil(rows.count() / RESPONSES))
-    dealt = rows.withColumn("to", F.pmod(F.hash("item"), F.lit(ranges))).repartitionByRange(ranges, "learner").withColumn("range", F.spark_partition_id())
-    counted = dealt.mapInArrow(_counted, f"range int, to int, item {kind}, n long, k long, valid_n long, valid_k long, learners binary, items binary, times binary, right binary").persist()
+    counts = F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("correct"), F.lit(0)).cast("long").alias("k")
+    to = F.pmod(F.hash("item"), F.lit(ranges)).alias("to")
+    dealt = rows.where("learner is not null").repartitionByRange(ranges, "learner").withColumn("range", F.spark_partition_id())
+    cells = dealt.groupBy("range", "learner", "item").agg(*counts).select("range", "learner", to, "item", "n", "k")  # where they lie
+    counted = cells.mapInArrow(_counted, f"range int, to int, item {kind}, n long, k long, learners binary, items binary, times binary, right binary").persist()
     learners = counted.where("learners is not null").select("range", "learners", "items", "times", "right").repartition(parts, "range").persist()
-    blocks = counted.where("learners is null").select("range", "to", "item", *COUNTS).groupBy("to").applyInArrow(_block(least), f"block int, items array<{kind}>, n binary, k binary, start binary, ranges binary, sizes binary, places binary")
+    unnamed = rows.where("learner is null").groupBy("item").agg(*counts).select(F.lit(NO_LEARNER).alias("range"), to, "item", "n", "k")
+    per_range = counted.where("learners is null").select("range", "to", "item", "n", "k").unionByName(unnamed)
+    blocks = per_range.groupBy("to").applyInArrow(_block(least), f"block int, items array<{kind}>, n binary, k binary, start binary, ranges binary, sizes binary, places binary")
     blocks = blocks.repartition(parts, "block").persist()
-    for kept, done in ((learners, rows), (blocks, counted)):
+    for kept in (learners, blocks):
         kept.count()
+    for done in (rows, counted):
         done.unpersist()
     return learners, blocks
 
